@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 def snapshot_bounds(snaps: DataFrame, start, end, by=("dbid", "instance_number"),
                     snap="snap_id", begin="begin_interval_time",
                     end_col="end_interval_time") -> DataFrame:
-    """min/max snapshot id whose interval lies inside [start, end] per ``by``."""
+    """min/max snapshot id whose interval begins inside [start, end] per ``by``."""
     inside = (F.col(begin) >= F.lit(start).cast("timestamp_ntz")) & \
-             (F.col(end_col) <= F.lit(end).cast("timestamp_ntz"))
+             (F.col(begin) <= F.lit(end).cast("timestamp_ntz"))
     return (snaps.filter(inside).groupBy(*by)
             .agg(F.min(snap).alias("min_snap_id"), F.max(snap).alias("max_snap_id")))
 

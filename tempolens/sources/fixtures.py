@@ -38,6 +38,12 @@ FIXTURE_SQL.update({
     # several cumulative counters per series (latch / file IO / event shape):
     # three counters derived from the same running sums, one of them resets.
     "fx_counter_multi": "SELECT series_id, instance_number, snap_id, snap_time, concat('n', series_id % 13) AS counter_name, counter_value AS gets, CAST(floor(counter_value / 7) AS BIGINT) AS misses, CAST(snap_id * 3 AS BIGINT) AS waits FROM fx_counter",
+    # cumulative wait-event counters per (instance, event, snapshot), restart every 24 snapshots
+    "fx_sysevent": "SELECT 1 AS dbid, instance_number, snap_id, event_id, CAST(sum(waits) OVER (PARTITION BY instance_number, event_id, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total_waits, CAST(sum(timeouts) OVER (PARTITION BY instance_number, event_id, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS total_timeouts, CAST(sum(wait_micro) OVER (PARTITION BY instance_number, event_id, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS time_waited_micro FROM (SELECT CAST(l_suppkey % 2 + 1 AS INT) AS instance_number, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS snap_id, l_linenumber AS event_id, CAST(count(*) AS BIGINT) AS waits, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS timeouts, CAST(sum(floor(l_extendedprice)) AS BIGINT) AS wait_micro FROM lineitem GROUP BY 1, 2, 3) t",
+    "fx_event_name": "SELECT * FROM (VALUES (1, 'db file sequential read', 'User I/O'), (2, 'log file sync', 'Commit'), (3, 'SQL*Net message from client', 'Idle'), (4, 'latch free', 'Other'), (5, 'enq: TX - row lock contention', 'Application'), (6, 'resmgr:cpu quantum', 'Scheduler'), (7, 'direct path read', 'User I/O')) AS t(event_id, event_name, wait_class)",
+    # cumulative system statistics per (instance, stat, snapshot), restart every 24 snapshots
+    "fx_sysstat": "SELECT 1 AS dbid, instance_number, snap_id, stat_id, CAST(sum(v) OVER (PARTITION BY instance_number, stat_id, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value FROM (SELECT CAST(o_custkey % 2 + 1 AS INT) AS instance_number, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT) AS snap_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS stat_id, CAST(sum(round(o_totalprice)) AS BIGINT) AS v FROM orders GROUP BY 1, 2, 3) t",
+    "fx_stat_name": "SELECT * FROM (VALUES (1, 'user commits', 1), (2, 'user rollbacks', 1), (3, 'physical reads', 8), (4, 'redo size', 2), (5, 'parse count (total)', 64)) AS t(stat_id, stat_name, class)",
     # statement texts keyed like fx_sqlstat
     "fx_sqltext": "SELECT concat('s', p_partkey % 50) AS sql_id, min(concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING))) AS sql_text FROM part GROUP BY 1",
 })

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from . import q_ash  # noqa: F401  (registers)
+from . import q_ash, q_counters  # noqa: F401  (registers)
 
 
 def queries():
