@@ -44,6 +44,8 @@ FIXTURE_SQL.update({
     # cumulative system statistics per (instance, stat, snapshot), restart every 24 snapshots
     "fx_sysstat": "SELECT 1 AS dbid, instance_number, snap_id, stat_id, CAST(sum(v) OVER (PARTITION BY instance_number, stat_id, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value FROM (SELECT CAST(o_custkey % 2 + 1 AS INT) AS instance_number, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT) AS snap_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS stat_id, CAST(sum(round(o_totalprice)) AS BIGINT) AS v FROM orders GROUP BY 1, 2, 3) t",
     "fx_stat_name": "SELECT * FROM (VALUES (1, 'user commits', 1), (2, 'user rollbacks', 1), (3, 'physical reads', 8), (4, 'redo size', 2), (5, 'parse count (total)', 64)) AS t(stat_id, stat_name, class)",
+    # several plan variants: ternary trees numbered per plan, coarse line attributes
+    "fx_plan_multi": "SELECT plan_hash_value, id, CASE WHEN id > 1 THEN CAST(floor((id - 2) / 3) + 1 AS BIGINT) END AS parent_id, operation, object_owner, object_name FROM (SELECT CAST(p_size % 4 AS INT) AS plan_hash_value, CAST(row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_partkey) AS BIGINT) AS id, split_part(p_type, ' ', 1) AS operation, substr(p_brand, 1, 7) AS object_owner, CASE WHEN p_partkey % 10 = 0 THEN concat(':TQ', CAST(p_partkey AS STRING)) ELSE split_part(p_name, ' ', 1) END AS object_name FROM part) t",
     # statement texts keyed like fx_sqlstat
     "fx_sqltext": "SELECT concat('s', p_partkey % 50) AS sql_id, min(concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING))) AS sql_text FROM part GROUP BY 1",
 })
@@ -91,6 +93,8 @@ def with_fixtures(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({FIXTURE_SQL[n]})" for n in names)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from . import q_ash, q_counters, q_grouping  # noqa: F401  (registers)
+from . import q_ash, q_counters, q_grouping, q_hierarchy  # noqa: F401  (registers)
 
 
 def queries():
