@@ -50,3 +50,25 @@ def decode_packed(p, low_bits: int = 16) -> tuple[Column, Column]:
     """Split a packed wait parameter into (high word, low word)."""
     c = as_col(p).cast("bigint")
     return F.shiftright(c, low_bits), F.pmod(c, F.lit(1 << low_bits))
+
+
+def split_word(p, wordsize: int = 8) -> tuple[Column, Column]:
+    """High and low half of a packed value on a ``wordsize``-byte platform.
+
+    Mutex waits pack the blocker's SID into the top half of P2 and the
+    shared-reference count into the bottom half (shift = 4 * wordsize bits).
+    """
+    return decode_packed(p, 4 * wordsize)
+
+
+def block_class(p3, p3text) -> tuple[Column, Column]:
+    """Block class of a buffer/gc wait and the undo segment folded into it.
+
+    class id = p3 % 65536 for 'id#', p3 itself for 'class#'; ids above 19
+    carry an undo segment n (id = 2n + 15 + class offset): the segment is
+    floor((id - 15) / 2) and the remaining id is id - (n - 1) * 2.
+    """
+    v, t = as_col(p3).cast("bigint"), as_col(p3text)
+    cid = F.when(t == F.lit("id#"), F.pmod(v, F.lit(65536))).when(t == F.lit("class#"), v)
+    undo = F.when(cid > 19, F.floor((cid - 15) / 2))
+    return F.when(cid > 19, cid - (undo - 1) * 2).otherwise(cid), undo

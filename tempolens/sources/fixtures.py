@@ -46,6 +46,16 @@ FIXTURE_SQL.update({
     "fx_stat_name": "SELECT * FROM (VALUES (1, 'user commits', 1), (2, 'user rollbacks', 1), (3, 'physical reads', 8), (4, 'redo size', 2), (5, 'parse count (total)', 64)) AS t(stat_id, stat_name, class)",
     # several plan variants: ternary trees numbered per plan, coarse line attributes
     "fx_plan_multi": "SELECT plan_hash_value, id, CASE WHEN id > 1 THEN CAST(floor((id - 2) / 3) + 1 AS BIGINT) END AS parent_id, operation, object_owner, object_name FROM (SELECT CAST(p_size % 4 AS INT) AS plan_hash_value, CAST(row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_partkey) AS BIGINT) AS id, split_part(p_type, ' ', 1) AS operation, substr(p_brand, 1, 7) AS object_owner, CASE WHEN p_partkey % 10 = 0 THEN concat(':TQ', CAST(p_partkey AS STRING)) ELSE split_part(p_name, ' ', 1) END AS object_name FROM part) t",
+    # extents (file, first block, length) and block accesses for the point-in-interval lookup
+    "fx_extent": "SELECT CAST(p_size % 5 AS INT) AS file_id, p_partkey * 8 AS block_id, CAST(8 AS BIGINT) AS blocks, p_partkey AS object_id FROM part",
+    "fx_block_access": "SELECT CAST(l_suppkey % 5 AS INT) AS file_id, l_partkey * 8 + l_linenumber AS block_no, l_orderkey AS sample_id FROM lineitem",
+    # UPDATE statements per table and indexed columns per table
+    "fx_dml": "SELECT concat('u', CAST(p_partkey AS STRING)) AS sql_id, lower(p_type) AS table_name, concat('UPDATE ', lower(p_type), ' SET ', CASE WHEN p_size % 2 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END, ' = 1, qty = 2 WHERE id = ', CAST(p_partkey AS STRING)) AS sql_text FROM part",
+    "fx_ind_column": "SELECT DISTINCT lower(p_type) AS table_name, split_part(p_name, ' ', 2) AS column_name FROM part",
+    # statement texts with NVL calls, some with a call or a nested NVL as second argument
+    "fx_nvl_sql": "SELECT p_partkey AS sql_id, concat('SELECT NVL(', split_part(p_name, ' ', 1), ', ', CASE p_size % 3 WHEN 0 THEN concat('SUBSTR(', split_part(p_name, ' ', 2), ', 1, 5)') WHEN 1 THEN '0' ELSE concat('NVL(b, GET_', p_type, '(c, d))') END, ') AS v FROM ', lower(p_type), ' WHERE x = ', CAST(p_size AS STRING)) AS sql_text FROM part",
+    # segment names with LOB / LOB-index forms that embed an object id
+    "fx_segment": "SELECT p_partkey AS segment_id, p_brand AS owner, CASE WHEN p_size % 7 = 0 THEN concat('SYS_LOB', lpad(CAST(p_partkey % 50 + 1 AS STRING), 10, '0'), 'C00004$$') WHEN p_size % 7 = 1 THEN concat('SYS_IL', lpad(CAST(p_partkey % 50 + 1 AS STRING), 10, '0'), 'C00004$$') ELSE p_name END AS object_name, CASE WHEN p_size % 7 = 2 THEN concat('P', CAST(p_size AS STRING)) END AS subobject_name FROM part",
     # statement texts keyed like fx_sqlstat
     "fx_sqltext": "SELECT concat('s', p_partkey % 50) AS sql_id, min(concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING))) AS sql_text FROM part GROUP BY 1",
 })
