@@ -48,9 +48,9 @@ def g02(spark, sf):
 
 
 @query("g03_limits_exceeded", """
-SELECT id_messagetype, count(*) AS errors FROM fx_message WHERE erroneous = 'Y' GROUP BY 1 HAVING count(*) > 850""")
+SELECT id_messagetype, count(*) AS errors FROM fx_message WHERE erroneous = 'Y' GROUP BY 1 HAVING count(*) > 620""")
 def g03(spark, sf):
-    return Q.limits_exceeded(_fx(spark, sf, "fx_message"), 850)
+    return Q.limits_exceeded(_fx(spark, sf, "fx_message"), 620)
 
 
 @query("g03_recent_events", """
