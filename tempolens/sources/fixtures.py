@@ -57,7 +57,18 @@ FIXTURE_SQL.update({
     # segment names with LOB / LOB-index forms that embed an object id
     "fx_segment": "SELECT p_partkey AS segment_id, p_brand AS owner, CASE WHEN p_size % 7 = 0 THEN concat('SYS_LOB', lpad(CAST(p_partkey % 50 + 1 AS STRING), 10, '0'), 'C00004$$') WHEN p_size % 7 = 1 THEN concat('SYS_IL', lpad(CAST(p_partkey % 50 + 1 AS STRING), 10, '0'), 'C00004$$') ELSE p_name END AS object_name, CASE WHEN p_size % 7 = 2 THEN concat('P', CAST(p_size AS STRING)) END AS subobject_name FROM part",
     # statement texts keyed like fx_sqlstat
-    "fx_sqltext": "SELECT concat('s', p_partkey % 50) AS sql_id, min(concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING))) AS sql_text FROM part GROUP BY 1",
+    "fx_sqltext": "SELECT concat('s', CAST(k AS STRING)) AS sql_id, CASE WHEN k % 3 = 0 THEN 6 ELSE 3 END AS command_type, min(CASE WHEN k % 3 = 0 THEN concat('UPDATE ', p_type, ' SET qty = :1 WHERE brand = ', p_brand, ' AND size = ', CAST(p_size AS STRING)) ELSE concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING)) END) AS sql_text FROM (SELECT p_partkey % 50 AS k, p_type, p_brand, p_size FROM part) t GROUP BY 1, 2",
+    # rule inputs: statistics with fetch/parse counters, cursor cache, open cursors, child-cursor flags,
+    # audit options in force, function catalog, table modifications, objects named like fx_plan_multi
+    "fx_sqlstat_ext": "SELECT *, executions_delta * plan_hash_value * 40 AS fetches_delta, CAST(ceil(executions_delta / 3) AS BIGINT) AS parse_calls_delta FROM fx_sqlstat",
+    "fx_sqlarea": "SELECT 1 AS inst_id, s.sql_id, min(parsing_schema_name) AS parsing_schema_name, min(module) AS module, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(executions_delta * plan_hash_value * 40) AS BIGINT) AS fetches, CAST(sum(rows_processed_delta) AS BIGINT) AS rows_processed, CAST(sum(elapsed_time_delta) AS BIGINT) AS elapsed_time, min(t.sql_text) AS sql_text FROM fx_sqlstat s JOIN fx_sqltext t ON t.sql_id = s.sql_id GROUP BY 1, 2",
+    "fx_open_cursor": "SELECT instance_number AS inst_id, session_id AS sid, sql_id, concat('SELECT /* ', sql_id, ' */ 1') AS sql_text FROM fx_ash WHERE event IN ('click', 'view')",
+    "fx_shared_cursor": "SELECT instance_number AS inst_id, sql_id, CASE WHEN disk_reads_delta = 0 THEN 'Y' ELSE 'N' END AS bind_mismatch, CASE WHEN module = 'F' THEN 'Y' ELSE 'N' END AS optimizer_mismatch, CASE WHEN parsing_schema_name = 'A' THEN 'Y' ELSE 'N' END AS auth_check_mismatch FROM fx_sqlstat",
+    "fx_audit_opts": "SELECT DISTINCT CASE event_type WHEN 'view' THEN 'VIEW' WHEN 'signup' THEN 'USER' WHEN 'purchase' THEN 'TABLE' WHEN 'click' THEN 'SELECT TABLE' ELSE 'CREATE SESSION' END AS audit_option, CASE WHEN event_type = 'click' THEN 'NOT SET' ELSE 'BY ACCESS' END AS success, 'BY ACCESS' AS failure FROM events",
+    "fx_functions": "SELECT DISTINCT concat('GET_', p_type) AS name, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'YES' ELSE 'NO' END AS parallel_enabled FROM part",
+    "fx_tab_mod": "SELECT concat('o', CAST(l_suppkey % 3 AS STRING)) AS owner, concat('t', CAST(l_orderkey AS STRING)) AS table_name, CAST(floor(l_quantity) AS BIGINT) AS inserts, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS deletes FROM lineitem",
+    "fx_plan_object": "SELECT substr(p_brand, 1, 7) AS owner, split_part(p_name, ' ', 1) AS object_name, max(CASE WHEN p_size % 3 = 0 THEN 'INDEX' ELSE 'TABLE' END) AS object_type, CAST(sum(floor(p_retailprice)) AS BIGINT) AS num_rows FROM part GROUP BY 1, 2",
+    "fx_pk_column": "SELECT lower(p_type) AS table_name, min(split_part(p_name, ' ', 1)) AS column_name FROM part GROUP BY 1",
 })
 
 _DEPENDS = {name: [d for d in FIXTURE_SQL if d != name and re.search(rf"\b{d}\b", sql)]
