@@ -2,9 +2,9 @@
 
 ``hierarchy_walk`` replaces ``CONNECT BY NOCYCLE PRIOR``: a frontier of
 rows is joined with all rows level by level.  Each level is written to the
-shared checkpoint folder (``spark.checkpoint.dir``) so the lineage stays
-one level deep and a lost executor only recomputes one join; the loop stops
-on an empty frontier or at ``max_depth``.  A path array of node keys
+shared checkpoint folder (``spark.checkpoint.dir``), so the lineage stays
+one level deep and a lost executor only recomputes one join; the loop
+stops on an empty frontier or at ``max_depth``.  A path array of node keys
 carries the NOCYCLE rule: a child already on its path is not entered.
 The frontier join is an equi join on the connect keys, so Spark/AQE
 broadcast a small frontier or split a hot key with skew-join handling.
@@ -28,6 +28,14 @@ def _node(prefix: str, cols: list[str]) -> Column:
     return F.struct(*[F.col(f"{prefix}.{c}").alias(c) for c in cols])
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint computed once: persist, write to the checkpoint folder, release the cache."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist()
+    return out
+
+
 def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[str] = (),
                    start: "Column | DataFrame | None" = None, node: list[str] | None = None,
                    root_cols: list[str] = (), max_depth: int = 100,
@@ -39,6 +47,10 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
     start: START WITH predicate or DataFrame of start rows; None means every row is a root.
     node: columns that identify a node on the path (default the prior cols).
     root_cols: columns of the root row carried as root_<col> (CONNECT_BY_ROOT).
+
+    Every level is computed once (persisted while it is written) and cut
+    from its lineage by a reliable checkpoint in the shared checkpoint
+    folder; the emptiness test then reads the written level.
     """
     spark = rows.sparkSession
     checkpoint_dir(spark)
@@ -50,22 +62,20 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
         roots = start.select(*cols)
     else:
         roots = base.filter(start) if start is not None else base
-    frontier = roots.alias("r").select(
+    frontier = _materialize(roots.alias("r").select(
         *[F.col(f"r.{c}") for c in cols], *[F.col(f"r.{c}").alias(f"root_{c}") for c in root_cols],
-        F.lit(1).alias(level_col), F.array(_node("r", node)).alias(path_col))
-    frontier = frontier.checkpoint(eager=True)
+        F.lit(1).alias(level_col), F.array(_node("r", node)).alias(path_col)))
     parts = [frontier]
     level = 1
     while level < max_depth:
         p, c = frontier.alias("p"), base.alias("c")
         cond = [F.col(f"c.{col}") == F.col(f"p.{prior}") for prior, col in connect] + \
                [F.col(f"c.{s}") == F.col(f"p.{s}") for s in same]
-        nxt = (p.join(c, cond, "inner")
-               .filter(~F.array_contains(F.col(f"p.{path_col}"), _node("c", node)))
-               .select(*[F.col(f"c.{x}") for x in cols], *[F.col(f"p.root_{x}") for x in root_cols],
-                       (F.col(f"p.{level_col}") + 1).alias(level_col),
-                       F.concat(F.col(f"p.{path_col}"), F.array(_node("c", node))).alias(path_col)))
-        nxt = nxt.checkpoint(eager=True)
+        nxt = _materialize(p.join(c, cond, "inner")
+                           .filter(~F.array_contains(F.col(f"p.{path_col}"), _node("c", node)))
+                           .select(*[F.col(f"c.{x}") for x in cols], *[F.col(f"p.root_{x}") for x in root_cols],
+                                   (F.col(f"p.{level_col}") + 1).alias(level_col),
+                                   F.concat(F.col(f"p.{path_col}"), F.array(_node("c", node))).alias(path_col)))
         if nxt.isEmpty():
             break
         parts.append(nxt)
