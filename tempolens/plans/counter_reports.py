@@ -111,3 +111,73 @@ def latch_per_snapshot(fact: DataFrame, keys, order: str = "snap_id",
     """Latch deltas per snapshot."""
     d = counter_delta(fact, keys, order, list(counters))
     return d.withColumn("miss_pct", F.round(pct(counters[1], counters[0]), 4))
+
+
+def sampled_events(before: DataFrame, after: DataFrame, key: str = "event_id",
+                   counters=("total_waits", "time_waited_micro")) -> DataFrame:
+    """Two samples of cumulative event counters: delta and average ms per wait (C22, A40 + A26).
+
+    Full outer match on the key (an event may appear in one sample only,
+    then it counts from zero), deltas and totals, then the average wait.
+    """
+    from ..operators.grouping import keyed_full_outer
+    b = before.select(key, *[F.col(c).alias(f"{c}_before") for c in counters])
+    a = after.select(key, *[F.col(c).alias(f"{c}_after") for c in counters])
+    j = keyed_full_outer(b, a, [key])
+    out = j.select(key, *[(F.coalesce(F.col(f"{c}_after"), F.lit(0)) - F.coalesce(F.col(f"{c}_before"), F.lit(0))).alias(f"{c}_delta")
+                          for c in counters],
+                   *[F.coalesce(F.col(f"{c}_after"), F.lit(0)).alias(f"{c}_total") for c in counters])
+    return out.withColumn("avg_ms_per_wait", F.round(F.try_divide(F.col(f"{counters[1]}_delta") / 1000.0,
+                                                                  F.col(f"{counters[0]}_delta")), 4))
+
+
+def sampled_segments(before: DataFrame, after: DataFrame, keys: list[str], counters: list[str],
+                     only_changed: bool = True) -> DataFrame:
+    """Segment statistics of two samples: delta and total on null-safe keys."""
+    from ..operators.grouping import snapshot_diff
+    return snapshot_diff(before, after, keys, counters, only_changed=only_changed)
+
+
+def session_statistics(stats: DataFrame, names: DataFrame, classes: dict[int, str]) -> DataFrame:
+    """Non-zero statistics with their decoded class names."""
+    from ..functions import bitmask_decode
+    return stats.filter(F.col("value") != 0).join(names, "stat_id", "inner") \
+        .withColumn("class_names", bitmask_decode("class", classes))
+
+
+def interconnect_latency(deltas: DataFrame, blocks_stat: int, time_stat: int) -> DataFrame:
+    """Receive latency per instance and snapshot from two statistics, plus totals per instance."""
+    from ..operators.grouping import rollup_total
+    g = deltas.groupBy("instance_number", "snap_id").agg(
+        F.sum(F.when(F.col("stat_id") == blocks_stat, F.col("value")).otherwise(0)).alias("blocks"),
+        F.sum(F.when(F.col("stat_id") == time_stat, F.col("value")).otherwise(0)).alias("receive_time"))
+    r = rollup_total(g, ["instance_number", "snap_id"], {"blocks": F.sum("blocks"), "receive_time": F.sum("receive_time")})
+    return r.withColumn("ms_per_block", F.round(F.try_divide(F.col("receive_time") * 10.0, F.col("blocks")), 4))
+
+
+def metric_summary(metrics: DataFrame, unit: str, ts: str = "begin_time", name: str = "metric_name",
+                   value: str = "value") -> DataFrame:
+    """Average, minimum and maximum of each metric per truncated period."""
+    return metrics.groupBy(trunc_time(ts, unit).alias("period"), name).agg(
+        F.round(F.avg(value), 4).alias("avg_value"), F.min(value).alias("min_value"),
+        F.max(value).alias("max_value"), F.count(F.lit(1)).alias("samples"))
+
+
+def mutex_sleeps(mutex: DataFrame, by: str) -> DataFrame:
+    """Mutex sleeps by blocker or requester (chosen column) with sleeps per get."""
+    return mutex.groupBy(by, "mutex_type").agg(F.sum("sleeps").alias("sleeps"), F.sum("gets").alias("gets"),
+                                               F.count(F.lit(1)).alias("samples")) \
+        .withColumn("sleep_ratio", F.round(F.try_divide(F.col("sleeps"), F.col("gets")), 6))
+
+
+def mutex_timeline(mutex: DataFrame, unit: str = "MI", ts: str = "sleep_timestamp") -> DataFrame:
+    """Mutex sleeps per truncated minute and type."""
+    return mutex.groupBy(trunc_time(ts, unit).alias("period"), "mutex_type").agg(
+        F.sum("sleeps").alias("sleeps"), F.count(F.lit(1)).alias("samples"))
+
+
+def enqueue_totals(fact: DataFrame, names: DataFrame, key: str = "event_id",
+                   counters=("total_waits", "total_timeouts")) -> DataFrame:
+    """Enqueue requests between first and last snapshot per type, with names."""
+    d = first_last_delta(fact, ["instance_number", key], "snap_id", list(counters))
+    return d.join(names, key, "left")
