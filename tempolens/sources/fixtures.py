@@ -58,6 +58,9 @@ FIXTURE_SQL.update({
     "fx_segment": "SELECT p_partkey AS segment_id, p_brand AS owner, CASE WHEN p_size % 7 = 0 THEN concat('SYS_LOB', lpad(CAST(p_partkey % 50 + 1 AS STRING), 10, '0'), 'C00004$$') WHEN p_size % 7 = 1 THEN concat('SYS_IL', lpad(CAST(p_partkey % 50 + 1 AS STRING), 10, '0'), 'C00004$$') ELSE p_name END AS object_name, CASE WHEN p_size % 7 = 2 THEN concat('P', CAST(p_size AS STRING)) END AS subobject_name FROM part",
     # cumulative file IO counters per (instance, file, snapshot), restart every 24 snapshots
     "fx_file_io": "SELECT 1 AS dbid, instance_number, snap_id, file_id, concat('/u01/f', CAST(file_id AS STRING), '.dbf') AS file_name, concat('TS', CAST(file_id % 3 AS STRING)) AS ts_name, CASE WHEN file_id >= 10 THEN 'TEMP' ELSE 'DATA' END AS file_type, function_name, CAST(sum(rds) OVER (PARTITION BY instance_number, file_id, function_name, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS phyrds, CAST(sum(wrts) OVER (PARTITION BY instance_number, file_id, function_name, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS phywrts, CAST(sum(rtim) OVER (PARTITION BY instance_number, file_id, function_name, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS readtim, CAST(sum(blks) OVER (PARTITION BY instance_number, file_id, function_name, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS phyblkrd FROM (SELECT CAST(l_suppkey % 2 + 1 AS INT) AS instance_number, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS snap_id, CAST(l_partkey % 12 AS INT) AS file_id, CASE l_returnflag WHEN 'A' THEN 'Buffer Cache Reads' WHEN 'N' THEN 'Direct Reads' ELSE 'LGWR' END AS function_name, CAST(count(*) AS BIGINT) AS rds, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS wrts, CAST(sum(floor(l_extendedprice / 100)) AS BIGINT) AS rtim, CAST(sum(floor(l_quantity)) AS BIGINT) AS blks FROM lineitem GROUP BY 1, 2, 3, 4) t",
+    # current locks and sessions derived from the activity samples
+    "fx_lock": "SELECT instance_number AS inst_id, session_id AS sid, event_id AS lock_addr, CASE WHEN event = 'error' THEN 'TX' WHEN event = 'purchase' THEN 'TM' ELSE 'AE' END AS lock_type, CAST(event_id % 50 + 1 AS BIGINT) AS id1, CAST(sample_id % 4 AS BIGINT) AS id2, CASE WHEN blocking_session IS NULL THEN 6 ELSE 0 END AS lmode, CASE WHEN blocking_session IS NULL THEN 0 ELSE 6 END AS request, CAST(floor(time_waited / 1000) AS BIGINT) AS ctime, blocking_session FROM fx_ash WHERE event <> 'view'",
+    "fx_session": "SELECT instance_number AS inst_id, session_id AS sid, concat('user', CAST(session_id % 5 AS STRING)) AS username, min(module) AS module, min(sql_id) AS sql_id, 'USER' AS session_type FROM fx_ash GROUP BY 1, 2, 3",
     # statement texts keyed like fx_sqlstat
     "fx_sqltext": "SELECT concat('s', CAST(k AS STRING)) AS sql_id, CASE WHEN k % 3 = 0 THEN 6 ELSE 3 END AS command_type, min(CASE WHEN k % 3 = 0 THEN concat('UPDATE ', p_type, ' SET qty = :1 WHERE brand = ', p_brand, ' AND size = ', CAST(p_size AS STRING)) ELSE concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING)) END) AS sql_text FROM (SELECT p_partkey % 50 AS k, p_type, p_brand, p_size FROM part) t GROUP BY 1, 2",
     # rule inputs: statistics with fetch/parse counters, cursor cache, open cursors, child-cursor flags,
