@@ -58,7 +58,7 @@ def e04(spark, sf):
 @query("e09_session_list", """
 WITH io AS (SELECT instance_number AS inst_id, session_id AS sid, CAST(sum(time_waited) AS BIGINT) AS io_wait, count(*) AS samples FROM fx_ash GROUP BY 1, 2),
 tmp AS (SELECT inst_id, sid, CAST(sum(ctime) AS BIGINT) AS lock_seconds FROM fx_lock GROUP BY 1, 2),
-lo AS (SELECT DISTINCT instance_number AS inst_id, session_id AS sid FROM fx_ash WHERE event = 'purchase' AND time_waited > 49950)
+lo AS (SELECT DISTINCT instance_number AS inst_id, session_id AS sid FROM fx_ash WHERE event = 'purchase' AND time_waited > 250000)
 SELECT s.*, io.io_wait, io.samples, tmp.lock_seconds FROM fx_session s
 LEFT JOIN io ON io.inst_id = s.inst_id AND io.sid = s.sid LEFT JOIN tmp ON tmp.inst_id = s.inst_id AND tmp.sid = s.sid
 WHERE (coalesce(contains(upper(s.username), 'USER1'), false) OR coalesce(contains(upper(s.module), 'USER1'), false))
@@ -67,7 +67,7 @@ def e09(spark, sf):
     a = _fx(spark, sf, "fx_ash")
     extras = [(a, ["instance_number", "session_id"], {"io_wait": F.sum("time_waited"), "samples": F.count(F.lit(1))}),
               (_fx(spark, sf, "fx_lock"), ["inst_id", "sid"], {"lock_seconds": F.sum("ctime")})]
-    long_ops = a.filter((F.col("event") == "purchase") & (F.col("time_waited") > 49950)) \
+    long_ops = a.filter((F.col("event") == "purchase") & (F.col("time_waited") > 250000)) \
         .select(F.col("instance_number").alias("inst_id"), F.col("session_id").alias("sid"))
     return SS.session_list(_fx(spark, sf, "fx_session"), extras, "user1", long_ops=long_ops)
 
