@@ -181,3 +181,48 @@ def enqueue_totals(fact: DataFrame, names: DataFrame, key: str = "event_id",
     """Enqueue requests between first and last snapshot per type, with names."""
     d = first_last_delta(fact, ["instance_number", key], "snap_id", list(counters))
     return d.join(names, key, "left")
+
+
+def memory_history(eav: DataFrame, snaps: DataFrame, names: dict[str, str], cumulative: list[str],
+                   hit: tuple[str, str] | None = None) -> DataFrame:
+    """Memory (PGA) statistics per snapshot: name/value rows pivoted to columns, cumulative ones
+    turned into deltas, hit percent recomputed from two of them (C17).
+
+    ``eav`` is the union of the sources with (dbid, instance_number,
+    snap_id, name, value); ``names`` maps source names to output columns.
+    """
+    from ..operators.grouping import pivot_stats
+    wide = pivot_stats(eav, INST + ["snap_id"], "name", "value", list(names), keep_zero=True, alias=lambda n: names[n])
+    d = counter_delta(wide, INST, "snap_id", cumulative, reset="keep", suffix="_delta")
+    if hit:
+        p, x = hit
+        d = d.withColumn("hit_pct", F.round(F.try_divide(F.col(p) * 100.0, F.col(p) + F.col(x)), 4))
+    return d.join(snaps.select(*INST, "snap_id", F.col("begin_interval_time").cast("timestamp_ntz").alias("begin_interval_time")),
+                  INST + ["snap_id"], "inner")
+
+
+def memory_per_instance(mem: DataFrame, value: str = "allocated", inst: str = "inst_id") -> DataFrame:
+    """Current memory per instance: total and average per process."""
+    return mem.groupBy(inst).agg(F.sum(value).alias("total"), F.round(F.avg(value), 4).alias("avg_per_process"),
+                                 F.count(F.lit(1)).alias("processes"))
+
+
+def cache_advice(advice: DataFrame, factors: list, order: str = "snap_id", key: str = "size_factor",
+                 reads: str = "physical_reads") -> DataFrame:
+    """Physical reads delta per cache size factor, one column per factor."""
+    from ..operators.grouping import pivot_stats
+    d = counter_delta(advice, INST + [key], order, [reads], reset="drop")
+    return pivot_stats(d, INST + [order], key, reads, factors, keep_zero=True, alias=lambda f: f"factor_{str(f).replace('.', '_')}")
+
+
+def redo_history(logs: DataFrame, snaps: DataFrame, status: str = "status", statuses=("CURRENT", "ACTIVE", "INACTIVE")) -> DataFrame:
+    """Redo log groups per snapshot counted by status (C20)."""
+    aggs = [F.sum(F.when(F.col(status) == s, 1).otherwise(0)).alias(s.lower()) for s in statuses]
+    g = logs.groupBy(*INST, "snap_id").agg(F.count(F.lit(1)).alias("logs"), *aggs)
+    return g.join(snaps.select(*INST, "snap_id", F.col("begin_interval_time").cast("timestamp_ntz").alias("begin_interval_time")),
+                  INST + ["snap_id"], "inner")
+
+
+def undo_history(undo: DataFrame, start, end, ts: str = "begin_time") -> DataFrame:
+    """Undo statistics rows of a time range."""
+    return undo.filter(F.col(ts).between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))

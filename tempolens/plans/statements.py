@@ -232,3 +232,11 @@ def open_cursors(cursors: DataFrame, workareas: DataFrame | None = None, by: str
         w = workareas.groupBy(by).agg(F.sum("actual_mem_used").alias("work_area_bytes"))
         g = g.join(w, by, "left")
     return g
+
+
+def segment_stats_per_snapshot(segstats: DataFrame, objects: DataFrame, keys=("owner", "segment_name"),
+                               ts: str = "gather_date", measure: str = "size_units") -> DataFrame:
+    """Segment statistics per snapshot for the objects of a selection (D13): semi join, then aggregate."""
+    k = list(keys)
+    s = segstats.join(objects.select(*k).distinct(), k, "left_semi")
+    return s.groupBy(*k, ts).agg(F.sum(measure).alias(measure), F.count(F.lit(1)).alias("segments"))
