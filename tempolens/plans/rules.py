@@ -467,3 +467,123 @@ def r38_functions_not_parallel(t: Tables):
 @rule("R73", "NVL with a function call as second argument", 6, function="NVL")
 def r73_nvl_expensive(t: Tables, function: str):
     return call_argument_scan(t.nvl_texts, "sql_id", "sql_text", function)
+
+
+# ----------------------------------------------------------------------------------------------
+# Parallel query and plan-line rules (plan_lines keyed by sql_id here: role ``sql_plan``)
+def _parallel(c: Column) -> Column:
+    return F.coalesce(c.like("PARALLEL%"), F.lit(False))
+
+
+@rule("R34", "Long-running statements without parallel query (cursor cache)", 1, min_secs_per_exec=10.0)
+def r34_long_serial_cur(t: Tables, min_secs_per_exec: float):
+    serial = t.sql_plan.groupBy("sql_id").agg(F.sum(F.when(_parallel(F.col("other_tag")), 1).otherwise(0)).alias("_px")) \
+        .filter(F.col("_px") == 0).select("sql_id")
+    a = t.sqlarea.join(serial, "sql_id", "inner")
+    per_exec = F.col("elapsed_time") / F.when(F.col("executions") == 0, 1).otherwise(F.col("executions"))
+    return a.filter(per_exec > min_secs_per_exec * 1e6).withColumn("elapsed_per_exec_secs", F.round(per_exec / 1e6, 2))
+
+
+@rule("R35", "Long-running statements without parallel query (history)", 1, days=8, min_secs_per_exec=10.0)
+def r35_long_serial_hist(t: Tables, days: int, min_secs_per_exec: float):
+    px = t.sql_plan.groupBy("sql_id", "plan_hash_value").agg(
+        F.sum(F.when(_parallel(F.col("other_tag")), 1).otherwise(0)).alias("_px"))
+    s = recent_sqlstat(t, days).groupBy("sql_id", "plan_hash_value").agg(
+        F.sum("executions_delta").alias("executions"), F.sum("elapsed_time_delta").alias("elapsed_time"))
+    per_exec = F.col("elapsed_time") / F.when(F.col("executions") == 0, 1).otherwise(F.col("executions"))
+    return s.join(px.filter(F.col("_px") == 0).drop("_px"), ["sql_id", "plan_hash_value"], "inner") \
+        .filter(per_exec > min_secs_per_exec * 1e6).withColumn("elapsed_per_exec_secs", F.round(per_exec / 1e6, 2))
+
+
+# Plan operations that are not counted as serial work inside a parallel plan.
+PX_NEUTRAL_OPERATIONS = ("PX COORDINATOR", "SORT", "VIEW", "MERGE JOIN")
+
+
+@rule("R36", "Parallel statements with serial plan lines (cursor cache)", 1)
+def r36_parallel_with_serial_parts(t: Tables):
+    p = t.sql_plan
+    pp = p.filter(_parallel(F.col("other_tag"))).select("sql_id").distinct()
+    ps = p.filter(~_parallel(F.col("other_tag")) & ~F.col("operation").isin(*PX_NEUTRAL_OPERATIONS) &
+                  ~F.col("operation").like("UPDATE%") & ~F.col("operation").like("SELECT%"))
+    o = t.objects.select(F.col("owner").alias("object_owner"), "object_name", "num_rows")
+    out = ps.join(pp, "sql_id", "left_semi").join(o, ["object_owner", "object_name"], "left")
+    return out.join(t.sqlarea.select("sql_id", "executions", F.round(F.col("elapsed_time") / 1e6, 6).alias("elapsed_secs")),
+                    "sql_id", "inner")
+
+
+@rule("R37", "Parallel statements with serial sub-processing after a full scan (history)", 1, days=8, full_option="FULL")
+def r37_parallel_from_serial(t: Tables, days: int, full_option: str):
+    p = t.sql_plan
+    pfs = p.filter(F.col("other_tag") == "PARALLEL_FROM_SERIAL").groupBy("sql_id").agg(
+        F.max("plan_hash_value").alias("plan_hash_value"),
+        last_value_by("id", "plan_hash_value").alias("pfs_id"))
+    c1 = p.select("sql_id", "plan_hash_value", F.col("parent_id").alias("pfs_id"), F.col("id").alias("c1_id"),
+                  F.col("options").alias("c1_options"), F.col("operation").alias("c1_operation"),
+                  F.col("object_owner").alias("c1_owner"), F.col("object_name").alias("c1_name"))
+    c2 = p.select("sql_id", "plan_hash_value", F.col("parent_id").alias("c1_id"), F.col("options").alias("c2_options"),
+                  F.col("operation").alias("c2_operation"), F.col("object_owner").alias("c2_owner"), F.col("object_name").alias("c2_name"))
+    j = pfs.join(c1, ["sql_id", "plan_hash_value", "pfs_id"], "left").join(c2, ["sql_id", "plan_hash_value", "c1_id"], "left")
+    full1 = F.coalesce(F.col("c1_options").like(f"%{full_option}%"), F.lit(False))
+    full2 = F.coalesce(F.col("c2_options").like(f"%{full_option}%"), F.lit(False))
+    j = j.filter(full1 | full2).select("sql_id", "plan_hash_value",
+                                       F.when(full1, F.col("c1_operation")).otherwise(F.col("c2_operation")).alias("operation"),
+                                       F.when(full1, F.col("c1_owner")).otherwise(F.col("c2_owner")).alias("object_owner"),
+                                       F.when(full1, F.col("c1_name")).otherwise(F.col("c2_name")).alias("object_name"))
+    g = j.groupBy("sql_id", "plan_hash_value").agg(F.min("operation").alias("operation"), F.min("object_owner").alias("object_owner"),
+                                                   F.min("object_name").alias("object_name"))
+    s = recent_sqlstat(t, days).groupBy("sql_id", "plan_hash_value").agg(
+        F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"), F.sum("executions_delta").alias("executions"))
+    return g.join(s, ["sql_id", "plan_hash_value"], "inner")
+
+
+@rule("R43", "Implicit conversions (INTERNAL_FUNCTION) in filter predicates", 1)
+def r43_implicit_conversion(t: Tables):
+    p = t.sql_plan.filter(F.col("filter_predicates").like("%INTERNAL_FUNCTION%")) \
+        .select("sql_id", "plan_hash_value", "id", "filter_predicates")
+    return p.join(t.sqlarea.select("sql_id", "executions", "rows_processed",
+                                   F.round(F.col("elapsed_time") / 1e6, 6).alias("elapsed_secs")), "sql_id", "inner")
+
+
+@rule("R44", "Full scans caused by IS NULL predicates, with sampled time", 1, full_option="FULL")
+def r44_is_null_full_scans(t: Tables, full_option: str):
+    p = t.sql_plan.filter(F.upper("filter_predicates").like("%IS NULL%") & F.col("options").like(f"%{full_option}"))
+    h = t.ash.select("sql_id", F.col("sql_plan_hash_value").alias("plan_hash_value"), F.col("sql_plan_line_id").alias("id"),
+                     "sample_time")
+    j = p.join(h, ["sql_id", "plan_hash_value", "id"], "inner")
+    return j.groupBy("sql_id", "plan_hash_value", "id", "operation", "options", "object_owner", "object_name",
+                     "filter_predicates").agg(F.min("sample_time").alias("first_occurrence"),
+                                              F.max("sample_time").alias("last_occurrence"),
+                                              F.count(F.lit(1)).alias("wait_time_secs"))
+
+
+@rule("R48", "Suboptimal index access: exactly one index range/unique scan, no filter, few lines", 1,
+      index_operation="INDEX", max_lines=1000)
+def r48_suboptimal_index(t: Tables, index_operation: str, max_lines: int):
+    p = t.sql_plan.groupBy("sql_id", "plan_hash_value").agg(
+        F.sum(F.when((F.col("operation") == index_operation) & F.col("options").isin("RANGE SCAN", "UNIQUE SCAN"), 1).otherwise(0)).alias("_idx"),
+        F.sum(F.when(F.col("filter_predicates").isNotNull(), 1).otherwise(0)).alias("_flt"),
+        F.sum(F.when((F.col("id") == 1) & F.col("options").isin("GROUP BY", "AGGREGATE"), 1).otherwise(0)).alias("_grp"),
+        F.count(F.lit(1)).alias("plan_lines"))
+    p = p.filter((F.col("_idx") == 1) & (F.col("_flt") == 0) & (F.col("_grp") == 0) & (F.col("plan_lines") < max_lines))
+    a = t.sqlarea.select("sql_id", "executions", "rows_processed", "sql_text")
+    return p.drop("_idx", "_flt", "_grp").join(a, "sql_id", "inner") \
+        .withColumn("rows_per_exec", F.round(F.try_divide(F.col("rows_processed"), F.col("executions")), 2))
+
+
+def _is_write(text: Column) -> Column:
+    return F.upper(F.ltrim(text)).rlike("^(INSERT|UPDATE|DELETE|MERGE)")
+
+
+@rule("R63", "Write statements by executions (cursor cache)", 5, min_executions=100)
+def r63_write_statements_cur(t: Tables, min_executions: int):
+    a = t.sqlarea.filter(_is_write(F.col("sql_text")) & (F.col("executions") > min_executions))
+    return a.withColumn("rows_per_exec", F.round(F.try_divide(F.col("rows_processed"), F.col("executions")), 2))
+
+
+@rule("R64", "Write statements by executions (history)", 5, days=8, min_executions=100)
+def r64_write_statements_hist(t: Tables, days: int, min_executions: int):
+    txt = t.sqltext.filter(F.col("command_type").isin(2, 6, 7, 189)).select("sql_id", "sql_text")
+    s = recent_sqlstat(t, days).join(txt, "sql_id", "inner").groupBy("sql_id", "instance_number").agg(
+        F.sum("executions_delta").alias("executions"), F.sum("rows_processed_delta").alias("rows_processed"))
+    return s.filter(F.col("executions") > min_executions) \
+        .withColumn("rows_per_exec", F.round(F.try_divide(F.col("rows_processed"), F.col("executions")), 2))

@@ -45,7 +45,7 @@ FIXTURE_SQL.update({
     "fx_sysstat": "SELECT 1 AS dbid, instance_number, snap_id, stat_id, CAST(sum(v) OVER (PARTITION BY instance_number, stat_id, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS value FROM (SELECT CAST(o_custkey % 2 + 1 AS INT) AS instance_number, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT) AS snap_id, CAST(substr(o_orderpriority, 1, 1) AS INT) AS stat_id, CAST(sum(round(o_totalprice)) AS BIGINT) AS v FROM orders GROUP BY 1, 2, 3) t",
     "fx_stat_name": "SELECT * FROM (VALUES (1, 'user commits', 1), (2, 'user rollbacks', 1), (3, 'physical reads', 8), (4, 'redo size', 2), (5, 'parse count (total)', 64)) AS t(stat_id, stat_name, class)",
     # several plan variants: ternary trees numbered per plan, coarse line attributes
-    "fx_plan_multi": "SELECT plan_hash_value, id, CASE WHEN id > 1 THEN CAST(floor((id - 2) / 3) + 1 AS BIGINT) END AS parent_id, operation, object_owner, object_name FROM (SELECT CAST(p_size % 4 AS INT) AS plan_hash_value, CAST(row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_partkey) AS BIGINT) AS id, split_part(p_type, ' ', 1) AS operation, substr(p_brand, 1, 7) AS object_owner, CASE WHEN p_partkey % 10 = 0 THEN concat(':TQ', CAST(p_partkey AS STRING)) ELSE split_part(p_name, ' ', 1) END AS object_name FROM part) t",
+    "fx_plan_multi": "SELECT plan_hash_value, id, CASE WHEN id > 1 THEN CAST(floor((id - 2) / 3) + 1 AS BIGINT) END AS parent_id, operation, object_owner, object_name, options, other_tag, filter_predicates FROM (SELECT CAST(p_size % 4 AS INT) AS plan_hash_value, CAST(row_number() OVER (PARTITION BY p_size % 4 ORDER BY p_partkey) AS BIGINT) AS id, split_part(p_type, ' ', 1) AS operation, substr(p_brand, 1, 7) AS object_owner, CASE WHEN p_partkey % 10 = 0 THEN concat(':TQ', CAST(p_partkey AS STRING)) ELSE split_part(p_name, ' ', 1) END AS object_name, CASE WHEN p_partkey % 6 = 0 THEN 'FULL' WHEN p_partkey % 6 = 1 THEN 'RANGE SCAN' WHEN p_partkey % 6 = 2 THEN 'UNIQUE SCAN' END AS options, CASE WHEN p_partkey % 7 = 0 THEN 'PARALLEL_FROM_SERIAL' WHEN p_partkey % 7 = 1 THEN 'PARALLEL_COMBINED_WITH_PARENT' END AS other_tag, CASE WHEN p_partkey % 5 = 0 THEN concat('INTERNAL_FUNCTION(\"', split_part(p_name, ' ', 1), '\")=:1') WHEN p_partkey % 5 = 1 THEN concat('\"', upper(split_part(p_name, ' ', 2)), '\" IS NULL') END AS filter_predicates FROM part) t",
     # extents (file, first block, length) and block accesses for the point-in-interval lookup
     "fx_extent": "SELECT CAST(p_size % 5 AS INT) AS file_id, p_partkey * 8 AS block_id, CAST(8 AS BIGINT) AS blocks, p_partkey AS object_id FROM part",
     "fx_block_access": "SELECT CAST(l_suppkey % 5 AS INT) AS file_id, l_partkey * 8 + l_linenumber AS block_no, l_orderkey AS sample_id FROM lineitem",
@@ -61,6 +61,9 @@ FIXTURE_SQL.update({
     # current locks and sessions derived from the activity samples
     "fx_lock": "SELECT instance_number AS inst_id, session_id AS sid, event_id AS lock_addr, CASE WHEN event = 'error' THEN 'TX' WHEN event = 'purchase' THEN 'TM' ELSE 'AE' END AS lock_type, CAST(event_id % 50 + 1 AS BIGINT) AS id1, CAST(sample_id % 4 AS BIGINT) AS id2, CASE WHEN blocking_session IS NULL THEN 6 ELSE 0 END AS lmode, CASE WHEN blocking_session IS NULL THEN 0 ELSE 6 END AS request, CAST(floor(time_waited / 1000) AS BIGINT) AS ctime, blocking_session FROM fx_ash WHERE event <> 'view'",
     "fx_session": "SELECT instance_number AS inst_id, session_id AS sid, concat('user', CAST(session_id % 5 AS STRING)) AS username, min(module) AS module, min(sql_id) AS sql_id, 'USER' AS session_type FROM fx_ash GROUP BY 1, 2, 3",
+    # plan lines per statement (statement -> its plan variants) and samples pointing at plan lines
+    "fx_sql_plan": "SELECT s.sql_id, p.* FROM (SELECT DISTINCT sql_id, plan_hash_value FROM fx_sqlstat) s JOIN fx_plan_multi p ON p.plan_hash_value = s.plan_hash_value",
+    "fx_ash_plan": "SELECT sample_time, instance_number, session_id, sql_id, CAST(event_id % 3 + 1 AS INT) AS sql_plan_hash_value, CAST(event_id % 500 + 1 AS BIGINT) AS sql_plan_line_id, event FROM fx_ash",
     # statement texts keyed like fx_sqlstat
     "fx_sqltext": "SELECT concat('s', CAST(k AS STRING)) AS sql_id, CASE WHEN k % 3 = 0 THEN 6 ELSE 3 END AS command_type, min(CASE WHEN k % 3 = 0 THEN concat('UPDATE ', p_type, ' SET qty = :1 WHERE brand = ', p_brand, ' AND size = ', CAST(p_size AS STRING)) ELSE concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING)) END) AS sql_text FROM (SELECT p_partkey % 50 AS k, p_type, p_brand, p_size FROM part) t GROUP BY 1, 2",
     # rule inputs: statistics with fetch/parse counters, cursor cache, open cursors, child-cursor flags,

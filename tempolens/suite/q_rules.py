@@ -431,3 +431,100 @@ SELECT sql_id, call_no, CAST(lvl AS BIGINT) AS open_bracket_position, substr(u,
 FROM marks WHERE ch = '(' AND lvl BETWEEN komma AND ende""")
 def r73(spark, sf):
     return apply_rule("R73", _t(spark, sf, nvl_texts="fx_nvl_sql"))
+
+
+@query("r34_long_serial_statements_cur", """
+WITH serial AS (SELECT sql_id FROM fx_sql_plan GROUP BY 1 HAVING sum(CASE WHEN coalesce(other_tag LIKE 'PARALLEL%', false) THEN 1 ELSE 0 END) = 0)
+SELECT a.*, round(elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END / 1e6, 2) AS elapsed_per_exec_secs
+FROM fx_sqlarea a JOIN serial s ON s.sql_id = a.sql_id WHERE elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END > 0.001 * 1e6""")
+def r34(spark, sf):
+    return apply_rule("R34", _t(spark, sf, sql_plan="fx_sql_plan", sqlarea="fx_sqlarea"), min_secs_per_exec=0.001)
+
+
+@query("r35_long_serial_statements_hist", f"""
+WITH {recent()},
+px AS (SELECT sql_id, plan_hash_value FROM fx_sql_plan GROUP BY 1, 2 HAVING sum(CASE WHEN coalesce(other_tag LIKE 'PARALLEL%', false) THEN 1 ELSE 0 END) = 0),
+s AS (SELECT sql_id, plan_hash_value, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(elapsed_time_delta) AS BIGINT) AS elapsed_time FROM recent GROUP BY 1, 2)
+SELECT s.*, round(elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END / 1e6, 2) AS elapsed_per_exec_secs
+FROM s JOIN px ON px.sql_id = s.sql_id AND px.plan_hash_value = s.plan_hash_value
+WHERE elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END > 0.001 * 1e6""")
+def r35(spark, sf):
+    return apply_rule("R35", _t(spark, sf, sql_plan="fx_sql_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot"),
+                      days=400, min_secs_per_exec=0.001)
+
+
+@query("r36_parallel_with_serial_parts", """
+WITH pp AS (SELECT DISTINCT sql_id FROM fx_sql_plan WHERE coalesce(other_tag LIKE 'PARALLEL%', false)),
+ps AS (SELECT * FROM fx_sql_plan WHERE NOT coalesce(other_tag LIKE 'PARALLEL%', false)
+       AND operation NOT IN ('PX COORDINATOR', 'SORT', 'VIEW', 'MERGE JOIN') AND operation NOT LIKE 'UPDATE%' AND operation NOT LIKE 'SELECT%')
+SELECT ps.*, o.num_rows, a.executions, round(a.elapsed_time / 1e6, 6) AS elapsed_secs
+FROM ps JOIN fx_sqlarea a ON a.sql_id = ps.sql_id
+LEFT JOIN fx_plan_object o ON o.owner = ps.object_owner AND o.object_name = ps.object_name
+WHERE ps.sql_id IN (SELECT sql_id FROM pp)""")
+def r36(spark, sf):
+    return apply_rule("R36", _t(spark, sf, sql_plan="fx_sql_plan", sqlarea="fx_sqlarea", objects="fx_plan_object"))
+
+
+@query("r37_parallel_from_serial_hist", f"""
+WITH {recent()},
+pf AS (SELECT sql_id, max(plan_hash_value) AS plan_hash_value FROM fx_sql_plan WHERE other_tag = 'PARALLEL_FROM_SERIAL' GROUP BY 1),
+pfs AS (SELECT pf.sql_id, pf.plan_hash_value, max(p.id) AS pfs_id FROM pf JOIN fx_sql_plan p ON p.sql_id = pf.sql_id AND p.plan_hash_value = pf.plan_hash_value
+        AND p.other_tag = 'PARALLEL_FROM_SERIAL' GROUP BY 1, 2),
+j AS (SELECT pfs.sql_id, pfs.plan_hash_value,
+        CASE WHEN coalesce(c1.options LIKE '%FULL%', false) THEN c1.operation ELSE c2.operation END AS operation,
+        CASE WHEN coalesce(c1.options LIKE '%FULL%', false) THEN c1.object_owner ELSE c2.object_owner END AS object_owner,
+        CASE WHEN coalesce(c1.options LIKE '%FULL%', false) THEN c1.object_name ELSE c2.object_name END AS object_name
+      FROM pfs LEFT JOIN fx_sql_plan c1 ON c1.sql_id = pfs.sql_id AND c1.plan_hash_value = pfs.plan_hash_value AND c1.parent_id = pfs.pfs_id
+      LEFT JOIN fx_sql_plan c2 ON c2.sql_id = c1.sql_id AND c2.plan_hash_value = c1.plan_hash_value AND c2.parent_id = c1.id
+      WHERE coalesce(c1.options LIKE '%FULL%', false) OR coalesce(c2.options LIKE '%FULL%', false)),
+g AS (SELECT sql_id, plan_hash_value, min(operation) AS operation, min(object_owner) AS object_owner, min(object_name) AS object_name FROM j GROUP BY 1, 2),
+s AS (SELECT sql_id, plan_hash_value, round(sum(elapsed_time_delta) / 1e6, 6) AS elapsed_secs, CAST(sum(executions_delta) AS BIGINT) AS executions FROM recent GROUP BY 1, 2)
+SELECT g.*, s.elapsed_secs, s.executions FROM g JOIN s ON s.sql_id = g.sql_id AND s.plan_hash_value = g.plan_hash_value""")
+def r37(spark, sf):
+    return apply_rule("R37", _t(spark, sf, sql_plan="fx_sql_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot"), days=400)
+
+
+@query("r43_implicit_conversion", """
+SELECT p.sql_id, p.plan_hash_value, p.id, p.filter_predicates, a.executions, a.rows_processed, round(a.elapsed_time / 1e6, 6) AS elapsed_secs
+FROM fx_sql_plan p JOIN fx_sqlarea a ON a.sql_id = p.sql_id WHERE p.filter_predicates LIKE '%INTERNAL_FUNCTION%'""")
+def r43(spark, sf):
+    return apply_rule("R43", _t(spark, sf, sql_plan="fx_sql_plan", sqlarea="fx_sqlarea"))
+
+
+@query("r44_is_null_full_scans", """
+SELECT p.sql_id, p.plan_hash_value, p.id, p.operation, p.options, p.object_owner, p.object_name, p.filter_predicates,
+  min(h.sample_time) AS first_occurrence, max(h.sample_time) AS last_occurrence, count(*) AS wait_time_secs
+FROM fx_sql_plan p JOIN fx_ash_plan h ON h.sql_id = p.sql_id AND h.sql_plan_hash_value = p.plan_hash_value AND h.sql_plan_line_id = p.id
+WHERE upper(p.filter_predicates) LIKE '%IS NULL%' AND p.options LIKE '%FULL' GROUP BY 1, 2, 3, 4, 5, 6, 7, 8""")
+def r44(spark, sf):
+    return apply_rule("R44", _t(spark, sf, sql_plan="fx_sql_plan", ash="fx_ash_plan"))
+
+
+@query("r48_suboptimal_index_access", """
+WITH p AS (SELECT sql_id, plan_hash_value, count(*) AS plan_lines,
+    sum(CASE WHEN operation = 'SMALL' AND options IN ('RANGE SCAN', 'UNIQUE SCAN') THEN 1 ELSE 0 END) AS i,
+    sum(CASE WHEN filter_predicates IS NOT NULL THEN 1 ELSE 0 END) AS f,
+    sum(CASE WHEN id = 1 AND options IN ('GROUP BY', 'AGGREGATE') THEN 1 ELSE 0 END) AS g
+  FROM fx_sql_plan GROUP BY 1, 2)
+SELECT p.sql_id, p.plan_hash_value, p.plan_lines, a.executions, a.rows_processed, a.sql_text,
+  round(CASE WHEN a.executions = 0 THEN NULL ELSE a.rows_processed / a.executions END, 2) AS rows_per_exec
+FROM p JOIN fx_sqlarea a ON a.sql_id = p.sql_id WHERE i = 1 AND f = 0 AND g = 0 AND plan_lines < 100000""")
+def r48(spark, sf):
+    return apply_rule("R48", _t(spark, sf, sql_plan="fx_sql_plan", sqlarea="fx_sqlarea"), index_operation="SMALL",
+                      max_lines=100000)
+
+
+@query("r63_write_statements_cur", """
+SELECT *, round(CASE WHEN executions = 0 THEN NULL ELSE rows_processed / executions END, 2) AS rows_per_exec FROM fx_sqlarea
+WHERE regexp_matches(upper(ltrim(sql_text)), '^(INSERT|UPDATE|DELETE|MERGE)') AND executions > 100""")
+def r63(spark, sf):
+    return apply_rule("R63", _t(spark, sf, sqlarea="fx_sqlarea"))
+
+
+@query("r64_write_statements_hist", f"""
+WITH {recent()},
+g AS (SELECT s.sql_id, s.instance_number, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(rows_processed_delta) AS BIGINT) AS rows_processed
+      FROM recent s JOIN fx_sqltext t ON t.sql_id = s.sql_id AND t.command_type IN (2, 6, 7, 189) GROUP BY 1, 2)
+SELECT *, round(CASE WHEN executions = 0 THEN NULL ELSE rows_processed / executions END, 2) AS rows_per_exec FROM g WHERE executions > 100""")
+def r64(spark, sf):
+    return apply_rule("R64", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", sqltext="fx_sqltext"), days=400)
