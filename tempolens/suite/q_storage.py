@@ -17,27 +17,29 @@ def _ts_inputs(spark, sf):
     part = _fx(spark, sf, "part")
     ts = part.select(F.col("p_type").alias("tablespace_name")).distinct() \
         .select("tablespace_name", F.lit("PERMANENT").alias("contents"), F.lit(8192).alias("block_size")) \
-        .unionByName(spark.range(1).select(F.lit("TEMP").alias("tablespace_name"), F.lit("TEMPORARY").alias("contents"),
-                                           F.lit(8192).alias("block_size")))
+        .unionByName(_fx(spark, sf, "supplier").select(F.concat(F.lit("TEMP"), F.pmod("s_nationkey", F.lit(2)).cast("string"))
+                                                       .alias("tablespace_name")).distinct()
+                     .select("tablespace_name", F.lit("TEMPORARY").alias("contents"), F.lit(8192).alias("block_size")))
     files = part.select(F.col("p_type").alias("tablespace_name"), (F.col("p_size").cast("bigint") * 1048576).alias("bytes"),
                         F.when(F.col("p_size") > 25, "YES").otherwise("NO").alias("autoextensible"))
     free = part.select(F.col("p_type").alias("tablespace_name"), (F.floor("p_retailprice") * 1024).alias("bytes"))
     sup = _fx(spark, sf, "supplier")
-    temp = sup.select(F.lit("TEMP").alias("tablespace_name"), (F.col("s_suppkey") * 1048576).alias("bytes"),
+    temp = sup.select(F.concat(F.lit("TEMP"), F.pmod("s_nationkey", F.lit(2)).cast("string")).alias("tablespace_name"),
+                      (F.col("s_suppkey") * 1048576).alias("bytes"),
                       F.lit("YES").alias("autoextensible"))
     sort = _fx(spark, sf, "orders").filter(F.col("o_orderstatus") == "O").select(
-        F.lit("TEMP").alias("tablespace_name"), F.lit(1).alias("used_blocks"))
+        F.concat(F.lit("TEMP"), F.pmod("o_custkey", F.lit(2)).cast("string")).alias("tablespace_name"), F.lit(1).alias("used_blocks"))
     return ts, files, free, temp, sort
 
 
 TS_SQL = """ts AS (SELECT DISTINCT p_type AS tablespace_name, 'PERMANENT' AS contents, 8192 AS block_size FROM part
-          UNION ALL SELECT 'TEMP', 'TEMPORARY', 8192),
+          UNION ALL SELECT DISTINCT 'TEMP' || CAST(s_nationkey % 2 AS VARCHAR), 'TEMPORARY', 8192 FROM supplier),
 f AS (SELECT p_type AS tablespace_name, sum(CAST(p_size AS BIGINT) * 1048576) AS b,
         CASE WHEN count(DISTINCT CASE WHEN p_size > 25 THEN 'YES' ELSE 'NO' END) = 1 THEN min(CASE WHEN p_size > 25 THEN 'YES' ELSE 'NO' END) ELSE 'Partial' END AS autoextensible
       FROM part GROUP BY 1),
 fr AS (SELECT p_type AS tablespace_name, sum(floor(p_retailprice) * 1024) AS fb FROM part GROUP BY 1),
-tf AS (SELECT 'TEMP' AS tablespace_name, sum(s_suppkey * 1048576) AS b, 'YES' AS autoextensible FROM supplier),
-su AS (SELECT 'TEMP' AS tablespace_name, count(*) AS used FROM orders WHERE o_orderstatus = 'O'),
+tf AS (SELECT 'TEMP' || CAST(s_nationkey % 2 AS VARCHAR) AS tablespace_name, sum(s_suppkey * 1048576) AS b, 'YES' AS autoextensible FROM supplier GROUP BY 1),
+su AS (SELECT 'TEMP' || CAST(o_custkey % 2 AS VARCHAR) AS tablespace_name, count(*) AS used FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
 u AS (
   SELECT ts.tablespace_name, contents, block_size, round(f.b / 1048576.0, 4) AS mb_total, round(coalesce(fr.fb, 0) / 1048576.0, 4) AS mb_free,
     round((f.b - coalesce(fr.fb, 0)) / 1048576.0, 4) AS mb_used, f.autoextensible
