@@ -587,3 +587,155 @@ def r64_write_statements_hist(t: Tables, days: int, min_executions: int):
         F.sum("executions_delta").alias("executions"), F.sum("rows_processed_delta").alias("rows_processed"))
     return s.filter(F.col("executions") > min_executions) \
         .withColumn("rows_per_exec", F.round(F.try_divide(F.col("rows_processed"), F.col("executions")), 2))
+
+
+# ----------------------------------------------------------------------------------------------
+# Catalog rules.  Roles: tables (owner, table_name, num_rows, blocks, iot_type, partitioned,
+# compression, last_analyzed), indexes (owner, index_name, table_owner, table_name, uniqueness,
+# num_rows, distinct_keys, pct_free, compression, leaf_blocks, partitioned, index_type,
+# last_analyzed), ind_columns, tab_columns, constraints, cons_columns.
+MB = 1048576.0
+
+
+@rule("R01", "Indexes with PCTFREE below a threshold", 0, max_pct_free=10, min_rows=100000)
+def r01_index_pctfree(t: Tables, max_pct_free: int, min_rows: int):
+    i = t.indexes.filter((F.col("pct_free") < max_pct_free) & (F.col("num_rows") > min_rows))
+    return i.select("owner", "table_name", "index_name", F.lit(None).cast("string").alias("partition_name"), "pct_free", "num_rows")
+
+
+def _index_mb() -> Column:
+    return F.round(F.col("leaf_blocks") * 8192 / MB, 1)
+
+
+@rule("R02", "Index compression candidates by rows per key and size", 0, min_rows_per_key=5, min_mb=0.0)
+def r02_index_compression(t: Tables, min_rows_per_key: float, min_mb: float):
+    i = t.indexes.filter((F.col("compression") == "DISABLED") & (F.col("distinct_keys") > 0) &
+                         (F.col("num_rows") / per_unit_den("distinct_keys") > min_rows_per_key) & (F.col("index_type") != "BITMAP"))
+    tb = t.tables.select(F.col("owner").alias("table_owner"), "table_name", "iot_type")
+    out = i.join(tb, ["table_owner", "table_name"], "inner").withColumn("mbytes", _index_mb()).filter(F.col("mbytes") > min_mb)
+    return out.select("owner", "index_name", "table_owner", "table_name", "iot_type", "num_rows", "distinct_keys", "mbytes",
+                      F.round(F.col("num_rows") / F.col("distinct_keys")).alias("rows_per_key"),
+                      (F.lit(5) * F.col("num_rows") * F.col("num_rows") / F.col("distinct_keys")).alias("weight"))
+
+
+def per_unit_den(c: str) -> Column:
+    return F.when(F.col(c) == 0, F.lit(1)).otherwise(F.col(c))
+
+
+@rule("R03", "Index compression candidates by leaf blocks per key", 0, min_leaf_blocks_per_key=5)
+def r03_leaf_blocks_per_key(t: Tables, min_leaf_blocks_per_key: float):
+    i = t.indexes.withColumn("avg_leaf_blocks_per_key", F.round(F.try_divide(F.col("leaf_blocks"), F.col("distinct_keys")), 4))
+    i = i.filter((F.col("avg_leaf_blocks_per_key") > min_leaf_blocks_per_key) & (F.col("compression") == "DISABLED"))
+    tb = t.tables.select(F.col("owner").alias("table_owner"), "table_name", "iot_type")
+    return i.join(tb, ["table_owner", "table_name"], "inner").select(
+        "owner", "table_name", "index_name", "distinct_keys", "avg_leaf_blocks_per_key", "num_rows", "iot_type")
+
+
+@rule("R05", "Index-organised table candidates", 0, max_columns=6, min_rows=100000)
+def r05_iot_candidates(t: Tables, max_columns: int, min_rows: int):
+    k = ["owner", "table_name"]
+    cols = t.tab_columns.groupBy(*k).agg(F.count(F.lit(1)).alias("columns"))
+    idx = t.indexes.groupBy(F.col("table_owner").alias("owner"), "table_name").agg(
+        F.count(F.lit(1)).alias("indexes"), F.sum(F.when(F.col("uniqueness") == "UNIQUE", 1).otherwise(0)).alias("unique_indexes"))
+    pk = t.constraints.filter(F.col("constraint_type") == "P").join(
+        t.ind_columns.select(F.col("index_owner").alias("owner"), "index_name", "column_name"), ["owner", "index_name"], "inner") \
+        .groupBy(*k).agg(F.count(F.lit(1)).alias("pkey_columns"))
+    tb = t.tables.filter(F.col("iot_type").isNull() & (F.col("num_rows") > 0)).select(*k, "num_rows", "avg_row_len")
+    out = tb.join(cols, k, "left").join(idx, k, "left").join(pk, k, "left").fillna(0, ["columns", "indexes", "unique_indexes", "pkey_columns"])
+    return out.filter((F.col("columns") < max_columns) & (F.col("unique_indexes") > 0) & (F.col("num_rows") > min_rows))
+
+
+@rule("R06", "Foreign keys without an index on the referencing columns", 0, min_rows_target=100000)
+def r06_fk_without_index(t: Tables, min_rows_target: int):
+    ref = t.constraints.filter(F.col("constraint_type") == "R").select("owner", "constraint_name", "table_name", "r_owner", "r_constraint_name")
+    refcol = t.cons_columns.select("owner", "constraint_name", "column_name", "position")
+    target = t.constraints.select(F.col("owner").alias("r_owner"), F.col("constraint_name").alias("r_constraint_name"),
+                                  F.col("table_name").alias("target_table"))
+    tabs = t.tables.select("owner", "table_name", F.col("num_rows").alias("rows_org"))
+    ttabs = t.tables.select(F.col("owner").alias("r_owner"), F.col("table_name").alias("target_table"), F.col("num_rows").alias("rows_target"))
+    j = ref.join(refcol, ["owner", "constraint_name"], "inner").join(target, ["r_owner", "r_constraint_name"], "inner") \
+        .join(tabs, ["owner", "table_name"], "inner").join(ttabs, ["r_owner", "target_table"], "inner")
+    idx = t.ind_columns.select(F.col("table_owner").alias("owner"), "table_name", "column_name",
+                               F.col("column_position").alias("position")).distinct()
+    return j.join(idx, ["owner", "table_name", "column_name", "position"], "left_anti").filter(F.col("rows_target") > min_rows_target)
+
+
+@rule("R09", "Indexes with few key values", 0, min_rows=100000, max_distinct_keys=10)
+def r09_few_keys(t: Tables, min_rows: int, max_distinct_keys: int):
+    i = t.indexes.filter((F.col("num_rows") > min_rows) & (F.col("distinct_keys") <= max_distinct_keys))
+    tb = t.tables.select(F.col("owner").alias("table_owner"), "table_name", F.col("num_rows").alias("rows_table"), "iot_type")
+    nn = t.ind_columns.join(t.tab_columns.select(F.col("owner").alias("table_owner"), "table_name", "column_name", "nullable"),
+                            ["table_owner", "table_name", "column_name"], "inner") \
+        .groupBy(F.col("index_owner").alias("owner"), "index_name").agg(
+            F.when(F.sum(F.when(F.col("nullable") == "N", 1).otherwise(0)) == F.count(F.lit(1)), F.lit("NOT NULL"))
+            .otherwise(F.lit("NULLABLE")).alias("nullable"))
+    out = i.join(tb, ["table_owner", "table_name"], "inner").join(nn, ["owner", "index_name"], "left")
+    return out.select("owner", "table_name", "index_name", "distinct_keys", F.round(F.col("num_rows") / per_unit_den("distinct_keys")).alias("rows_per_key"),
+                      F.col("num_rows").alias("rows_index"), "rows_table", (F.col("rows_table") - F.col("num_rows")).alias("possible_nulls"),
+                      "iot_type", F.round(F.col("leaf_blocks") * 8192 / MB, 1).alias("mbytes"), "nullable")
+
+
+@rule("R10", "Columns indexed more than once as leading single column", 0, min_rows=100000)
+def r10_column_indexed_twice(t: Tables, min_rows: int):
+    ic = t.ind_columns
+    first = ic.filter(F.col("column_position") == 1)
+    d = first.groupBy("table_owner", "table_name", "column_name").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).drop("_n")
+    single = first.join(ic.filter(F.col("column_position") == 2).select("table_owner", "table_name", "index_name"),
+                        ["table_owner", "table_name", "index_name"], "left_anti")
+    j = d.join(single, ["table_owner", "table_name", "column_name"], "inner")
+    ix = t.indexes.filter(F.col("num_rows") > min_rows).select("table_owner", "table_name", "index_name", F.col("owner").alias("ix_owner"), "num_rows")
+    pk = t.constraints.filter(F.col("constraint_type") == "P").select(F.col("owner").alias("ix_owner"), "table_name", "index_name",
+                                                                      F.col("constraint_name").alias("used_for_pkey"))
+    return j.join(ix, ["table_owner", "table_name", "index_name"], "inner").join(pk, ["ix_owner", "table_name", "index_name"], "left") \
+        .select("table_owner", "table_name", "column_name", "index_name", "num_rows", "used_for_pkey")
+
+
+@rule("R13", "Local partitioning candidates: global non-unique indexes of partitioned tables", 0)
+def r13_local_partition_candidates(t: Tables):
+    tb = t.tables.filter(F.col("partitioned") == "YES").select(F.col("owner").alias("table_owner"), "table_name")
+    i = t.indexes.filter((F.col("partitioned") == "NO") & (F.col("uniqueness") == "NONUNIQUE")).join(tb, ["table_owner", "table_name"], "inner")
+    u = t.constraints.filter(F.col("constraint_type") == "U").select(F.col("owner").alias("table_owner"), "table_name", "index_name")
+    return i.join(u, ["table_owner", "table_name", "index_name"], "left_anti").select("owner", "table_name", "index_name", "num_rows", "distinct_keys")
+
+
+def _columns_with_rows(t: Tables):
+    return t.tab_columns.join(t.tables.select("owner", "table_name", "num_rows"), ["owner", "table_name"], "inner")
+
+
+@rule("R18", "Columns that are NULL in every row", 0, min_rows=0)
+def r18_all_null_columns(t: Tables, min_rows: int):
+    c = _columns_with_rows(t)
+    return c.filter((F.col("num_rows") > min_rows) & (F.col("num_nulls") == F.col("num_rows")))
+
+
+@rule("R19", "Columns with a single value (low information)", 0, min_rows=100000)
+def r19_single_value_columns(t: Tables, min_rows: int):
+    c = _columns_with_rows(t)
+    return c.filter((F.col("num_rows") > min_rows) & (F.col("num_distinct") == 1))
+
+
+def _stale(df: DataFrame, days: int, min_rows: int, as_of=None) -> DataFrame:
+    ref = F.lit(as_of).cast("timestamp_ntz") if as_of is not None else \
+        df.select(F.max("last_analyzed").cast("timestamp_ntz")).scalar()
+    return df.filter((F.col("last_analyzed") < ref - F.make_dt_interval(F.lit(days))) & (F.col("num_rows") > min_rows)) \
+        .withColumn("days_since_analyzed", F.datediff(ref, F.col("last_analyzed")))
+
+
+@rule("R50", "Tables with stale optimizer statistics", 0, days=30, min_rows=100000)
+def r50_stale_table_stats(t: Tables, days: int, min_rows: int):
+    return _stale(t.tables, days, min_rows).select("owner", "table_name", "num_rows", "last_analyzed", "days_since_analyzed")
+
+
+@rule("R51", "Indexes with stale optimizer statistics", 0, days=30, min_rows=100000)
+def r51_stale_index_stats(t: Tables, days: int, min_rows: int):
+    return _stale(t.indexes, days, min_rows).select("owner", "index_name", "table_name", "num_rows", "last_analyzed", "days_since_analyzed")
+
+
+@rule("R68", "Multi-column primary/unique keys used as reference target", 0, min_columns=2)
+def r68_multi_column_targets(t: Tables, min_columns: int):
+    keys = t.constraints.filter(F.col("constraint_type").isin("P", "U")).select("owner", "constraint_name", "table_name")
+    ncol = t.cons_columns.groupBy("owner", "constraint_name").agg(F.count(F.lit(1)).alias("key_columns"))
+    refs = t.constraints.filter(F.col("constraint_type") == "R").groupBy(
+        F.col("r_owner").alias("owner"), F.col("r_constraint_name").alias("constraint_name")).agg(F.count(F.lit(1)).alias("references"))
+    return keys.join(ncol, ["owner", "constraint_name"], "inner").filter(F.col("key_columns") >= min_columns) \
+        .join(refs, ["owner", "constraint_name"], "inner")
