@@ -739,3 +739,39 @@ def r68_multi_column_targets(t: Tables, min_columns: int):
         F.col("r_owner").alias("owner"), F.col("r_constraint_name").alias("constraint_name")).agg(F.count(F.lit(1)).alias("references"))
     return keys.join(ncol, ["owner", "constraint_name"], "inner").filter(F.col("key_columns") >= min_columns) \
         .join(refs, ["owner", "constraint_name"], "inner")
+
+
+@rule("R04", "Table and index compression by single-block-read samples", 0, days=8, event="db file sequential read", min_samples=100)
+def r04_compression_by_reads(t: Tables, days: int, event: str, min_samples: int):
+    """Objects often read block by block, with their compression looked up by object type."""
+    from ..operators.lookup import typed_lookup
+    h = t.ash.filter(F.col("event") == event).groupBy("current_obj").agg(F.count(F.lit(1)).alias("samples")) \
+        .filter(F.col("samples") > min_samples)
+    o = h.join(t.objects.select(F.col("object_id").alias("current_obj"), "owner", "object_name", "object_type"), "current_obj", "left")
+    dims = {"TABLE": (t.tables, ["owner", "table_name"]), "INDEX": (t.indexes, ["owner", "index_name"])}
+    out = typed_lookup(o, "object_type", dims, ["owner", "object_name"], ["compression"])
+    return out.groupBy("owner", "object_name", "object_type", "compression").agg(F.sum("samples").alias("samples"))
+
+
+@rule("R11", "Monitored indexes that were never used", 0, min_rows=100000)
+def r11_monitored_unused(t: Tables, min_rows: int):
+    from ..functions import bit_set
+    u = t.index_usage.filter(bit_set("index_flags", 65536) & ~bit_set("usage_flags", 1))
+    return u.join(t.indexes.select("owner", "index_name", "table_name", "num_rows", "distinct_keys", "uniqueness"),
+                  ["owner", "index_name", "table_name"], "inner").filter(F.col("num_rows") > min_rows)
+
+
+@rule("R14", "Unique indexes of partitioned tables that could be local (partition key leads the index)", 0)
+def r14_unique_local_candidates(t: Tables):
+    tb = t.tables.filter(F.col("partitioned") == "YES").select("owner", "table_name", "num_rows")
+    pk = t.part_key_columns.filter(F.col("column_position") == 1).select("owner", "table_name", F.col("column_name").alias("partition_key1"))
+    ic = t.ind_columns.filter(F.col("column_position") == 1).select(F.col("table_owner").alias("owner"), "table_name",
+                                                                    F.col("column_name").alias("partition_key1"), "index_owner", "index_name")
+    ix = t.indexes.filter(F.col("partitioned") == "NO").select(F.col("owner").alias("index_owner"), "index_name")
+    return tb.join(pk, ["owner", "table_name"], "inner").join(ic, ["owner", "table_name", "partition_key1"], "inner") \
+        .join(ix, ["index_owner", "index_name"], "inner").select("owner", "table_name", "partition_key1", "index_name", "num_rows")
+
+
+@rule("R61", "Function-based indexes with literals in the expression", 0)
+def r61_function_index_literals(t: Tables):
+    return t.ind_expressions.filter(F.col("column_expression").rlike("['0-9]"))

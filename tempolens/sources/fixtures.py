@@ -71,6 +71,9 @@ FIXTURE_SQL.update({
     "fx_cat_tab_column": "SELECT owner, table_name, 'C0' AS column_name, CAST(0 AS BIGINT) AS num_nulls, CAST(num_rows AS BIGINT) AS num_distinct, 'N' AS nullable FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C1', CAST(num_rows AS BIGINT), CAST(0 AS BIGINT), 'Y' FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C2', CAST(0 AS BIGINT), CAST(1 AS BIGINT), 'N' FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C9', CAST(blocks AS BIGINT), CAST(blocks * 7 AS BIGINT), 'Y' FROM fx_cat_table",
     "fx_cat_constraint": "SELECT owner, concat('PK_', table_name) AS constraint_name, 'P' AS constraint_type, table_name, CAST(NULL AS STRING) AS r_owner, CAST(NULL AS STRING) AS r_constraint_name, concat('I', substr(table_name, 2), '_1') AS index_name FROM fx_cat_table UNION ALL SELECT DISTINCT p.p_brand, concat('FK_', CAST(l_partkey AS STRING), '_', CAST(l_suppkey % 50 + 1 AS STRING)), 'R', concat('T', CAST(l_partkey AS STRING)), q.p_brand, concat('PK_T', CAST(l_suppkey % 50 + 1 AS STRING)), CAST(NULL AS STRING) FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_partkey = l_suppkey % 50 + 1",
     "fx_cat_cons_column": "SELECT owner, constraint_name, table_name, CASE WHEN constraint_type = 'P' THEN 'C0' ELSE 'C2' END AS column_name, 1 AS position FROM fx_cat_constraint UNION ALL SELECT owner, constraint_name, table_name, 'C9', 2 FROM fx_cat_constraint WHERE constraint_type = 'P' AND length(table_name) % 2 = 0",
+    # index usage monitoring flags and function-based index expressions of the catalog binding
+    "fx_cat_index_usage": "SELECT owner, index_name, table_name, CASE WHEN ln % 2 = 0 THEN 65536 ELSE 0 END AS index_flags, CASE WHEN ln % 3 = 1 THEN 1 ELSE 0 END AS usage_flags FROM fx_cat_index",
+    "fx_cat_ind_expression": "SELECT owner AS index_owner, index_name, table_name, CASE WHEN ln = 5 THEN concat('UPPER(\"C', CAST(ln AS STRING), '\")') WHEN ln = 6 THEN concat('NVL(\"C1\",', CAST(ln AS STRING), ')') ELSE concat('TRUNC(\"C2\",''DD'')') END AS column_expression FROM fx_cat_index WHERE index_type = 'NORMAL'",
     # statement texts keyed like fx_sqlstat
     "fx_sqltext": "SELECT concat('s', CAST(k AS STRING)) AS sql_id, CASE WHEN k % 3 = 0 THEN 6 ELSE 3 END AS command_type, min(CASE WHEN k % 3 = 0 THEN concat('UPDATE ', p_type, ' SET qty = :1 WHERE brand = ', p_brand, ' AND size = ', CAST(p_size AS STRING)) ELSE concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING)) END) AS sql_text FROM (SELECT p_partkey % 50 AS k, p_type, p_brand, p_size FROM part) t GROUP BY 1, 2",
     # rule inputs: statistics with fetch/parse counters, cursor cache, open cursors, child-cursor flags,

@@ -139,3 +139,48 @@ JOIN n ON n.owner = k.owner AND n.constraint_name = k.constraint_name JOIN r ON
 WHERE n.key_columns >= 2""")
 def r68(spark, sf):
     return apply_rule("R68", _cat(spark, sf))
+
+
+@query("r04_compression_by_single_block_reads", """
+WITH h AS (SELECT event_id % 2000 + 1 AS current_obj, count(*) AS samples FROM fx_ash WHERE event = 'click' GROUP BY 1 HAVING count(*) > 2),
+o AS (SELECT h.*, x.owner, x.object_name, x.object_type FROM h LEFT JOIN (
+        SELECT CAST(substr(table_name, 2) AS BIGINT) AS object_id, owner, table_name AS object_name, 'TABLE' AS object_type FROM fx_cat_table) x ON x.object_id = h.current_obj),
+d AS (SELECT 'TABLE' AS kind, owner, table_name AS name, max(compression) AS compression FROM fx_cat_table GROUP BY 1, 2, 3
+      UNION ALL SELECT 'INDEX', owner, index_name, max(compression) FROM fx_cat_index GROUP BY 1, 2, 3)
+SELECT o.owner, o.object_name, o.object_type, d.compression, CAST(sum(samples) AS BIGINT) AS samples FROM o
+LEFT JOIN d ON d.kind = o.object_type AND d.owner = o.owner AND d.name = o.object_name GROUP BY 1, 2, 3, 4""")
+def r04(spark, sf):
+    from pyspark.sql import functions as F
+    c = _cat(spark, sf)
+    ash = fixture(spark, sf, "fx_ash").withColumn("current_obj", F.pmod("event_id", F.lit(2000)) + 1)
+    objs = c["tables"].select(F.substring("table_name", 2, 20).cast("bigint").alias("object_id"), "owner",
+                              F.col("table_name").alias("object_name"), F.lit("TABLE").alias("object_type"))
+    return apply_rule("R04", {**c, "ash": ash, "objects": objs}, event="click", min_samples=2)
+
+
+@query("r11_monitored_unused_indexes", """
+SELECT u.owner, u.index_name, u.table_name, u.index_flags, u.usage_flags, i.num_rows, i.distinct_keys, i.uniqueness
+FROM fx_cat_index_usage u JOIN fx_cat_index i ON i.owner = u.owner AND i.index_name = u.index_name AND i.table_name = u.table_name
+WHERE (u.index_flags & 65536) = 65536 AND NOT ((u.usage_flags & 1) = 1) AND i.num_rows > 300""")
+def r11(spark, sf):
+    return apply_rule("R11", {**_cat(spark, sf), "index_usage": fixture(spark, sf, "fx_cat_index_usage")}, min_rows=300)
+
+
+@query("r14_unique_index_local_candidates", """
+WITH pk AS (SELECT owner, table_name, 'C0' AS column_name, 1 AS column_position FROM fx_cat_table WHERE partitioned = 'YES')
+SELECT t.owner, t.table_name, pk.column_name AS partition_key1, i.index_name, t.num_rows
+FROM fx_cat_table t JOIN pk ON pk.owner = t.owner AND pk.table_name = t.table_name AND pk.column_position = 1
+JOIN fx_cat_ind_column ic ON ic.table_owner = t.owner AND ic.table_name = t.table_name AND ic.column_name = pk.column_name AND ic.column_position = 1
+JOIN fx_cat_index i ON i.owner = ic.index_owner AND i.index_name = ic.index_name WHERE t.partitioned = 'YES' AND i.partitioned = 'NO'""")
+def r14(spark, sf):
+    from pyspark.sql import functions as F
+    c = _cat(spark, sf)
+    pk = c["tables"].filter(F.col("partitioned") == "YES").select("owner", "table_name", F.lit("C0").alias("column_name"),
+                                                                 F.lit(1).alias("column_position"))
+    return apply_rule("R14", {**c, "part_key_columns": pk})
+
+
+@query("r61_function_index_literals", """
+SELECT * FROM fx_cat_ind_expression WHERE regexp_matches(column_expression, '[''0-9]')""")
+def r61(spark, sf):
+    return apply_rule("R61", {"ind_expressions": fixture(spark, sf, "fx_cat_ind_expression")})
