@@ -39,7 +39,8 @@ def _materialize(df: DataFrame) -> DataFrame:
 def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[str] = (),
                    start: "Column | DataFrame | None" = None, node: list[str] | None = None,
                    root_cols: list[str] = (), max_depth: int = 100,
-                   level_col: str = "level", path_col: str = "path") -> DataFrame:
+                   level_col: str = "level", path_col: str = "path",
+                   expand_if: Column | None = None) -> DataFrame:
     """All rows reachable from the start rows with level, root columns and path.
 
     connect: pairs (prior_col, col): row c is a child of row p when
@@ -47,6 +48,8 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
     start: START WITH predicate or DataFrame of start rows; None means every row is a root.
     node: columns that identify a node on the path (default the prior cols).
     root_cols: columns of the root row carried as root_<col> (CONNECT_BY_ROOT).
+    expand_if: condition on a row for its children to be visited
+      (CONNECT BY ... AND PRIOR <condition>).
 
     Every level is computed once (persisted while it is written) and cut
     from its lineage by a reliable checkpoint in the shared checkpoint
@@ -68,7 +71,8 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
     parts = [frontier]
     level = 1
     while level < max_depth:
-        p, c = frontier.alias("p"), base.alias("c")
+        parents = frontier.filter(expand_if) if expand_if is not None else frontier
+        p, c = parents.alias("p"), base.alias("c")
         cond = [F.col(f"c.{col}") == F.col(f"p.{prior}") for prior, col in connect] + \
                [F.col(f"c.{s}") == F.col(f"p.{s}") for s in same]
         nxt = _materialize(p.join(c, cond, "inner")

@@ -511,8 +511,8 @@ def r36_parallel_with_serial_parts(t: Tables):
                     "sql_id", "inner")
 
 
-@rule("R37", "Parallel statements with serial sub-processing after a full scan (history)", 1, days=8, full_option="FULL")
-def r37_parallel_from_serial(t: Tables, days: int, full_option: str):
+@rule("R39", "Parallel statements with serial sub-processing after a full scan (latest plan, two levels)", 1, days=8, full_option="FULL")
+def r39_parallel_from_serial(t: Tables, days: int, full_option: str):
     p = t.sql_plan
     pfs = p.filter(F.col("other_tag") == "PARALLEL_FROM_SERIAL").groupBy("sql_id").agg(
         F.max("plan_hash_value").alias("plan_hash_value"),
@@ -775,3 +775,51 @@ def r14_unique_local_candidates(t: Tables):
 @rule("R61", "Function-based indexes with literals in the expression", 0)
 def r61_function_index_literals(t: Tables):
     return t.ind_expressions.filter(F.col("column_expression").rlike("['0-9]"))
+
+
+@rule("R37", "Parallel statements with serial plan lines (history)", 1, days=8)
+def r37_parallel_with_serial_parts_hist(t: Tables, days: int):
+    p = t.sql_plan
+    serial_line = ~_parallel(F.col("other_tag")) & ~F.col("operation").isin(*PX_NEUTRAL_OPERATIONS) & \
+        ~F.col("operation").like("UPDATE%") & ~F.col("operation").like("SELECT%")
+    plans = p.groupBy("sql_id", "plan_hash_value").agg(
+        F.sum(F.when(_parallel(F.col("other_tag")), 1).otherwise(0)).alias("_px"),
+        F.sum(F.when(serial_line, 1).otherwise(0)).alias("_serial")) \
+        .filter((F.col("_px") > 0) & (F.col("_serial") > 1)).select("sql_id", "plan_hash_value")
+    s = recent_sqlstat(t, days).join(plans, ["sql_id", "plan_hash_value"], "inner").groupBy("sql_id", "plan_hash_value").agg(
+        F.min("parsing_schema_name").alias("parsing_schema_name"), F.round(F.sum("elapsed_time_delta") / 1e6, 2).alias("elapsed_secs"),
+        F.sum("executions_delta").alias("executions"),
+        F.round(per_unit(F.sum("elapsed_time_delta") / 1e6, F.sum("executions_delta")), 2).alias("elapsed_secs_per_exec"))
+    lines = p.filter(serial_line & F.col("object_name").isNotNull()).select(
+        "sql_id", "plan_hash_value", "operation", "options", "object_owner", "object_name")
+    o = t.objects.select(F.col("owner").alias("object_owner"), "object_name", "num_rows")
+    return s.join(lines, ["sql_id", "plan_hash_value"], "inner").join(o, ["object_owner", "object_name"], "left")
+
+
+def _cartesian_walk(plan: DataFrame, marker: str) -> DataFrame:
+    """Lines below each cartesian join, descending through lines without an object, keeping the first lines with one."""
+    from ..operators.hierarchy import hierarchy_walk
+    walk = hierarchy_walk(plan, connect=[("id", "parent_id")], same=["sql_id", "plan_hash_value"],
+                          start=F.col("options") == marker, node=["id"], expand_if=F.col("object_name").isNull())
+    return walk.filter(F.col("object_name").isNotNull())
+
+
+@rule("R45", "Cartesian joins and the objects they combine (cursor cache)", 1, marker="CARTESIAN", min_elapsed_secs=100.0)
+def r45_cartesian_cur(t: Tables, marker: str, min_elapsed_secs: float):
+    w = _cartesian_walk(t.sql_plan, marker)
+    a = t.sqlarea.select("sql_id", "executions", F.round(F.col("elapsed_time") / 1e6, 6).alias("elapsed_secs"))
+    o = t.objects.select(F.col("owner").alias("object_owner"), "object_name", "num_rows")
+    out = w.join(a, "sql_id", "inner").filter(F.col("elapsed_secs") > min_elapsed_secs).join(o, ["object_owner", "object_name"], "left")
+    return out.select("sql_id", "plan_hash_value", "operation", "options", "object_owner", "object_name", "num_rows",
+                      "executions", "elapsed_secs", F.col("id").alias("line_id"), "parent_id", "level")
+
+
+@rule("R46", "Cartesian joins and the objects they combine (history)", 1, marker="CARTESIAN", days=8, min_elapsed_secs=100.0)
+def r46_cartesian_hist(t: Tables, marker: str, days: int, min_elapsed_secs: float):
+    w = _cartesian_walk(t.sql_plan, marker).select("sql_id", "plan_hash_value", "operation", "options", "object_owner",
+                                                   "object_name", F.col("id").alias("line_id"), "parent_id")
+    s = recent_sqlstat(t, days).select("instance_number", "sql_id", "plan_hash_value", "executions_delta", "elapsed_time_delta")
+    g = w.join(s, ["sql_id", "plan_hash_value"], "inner").groupBy(
+        "instance_number", "sql_id", "plan_hash_value", "operation", "options", "object_owner", "object_name", "line_id", "parent_id").agg(
+        F.sum("executions_delta").alias("executions"), F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"))
+    return g.filter(F.col("elapsed_secs") > min_elapsed_secs)

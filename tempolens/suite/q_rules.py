@@ -465,7 +465,7 @@ def r36(spark, sf):
     return apply_rule("R36", _t(spark, sf, sql_plan="fx_sql_plan", sqlarea="fx_sqlarea", objects="fx_plan_object"))
 
 
-@query("r37_parallel_from_serial_hist", f"""
+@query("r39_parallel_from_serial_subtree", f"""
 WITH {recent()},
 pf AS (SELECT sql_id, max(plan_hash_value) AS plan_hash_value FROM fx_sql_plan WHERE other_tag = 'PARALLEL_FROM_SERIAL' GROUP BY 1),
 pfs AS (SELECT pf.sql_id, pf.plan_hash_value, max(p.id) AS pfs_id FROM pf JOIN fx_sql_plan p ON p.sql_id = pf.sql_id AND p.plan_hash_value = pf.plan_hash_value
@@ -480,8 +480,8 @@ j AS (SELECT pfs.sql_id, pfs.plan_hash_value,
 g AS (SELECT sql_id, plan_hash_value, min(operation) AS operation, min(object_owner) AS object_owner, min(object_name) AS object_name FROM j GROUP BY 1, 2),
 s AS (SELECT sql_id, plan_hash_value, round(sum(elapsed_time_delta) / 1e6, 6) AS elapsed_secs, CAST(sum(executions_delta) AS BIGINT) AS executions FROM recent GROUP BY 1, 2)
 SELECT g.*, s.elapsed_secs, s.executions FROM g JOIN s ON s.sql_id = g.sql_id AND s.plan_hash_value = g.plan_hash_value""")
-def r37(spark, sf):
-    return apply_rule("R37", _t(spark, sf, sql_plan="fx_sql_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot"), days=400)
+def r39(spark, sf):
+    return apply_rule("R39", _t(spark, sf, sql_plan="fx_sql_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot"), days=400)
 
 
 @query("r43_implicit_conversion", """
@@ -528,3 +528,66 @@ g AS (SELECT s.sql_id, s.instance_number, CAST(sum(executions_delta) AS BIGINT)
 SELECT *, round(CASE WHEN executions = 0 THEN NULL ELSE rows_processed / executions END, 2) AS rows_per_exec FROM g WHERE executions > 100""")
 def r64(spark, sf):
     return apply_rule("R64", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", sqltext="fx_sqltext"), days=400)
+
+
+@query("r37_parallel_with_serial_parts_hist", f"""
+WITH {recent()},
+plans AS (SELECT sql_id, plan_hash_value FROM fx_sql_plan GROUP BY 1, 2
+  HAVING sum(CASE WHEN coalesce(other_tag LIKE 'PARALLEL%', false) THEN 1 ELSE 0 END) > 0
+     AND sum(CASE WHEN NOT coalesce(other_tag LIKE 'PARALLEL%', false) AND operation NOT IN ('PX COORDINATOR', 'SORT', 'VIEW', 'MERGE JOIN')
+                   AND operation NOT LIKE 'UPDATE%' AND operation NOT LIKE 'SELECT%' THEN 1 ELSE 0 END) > 1),
+x AS (SELECT s.sql_id, s.plan_hash_value, min(parsing_schema_name) AS parsing_schema_name, round(sum(elapsed_time_delta) / 1e6, 2) AS elapsed_secs,
+   CAST(sum(executions_delta) AS BIGINT) AS executions,
+   round((sum(elapsed_time_delta) / 1e6) / CASE WHEN sum(executions_delta) = 0 THEN 1 ELSE sum(executions_delta) END, 2) AS elapsed_secs_per_exec
+   FROM recent s JOIN plans p ON p.sql_id = s.sql_id AND p.plan_hash_value = s.plan_hash_value GROUP BY 1, 2)
+SELECT x.*, ps.operation, ps.options, ps.object_owner, ps.object_name, o.num_rows FROM x
+JOIN fx_sql_plan ps ON ps.sql_id = x.sql_id AND ps.plan_hash_value = x.plan_hash_value AND NOT coalesce(ps.other_tag LIKE 'PARALLEL%', false)
+  AND ps.operation NOT IN ('PX COORDINATOR', 'SORT', 'VIEW', 'MERGE JOIN') AND ps.operation NOT LIKE 'UPDATE%' AND ps.operation NOT LIKE 'SELECT%'
+  AND ps.object_name IS NOT NULL
+LEFT JOIN fx_plan_object o ON o.owner = ps.object_owner AND o.object_name = ps.object_name""")
+def r37(spark, sf):
+    return apply_rule("R37", _t(spark, sf, sql_plan="fx_sql_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot",
+                                objects="fx_plan_object"), days=400)
+
+
+# cartesian joins: in this binding lines tagged PARALLEL_FROM_SERIAL stand for cartesian joins, and lines
+# without options (join/sort steps) carry no object
+CART_PLAN_SQL = """cp AS (SELECT sql_id, plan_hash_value, id, parent_id, operation,
+    CASE WHEN other_tag = 'PARALLEL_FROM_SERIAL' THEN 'CARTESIAN' ELSE options END AS options, object_owner,
+    CASE WHEN options IS NULL OR other_tag = 'PARALLEL_FROM_SERIAL' THEN NULL ELSE object_name END AS object_name FROM fx_sql_plan),
+walk AS (
+  SELECT sql_id, plan_hash_value, id, parent_id, operation, options, object_owner, object_name, 1 AS lvl, [id] AS path FROM cp WHERE options = 'CARTESIAN'
+  UNION ALL
+  SELECT c.sql_id, c.plan_hash_value, c.id, c.parent_id, c.operation, c.options, c.object_owner, c.object_name, w.lvl + 1, list_append(w.path, c.id)
+  FROM walk w JOIN cp c ON c.sql_id = w.sql_id AND c.plan_hash_value = w.plan_hash_value AND c.parent_id = w.id
+  WHERE w.object_name IS NULL AND NOT list_contains(w.path, c.id))"""
+
+
+def _cart_plan(spark, sf):
+    p = _fx(spark, sf, "fx_sql_plan")
+    pfs = F.col("other_tag") == "PARALLEL_FROM_SERIAL"
+    return p.withColumn("object_name", F.when(F.col("options").isNull() | pfs, F.lit(None)).otherwise(F.col("object_name"))) \
+            .withColumn("options", F.when(pfs, F.lit("CARTESIAN")).otherwise(F.col("options")))
+
+
+@query("r45_cartesian_joins_cur", f"""
+WITH RECURSIVE {CART_PLAN_SQL}
+SELECT w.sql_id, w.plan_hash_value, w.operation, w.options, w.object_owner, w.object_name, o.num_rows, a.executions,
+  round(a.elapsed_time / 1e6, 6) AS elapsed_secs, w.id AS line_id, w.parent_id, w.lvl AS level
+FROM walk w JOIN fx_sqlarea a ON a.sql_id = w.sql_id
+LEFT JOIN fx_plan_object o ON o.owner = w.object_owner AND o.object_name = w.object_name
+WHERE w.object_name IS NOT NULL AND round(a.elapsed_time / 1e6, 6) > 100""")
+def r45(spark, sf):
+    return apply_rule("R45", {"sql_plan": _cart_plan(spark, sf), "sqlarea": _fx(spark, sf, "fx_sqlarea"),
+                              "objects": _fx(spark, sf, "fx_plan_object")})
+
+
+@query("r46_cartesian_joins_hist", f"""
+WITH RECURSIVE {CART_PLAN_SQL}, {recent()}
+SELECT s.instance_number, w.sql_id, w.plan_hash_value, w.operation, w.options, w.object_owner, w.object_name, w.id AS line_id, w.parent_id,
+  CAST(sum(s.executions_delta) AS BIGINT) AS executions, round(sum(s.elapsed_time_delta) / 1e6, 6) AS elapsed_secs
+FROM walk w JOIN recent s ON s.sql_id = w.sql_id AND s.plan_hash_value = w.plan_hash_value
+WHERE w.object_name IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9 HAVING round(sum(s.elapsed_time_delta) / 1e6, 6) > 100""")
+def r46(spark, sf):
+    return apply_rule("R46", {"sql_plan": _cart_plan(spark, sf), "sqlstat": _fx(spark, sf, "fx_sqlstat"),
+                              "snapshot": _fx(spark, sf, "fx_snapshot")}, days=400)
