@@ -823,3 +823,47 @@ def r46_cartesian_hist(t: Tables, marker: str, days: int, min_elapsed_secs: floa
         "instance_number", "sql_id", "plan_hash_value", "operation", "options", "object_owner", "object_name", "line_id", "parent_id").agg(
         F.sum("executions_delta").alias("executions"), F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"))
     return g.filter(F.col("elapsed_secs") > min_elapsed_secs)
+
+
+@rule("R20", "Columns set unused but not dropped", 0)
+def r20_unused_columns(t: Tables):
+    return t.unused_columns.filter(F.col("count") > 0).join(t.tables.select("owner", "table_name", "num_rows"),
+                                                            ["owner", "table_name"], "inner") \
+        .withColumn("weight", F.col("num_rows") * F.col("count"))
+
+
+@rule("R21", "Dropped tables still in the recycle bin", 0)
+def r21_dropped_tables(t: Tables):
+    return t.tables.filter(F.col("dropped") == "YES")
+
+
+@rule("R25", "Long-running foreign-key checks of deletes (recursive statements)", 1, days=8, schema="SYS",
+      text_pattern="%SELECT%ALL_ROWS%COUNT(1)%")
+def r25_fk_checks_on_delete(t: Tables, days: int, schema: str, text_pattern: str):
+    s = recent_sqlstat(t, days).filter(F.col("parsing_schema_name") == schema).groupBy("dbid", "sql_id", "instance_number").agg(
+        F.sum("executions_delta").alias("executions"), F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"),
+        F.round(per_unit(F.sum("elapsed_time_delta") / 1e6, F.sum("executions_delta")), 5).alias("elapsed_per_exec"),
+        F.sum("buffer_gets_delta").alias("buffer_gets"), F.max("snap_id").alias("max_snap_id"))
+    txt = t.sqltext.filter(F.upper("sql_text").like(text_pattern)).select("sql_id", "sql_text")
+    return s.join(txt, "sql_id", "inner").withColumn("short_text", F.substring("sql_text", 1, 40))
+
+
+@rule("R53", "Sequences with a small cache for their use", 2)
+def r53_sequence_cache(t: Tables):
+    return t.sequences.withColumn("numbers_per_cache", F.round(F.col("last_number") / per_unit_den("cache_size"), 4))
+
+
+@rule("R57", "Contradictory parameters: session cached cursors with cursor sharing", 5)
+def r57_contradictory_parameters(t: Tables):
+    p = t.parameters
+    cs = p.filter((F.col("name") == "cursor_sharing") & (F.col("value") != "EXACT")).select("inst_id")
+    return p.filter((F.col("name") == "session_cached_cursors") & (F.col("value") != "0")).join(cs, "inst_id", "left_semi") \
+        .withColumn("problem", F.lit("session_cached_cursors should be 0 when cursor_sharing is not EXACT"))
+
+
+@rule("R66", "Recovery-time target history", 4, instance=1, days=8)
+def r66_recovery_target(t: Tables, instance: int, days: int):
+    ref = t.snapshot.select(F.max("begin_interval_time").cast("timestamp_ntz")).scalar()
+    ss = t.snapshot.filter(F.col("begin_interval_time").cast("timestamp_ntz") > ref - F.make_dt_interval(F.lit(days))) \
+        .select("dbid", "instance_number", "snap_id", F.col("begin_interval_time").cast("timestamp_ntz").alias("begin_interval_time"))
+    return t.recovery.filter(F.col("instance_number") == instance).join(ss, ["dbid", "instance_number", "snap_id"], "inner")

@@ -65,7 +65,7 @@ FIXTURE_SQL.update({
     "fx_sql_plan": "SELECT s.sql_id, p.* FROM (SELECT DISTINCT sql_id, plan_hash_value FROM fx_sqlstat) s JOIN fx_plan_multi p ON p.plan_hash_value = s.plan_hash_value",
     "fx_ash_plan": "SELECT sample_time, instance_number, session_id, sql_id, CAST(event_id % 3 + 1 AS INT) AS sql_plan_hash_value, CAST(event_id % 500 + 1 AS BIGINT) AS sql_plan_line_id, event FROM fx_ash",
     # catalog derived from the data: one table per part, one index per (part, line number), columns, constraints
-    "fx_cat_table": "SELECT p.p_brand AS owner, concat('T', CAST(p.p_partkey AS STRING)) AS table_name, CAST(floor(p.p_retailprice) * p.p_size * 10 AS BIGINT) AS num_rows, CAST(p.p_size * 8 AS BIGINT) AS blocks, CAST(length(p.p_name) * 3 AS BIGINT) AS avg_row_len, CASE WHEN p.p_partkey % 9 = 0 THEN 'IOT' END AS iot_type, CASE WHEN p.p_partkey % 5 = 0 THEN 'YES' ELSE 'NO' END AS partitioned, CASE WHEN p.p_partkey % 4 = 0 THEN 'ENABLED' ELSE 'DISABLED' END AS compression, l.last_analyzed FROM part p LEFT JOIN (SELECT l_partkey, max(l_shipdate) AS last_analyzed FROM lineitem GROUP BY 1) l ON l.l_partkey = p.p_partkey",
+    "fx_cat_table": "SELECT p.p_brand AS owner, concat('T', CAST(p.p_partkey AS STRING)) AS table_name, CAST(floor(p.p_retailprice) * p.p_size * 10 AS BIGINT) AS num_rows, CAST(p.p_size * 8 AS BIGINT) AS blocks, CAST(length(p.p_name) * 3 AS BIGINT) AS avg_row_len, CASE WHEN p.p_partkey % 9 = 0 THEN 'IOT' END AS iot_type, CASE WHEN p.p_partkey % 5 = 0 THEN 'YES' ELSE 'NO' END AS partitioned, CASE WHEN p.p_partkey % 4 = 0 THEN 'ENABLED' ELSE 'DISABLED' END AS compression, l.last_analyzed, CASE WHEN p.p_partkey % 17 = 0 THEN 'YES' ELSE 'NO' END AS dropped FROM part p LEFT JOIN (SELECT l_partkey, max(l_shipdate) AS last_analyzed FROM lineitem GROUP BY 1) l ON l.l_partkey = p.p_partkey",
     "fx_cat_index": "SELECT p.p_brand AS owner, concat('I', CAST(x.l_partkey AS STRING), '_', CAST(x.l_linenumber AS STRING)) AS index_name, p.p_brand AS table_owner, concat('T', CAST(x.l_partkey AS STRING)) AS table_name, x.l_linenumber AS ln, CASE WHEN x.l_linenumber = 1 THEN 'UNIQUE' ELSE 'NONUNIQUE' END AS uniqueness, CAST(x.n * 100 AS BIGINT) AS num_rows, CAST(x.d AS BIGINT) AS distinct_keys, CAST(x.l_linenumber * 2 AS INT) AS pct_free, CASE WHEN x.l_linenumber % 3 = 0 THEN 'ENABLED' ELSE 'DISABLED' END AS compression, CAST(x.n AS BIGINT) AS leaf_blocks, CASE WHEN x.l_linenumber = 7 THEN 'YES' ELSE 'NO' END AS partitioned, 'NORMAL' AS index_type, x.last_analyzed FROM (SELECT l_partkey, l_linenumber, count(*) AS n, count(DISTINCT l_suppkey) AS d, max(l_shipdate) AS last_analyzed FROM lineitem GROUP BY 1, 2) x JOIN part p ON p.p_partkey = x.l_partkey",
     "fx_cat_ind_column": "SELECT owner AS index_owner, index_name, table_owner, table_name, concat('C', CAST(ln % 3 AS STRING)) AS column_name, 1 AS column_position FROM fx_cat_index UNION ALL SELECT owner, index_name, table_owner, table_name, 'C9', 2 FROM fx_cat_index WHERE ln % 2 = 0",
     "fx_cat_tab_column": "SELECT owner, table_name, 'C0' AS column_name, CAST(0 AS BIGINT) AS num_nulls, CAST(num_rows AS BIGINT) AS num_distinct, 'N' AS nullable FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C1', CAST(num_rows AS BIGINT), CAST(0 AS BIGINT), 'Y' FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C2', CAST(0 AS BIGINT), CAST(1 AS BIGINT), 'N' FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C9', CAST(blocks AS BIGINT), CAST(blocks * 7 AS BIGINT), 'Y' FROM fx_cat_table",
@@ -74,6 +74,11 @@ FIXTURE_SQL.update({
     # index usage monitoring flags and function-based index expressions of the catalog binding
     "fx_cat_index_usage": "SELECT owner, index_name, table_name, CASE WHEN ln % 2 = 0 THEN 65536 ELSE 0 END AS index_flags, CASE WHEN ln % 3 = 1 THEN 1 ELSE 0 END AS usage_flags FROM fx_cat_index",
     "fx_cat_ind_expression": "SELECT owner AS index_owner, index_name, table_name, CASE WHEN ln = 5 THEN concat('UPPER(\"C', CAST(ln AS STRING), '\")') WHEN ln = 6 THEN concat('NVL(\"C1\",', CAST(ln AS STRING), ')') ELSE concat('TRUNC(\"C2\",''DD'')') END AS column_expression FROM fx_cat_index WHERE index_type = 'NORMAL'",
+    # unused columns, sequences, instance parameters and recovery targets for the listing rules
+    "fx_cat_unused_col": "SELECT owner, table_name, CAST(blocks % 3 AS BIGINT) AS count FROM fx_cat_table",
+    "fx_cat_sequence": "SELECT r.r_name AS sequence_owner, concat('SEQ_', n.n_name) AS sequence_name, CAST(n.n_nationkey % 4 * 10 AS BIGINT) AS cache_size, CAST(count(*) AS BIGINT) AS last_number FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY 1, 2, 3",
+    "fx_parameter": "SELECT instance_number AS inst_id, 'session_cached_cursors' AS name, CAST(count(DISTINCT session_id) AS STRING) AS value FROM fx_ash GROUP BY 1 UNION ALL SELECT instance_number, 'cursor_sharing', CASE WHEN instance_number = 1 THEN 'FORCE' ELSE 'EXACT' END FROM fx_ash GROUP BY 1",
+    "fx_instance_recovery": "SELECT dbid, instance_number, snap_id, CAST(value % 300 AS BIGINT) AS target_mttr, CAST(value % 200 AS BIGINT) AS estimated_mttr FROM fx_sysstat WHERE stat_id = 1",
     # statement texts keyed like fx_sqlstat
     "fx_sqltext": "SELECT concat('s', CAST(k AS STRING)) AS sql_id, CASE WHEN k % 3 = 0 THEN 6 ELSE 3 END AS command_type, min(CASE WHEN k % 3 = 0 THEN concat('UPDATE ', p_type, ' SET qty = :1 WHERE brand = ', p_brand, ' AND size = ', CAST(p_size AS STRING)) ELSE concat('SELECT * FROM ', p_type, ' WHERE ', p_brand, ' = ', CAST(p_size AS STRING)) END) AS sql_text FROM (SELECT p_partkey % 50 AS k, p_type, p_brand, p_size FROM part) t GROUP BY 1, 2",
     # rule inputs: statistics with fetch/parse counters, cursor cache, open cursors, child-cursor flags,

@@ -184,3 +184,52 @@ def r14(spark, sf):
 SELECT * FROM fx_cat_ind_expression WHERE regexp_matches(column_expression, '[''0-9]')""")
 def r61(spark, sf):
     return apply_rule("R61", {"ind_expressions": fixture(spark, sf, "fx_cat_ind_expression")})
+
+
+@query("r20_unused_columns", """
+SELECT cs.owner, cs.table_name, cs.count, t.num_rows, t.num_rows * cs.count AS weight FROM fx_cat_unused_col cs
+JOIN fx_cat_table t ON t.owner = cs.owner AND t.table_name = cs.table_name WHERE cs.count > 0""")
+def r20(spark, sf):
+    return apply_rule("R20", {**_cat(spark, sf), "unused_columns": fixture(spark, sf, "fx_cat_unused_col")})
+
+
+@query("r21_dropped_tables", "SELECT * FROM fx_cat_table WHERE dropped = 'YES'")
+def r21(spark, sf):
+    return apply_rule("R21", _cat(spark, sf))
+
+
+@query("r25_fk_checks_on_delete", """
+WITH recent AS (SELECT s.* FROM fx_sqlstat s WHERE EXISTS (SELECT 1 FROM fx_snapshot ss WHERE ss.dbid = s.dbid
+  AND ss.instance_number = s.instance_number AND ss.snap_id = s.snap_id
+  AND ss.begin_interval_time > (SELECT max(begin_interval_time) FROM fx_snapshot) - INTERVAL 400 DAY)),
+g AS (SELECT dbid, sql_id, instance_number, CAST(sum(executions_delta) AS BIGINT) AS executions, round(sum(elapsed_time_delta) / 1e6, 6) AS elapsed_secs,
+   round((sum(elapsed_time_delta) / 1e6) / CASE WHEN sum(executions_delta) = 0 THEN 1 ELSE sum(executions_delta) END, 5) AS elapsed_per_exec,
+   CAST(sum(buffer_gets_delta) AS BIGINT) AS buffer_gets, max(snap_id) AS max_snap_id FROM recent WHERE parsing_schema_name = 'R' GROUP BY 1, 2, 3)
+SELECT g.*, t.sql_text, substr(t.sql_text, 1, 40) AS short_text FROM g JOIN fx_sqltext t ON t.sql_id = g.sql_id
+WHERE upper(t.sql_text) LIKE '%UPDATE%WHERE%AND%'""")
+def r25(spark, sf):
+    return apply_rule("R25", {"sqlstat": fixture(spark, sf, "fx_sqlstat"), "snapshot": fixture(spark, sf, "fx_snapshot"),
+                              "sqltext": fixture(spark, sf, "fx_sqltext")}, days=400, schema="R", text_pattern="%UPDATE%WHERE%AND%")
+
+
+@query("r53_sequence_cache", """
+SELECT *, round(last_number / CASE WHEN cache_size = 0 THEN 1 ELSE cache_size END, 4) AS numbers_per_cache FROM fx_cat_sequence""")
+def r53(spark, sf):
+    return apply_rule("R53", {"sequences": fixture(spark, sf, "fx_cat_sequence")})
+
+
+@query("r57_contradictory_parameters", """
+SELECT p.*, 'session_cached_cursors should be 0 when cursor_sharing is not EXACT' AS problem FROM fx_parameter p
+WHERE p.name = 'session_cached_cursors' AND p.value <> '0'
+  AND EXISTS (SELECT 1 FROM fx_parameter i WHERE i.inst_id = p.inst_id AND i.name = 'cursor_sharing' AND i.value <> 'EXACT')""")
+def r57(spark, sf):
+    return apply_rule("R57", {"parameters": fixture(spark, sf, "fx_parameter")})
+
+
+@query("r66_recovery_target_history", """
+SELECT r.*, CAST(ss.begin_interval_time AS TIMESTAMP) AS begin_interval_time FROM fx_instance_recovery r
+JOIN fx_snapshot ss ON ss.dbid = r.dbid AND ss.instance_number = r.instance_number AND ss.snap_id = r.snap_id
+WHERE r.instance_number = 1 AND ss.begin_interval_time > (SELECT max(begin_interval_time) FROM fx_snapshot) - INTERVAL 400 DAY""")
+def r66(spark, sf):
+    return apply_rule("R66", {"recovery": fixture(spark, sf, "fx_instance_recovery"), "snapshot": fixture(spark, sf, "fx_snapshot")},
+                      days=400)
