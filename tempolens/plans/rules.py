@@ -867,3 +867,43 @@ def r66_recovery_target(t: Tables, instance: int, days: int):
     ss = t.snapshot.filter(F.col("begin_interval_time").cast("timestamp_ntz") > ref - F.make_dt_interval(F.lit(days))) \
         .select("dbid", "instance_number", "snap_id", F.col("begin_interval_time").cast("timestamp_ntz").alias("begin_interval_time"))
     return t.recovery.filter(F.col("instance_number") == instance).join(ss, ["dbid", "instance_number", "snap_id"], "inner")
+
+
+@rule("R07", "Possibly unnecessary indexes on foreign keys to small tables", 0, max_rows_target=100000,
+      min_rows_origin=100000, max_references=10)
+def r07_unneeded_fk_index(t: Tables, max_rows_target: int, min_rows_origin: int, max_references: int):
+    r = t.constraints.filter(F.col("constraint_type") == "R").select("owner", "table_name", "constraint_name", "r_owner", "r_constraint_name")
+    rc = t.cons_columns.select("owner", "constraint_name", "column_name", "position")
+    ric = t.ind_columns.select(F.col("table_owner").alias("owner"), "table_name", "column_name",
+                               F.col("column_position").alias("position"), "index_owner", "index_name")
+    ri = t.indexes.select(F.col("owner").alias("index_owner"), "index_name", F.col("num_rows").alias("rows_origin"))
+    fk = r.join(rc, ["owner", "constraint_name"], "inner").join(ric, ["owner", "table_name", "column_name", "position"], "inner") \
+        .join(ri, ["index_owner", "index_name"], "inner")
+    pcons = t.constraints.select(F.col("owner").alias("r_owner"), F.col("constraint_name").alias("r_constraint_name"),
+                                 F.col("index_name").alias("target_index"))
+    pidx = t.indexes.select(F.col("owner").alias("r_owner"), F.col("index_name").alias("target_index"),
+                            F.col("num_rows").alias("rows_target"), F.col("table_name").alias("target_table"))
+    nref = t.constraints.filter(F.col("constraint_type") == "R").groupBy("r_owner", "r_constraint_name").agg(
+        F.count(F.lit(1)).alias("_refs"))
+    out = fk.join(pcons, ["r_owner", "r_constraint_name"], "inner").join(pidx, ["r_owner", "target_index"], "inner") \
+        .join(nref, ["r_owner", "r_constraint_name"], "inner")
+    out = out.filter((F.col("rows_target") < max_rows_target) & (F.col("rows_origin") > min_rows_origin) &
+                     (F.col("_refs") < max_references))
+    return out.select("rows_origin", "owner", "table_name", "index_name", F.col("r_constraint_name").alias("constraint_name"),
+                      "column_name", "rows_target", "position", "target_table", "target_index")
+
+
+@rule("R15", "Hash-partitioned indexes whose partition key is not the indexed column", 0)
+def r15_partitioned_index_overhead(t: Tables):
+    i = t.indexes.select("owner", "index_name", "index_type", "table_name", "num_rows", "uniqueness", "distinct_keys")
+    p = t.part_indexes.filter(F.col("partitioning_type") == "HASH")
+    ic = t.ind_columns.select(F.col("index_owner").alias("owner"), "index_name", "column_position", F.col("column_name").alias("ind_col"))
+    use = t.sql_plan.filter(F.col("options").isin("UNIQUE SCAN", "RANGE SCAN", "RANGE SCAN (MIN/MAX)")) \
+        .join(t.sqlarea.select("sql_id", "executions", "rows_processed"), "sql_id", "inner") \
+        .groupBy(F.col("object_owner").alias("owner"), F.col("object_name").alias("index_name")) \
+        .agg(F.sum("executions").alias("executions"), F.sum("rows_processed").alias("rows_processed"))
+    out = i.join(p, ["owner", "index_name"], "inner").join(ic, ["owner", "index_name", "column_position"], "inner") \
+        .filter(F.col("part_column") != F.col("ind_col")).join(use, ["owner", "index_name"], "left")
+    return out.select("owner", "index_name", "index_type", "table_name", "executions", "rows_processed", "num_rows",
+                      "partitioning_type", "column_position", F.col("part_column").alias("part_col"), "ind_col",
+                      "uniqueness", "distinct_keys", "partition_count", "locality")

@@ -74,6 +74,8 @@ FIXTURE_SQL.update({
     # index usage monitoring flags and function-based index expressions of the catalog binding
     "fx_cat_index_usage": "SELECT owner, index_name, table_name, CASE WHEN ln % 2 = 0 THEN 65536 ELSE 0 END AS index_flags, CASE WHEN ln % 3 = 1 THEN 1 ELSE 0 END AS usage_flags FROM fx_cat_index",
     "fx_cat_ind_expression": "SELECT owner AS index_owner, index_name, table_name, CASE WHEN ln = 5 THEN concat('UPPER(\"C', CAST(ln AS STRING), '\")') WHEN ln = 6 THEN concat('NVL(\"C1\",', CAST(ln AS STRING), ')') ELSE concat('TRUNC(\"C2\",''DD'')') END AS column_expression FROM fx_cat_index WHERE index_type = 'NORMAL'",
+    # partitioned indexes with their partitioning and key columns
+    "fx_cat_part_index": "SELECT owner, index_name, CASE WHEN length(index_name) % 2 = 0 THEN 'HASH' ELSE 'RANGE' END AS partitioning_type, CAST(ln * 4 AS BIGINT) AS partition_count, 'LOCAL' AS locality, 'C0' AS part_column, 1 AS column_position FROM fx_cat_index WHERE partitioned = 'YES'",
     # unused columns, sequences, instance parameters and recovery targets for the listing rules
     "fx_cat_unused_col": "SELECT owner, table_name, CAST(blocks % 3 AS BIGINT) AS count FROM fx_cat_table",
     "fx_cat_sequence": "SELECT r.r_name AS sequence_owner, concat('SEQ_', n.n_name) AS sequence_name, CAST(n.n_nationkey % 4 * 10 AS BIGINT) AS cache_size, CAST(count(*) AS BIGINT) AS last_number FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY 1, 2, 3",

@@ -233,3 +233,34 @@ WHERE r.instance_number = 1 AND ss.begin_interval_time > (SELECT max(begin_inter
 def r66(spark, sf):
     return apply_rule("R66", {"recovery": fixture(spark, sf, "fx_instance_recovery"), "snapshot": fixture(spark, sf, "fx_snapshot")},
                       days=400)
+
+
+@query("r07_unneeded_fk_index", """
+WITH ri AS (SELECT r.owner, r.table_name, r.constraint_name, rc.column_name, rc.position, ric.index_name, r.r_owner, r.r_constraint_name, ix.num_rows AS rows_origin
+  FROM fx_cat_constraint r JOIN fx_cat_cons_column rc ON rc.owner = r.owner AND rc.constraint_name = r.constraint_name
+  JOIN fx_cat_ind_column ric ON ric.table_owner = r.owner AND ric.table_name = r.table_name AND ric.column_name = rc.column_name AND ric.column_position = rc.position
+  JOIN fx_cat_index ix ON ix.owner = ric.index_owner AND ix.index_name = ric.index_name WHERE r.constraint_type = 'R')
+SELECT ri.rows_origin, ri.owner, ri.table_name, ri.index_name, p.constraint_name, ri.column_name, pi.num_rows AS rows_target, ri.position,
+  pi.table_name AS target_table, pi.index_name AS target_index
+FROM ri JOIN fx_cat_constraint p ON p.owner = ri.r_owner AND p.constraint_name = ri.r_constraint_name
+JOIN fx_cat_index pi ON pi.owner = p.owner AND pi.index_name = p.index_name
+WHERE pi.num_rows < 1000 AND ri.rows_origin > 200
+  AND (SELECT count(*) FROM fx_cat_constraint x WHERE x.constraint_type = 'R' AND x.r_owner = p.owner AND x.r_constraint_name = p.constraint_name) < 2000""")
+def r07(spark, sf):
+    return apply_rule("R07", _cat(spark, sf), max_rows_target=1000, min_rows_origin=200, max_references=2000)
+
+
+@query("r15_partitioned_index_overhead", """
+WITH use AS (SELECT p.object_owner AS owner, p.object_name AS index_name, CAST(sum(a.executions) AS BIGINT) AS executions,
+   CAST(sum(a.rows_processed) AS BIGINT) AS rows_processed FROM fx_sql_plan p JOIN fx_sqlarea a ON a.sql_id = p.sql_id
+   WHERE p.options IN ('UNIQUE SCAN', 'RANGE SCAN', 'RANGE SCAN (MIN/MAX)') GROUP BY 1, 2)
+SELECT i.owner, i.index_name, i.index_type, i.table_name, u.executions, u.rows_processed, i.num_rows, p.partitioning_type, ic.column_position,
+  p.part_column AS part_col, ic.column_name AS ind_col, i.uniqueness, i.distinct_keys, p.partition_count, p.locality
+FROM fx_cat_index i JOIN fx_cat_part_index p ON p.owner = i.owner AND p.index_name = i.index_name
+JOIN fx_cat_ind_column ic ON ic.index_owner = i.owner AND ic.index_name = i.index_name AND ic.column_position = p.column_position
+LEFT JOIN use u ON u.owner = i.owner AND u.index_name = i.index_name
+WHERE p.partitioning_type = 'HASH' AND p.part_column <> ic.column_name""")
+def r15(spark, sf):
+    c = _cat(spark, sf)
+    return apply_rule("R15", {**c, "part_indexes": fixture(spark, sf, "fx_cat_part_index"),
+                              "sql_plan": fixture(spark, sf, "fx_sql_plan"), "sqlarea": fixture(spark, sf, "fx_sqlarea")})
