@@ -907,3 +907,29 @@ def r15_partitioned_index_overhead(t: Tables):
     return out.select("owner", "index_name", "index_type", "table_name", "executions", "rows_processed", "num_rows",
                       "partitioning_type", "column_position", F.col("part_column").alias("part_col"), "ind_col",
                       "uniqueness", "distinct_keys", "partition_count", "locality")
+
+
+@rule("R12", "Index columns of low selectivity next to a highly selective column", 0, selectivity_divisor=4, min_rows=100000)
+def r12_low_selectivity_columns(t: Tables, selectivity_divisor: float, min_rows: int):
+    """Non-unique indexes whose most selective column (MAX ... KEEP LAST by distinct values, A05) already
+    separates the rows, listed with each less selective column; indexes used for index-only access in a
+    plan (the index without its table in the same plan) are left out (anti join on a plan self-join)."""
+    ic = t.ind_columns.select("index_owner", "index_name", "table_owner", "table_name", "column_name")
+    tc = t.tab_columns.select(F.col("owner").alias("table_owner"), "table_name", "column_name", "num_distinct")
+    cols = ic.join(tc, ["table_owner", "table_name", "column_name"], "inner")
+    ms = cols.groupBy("index_owner", "index_name").agg(F.max("num_distinct").alias("max_num_distinct"),
+                                                       last_value_by("column_name", "num_distinct").alias("max_column"))
+    i = t.indexes.filter(F.col("num_rows").isNotNull() & (F.col("num_rows") > 0) & (F.col("uniqueness") == "NONUNIQUE")) \
+        .select(F.col("owner").alias("index_owner"), "index_name", "table_owner", "table_name", "num_rows")
+    p = t.sql_plan.select("sql_id", "plan_hash_value", "object_owner", "object_name")
+    idx_lines = p.select("sql_id", "plan_hash_value", F.col("object_owner").alias("index_owner"), F.col("object_name").alias("index_name"))
+    tab_lines = p.select("sql_id", "plan_hash_value", F.col("object_owner").alias("table_owner"), F.col("object_name").alias("table_name"))
+    only = idx_lines.join(i.select("index_owner", "index_name", "table_owner", "table_name"), ["index_owner", "index_name"], "inner") \
+        .join(tab_lines, ["sql_id", "plan_hash_value", "table_owner", "table_name"], "left_anti").select("index_owner", "index_name").distinct()
+    out = i.join(ms, ["index_owner", "index_name"], "inner").join(cols.drop("table_owner", "table_name"), ["index_owner", "index_name"], "inner") \
+        .filter((F.col("max_num_distinct") > F.col("num_rows") / selectivity_divisor) & (F.col("column_name") != F.col("max_column")) &
+                (F.col("num_rows") > min_rows)) \
+        .join(only, ["index_owner", "index_name"], "left_anti")
+    return out.select(F.col("index_owner").alias("owner"), "table_name", "index_name", "num_rows", "max_column", "max_num_distinct",
+                      F.round(F.col("max_num_distinct") / F.col("num_rows"), 4).alias("max_selectivity"),
+                      F.col("column_name").alias("min_column"), F.col("num_distinct").alias("min_num_distinct"))

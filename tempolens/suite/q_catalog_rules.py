@@ -264,3 +264,22 @@ def r15(spark, sf):
     c = _cat(spark, sf)
     return apply_rule("R15", {**c, "part_indexes": fixture(spark, sf, "fx_cat_part_index"),
                               "sql_plan": fixture(spark, sf, "fx_sql_plan"), "sqlarea": fixture(spark, sf, "fx_sqlarea")})
+
+
+@query("r12_low_selectivity_index_columns", """
+WITH cols AS (SELECT ic.index_owner, ic.index_name, ic.column_name, tc.num_distinct FROM fx_cat_ind_column ic
+   JOIN fx_cat_tab_column tc ON tc.owner = ic.table_owner AND tc.table_name = ic.table_name AND tc.column_name = ic.column_name),
+mx AS (SELECT index_owner, index_name, max(num_distinct) AS max_num_distinct FROM cols GROUP BY 1, 2),
+ms AS (SELECT mx.index_owner, mx.index_name, mx.max_num_distinct, max(c.column_name) AS max_column FROM mx
+   JOIN cols c ON c.index_owner = mx.index_owner AND c.index_name = mx.index_name AND c.num_distinct = mx.max_num_distinct GROUP BY 1, 2, 3),
+i AS (SELECT owner AS index_owner, index_name, table_owner, table_name, num_rows FROM fx_cat_index WHERE num_rows > 0 AND uniqueness = 'NONUNIQUE'),
+ixonly AS (SELECT DISTINCT a.object_owner AS index_owner, a.object_name AS index_name FROM fx_sql_plan a JOIN i ON i.index_owner = a.object_owner AND i.index_name = a.object_name
+   WHERE NOT EXISTS (SELECT 1 FROM fx_sql_plan b WHERE b.sql_id = a.sql_id AND b.plan_hash_value = a.plan_hash_value AND b.object_owner = i.table_owner AND b.object_name = i.table_name))
+SELECT i.index_owner AS owner, i.table_name, i.index_name, i.num_rows, ms.max_column, ms.max_num_distinct,
+  round(ms.max_num_distinct / i.num_rows, 4) AS max_selectivity, c.column_name AS min_column, c.num_distinct AS min_num_distinct
+FROM i JOIN ms ON ms.index_owner = i.index_owner AND ms.index_name = i.index_name
+JOIN cols c ON c.index_owner = i.index_owner AND c.index_name = i.index_name
+WHERE ms.max_num_distinct > i.num_rows / 4 AND c.column_name <> ms.max_column AND i.num_rows > 100
+  AND NOT EXISTS (SELECT 1 FROM ixonly o WHERE o.index_owner = i.index_owner AND o.index_name = i.index_name)""")
+def r12(spark, sf):
+    return apply_rule("R12", {**_cat(spark, sf), "sql_plan": fixture(spark, sf, "fx_sql_plan")}, min_rows=100)
