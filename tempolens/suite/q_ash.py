@@ -35,3 +35,27 @@ LEFT JOIN cells c ON c.start_sample = t.start_sample AND c.criteria = p.criteria
 def b02_load_timeline(spark, sf_dir):
     samples = ash.weighted_samples(fixture(spark, sf_dir, "fx_ash"), fixture(spark, sf_dir, "fx_ash_live"))
     return ash.load_timeline(samples, "event", bucket_seconds=3600, top_x=3)
+
+
+@query("a15_merge_live_history", f"""
+WITH {MERGED_SQL}
+SELECT instance_number, sample_cycle, count(*) AS samples, min(sample_time) AS first_sample, max(sample_time) AS last_sample
+FROM merged GROUP BY 1, 2""")
+def a15(spark, sf):
+    from pyspark.sql import functions as F
+    m = ash.weighted_samples(fixture(spark, sf, "fx_ash"), fixture(spark, sf, "fx_ash_live"))
+    return m.groupBy("instance_number", "sample_cycle").agg(F.count(F.lit(1)).alias("samples"),
+                                                            F.min("sample_time").alias("first_sample"),
+                                                            F.max("sample_time").alias("last_sample"))
+
+
+@query("a15_merge_live_history_inner", """
+WITH live_min AS (SELECT instance_number, min(sample_time) AS m FROM fx_ash_live GROUP BY 1),
+merged AS (
+  SELECT h.instance_number, 10 AS sample_cycle FROM fx_ash h JOIN live_min l ON l.instance_number = h.instance_number AND h.sample_time < l.m
+  UNION ALL SELECT instance_number, 1 FROM fx_ash_live)
+SELECT instance_number, sample_cycle, count(*) AS samples FROM merged GROUP BY 1, 2""")
+def a15_inner(spark, sf):
+    from pyspark.sql import functions as F
+    m = ash.weighted_samples(fixture(spark, sf, "fx_ash"), fixture(spark, sf, "fx_ash_live"), how="inner")
+    return m.groupBy("instance_number", "sample_cycle").agg(F.count(F.lit(1)).alias("samples"))
