@@ -240,3 +240,34 @@ def segment_stats_per_snapshot(segstats: DataFrame, objects: DataFrame, keys=("o
     k = list(keys)
     s = segstats.join(objects.select(*k).distinct(), k, "left_semi")
     return s.groupBy(*k, ts).agg(F.sum(measure).alias(measure), F.count(F.lit(1)).alias("segments"))
+
+
+def segment_statistics_totals(segstat: DataFrame, snaps: DataFrame, objects: DataFrame, waits: DataFrame,
+                              plan_lines: DataFrame, start, end, counters=("logical_reads_delta", "physical_reads_delta",
+                                                                           "row_lock_waits_delta")) -> DataFrame:
+    """Segment statistics of a time range per object with waits and statement counts.
+
+    Snapshots inside the bracketing borders (A13) select the statistics rows
+    by a semi join on (dbid, snap_id, instance_number); per object the deltas
+    are summed and the allocated space's last minus first value taken
+    (A04); object names, sampled wait seconds per object and the number of
+    statements whose plans use it are left-joined after aggregation.
+    """
+    from ..operators.history import snapshot_borders
+    b = snapshot_borders(snaps, start, end).select("dbid", "instance_number", "start_snap_id", "end_snap_id")
+    inside = snaps.join(b, ["dbid", "instance_number"], "inner") \
+        .filter(F.col("snap_id").between(F.col("start_snap_id"), F.col("end_snap_id"))).select("dbid", "instance_number", "snap_id")
+    s = segstat.join(inside, ["dbid", "instance_number", "snap_id"], "left_semi")
+    per = s.groupBy("obj", "instance_number").agg(
+        F.min("snap_id").alias("min_snap_id"), F.max("snap_id").alias("max_snap_id"), *[F.sum(c).alias(c) for c in counters],
+        F.max("space_allocated_total").alias("max_space_allocated"),
+        (last_value_by("space_allocated_total", "snap_id") - first_value_by("space_allocated_total", "snap_id")).alias("space_allocated_delta"))
+    o = objects.select(F.col("object_id").alias("obj"), "owner", "object_name", "object_type")
+    w = waits.groupBy("instance_number", F.col("current_obj").alias("obj")).agg(
+        (F.count(F.lit(1)) * 10).alias("time_waited_secs"), F.round(F.avg("time_waited") / 1000.0, 4).alias("time_waited_avg_ms"))
+    po = plan_lines.groupBy(F.col("object_owner").alias("owner"), "object_name").agg(F.count_distinct("sql_id").alias("sql_ids"))
+    j = per.join(o, "obj", "left").join(w, ["instance_number", "obj"], "left").join(po, ["owner", "object_name"], "left")
+    return j.groupBy("instance_number", "object_type", "owner", "object_name").agg(
+        *[F.sum(c).alias(c) for c in counters], F.max("max_space_allocated").alias("max_space_allocated"),
+        F.sum("space_allocated_delta").alias("space_allocated_delta"), F.sum("time_waited_secs").alias("time_waited_secs"),
+        F.max("sql_ids").alias("sql_ids"), F.min("min_snap_id").alias("min_snap_id"), F.max("max_snap_id").alias("max_snap_id"))

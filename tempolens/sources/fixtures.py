@@ -76,6 +76,9 @@ FIXTURE_SQL.update({
     "fx_cat_ind_expression": "SELECT owner AS index_owner, index_name, table_name, CASE WHEN ln = 5 THEN concat('UPPER(\"C', CAST(ln AS STRING), '\")') WHEN ln = 6 THEN concat('NVL(\"C1\",', CAST(ln AS STRING), ')') ELSE concat('TRUNC(\"C2\",''DD'')') END AS column_expression FROM fx_cat_index WHERE index_type = 'NORMAL'",
     # partitioned indexes with their partitioning and key columns
     "fx_cat_part_index": "SELECT owner, index_name, CASE WHEN length(index_name) % 2 = 0 THEN 'HASH' ELSE 'RANGE' END AS partitioning_type, CAST(ln * 4 AS BIGINT) AS partition_count, 'LOCAL' AS locality, 'C0' AS part_column, 1 AS column_position FROM fx_cat_index WHERE partitioned = 'YES'",
+    # segment statistics deltas per (object, instance, snapshot) and objects named like the plan lines
+    "fx_seg_stat": "SELECT 1 AS dbid, CAST(l_suppkey % 2 + 1 AS INT) AS instance_number, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS snap_id, l_partkey AS obj, CAST(count(*) AS BIGINT) AS logical_reads_delta, CAST(sum(floor(l_quantity)) AS BIGINT) AS physical_reads_delta, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS row_lock_waits_delta, CAST(max(floor(l_extendedprice)) AS BIGINT) AS space_allocated_total FROM lineitem GROUP BY 1, 2, 3, 4",
+    "fx_object_multi": "SELECT p_partkey AS object_id, substr(p_brand, 1, 7) AS owner, split_part(p_name, ' ', 1) AS object_name, CASE WHEN p_size % 3 = 0 THEN 'INDEX' ELSE 'TABLE' END AS object_type FROM part",
     # unused columns, sequences, instance parameters and recovery targets for the listing rules
     "fx_cat_unused_col": "SELECT owner, table_name, CAST(blocks % 3 AS BIGINT) AS count FROM fx_cat_table",
     "fx_cat_sequence": "SELECT r.r_name AS sequence_owner, concat('SEQ_', n.n_name) AS sequence_name, CAST(n.n_nationkey % 4 * 10 AS BIGINT) AS cache_size, CAST(count(*) AS BIGINT) AS last_number FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY 1, 2, 3",

@@ -251,3 +251,41 @@ def d17(spark, sf):
                                       F.col("p_name").alias("name"),
                                       (F.col("p_size").cast("bigint") * 1024).alias("bytes"))
     return ST.memory_components(p)
+
+
+D12_RANGE = ("1996-03-15 10:00:00", "1996-11-10 00:00:00")
+
+
+@query("d12_segment_statistics_totals", f"""
+WITH b AS (
+  SELECT dbid, instance_number,
+    coalesce(max(CASE WHEN begin_interval_time <= TIMESTAMP '{D12_RANGE[0]}' THEN snap_id END),
+             min(CASE WHEN begin_interval_time >= TIMESTAMP '{D12_RANGE[0]}' THEN snap_id END)) AS lo,
+    coalesce(min(CASE WHEN end_interval_time >= TIMESTAMP '{D12_RANGE[1]}' THEN snap_id END),
+             max(CASE WHEN end_interval_time <= TIMESTAMP '{D12_RANGE[1]}' THEN snap_id END)) AS hi
+  FROM fx_snapshot GROUP BY 1, 2),
+inside AS (SELECT s.dbid, s.instance_number, s.snap_id FROM fx_snapshot s JOIN b ON b.dbid = s.dbid AND b.instance_number = s.instance_number
+           WHERE s.snap_id BETWEEN b.lo AND b.hi),
+s AS (SELECT * FROM fx_seg_stat WHERE (dbid, snap_id, instance_number) IN (SELECT dbid, snap_id, instance_number FROM inside)),
+fl AS (SELECT obj, instance_number, min(snap_id) AS f, max(snap_id) AS l FROM s GROUP BY 1, 2),
+per AS (SELECT s.obj, s.instance_number, min(s.snap_id) AS min_snap_id, max(s.snap_id) AS max_snap_id,
+   sum(logical_reads_delta) AS logical_reads_delta, sum(physical_reads_delta) AS physical_reads_delta, sum(row_lock_waits_delta) AS row_lock_waits_delta,
+   max(space_allocated_total) AS max_space_allocated,
+   max(CASE WHEN s.snap_id = fl.l THEN space_allocated_total END) - min(CASE WHEN s.snap_id = fl.f THEN space_allocated_total END) AS space_allocated_delta
+   FROM s JOIN fl ON fl.obj = s.obj AND fl.instance_number = s.instance_number GROUP BY 1, 2),
+w AS (SELECT instance_number, event_id % 2000 + 1 AS obj, count(*) * 10 AS time_waited_secs FROM fx_ash GROUP BY 1, 2),
+po AS (SELECT object_owner AS owner, object_name, count(DISTINCT sql_id) AS sql_ids FROM fx_sql_plan GROUP BY 1, 2)
+SELECT per.instance_number, o.object_type, o.owner, o.object_name,
+  CAST(sum(logical_reads_delta) AS BIGINT) AS logical_reads_delta, CAST(sum(physical_reads_delta) AS BIGINT) AS physical_reads_delta,
+  CAST(sum(row_lock_waits_delta) AS BIGINT) AS row_lock_waits_delta, max(max_space_allocated) AS max_space_allocated,
+  CAST(sum(space_allocated_delta) AS BIGINT) AS space_allocated_delta, CAST(sum(w.time_waited_secs) AS BIGINT) AS time_waited_secs,
+  max(po.sql_ids) AS sql_ids, min(min_snap_id) AS min_snap_id, max(max_snap_id) AS max_snap_id
+FROM per LEFT JOIN fx_object_multi o ON o.object_id = per.obj
+LEFT JOIN w ON w.instance_number = per.instance_number AND w.obj = per.obj
+LEFT JOIN po ON po.owner = o.owner AND po.object_name = o.object_name
+GROUP BY 1, 2, 3, 4""")
+def d12(spark, sf):
+    waits = _fx(spark, sf, "fx_ash").withColumn("current_obj", F.pmod("event_id", F.lit(2000)) + 1)
+    return ST.segment_statistics_totals(_fx(spark, sf, "fx_seg_stat"), _fx(spark, sf, "fx_snapshot"),
+                                        _fx(spark, sf, "fx_object_multi"), waits, _fx(spark, sf, "fx_sql_plan"), *D12_RANGE) \
+        .withColumn("time_waited_secs", F.col("time_waited_secs").cast("bigint"))
