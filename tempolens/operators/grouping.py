@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import first_value_by, last_value_by, per_unit, single_or_count
+from ..functions import first_value_by, last_value_by, single_or_count
 from ..functions._util import as_col
 
 # A registry maps a dimension name to a Column (or a column name).  An entry
@@ -294,7 +294,3 @@ def growth(df: DataFrame, keys: list[str], order: str, size: str, only_changed:
          .withColumn("growth_pct", F.round(F.try_divide((F.col("size_last") - F.col("size_first")) * F.lit(100.0),
                                                           F.col("size_first")), 4))
     return g.filter(F.col("size_last") != F.col("size_first")) if only_changed else g
-
-
-def sort_value_per_unit(num: str, den: str) -> Column:
-    return per_unit(num, den)

@@ -118,25 +118,5 @@ def wait_summary(samples: DataFrame, event: str = "event", state: str = "session
                                                   F.sum(seconds).alias("total_wait"))
 
 
-def single_samples(samples: DataFrame, filters: dict, lookups: list[tuple[DataFrame, list[str]]] = (),
-                   opcode: str | None = None, opcode_names: dict | None = None) -> DataFrame:
-    """Single samples matching a drill-down filter, with lookups and a code label."""
-    from ..functions import code_label
-    from ..operators.grouping import group_filter
-    out = samples.filter(group_filter(filters, ash_dimensions(samples.columns)))
-    for dim, keys in lookups:
-        out = out.join(dim, keys, "left")
-    if opcode and opcode_names:
-        out = out.withColumn("operation", code_label(opcode, opcode_names))
-    return out
-
-
-def time_per_plan_line(samples: DataFrame, plan: DataFrame, keys=("sql_id", "plan_hash_value", "plan_line_id"),
-                       weight: str = "sample_cycle", state: str = "wait_class") -> DataFrame:
-    """DB, CPU and waiting seconds per plan line, joined to the plan tree."""
-    k = list(keys)
-    on_cpu = F.col(state).isNull()
-    t = samples.groupBy(*k).agg(F.sum(weight).alias("db_secs"),
-                                F.sum(F.when(on_cpu, F.col(weight)).otherwise(0)).alias("cpu_secs"),
-                                F.sum(F.when(~on_cpu, F.col(weight)).otherwise(0)).alias("wait_secs"))
-    return plan.join(t, k, "left")
+# Single samples with lookups (B03) and time per plan line (B10) are in
+# plans.sessions.single_samples and plans.statements.time_per_plan_line.
