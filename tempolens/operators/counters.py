@@ -5,12 +5,14 @@ zero when the instance restarts.  A delta is the value minus the previous
 value of the same series; the first row of a series gets its own value as
 the default, so its delta is 0.
 
-Scale: a plain ``lag`` window puts each series into one task.  When one
-series may be hot (a third of all rows), pass ``chunk``: a coarse key that
-is monotone in ``order`` (e.g. the snapshot day).  The lag then runs per
-(series, chunk); the first row of every chunk takes the last row of the
-previous non-empty chunk, found by a second, small window over one summary
-row per chunk.  The result is identical to the single window.
+Scale: a plain ``lag`` window puts each series into one task, so one hot
+series (a third of all rows) would be one task.  By default the lag runs
+per (series, chunk), where the chunk is a coarse key monotone in ``order``
+(ranges of snapshot ids or days); the first row of every chunk takes the
+last row of the previous non-empty chunk, found by a second, small window
+over one summary row per chunk.  The big side keeps the (series, chunk)
+partitioning for the carry join, so the cost is one extra aggregate.  The
+result is identical to the single window (tested).
 """
 
 from __future__ import annotations
@@ -37,8 +39,21 @@ def _reset_filter(df: DataFrame, test: str, reset: str) -> DataFrame:
     raise ValueError(f"reset must be one of {RESETS}")
 
 
+AUTO_CHUNK_WIDTH = 1024
+
+
+def auto_chunk(df: DataFrame, order: str) -> Column | None:
+    """Coarse key monotone in ``order``: ranges of 1024 for integral orders, days for time orders."""
+    t = df.schema[order].dataType.typeName()
+    if t in ("integer", "long", "short", "byte"):
+        return F.floor(F.col(order) / F.lit(AUTO_CHUNK_WIDTH))
+    if t.startswith("timestamp") or t == "date":
+        return F.to_date(F.col(order))
+    return None
+
+
 def counter_delta(df: DataFrame, keys, order: str, counters, reset: str = "drop",
-                  test: str | None = None, chunk: Column | None = None,
+                  test: str | None = None, chunk: "Column | str | None" = "auto",
                   suffix: str = "") -> DataFrame:
     """Replace each counter by its delta to the previous row of the series.
 
@@ -46,31 +61,36 @@ def counter_delta(df: DataFrame, keys, order: str, counters, reset: str = "drop"
     counters: counter columns; reset: 'drop' keeps rows whose ``test``
     delta is >= 0, 'positive' keeps > 0, 'keep' keeps all; test defaults to
     the first counter.  Output columns keep their names (plus ``suffix``).
+    chunk: 'auto' (default) splits each series into coarse ranges of the
+    order (see ``auto_chunk``); a Column gives the chunk key; None uses one
+    window per series.
     """
     keys, counters = _as_list(keys), _as_list(counters)
     test = (test or counters[0]) + suffix
+    if isinstance(chunk, str) and chunk == "auto":
+        chunk = auto_chunk(df, order)
     if chunk is None:
         w = Window.partitionBy(*keys).orderBy(order)
-        out = df.select("*", *[(F.col(c) - F.lag(c, 1, None).over(w)).alias(f"_d_{c}") for c in counters],
-                        F.lag(F.lit(1)).over(w).isNull().alias("_first"))
-        deltas = [F.when(F.col("_first"), F.col(c) - F.col(c))
-                  .otherwise(F.col(f"_d_{c}")).alias(c + suffix) for c in counters]
+        out = df.select("*", *[(F.col(c) - F.lag(c, 1, None).over(w)).alias(f"__cd_d_{c}") for c in counters],
+                        F.lag(F.lit(1)).over(w).isNull().alias("__cd_first"))
+        deltas = [F.when(F.col("__cd_first"), F.col(c) - F.col(c))
+                  .otherwise(F.col(f"__cd_d_{c}")).alias(c + suffix) for c in counters]
     else:
-        d = df.withColumn("_chunk", chunk)
-        w1 = Window.partitionBy(*keys, "_chunk").orderBy(order)
-        d = d.select("*", *[F.lag(c).over(w1).alias(f"_p_{c}") for c in counters],
-                     F.lag(F.lit(1)).over(w1).isNull().alias("_first"))
-        # last row of each chunk, then the previous chunk's last row per chunk
-        last = d.groupBy(*keys, "_chunk").agg(
-            F.max(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in counters])).alias("_last"))
-        w2 = Window.partitionBy(*keys).orderBy("_chunk")
-        carry = last.select(*keys, "_chunk", F.lag("_last").over(w2).alias("_carry"))
-        d = d.join(carry, [*keys, "_chunk"], "left")
+        dc = df.withColumn("__cd_chunk", chunk)
+        w1 = Window.partitionBy(*keys, "__cd_chunk").orderBy(order)
+        d = dc.select("*", *[F.lag(c).over(w1).alias(f"__cd_p_{c}") for c in counters],
+                      F.lag(F.lit(1)).over(w1).isNull().alias("__cd_first"))
+        # last row of each chunk (partial aggregation map-side), then the previous chunk's last row
+        last = dc.groupBy(*keys, "__cd_chunk").agg(
+            F.max(F.struct(F.col(order).alias("__cd_o"), *[F.col(c) for c in counters])).alias("__cd_last"))
+        w2 = Window.partitionBy(*keys).orderBy("__cd_chunk")
+        carry = last.select(*keys, "__cd_chunk", F.lag("__cd_last").over(w2).alias("__cd_carry"))
+        d = d.join(carry, [*keys, "__cd_chunk"], "left")
         deltas = []
         for c in counters:
-            prev = F.when(F.col("_first"),
-                          F.when(F.col("_carry").isNull(), F.col(c)).otherwise(F.col("_carry")[c])) \
-                    .otherwise(F.col(f"_p_{c}"))
+            prev = F.when(F.col("__cd_first"),
+                          F.when(F.col("__cd_carry").isNull(), F.col(c)).otherwise(F.col("__cd_carry")[c])) \
+                    .otherwise(F.col(f"__cd_p_{c}"))
             deltas.append((F.col(c) - prev).alias(c + suffix))
         out = d
     keep = [c for c in df.columns if c not in counters or suffix]
@@ -94,7 +114,7 @@ def drop_first_snapshot(df: DataFrame, by, order: str) -> DataFrame:
 
 def delta_in_range(fact: DataFrame, bounds: DataFrame, keys, order: str, counters,
                    by=("dbid", "instance_number"), reset: str = "drop",
-                   chunk: Column | None = None) -> DataFrame:
+                   chunk: "Column | str | None" = "auto") -> DataFrame:
     """Deltas of the snapshots inside [min_snap_id, max_snap_id] per instance.
 
     The predecessor of the first snapshot is read as well so that the first
