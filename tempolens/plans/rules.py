@@ -933,3 +933,19 @@ def r12_low_selectivity_columns(t: Tables, selectivity_divisor: float, min_rows:
     return out.select(F.col("index_owner").alias("owner"), "table_name", "index_name", "num_rows", "max_column", "max_num_distinct",
                       F.round(F.col("max_num_distinct") / F.col("num_rows"), 4).alias("max_selectivity"),
                       F.col("column_name").alias("min_column"), F.col("num_distinct").alias("min_num_distinct"))
+
+
+@rule("R54", "Sequence use per day by the statements that call them", 2)
+def r54_sequence_use_per_day(t: Tables):
+    """Statements whose plans have a SEQUENCE step, with executions and rows per day of activity
+    (at least one day) and the sequence's cache size."""
+    p = t.sql_plan.filter(F.col("operation") == "SEQUENCE").select("inst_id", "sql_id", "object_owner", "object_name").distinct()
+    a = t.cursors.filter(F.col("executions") > 0).select("inst_id", "sql_id", "executions", "rows_processed",
+                                                         "first_load_time", "last_active_time")
+    s = t.sequences.select(F.col("sequence_owner").alias("object_owner"), F.col("sequence_name").alias("object_name"), "cache_size")
+    x = p.join(a, ["inst_id", "sql_id"], "inner").join(s, ["object_owner", "object_name"], "inner")
+    days = seconds_between("first_load_time", "last_active_time") / 86400.0
+    days = F.when(days < 1, F.lit(1.0)).otherwise(days)
+    return x.withColumn("executions_per_day", F.round(F.col("executions") / days)) \
+            .withColumn("rows_per_day", F.round(F.col("rows_processed") / days)) \
+            .withColumn("rows_per_exec", F.round(F.col("rows_processed") / F.col("executions"), 2))

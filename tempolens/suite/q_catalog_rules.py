@@ -283,3 +283,17 @@ WHERE ms.max_num_distinct > i.num_rows / 4 AND c.column_name <> ms.max_column AN
   AND NOT EXISTS (SELECT 1 FROM ixonly o WHERE o.index_owner = i.index_owner AND o.index_name = i.index_name)""")
 def r12(spark, sf):
     return apply_rule("R12", {**_cat(spark, sf), "sql_plan": fixture(spark, sf, "fx_sql_plan")}, min_rows=100)
+
+
+@query("r54_sequence_use_per_day", """
+WITH x AS (SELECT c.object_owner, c.object_name, c.inst_id, c.sql_id, c.executions, c.rows_processed, c.first_load_time, c.last_active_time, s.cache_size,
+   CASE WHEN (epoch_us(c.last_active_time) - epoch_us(c.first_load_time)) / 1000000.0 / 86400.0 < 1 THEN 1.0
+        ELSE (epoch_us(c.last_active_time) - epoch_us(c.first_load_time)) / 1000000.0 / 86400.0 END AS days
+   FROM fx_seq_cursor c JOIN fx_cat_sequence s ON s.sequence_owner = c.object_owner AND s.sequence_name = c.object_name
+   WHERE c.operation = 'SEQUENCE' AND c.executions > 0)
+SELECT object_owner, object_name, inst_id, sql_id, executions, rows_processed, first_load_time, last_active_time, cache_size,
+  round(executions / days) AS executions_per_day, round(rows_processed / days) AS rows_per_day, round(rows_processed / executions, 2) AS rows_per_exec
+FROM x""")
+def r54(spark, sf):
+    cur = fixture(spark, sf, "fx_seq_cursor")
+    return apply_rule("R54", {"sql_plan": cur, "cursors": cur, "sequences": fixture(spark, sf, "fx_cat_sequence")})
