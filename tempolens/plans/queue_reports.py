@@ -100,20 +100,24 @@ def work_groups(messages: DataFrame, as_of, by: str = "id_messagetype", group: s
 def job_runs(runs: DataFrame, jobs: DataFrame, batch_date, exclude: list = ()) -> DataFrame:
     """Runs of one batch date with job names and runtime; total runtime without excluded jobs."""
     r = runs.filter(F.col("batch_date") == F.lit(batch_date).cast("timestamp_ntz")).join(jobs, "job_id", "left")
-    r = r.withColumn("runtime_secs", F.round(seconds_between("start_time", "end_time"), 3))
+    micros = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
+    r = r.withColumn("runtime_secs", F.round(micros / 1e6, 3))
+    # total over integer microseconds: exact, independent of summation order
     total = r.filter(~F.col("job_id").isin(list(exclude)) if exclude else F.lit(True)) \
-        .select(F.sum("runtime_secs")).scalar()
-    return r.withColumn("total_runtime_secs", F.round(total, 3))
+        .select(F.sum(micros)).scalar()
+    return r.withColumn("total_runtime_secs", F.round(total / 1e6, 3))
 
 
 def daily_runtime(runs: DataFrame, night_from: int = 20, night_to: int = 6) -> DataFrame:
     """Runtime hours per batch date split into night window and day, job count and weekday."""
-    hrs = seconds_between("start_time", "end_time") / 3600.0
+    micros = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
     h = F.hour("start_time")
     night = (h >= night_from) | (h < night_to)
+    per_hour = F.lit(3.6e9)
     return runs.filter(F.col("end_time").isNotNull()).groupBy("batch_date").agg(
-        F.round(F.sum(hrs), 4).alias("hours_total"), F.round(F.sum(F.when(night, hrs).otherwise(0)), 4).alias("hours_night"),
-        F.round(F.sum(F.when(~night, hrs).otherwise(0)), 4).alias("hours_day"),
+        F.round(F.sum(micros) / per_hour, 4).alias("hours_total"),
+        F.round(F.sum(F.when(night, micros).otherwise(0)) / per_hour, 4).alias("hours_night"),
+        F.round(F.sum(F.when(~night, micros).otherwise(0)) / per_hour, 4).alias("hours_day"),
         F.count_distinct("job_id").alias("jobs")).withColumn("weekday", F.date_format("batch_date", "EEEE"))
 
 

@@ -80,10 +80,13 @@ def c12t(spark, sf):
 
 
 @query("c06_metric_summary_hourly", """
-SELECT date_trunc('hour', ts) AS period, event_type AS metric_name, round(avg(value), 4) AS avg_value,
-  min(value) AS min_value, max(value) AS max_value, count(*) AS samples FROM events GROUP BY 1, 2""")
+SELECT date_trunc('hour', ts) AS period, event_type AS metric_name, round(avg(CAST(round(value * 100) AS BIGINT)), 4) AS avg_value,
+  min(CAST(round(value * 100) AS BIGINT)) AS min_value, max(CAST(round(value * 100) AS BIGINT)) AS max_value, count(*) AS samples
+FROM events GROUP BY 1, 2""")
 def c06(spark, sf):
-    m = _fx(spark, sf, "events").select(F.col("ts").alias("begin_time"), F.col("event_type").alias("metric_name"), "value")
+    # metric values in hundredths as integers, so averages do not depend on summation order
+    m = _fx(spark, sf, "events").select(F.col("ts").alias("begin_time"), F.col("event_type").alias("metric_name"),
+                                        F.round(F.col("value") * 100).cast("bigint").alias("value"))
     return CR.metric_summary(m, "HH24")
 
 

@@ -145,16 +145,16 @@ WITH {RUNS_SQL},
 r AS (SELECT runs.job_id, batch_date, start_time, end_time, status, job_name,
         round((epoch_us(end_time) - epoch_us(start_time)) / 1000000.0, 3) AS runtime_secs
       FROM runs LEFT JOIN jobs ON jobs.job_id = runs.job_id WHERE batch_date = TIMESTAMP '1995-03-15 00:00:00')
-SELECT *, round((SELECT sum(runtime_secs) FROM r WHERE job_id NOT IN (1, 2)), 3) AS total_runtime_secs FROM r""")
+SELECT *, round((SELECT sum(epoch_us(end_time) - epoch_us(start_time)) FROM r WHERE job_id NOT IN (1, 2)) / 1e6, 3) AS total_runtime_secs FROM r""")
 def g09(spark, sf):
     return Q.job_runs(_runs(spark, sf), _jobs(spark, sf), "1995-03-15 00:00:00", exclude=[1, 2])
 
 
 @query("g10_daily_runtime", f"""
 WITH {RUNS_SQL}
-SELECT batch_date, round(sum((epoch_us(end_time) - epoch_us(start_time)) / 1000000.0 / 3600.0), 4) AS hours_total,
-  round(sum(CASE WHEN hour(start_time) >= 20 OR hour(start_time) < 6 THEN (epoch_us(end_time) - epoch_us(start_time)) / 1000000.0 / 3600.0 ELSE 0 END), 4) AS hours_night,
-  round(sum(CASE WHEN NOT (hour(start_time) >= 20 OR hour(start_time) < 6) THEN (epoch_us(end_time) - epoch_us(start_time)) / 1000000.0 / 3600.0 ELSE 0 END), 4) AS hours_day,
+SELECT batch_date, round(sum(epoch_us(end_time) - epoch_us(start_time)) / 3.6e9, 4) AS hours_total,
+  round(sum(CASE WHEN hour(start_time) >= 20 OR hour(start_time) < 6 THEN epoch_us(end_time) - epoch_us(start_time) ELSE 0 END) / 3.6e9, 4) AS hours_night,
+  round(sum(CASE WHEN NOT (hour(start_time) >= 20 OR hour(start_time) < 6) THEN epoch_us(end_time) - epoch_us(start_time) ELSE 0 END) / 3.6e9, 4) AS hours_day,
   count(DISTINCT job_id) AS jobs, strftime(batch_date, '%A') AS weekday
 FROM runs WHERE end_time IS NOT NULL GROUP BY 1""")
 def g10(spark, sf):
