@@ -18,14 +18,36 @@ SESSION_DEFAULTS = {
 }
 
 
+# Settings for large clusters (tens of TB per query): big scan splits, many
+# shuffle partitions that AQE coalesces to ~256 MB, skewed partitions split
+# above 1 GB, and RocksDB for streaming state that outgrows executor memory.
+CLUSTER_DEFAULTS = {
+    "spark.sql.files.maxPartitionBytes": str(512 * 1024 * 1024),
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": str(64 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.parquet.aggregatePushdown": "true",
+}
+
+
 def get_spark(master: str | None = None, app: str = "tempolens",
               shuffle_partitions: int | None = None,
-              extra: dict[str, str] | None = None) -> SparkSession:
-    """Build (or reuse) a session with the library defaults."""
+              extra: dict[str, str] | None = None, profile: str = "local") -> SparkSession:
+    """Build (or reuse) a session with the library defaults.
+
+    profile='cluster' adds ``CLUSTER_DEFAULTS`` (sizes for very large inputs).
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for k, v in SESSION_DEFAULTS.items():
+    settings = dict(SESSION_DEFAULTS)
+    if profile == "cluster":
+        settings.update(CLUSTER_DEFAULTS)
+    for k, v in settings.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
