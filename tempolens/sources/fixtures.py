@@ -81,6 +81,8 @@ FIXTURE_SQL.update({
     "fx_object_multi": "SELECT p_partkey AS object_id, substr(p_brand, 1, 7) AS owner, split_part(p_name, ' ', 1) AS object_name, CASE WHEN p_size % 3 = 0 THEN 'INDEX' ELSE 'TABLE' END AS object_type FROM part",
     # cursors whose plans use a sequence (one per customer nation), with load and activity times
     "fx_seq_cursor": "SELECT concat('q', CAST(c.c_nationkey AS STRING), '_', o.o_orderpriority) AS sql_id, 1 AS inst_id, CAST(count(*) AS BIGINT) AS executions, CAST(sum(CAST(substr(o.o_orderpriority, 1, 1) AS INT)) AS BIGINT) AS rows_processed, min(o.o_orderdate) AS first_load_time, max(o.o_orderdate) AS last_active_time, r.r_name AS object_owner, concat('SEQ_', n.n_name) AS object_name, 'SEQUENCE' AS operation FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY 1, 2, 7, 8",
+    # table reference graph derived from the parts: each table references T<k/3>, some also T<k/5> (diamonds)
+    "fx_table_ref": "SELECT concat('T', CAST(p_partkey AS STRING)) AS child_table, concat('T', CAST(CAST(floor(p_partkey / 3) AS BIGINT) AS STRING)) AS parent_table FROM part UNION SELECT concat('T', CAST(p_partkey AS STRING)), concat('T', CAST(CAST(floor(p_partkey / CASE WHEN p_partkey % 7 = 0 THEN 5 ELSE 3 END) AS BIGINT) AS STRING)) FROM part",
     # unused columns, sequences, instance parameters and recovery targets for the listing rules
     "fx_cat_unused_col": "SELECT owner, table_name, CAST(blocks % 3 AS BIGINT) AS count FROM fx_cat_table",
     "fx_cat_sequence": "SELECT r.r_name AS sequence_owner, concat('SEQ_', n.n_name) AS sequence_name, CAST(n.n_nationkey % 4 * 10 AS BIGINT) AS cache_size, CAST(count(*) AS BIGINT) AS last_number FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey JOIN nation n ON n.n_nationkey = c.c_nationkey JOIN region r ON r.r_regionkey = n.n_regionkey GROUP BY 1, 2, 3",

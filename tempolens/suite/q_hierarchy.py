@@ -134,16 +134,20 @@ def e07(spark, sf):
     return locks.lock_drilldown(rows, _lock_registry(), "blocking_session", {"instance": 2}, wait="time_waited")
 
 
-@query("f13_table_dependency_closure", """
-WITH RECURSIVE e AS (SELECT DISTINCT * FROM fx_constraint WHERE child_table <> parent_table),
+def _closure_sql(edges: str, start: str) -> str:
+    return f"""
+WITH RECURSIVE e AS (SELECT DISTINCT * FROM {edges} WHERE child_table <> parent_table),
 walk AS (
-  SELECT child_table, parent_table, 1 AS lvl, [child_table] AS path FROM e WHERE parent_table = 'region'
+  SELECT child_table, parent_table, 1 AS lvl, [child_table] AS path FROM e WHERE parent_table = '{start}'
   UNION ALL
   SELECT e.child_table, e.parent_table, w.lvl + 1, list_append(w.path, e.child_table)
   FROM walk w JOIN e ON e.parent_table = w.child_table WHERE NOT list_contains(w.path, e.child_table))
-SELECT child_table, max(lvl) AS level FROM walk GROUP BY 1""")
+SELECT child_table, max(lvl) AS level FROM walk GROUP BY 1"""
+
+
+@query("f13_table_dependency_closure", _closure_sql("fx_table_ref", "T1"))
 def f13(spark, sf):
-    return locks.table_closure(_fx(spark, sf, "fx_constraint"), "region")
+    return locks.table_closure(_fx(spark, sf, "fx_table_ref"), "T1")
 
 
 PLAN_WALK = """walk AS (

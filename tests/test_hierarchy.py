@@ -33,3 +33,12 @@ def test_diamond_deepest_and_post_order(spark):
     w = hierarchy_walk(tree, [("id", "parent_id")], ["plan"], start=F.col("parent_id").isNull(), node=["id"])
     order = [r.id for r in post_order_number(w, ["plan"]).orderBy("exec_order").collect()]
     assert order == [4, 5, 2, 3, 1]
+
+
+def test_constraint_closure_on_fixture_graph(spark):
+    from tempolens.plans.locks import table_closure
+    from tempolens.sources import fixture
+    from conftest import SF001
+    out = {r.child_table: r.level for r in table_closure(fixture(spark, SF001, "fx_constraint"), "region").collect()}
+    # lineitem is reached via supplier (level 3) and via customer-orders (level 4): the deepest level is kept
+    assert out == {"nation": 1, "customer": 2, "supplier": 2, "orders": 3, "lineitem": 4}
