@@ -67,10 +67,10 @@ FIXTURE_SQL.update({
     # catalog derived from the data: one table per part, one index per (part, line number), columns, constraints
     "fx_cat_table": "SELECT p.p_brand AS owner, concat('T', CAST(p.p_partkey AS STRING)) AS table_name, CAST(floor(p.p_retailprice) * p.p_size * 10 AS BIGINT) AS num_rows, CAST(p.p_size * 8 AS BIGINT) AS blocks, CAST(length(p.p_name) * 3 AS BIGINT) AS avg_row_len, CASE WHEN p.p_partkey % 9 = 0 THEN 'IOT' END AS iot_type, CASE WHEN p.p_partkey % 5 = 0 THEN 'YES' ELSE 'NO' END AS partitioned, CASE WHEN p.p_partkey % 4 = 0 THEN 'ENABLED' ELSE 'DISABLED' END AS compression, l.last_analyzed, CASE WHEN p.p_partkey % 17 = 0 THEN 'YES' ELSE 'NO' END AS dropped FROM part p LEFT JOIN (SELECT l_partkey, max(l_shipdate) AS last_analyzed FROM lineitem GROUP BY 1) l ON l.l_partkey = p.p_partkey",
     "fx_cat_index": "SELECT p.p_brand AS owner, concat('I', CAST(x.l_partkey AS STRING), '_', CAST(x.l_linenumber AS STRING)) AS index_name, p.p_brand AS table_owner, concat('T', CAST(x.l_partkey AS STRING)) AS table_name, x.l_linenumber AS ln, CASE WHEN x.l_linenumber = 1 THEN 'UNIQUE' ELSE 'NONUNIQUE' END AS uniqueness, CAST(x.n * 100 AS BIGINT) AS num_rows, CAST(x.d AS BIGINT) AS distinct_keys, CAST(x.l_linenumber * 2 AS INT) AS pct_free, CASE WHEN x.l_linenumber % 3 = 0 THEN 'ENABLED' ELSE 'DISABLED' END AS compression, CAST(x.n AS BIGINT) AS leaf_blocks, CASE WHEN x.l_linenumber = 7 THEN 'YES' ELSE 'NO' END AS partitioned, 'NORMAL' AS index_type, x.last_analyzed FROM (SELECT l_partkey, l_linenumber, count(*) AS n, count(DISTINCT l_suppkey) AS d, max(l_shipdate) AS last_analyzed FROM lineitem GROUP BY 1, 2) x JOIN part p ON p.p_partkey = x.l_partkey",
-    "fx_cat_ind_column": "SELECT owner AS index_owner, index_name, table_owner, table_name, concat('C', CAST(ln % 3 AS STRING)) AS column_name, 1 AS column_position FROM fx_cat_index UNION ALL SELECT owner, index_name, table_owner, table_name, 'C9', 2 FROM fx_cat_index WHERE ln % 2 = 0",
+    "fx_cat_ind_column": "SELECT owner AS index_owner, index_name, table_owner, table_name, concat('C', CAST(ln % 3 AS STRING)) AS column_name, 1 AS column_position FROM fx_cat_index UNION ALL SELECT owner, index_name, table_owner, table_name, 'C9', 2 FROM fx_cat_index WHERE uniqueness = 'NONUNIQUE'",
     "fx_cat_tab_column": "SELECT owner, table_name, 'C0' AS column_name, CAST(0 AS BIGINT) AS num_nulls, CAST(num_rows AS BIGINT) AS num_distinct, 'N' AS nullable FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C1', CAST(num_rows AS BIGINT), CAST(0 AS BIGINT), 'Y' FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C2', CAST(0 AS BIGINT), CAST(1 AS BIGINT), 'N' FROM fx_cat_table UNION ALL SELECT owner, table_name, 'C9', CAST(blocks AS BIGINT), CAST(blocks * 7 AS BIGINT), 'Y' FROM fx_cat_table",
     "fx_cat_constraint": "SELECT owner, concat('PK_', table_name) AS constraint_name, 'P' AS constraint_type, table_name, CAST(NULL AS STRING) AS r_owner, CAST(NULL AS STRING) AS r_constraint_name, concat('I', substr(table_name, 2), '_1') AS index_name FROM fx_cat_table UNION ALL SELECT DISTINCT p.p_brand, concat('FK_', CAST(l_partkey AS STRING), '_', CAST(l_suppkey % 50 + 1 AS STRING)), 'R', concat('T', CAST(l_partkey AS STRING)), q.p_brand, concat('PK_T', CAST(l_suppkey % 50 + 1 AS STRING)), CAST(NULL AS STRING) FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_partkey = l_suppkey % 50 + 1",
-    "fx_cat_cons_column": "SELECT owner, constraint_name, table_name, CASE WHEN constraint_type = 'P' THEN 'C0' ELSE 'C2' END AS column_name, 1 AS position FROM fx_cat_constraint UNION ALL SELECT owner, constraint_name, table_name, 'C9', 2 FROM fx_cat_constraint WHERE constraint_type = 'P' AND length(table_name) % 2 = 0",
+    "fx_cat_cons_column": "SELECT owner, constraint_name, table_name, CASE WHEN constraint_type = 'P' THEN 'C0' ELSE 'C2' END AS column_name, 1 AS position FROM fx_cat_constraint UNION ALL SELECT k.owner, k.constraint_name, k.table_name, 'C9', 2 FROM fx_cat_constraint k JOIN fx_cat_table t ON t.owner = k.owner AND t.table_name = k.table_name WHERE k.constraint_type = 'P' AND (t.iot_type IS NOT NULL OR t.partitioned = 'YES')",
     # index usage monitoring flags and function-based index expressions of the catalog binding
     "fx_cat_index_usage": "SELECT owner, index_name, table_name, CASE WHEN ln % 2 = 0 THEN 65536 ELSE 0 END AS index_flags, CASE WHEN ln % 3 = 1 THEN 1 ELSE 0 END AS usage_flags FROM fx_cat_index",
     "fx_cat_ind_expression": "SELECT owner AS index_owner, index_name, table_name, CASE WHEN ln = 5 THEN concat('UPPER(\"C', CAST(ln AS STRING), '\")') WHEN ln = 6 THEN concat('NVL(\"C1\",', CAST(ln AS STRING), ')') ELSE concat('TRUNC(\"C2\",''DD'')') END AS column_expression FROM fx_cat_index WHERE index_type = 'NORMAL'",
