@@ -201,17 +201,21 @@ def top_x_by_group_counts(df: DataFrame, period: Column, cols: list[str], x: int
                           others: str = "<others>") -> DataFrame:
     """Per period, counts of the globally most frequent x values of each column.
 
-    Long form (column_name, period, value, n): the global top x values of
-    each column (an array of at most x entries, computed once as a scalar
-    subquery) keep their own row, all other values are counted under
-    ``others``.  Nothing per period is collected into one task.
+    Long form (column_name, period, value, n).  Each column is read once:
+    counts per (period, value) are aggregated from the data (map-side
+    partial aggregation); the global top x values (at most x, ties by value)
+    come from those counts as an array-valued scalar subquery, and the
+    remaining values are folded into ``others`` by re-aggregating the small
+    count table.  Nothing per period is collected into one task.
     """
     out = None
     for c in cols:
-        top = top_values(df, c, x)
-        v = F.when(F.array_contains(top, F.col(c)), F.col(c).cast("string")).otherwise(F.lit(others))
-        g = (df.select(period.alias("period"), v.alias("value"))
-             .groupBy("period", "value").agg(F.count(F.lit(1)).alias("n"))
+        cells = (df.select(period.alias("period"), F.col(c).alias("_v"))
+                 .groupBy("period", "_v").agg(F.count(F.lit(1)).alias("_n")))
+        top = (cells.filter(F.col("_v").isNotNull()).groupBy("_v").agg(F.sum("_n").alias("_t"))
+               .orderBy(F.desc("_t"), F.asc("_v")).limit(x).select(F.collect_list("_v")).scalar())
+        v = F.when(F.array_contains(top, F.col("_v")), F.col("_v").cast("string")).otherwise(F.lit(others))
+        g = (cells.groupBy("period", v.alias("value")).agg(F.sum("_n").alias("n"))
              .select(F.lit(c).alias("column_name"), "period", "value", "n"))
         out = g if out is None else out.unionByName(g)
     return out

@@ -65,16 +65,18 @@ def sysstat_deltas(fact: DataFrame, snaps: DataFrame, names: DataFrame, start, e
 
 
 def sysstat_wide(fact: DataFrame, snaps: DataFrame, names: DataFrame, start, end,
-                 unit: str = "DD", class_bit: int | None = None) -> DataFrame:
+                 unit: str = "DD", class_bit: int | None = None, stat_names: list[str] | None = None) -> DataFrame:
     """System statistics as one column per statistic, per period.
 
-    The statistic names come from the (small) name dimension, so the pivot
-    gets its value list up front and needs no extra pass over the facts.
+    The pivot columns are ``stat_names`` or, when not given, read from the
+    statistic-name dimension (a catalog of a few hundred names, filtered by
+    class), so no pass over the facts is needed to find them.
     """
     d = sysstat_deltas(fact, snaps, names, start, end, class_bit)
     d = d.join(snaps.select(*INST, "snap_id", "begin_interval_time"), INST + ["snap_id"], "inner")
     n = names if class_bit is None else names.filter(bit_set("class", class_bit))
-    stat_names = [r[0] for r in n.select("stat_name").distinct().orderBy("stat_name").collect()]
+    if stat_names is None:
+        stat_names = [r[0] for r in n.select("stat_name").distinct().orderBy("stat_name").collect()]
     period = trunc_time("begin_interval_time", unit).alias("period")
     cols = [F.sum(F.when(F.col("stat_name") == s, F.col("value"))).alias(_safe_name(s)) for s in stat_names]
     return d.groupBy(period).agg(*cols)
