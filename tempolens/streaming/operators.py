@@ -120,3 +120,43 @@ def stream_sla_breaches(messages: DataFrame, limits: DataFrame, as_of, key: str
     level = F.when(F.col("age_secs") > F.col(alert), F.lit("ALERT")) \
         .when(F.col("age_secs") > F.col(warning), F.lit("WARNING"))
     return j.withColumn("level", level).filter(F.col("level").isNotNull())
+
+
+def stream_counter_delta_stateful(stream: DataFrame, keys: list[str], order: str, counters: list[str],
+                                  reset: str = "drop") -> DataFrame:
+    """Counter deltas of a stream with the last value per series kept in the state store (S02, per-key state).
+
+    Streaming has no ``lag``; ``applyInPandasWithState`` keeps, per series,
+    the (order, counters) of the last row seen.  Each micro-batch hands the
+    function the new rows of one series (bounded by the micro-batch size);
+    they are sorted, differenced against the carried state and the state is
+    updated.  With a RocksDB state store this scales to many series; rows of
+    a series must arrive in order across batches.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    in_schema = stream.schema
+    out_schema = StructType([in_schema[k] for k in keys] + [in_schema[order]] +
+                            [StructField(c, LongType(), True) for c in counters])
+    state_schema = StructType([StructField("last_order", in_schema[order].dataType, True)] +
+                              [StructField(f"last_{c}", LongType(), True) for c in counters])
+
+    def step(key, batches, state):
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
+        prev = state.get if state.exists else None
+        vals = {c: pdf[c].astype("Int64") for c in counters}
+        out = pdf[keys + [order]].copy()
+        for i, c in enumerate(counters):
+            shifted = vals[c].shift(1)
+            first = vals[c].iloc[0] if prev is None else prev[1 + i]
+            shifted.iloc[0] = first
+            out[c] = (vals[c] - shifted).astype("Int64")
+        last = pdf.iloc[-1]
+        state.update(tuple([last[order]] + [int(last[c]) if pd.notna(last[c]) else None for c in counters]))
+        yield out
+
+    res = stream.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append",
+                                                        GroupStateTimeout.NoTimeout)
+    return _reset_filter(res, counters[0], reset)

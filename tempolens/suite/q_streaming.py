@@ -102,3 +102,18 @@ def s05(spark, sf):
     run_available_now(breaches, d + "/out", d + "/cp", "append")
     return spark.read.parquet(d + "/out").select("id", "id_messagetype", "creation_time", "erroneous", "id_bulkgroup",
                                                  "run_count", "warning_secs", "alert_secs", "age_secs", "level")
+
+
+@query("s02_stream_counter_delta_keyed_state", """
+SELECT series_id, snap_id, counter_value FROM (
+  SELECT series_id, snap_id, counter_value - lag(counter_value, 1, counter_value) OVER (PARTITION BY series_id ORDER BY snap_id) AS counter_value
+  FROM fx_counter) t WHERE counter_value >= 0""")
+def s02_state(spark, sf):
+    from ..streaming import stream_counter_delta_stateful
+    d = scratch_dir(spark, "s02k")
+    src = _fx(spark, sf, "fx_counter").select("series_id", "snap_id", "counter_value")
+    deltas = stream_counter_delta_stateful(_stream(spark, src.join(_fx(spark, sf, "fx_counter").select("series_id", "snap_id", "snap_time"),
+                                                                   ["series_id", "snap_id"]), d + "/src", "snap_time"),
+                                           ["series_id"], "snap_id", ["counter_value"], reset="drop")
+    run_available_now(deltas.select("series_id", "snap_id", "counter_value"), d + "/out", d + "/cp", "append")
+    return spark.read.parquet(d + "/out")
