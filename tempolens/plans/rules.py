@@ -1,4 +1,4 @@
-"""Rule checks ("dragnet"), SURVEY 2.H, and ``apply_rule``.
+"""Rule checks, SURVEY 2.H, and ``apply_rule``.
 
 A rule is a function ``fn(t, **params) -> DataFrame`` over named input
 tables ``t`` (a ``Tables`` mapping role -> DataFrame), registered with its
