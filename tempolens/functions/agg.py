@@ -40,22 +40,29 @@ def last_value_by(x, order) -> Column:
 
 
 def single_or_count(col, null_counts: bool = True, else_: str = "count",
-                    null_text: str = " ") -> Column:
+                    null_text: str = " ", approx: bool = False) -> Column:
     """The one value of a group, or '< n >' when it has n distinct values.
 
     null_counts=True: NULL is a value of its own (NVL(x, ' ') counted);
     False: NULL ignored, an all-NULL group shows '< 0 >'.
     else_: 'count' -> '< n >', or a fixed text such as 'Partial'/'N/A',
     or None for NULL.
+    approx: whether a group has one value is still decided exactly (min =
+    max), but n is a HyperLogLog++ estimate shown as '< ~n >'; this needs no
+    Expand of the rows, so many such columns stay cheap on large inputs.
     """
     c = as_col(col).cast("string")
     counted = F.coalesce(c, F.lit(null_text)) if null_counts else c
-    n = F.count_distinct(counted)
-    if else_ == "count":
-        other = F.concat(F.lit("< "), n.cast("string"), F.lit(" >"))
+    if approx:
+        single = (F.min(counted) == F.max(counted)) & F.max(counted).isNotNull()
+        n = F.approx_count_distinct(counted)
+        text = F.concat(F.lit("< ~"), n.cast("string"), F.lit(" >"))
     else:
-        other = F.lit(else_).cast("string")
-    return F.when(n == 1, F.min(c)).otherwise(other)
+        n = F.count_distinct(counted)
+        single = n == 1
+        text = F.concat(F.lit("< "), n.cast("string"), F.lit(" >"))
+    other = text if else_ == "count" else F.lit(else_).cast("string")
+    return F.when(single, F.min(c)).otherwise(other)
 
 
 def load_average(weight, bucket_seconds: int) -> Column:

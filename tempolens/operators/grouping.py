@@ -56,13 +56,17 @@ def group_filter(filters: Mapping[str, object], registry: Registry) -> Column:
 
 def drilldown(df: DataFrame, registry: Registry, by: str, filters: Mapping[str, object] | None = None,
               measures: Mapping[str, Column] | None = None, others: list[str] | None = None,
-              null_counts: bool = True) -> DataFrame:
-    """Group by one dimension; every other dimension shown as value or '< n >' (A17)."""
+              null_counts: bool = True, approx: bool = False) -> DataFrame:
+    """Group by one dimension; every other dimension shown as value or '< n >' (A17).
+
+    approx=True shows the number of values as a HyperLogLog++ estimate, which
+    avoids the Expand that several exact distinct counts need.
+    """
     f = df.filter(group_filter(filters or {}, registry)) if filters else df
     dims = [d for d in (others if others is not None else registry)
             if d != by and not (callable(registry[d]) and not isinstance(registry[d], Column))]
     aggs = [m.alias(n) for n, m in (measures or {"count_samples": F.count(F.lit(1))}).items()]
-    aggs += [single_or_count(_expr(registry, d), null_counts=null_counts).alias(d) for d in dims]
+    aggs += [single_or_count(_expr(registry, d), null_counts=null_counts, approx=approx).alias(d) for d in dims]
     return f.groupBy(_expr(registry, by).alias(by)).agg(*aggs)
 
 

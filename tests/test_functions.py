@@ -48,3 +48,25 @@ def test_parse_time_strict(spark):
     df = spark.createDataFrame([("24.12.2023 13:45",), ("2023-12-24",), ("garbage",)], "t string")
     r = [x.p for x in df.select(parse_time("t", "de").alias("p")).collect()]
     assert r[0] == dt.datetime(2023, 12, 24, 13, 45) and r[1] is None and r[2] is None
+
+
+def test_single_or_count_approx_matches_exact_decision(spark):
+    rows = [("a", "x"), ("a", None), ("b", "y"), ("b", "y"), ("c", None), ("d", "p"), ("d", "q"), ("d", "r")]
+    df = spark.createDataFrame(rows, "g string, v string")
+    for nc in (True, False):
+        out = {r.g: (r.e, r.a) for r in df.groupBy("g").agg(single_or_count("v", null_counts=nc).alias("e"),
+                                                             single_or_count("v", null_counts=nc, approx=True).alias("a")).collect()}
+        for g, (e, a) in out.items():
+            if e is None or not e.startswith("<"):
+                assert a == e
+            else:
+                assert a == e.replace("< ", "< ~")
+
+
+def test_approx_drilldown_has_no_expand(spark):
+    from tempolens.operators.grouping import drilldown
+    df = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "k string, v string, w int")
+    reg = {"k": "k", "v": "v", "w": "w"}
+    plan = drilldown(df, reg, "k", approx=True)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    assert "Expand" in drilldown(df, reg, "k")._jdf.queryExecution().executedPlan().toString()
