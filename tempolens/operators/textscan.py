@@ -4,9 +4,12 @@ A49 finds, for every occurrence of a function name (NVL), the bracket
 that opens its argument list, the first top-level comma and the closing
 bracket, and reports each opening bracket inside the second argument (a
 nested call).  Texts are cut into bracket/comma tokens with ``split`` on a
-look-ahead pattern; depths are running sums per text; bracket pairs are
-found per (text, depth) by counting opens, so no token is paired with
-every other token of its text.
+look-ahead pattern; positions and depths are running sums per text;
+bracket pairs are found per (text, depth) by counting opens, so no token is
+paired with every other token of its text.  With ``chunk`` set, the
+running sums work on fixed-size chunks of a text plus per-chunk offsets
+(``running_sum``, ``next_value``), so even one very long text is spread over
+many tasks.
 """
 
 from __future__ import annotations
@@ -41,34 +44,75 @@ def regex_column_use(stmts: DataFrame, cols: DataFrame, stmt_table: str, col_tab
     return j.filter(hit).drop("_section", "_col")
 
 
-def _positions(df: DataFrame, id_col: str, arr: Column, out_pos: str, out_item: str) -> DataFrame:
+def running_sum(df: DataFrame, part: list[str], order: str, value: Column, out: str, chunk: int | None = None,
+                inclusive: bool = True) -> DataFrame:
+    """Running sum of ``value`` per ``part`` in ``order`` (numeric), without one window per part.
+
+    Rows are cut into chunks of ``chunk`` consecutive order values; the sum
+    runs inside (part, chunk) and each chunk adds the total of all earlier
+    chunks, taken from a small window over one row per chunk.  A single very
+    long text therefore spreads over many tasks.  ``chunk=None`` uses one
+    window per part (cheaper when every part is small).
+    """
+    frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
+    if chunk is None:
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(*frame)
+        return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+    c = "__rs_chunk"
+    d = df.withColumn(c, F.floor(F.col(order) / F.lit(chunk))).withColumn("__rs_v", value)
+    w = Window.partitionBy(*part, c).orderBy(order).rowsBetween(*frame)
+    d = d.withColumn("__rs_local", F.coalesce(F.sum("__rs_v").over(w), F.lit(0)))
+    tot = d.groupBy(*part, c).agg(F.sum("__rs_v").alias("__rs_t"))
+    wo = Window.partitionBy(*part).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*part, c, F.coalesce(F.sum("__rs_t").over(wo), F.lit(0)).alias("__rs_off"))
+    return d.join(off, [*part, c], "inner") \
+        .withColumn(out, F.col("__rs_local") + F.col("__rs_off")).drop(c, "__rs_v", "__rs_local", "__rs_off")
+
+
+def next_value(df: DataFrame, part: list[str], order: str, value: str, out: str, chunk: int | None = None) -> DataFrame:
+    """First non-NULL ``value`` at or after each row per ``part`` in ``order``, chunked like ``running_sum``."""
+    if chunk is None:
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        return df.withColumn(out, F.first(value, ignorenulls=True).over(w))
+    c = "__nv_chunk"
+    d = df.withColumn(c, F.floor(F.col(order) / F.lit(chunk)))
+    w = Window.partitionBy(*part, c).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    d = d.withColumn("__nv_local", F.first(value, ignorenulls=True).over(w))
+    firsts = d.groupBy(*part, c).agg(F.min(value).alias("__nv_min"))
+    wn = Window.partitionBy(*part).orderBy(c).rowsBetween(1, Window.unboundedFollowing)
+    nxt = firsts.select(*part, c, F.first("__nv_min", ignorenulls=True).over(wn).alias("__nv_next"))
+    return d.join(nxt, [*part, c], "inner") \
+        .withColumn(out, F.coalesce("__nv_local", "__nv_next")).drop(c, "__nv_local", "__nv_next")
+
+
+def _positions(df: DataFrame, id_col: str, arr: Column, out_pos: str, out_item: str, chunk: int | None = None) -> DataFrame:
     """posexplode an array of string pieces with the 1-based start position of each piece."""
     e = df.select(id_col, F.posexplode(arr).alias("_i", out_item))
-    w = Window.partitionBy(id_col).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
-    return e.withColumn(out_pos, F.coalesce(F.sum(F.length(out_item)).over(w), F.lit(0)) + 1)
+    e = running_sum(e, [id_col], "_i", F.length(out_item), "_before", chunk=chunk, inclusive=False)
+    return e.withColumn(out_pos, F.col("_before") + 1).drop("_before")
 
 
 def call_argument_scan(df: DataFrame, id_col: str, text_col: str, func: str = "NVL",
-                       bucket: int = 256) -> DataFrame:
+                       bucket: int = 256, chunk: int | None = None) -> DataFrame:
     """Opening brackets inside the second argument of every ``func(`` call.
 
     Output: id, call_no (n-th occurrence of ``func``), open_bracket_position
     (relative to the end of the name, as in the reference's rule),
     call_parameter (from after the name to the closing bracket).
+    ``chunk``: None runs the scans as one window per text (statement texts
+    are small); a size such as 65536 splits very long texts into chunks.
     """
     f = func.upper()
     base = df.select(F.col(id_col).alias("_id"), F.upper(F.col(text_col)).alias("_u"))
     # --- tokens '(' ')' ',' with position and depth
-    tok = _positions(base, "_id", F.split("_u", "(?=[(),])"), "_pos", "_seg") \
+    tok = _positions(base, "_id", F.split("_u", "(?=[(),])"), "_pos", "_seg", chunk) \
         .withColumn("_ch", F.substring("_seg", 1, 1)).filter(F.col("_ch").isin("(", ")", ","))
     delta = F.when(F.col("_ch") == "(", 1).when(F.col("_ch") == ")", -1).otherwise(0)
-    wt = Window.partitionBy("_id").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    tok = tok.withColumn("_after", F.sum(delta).over(wt))
+    tok = running_sum(tok, ["_id"], "_pos", delta, "_after", chunk=chunk)
     tok = tok.withColumn("_lvl", F.when(F.col("_ch") == "(", F.col("_after") - 1)
                          .when(F.col("_ch") == ")", F.col("_after")).otherwise(F.col("_after") - 1))
     # --- bracket pairs per (text, level): group = running count of opens
-    wg = Window.partitionBy("_id", "_lvl").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    tok = tok.withColumn("_g", F.sum(F.when(F.col("_ch") == "(", 1).otherwise(0)).over(wg))
+    tok = running_sum(tok, ["_id", "_lvl"], "_pos", F.when(F.col("_ch") == "(", 1).otherwise(0), "_g", chunk=chunk)
     pairs = (tok.filter(F.col("_g") > 0).groupBy("_id", "_lvl", "_g")
              .agg(F.min(F.when(F.col("_ch") == "(", F.col("_pos"))).alias("_open"),
                   F.min(F.when(F.col("_ch") == ",", F.col("_pos"))).alias("_comma"),
@@ -76,15 +120,15 @@ def call_argument_scan(df: DataFrame, id_col: str, text_col: str, func: str = "N
     # --- occurrences of the function name; each takes the next '(' after it.
     # Piece i (>= 1) of split(text, name) follows the i-th occurrence, which
     # starts at 1 + (length of pieces before) + len(name) * (i - 1).
-    parts = _positions(base, "_id", F.split("_u", f), "_p0", "_part").filter(F.col("_i") > 0)
+    parts = _positions(base, "_id", F.split("_u", f), "_p0", "_part", chunk).filter(F.col("_i") > 0)
     calls = parts.select("_id", F.col("_i").cast("bigint").alias("call_no"),
                          (F.col("_p0") + F.lit(len(f)) * (F.col("_i") - 1)).alias("_name_pos"))
     opens = tok.filter(F.col("_ch") == "(").select("_id", F.col("_pos").alias("_ev"), F.col("_pos").alias("_open"))
     stream = calls.select("_id", (F.col("_name_pos") + len(f)).alias("_ev"), "call_no", "_name_pos") \
         .unionByName(opens, allowMissingColumns=True)
-    wn = Window.partitionBy("_id").orderBy("_ev", F.col("call_no").asc_nulls_last()) \
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    stream = stream.withColumn("_next_open", F.first("_open", ignorenulls=True).over(wn))
+    # a call and the '(' right after its name share a position: the call sorts first
+    stream = stream.withColumn("_evk", F.col("_ev") * 2 + F.when(F.col("call_no").isNull(), 1).otherwise(0))
+    stream = next_value(stream, ["_id"], "_evk", "_open", "_next_open", chunk=None if chunk is None else 2 * chunk)
     calls = stream.filter(F.col("call_no").isNotNull()).select("_id", "call_no", "_name_pos", "_next_open")
     calls = calls.join(pairs.withColumnRenamed("_open", "_next_open"), ["_id", "_next_open"], "inner") \
         .filter(F.col("_comma").isNotNull() & (F.col("_comma") < F.col("_close")))

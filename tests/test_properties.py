@@ -53,13 +53,14 @@ def statements(draw):
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(texts=st.lists(statements(), min_size=1, max_size=6))
-def test_call_argument_scan_matches_brute_force(spark, texts):
+@given(texts=st.lists(statements(), min_size=1, max_size=6), chunk=st.sampled_from([None, 2, 3, 7]))
+def test_call_argument_scan_matches_brute_force(spark, texts, chunk):
+    """Plain windows and the chunked scans (tiny chunks force many chunks per text) agree with brute force."""
     from tempolens.operators.textscan import call_argument_scan
     from test_operators import _scan_brute
     df = spark.createDataFrame(list(enumerate(texts)), "id int, txt string")
     got = {}
-    for r in call_argument_scan(df, "id", "txt").collect():
+    for r in call_argument_scan(df, "id", "txt", chunk=chunk).collect():
         got.setdefault(r.id, []).append((r.call_no, r.open_bracket_position, r.call_parameter))
     for i, t in enumerate(texts):
-        assert sorted(got.get(i, [])) == _scan_brute(t), t
+        assert sorted(got.get(i, [])) == _scan_brute(t), (t, chunk)
