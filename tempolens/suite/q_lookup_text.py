@@ -148,6 +148,30 @@ def a49(spark, sf):
     return T.call_argument_scan(_fx(spark, sf, "fx_nvl_sql"), "sql_id", "sql_text", "NVL")
 
 
+A49_SQL = """
+WITH RECURSIVE chars AS (
+  SELECT sql_id, upper(sql_text) AS u, i, substr(upper(sql_text), i, 1) AS ch
+  FROM fx_nvl_sql, generate_series(1, length(sql_text)) g(i)),
+calls AS (
+  SELECT sql_id, u, i AS name_pos, row_number() OVER (PARTITION BY sql_id ORDER BY i) AS call_no
+  FROM chars WHERE substr(u, i, 3) = 'NVL'),
+scan AS (
+  SELECT c.sql_id, c.u, c.call_no, c.name_pos, x.i - c.name_pos - 2 AS lvl, x.ch,
+    sum(CASE WHEN x.ch = '(' THEN 1 WHEN x.ch = ')' THEN -1 ELSE 0 END) OVER (PARTITION BY c.sql_id, c.call_no ORDER BY x.i) AS d
+  FROM calls c JOIN chars x ON x.sql_id = c.sql_id AND x.i >= c.name_pos + 3 AND x.ch IN ('(', ')', ',')),
+marks AS (
+  SELECT *, min(CASE WHEN d = 1 AND ch = ',' THEN lvl END) OVER (PARTITION BY sql_id, call_no) AS komma,
+            min(CASE WHEN lvl > 3 AND d = 0 THEN lvl END) OVER (PARTITION BY sql_id, call_no) AS ende FROM scan)
+SELECT sql_id, call_no, CAST(lvl AS BIGINT) AS open_bracket_position, substr(u, name_pos + 3, ende) AS call_parameter
+FROM marks WHERE ch = '(' AND lvl BETWEEN komma AND ende"""
+
+
+@query("a49_call_argument_scan_chunked", A49_SQL)
+def a49_chunked(spark, sf):
+    # two-level prefix sums over chunks of 16 positions: every statement spans several chunks
+    return T.call_argument_scan(_fx(spark, sf, "fx_nvl_sql"), "sql_id", "sql_text", "NVL", chunk=16)
+
+
 @query("a50_queue_balance", """
 WITH cur AS (SELECT id_messagetype AS sub_key, count(*) AS current_length FROM fx_message WHERE erroneous = 'N' GROUP BY 1),
 fl AS (SELECT sub_key, minute, CAST(sum(CASE WHEN code = 4532 THEN counter ELSE 0 END) AS BIGINT) AS inflow,
