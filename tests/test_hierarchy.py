@@ -42,3 +42,15 @@ def test_constraint_closure_on_fixture_graph(spark):
     out = {r.child_table: r.level for r in table_closure(fixture(spark, SF001, "fx_constraint"), "region").collect()}
     # lineitem is reached via supplier (level 3) and via customer-orders (level 4): the deepest level is kept
     assert out == {"nation": 1, "customer": 2, "supplier": 2, "orders": 3, "lineitem": 4}
+
+
+def test_walk_max_depth_and_parent_condition(spark):
+    # chain 1 <- 2 <- 3 <- 4 <- 5; node 3 carries a mark
+    lines = spark.createDataFrame([(1, 1, None, None), (1, 2, 1, None), (1, 3, 2, "x"), (1, 4, 3, None), (1, 5, 4, None)],
+                                  "plan int, id int, parent_id int, mark string")
+    start = F.col("parent_id").isNull()
+    assert hierarchy_walk(lines, [("id", "parent_id")], ["plan"], start=start, node=["id"]).count() == 5
+    assert hierarchy_walk(lines, [("id", "parent_id")], ["plan"], start=start, node=["id"], max_depth=2).count() == 2
+    # descend only through rows without a mark: stops below node 3 (3 is reached, its children are not)
+    w = hierarchy_walk(lines, [("id", "parent_id")], ["plan"], start=start, node=["id"], expand_if=F.col("mark").isNull())
+    assert sorted(r.id for r in w.collect()) == [1, 2, 3]
