@@ -28,12 +28,26 @@ def _node(prefix: str, cols: list[str]) -> Column:
     return F.struct(*[F.col(f"{prefix}.{c}").alias(c) for c in cols])
 
 
-def _materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint computed once: persist, write to the checkpoint folder, release the cache."""
+ROWS_PER_PARTITION = 1_000_000
+
+
+def _materialize(df: DataFrame) -> tuple[DataFrame, int]:
+    """Reliable checkpoint computed once; returns the checkpointed level and its row count.
+
+    The level is cached and counted, narrowed (coalesce, no shuffle) to about
+    one partition per million rows, written to the checkpoint folder from
+    the cache, and the cache is released.  The count doubles as the
+    emptiness test of the walk.
+    """
     cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = cached.checkpoint(eager=True)
+    n = cached.count()
+    if n == 0:
+        cached.unpersist()
+        return cached, 0
+    parts = max(1, min(cached.rdd.getNumPartitions(), -(-n // ROWS_PER_PARTITION)))
+    out = cached.coalesce(parts).checkpoint(eager=True)
     cached.unpersist()
-    return out
+    return out, n
 
 
 def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[str] = (),
@@ -65,7 +79,7 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
         roots = start.select(*cols)
     else:
         roots = base.filter(start) if start is not None else base
-    frontier = _materialize(roots.alias("r").select(
+    frontier, _ = _materialize(roots.alias("r").select(
         *[F.col(f"r.{c}") for c in cols], *[F.col(f"r.{c}").alias(f"root_{c}") for c in root_cols],
         F.lit(1).alias(level_col), F.array(_node("r", node)).alias(path_col)))
     parts = [frontier]
@@ -75,12 +89,12 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
         p, c = parents.alias("p"), base.alias("c")
         cond = [F.col(f"c.{col}") == F.col(f"p.{prior}") for prior, col in connect] + \
                [F.col(f"c.{s}") == F.col(f"p.{s}") for s in same]
-        nxt = _materialize(p.join(c, cond, "inner")
+        nxt, n = _materialize(p.join(c, cond, "inner")
                            .filter(~F.array_contains(F.col(f"p.{path_col}"), _node("c", node)))
                            .select(*[F.col(f"c.{x}") for x in cols], *[F.col(f"p.root_{x}") for x in root_cols],
                                    (F.col(f"p.{level_col}") + 1).alias(level_col),
                                    F.concat(F.col(f"p.{path_col}"), F.array(_node("c", node))).alias(path_col)))
-        if nxt.isEmpty():
+        if n == 0:
             break
         parts.append(nxt)
         frontier = nxt
