@@ -23,7 +23,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def grams(word: str, n: int) -> list[str]:
-    w = f" {word} "
+    w = f" {word} " if n > 1 else word
     return [w[i:i + n] for i in range(len(w) - n + 1)]
 
 
