@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from . import chat as _chat
 from . import decontaminate as _decon
+from . import embeddings as _embeddings
 from . import language as _lang
 from . import line_dedup as _lines
+from . import ngram_join as _ngrams
 from . import packing as _pack
 from . import secrets as _secrets
 from . import token_files as _files
@@ -23,6 +25,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _embeddings.link_vectors(_read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     scan = _decon.scan_benchmark(docs, _read(spark, sf_dir, "benchmark"), window=10)
@@ -48,6 +54,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.col("spans")).alias("spans"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return _ngrams.similar_documents(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     out = _pack.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, room=2048)
@@ -90,7 +101,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_benchmark_decontamination, op3_secret_scan, op6_packing, op7_language_id, op8_chat_formatting,
+        op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op5_ngram_jaccard_join, op6_packing, op7_language_id, op8_chat_formatting,
         op9_line_dedup, op10_token_files,
     )}
 
