@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import chat as _chat
 from . import decontaminate as _decon
 from . import embeddings as _embeddings
+from . import extract as _extract
 from . import language as _lang
 from . import line_dedup as _lines
 from . import ngram_join as _ngrams
@@ -54,6 +55,11 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(F.col("spans")).alias("spans"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return _extract.extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return _ngrams.similar_documents(docs, n=4, percent=85).select("doc_id", "n_shingles", "component_id")
@@ -101,7 +107,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op5_ngram_jaccard_join, op6_packing, op7_language_id, op8_chat_formatting,
+        op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op4_html_extraction,
+        op5_ngram_jaccard_join, op6_packing, op7_language_id, op8_chat_formatting,
         op9_line_dedup, op10_token_files,
     )}
 
