@@ -236,6 +236,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
                   max_coverage: float = 0.5) -> DataFrame:
     """``docs`` without benchmark spans: matched ranges are cut out, and texts of which more than
     ``max_coverage`` of the words are hit are dropped.  Clean rows stay as they are."""
-    scanned = scan_benchmark(docs, benchmark, text_col, window)
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("text"))
+    scanned = scan_benchmark(rows, benchmark, "text", window)
     kept = scanned.where((F.size("scan.hits") == 0) | (n_hit() <= max_coverage * F.col("scan.n_words")))
-    return remove_spans(kept, text_col).drop("scan")
+    return remove_spans(kept, "text").select(*[F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
