@@ -10,9 +10,9 @@ series (a third of all rows) would be one task.  By default the lag runs
 per (series, chunk), where the chunk is a coarse key monotone in ``order``
 (ranges of snapshot ids or days); the first row of every chunk takes the
 last row of the previous non-empty chunk, found by a second, small window
-over one summary row per chunk.  The big side keeps the (series, chunk)
-partitioning for the carry join, so the cost is one extra aggregate.  The
-result is identical to the single window (tested).
+over one row per chunk.  Those last rows come from the windowed rows
+themselves, so the facts are read and shuffled once.  NULL is a key and an
+order like any other.  The result is identical to the single window (tested).
 """
 
 from __future__ import annotations
@@ -43,13 +43,16 @@ AUTO_CHUNK_WIDTH = 1024
 
 
 def auto_chunk(df: DataFrame, order: str) -> Column | None:
-    """Coarse key monotone in ``order``: ranges of 1024 for integral orders, days for time orders."""
+    """Coarse key monotone in ``order``: ranges of 1024 for numeric orders, days for time orders.
+
+    Other types have no such key; the caller passes ``chunk`` (None for one window per series).
+    """
     t = df.schema[order].dataType.typeName()
-    if t in ("integer", "long", "short", "byte"):
+    if t in ("integer", "long", "short", "byte", "double", "float") or t.startswith("decimal"):
         return F.floor(F.col(order) / F.lit(AUTO_CHUNK_WIDTH))
     if t.startswith("timestamp") or t == "date":
         return F.to_date(F.col(order))
-    return None
+    raise ValueError(f"no chunks for order column {order} of type {t}: pass chunk=<column> or chunk=None")
 
 
 def counter_delta(df: DataFrame, keys, order: str, counters, reset: str = "drop",
@@ -79,13 +82,16 @@ def counter_delta(df: DataFrame, keys, order: str, counters, reset: str = "drop"
         dc = df.withColumn("__cd_chunk", chunk)
         w1 = Window.partitionBy(*keys, "__cd_chunk").orderBy(order)
         d = dc.select("*", *[F.lag(c).over(w1).alias(f"__cd_p_{c}") for c in counters],
-                      F.lag(F.lit(1)).over(w1).isNull().alias("__cd_first"))
-        # last row of each chunk (partial aggregation map-side), then the previous chunk's last row
-        last = dc.groupBy(*keys, "__cd_chunk").agg(
-            F.max(F.struct(F.col(order).alias("__cd_o"), *[F.col(c) for c in counters])).alias("__cd_last"))
+                      F.lag(F.lit(1)).over(w1).isNull().alias("__cd_first"),
+                      F.lead(F.lit(1)).over(w1).isNull().alias("__cd_end"))
+        # the last row of each chunk, of the same shuffled rows, carried to the next chunk of the series
+        last = d.filter("__cd_end").select(*keys, "__cd_chunk", F.struct(*[F.col(c) for c in counters]).alias("__cd_last"))
         w2 = Window.partitionBy(*keys).orderBy("__cd_chunk")
-        carry = last.select(*keys, "__cd_chunk", F.lag("__cd_last").over(w2).alias("__cd_carry"))
-        d = d.join(carry, [*keys, "__cd_chunk"], "left")
+        carry = last.select(*[F.col(k).alias(f"__cd_k{i}") for i, k in enumerate(keys)], F.col("__cd_chunk").alias("__cd_c"),
+                            F.lag("__cd_last").over(w2).alias("__cd_carry"))
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__cd_k{i}")) for i, k in enumerate(keys)],
+                      F.col("__cd_chunk").eqNullSafe(F.col("__cd_c")))
+        d = d.join(carry, same, "left")
         deltas = []
         for c in counters:
             prev = F.when(F.col("__cd_first"),

@@ -4,7 +4,8 @@
 rows is joined with all rows level by level.  Each level is written to the
 shared checkpoint folder (``spark.checkpoint.dir``), so the lineage stays
 one level deep and a lost executor only recomputes one join; the loop
-stops on an empty frontier or at ``max_depth``.  A path array of node keys
+stops on an empty frontier; a walk that goes on below a given ``max_depth``
+is an error, never a shorter result.  A path array of node keys
 carries the NOCYCLE rule: a child already on its path is not entered.
 The frontier join is an equi join on the connect keys, so Spark/AQE
 broadcast a small frontier or split a hot key with skew-join handling.
@@ -52,7 +53,7 @@ def _materialize(df: DataFrame) -> tuple[DataFrame, int]:
 
 def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[str] = (),
                    start: "Column | DataFrame | None" = None, node: list[str] | None = None,
-                   root_cols: list[str] = (), max_depth: int = 100,
+                   root_cols: list[str] = (), max_depth: int | None = None,
                    level_col: str = "level", path_col: str = "path",
                    expand_if: Column | None = None) -> DataFrame:
     """All rows reachable from the start rows with level, root columns and path.
@@ -64,6 +65,8 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
     root_cols: columns of the root row carried as root_<col> (CONNECT_BY_ROOT).
     expand_if: condition on a row for its children to be visited
       (CONNECT BY ... AND PRIOR <condition>).
+    max_depth: None (the path keeps cycles out, so a walk ends by itself), or
+      a level below which rows are an error.
 
     Every level is computed once (persisted while it is written) and cut
     from its lineage by a reliable checkpoint in the shared checkpoint
@@ -84,7 +87,7 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
         F.lit(1).alias(level_col), F.array(_node("r", node)).alias(path_col)))
     parts = [frontier]
     level = 1
-    while level < max_depth:
+    while True:
         parents = frontier.filter(expand_if) if expand_if is not None else frontier
         p, c = parents.alias("p"), base.alias("c")
         cond = [F.col(f"c.{col}") == F.col(f"p.{prior}") for prior, col in connect] + \
@@ -96,6 +99,9 @@ def hierarchy_walk(rows: DataFrame, connect: list[tuple[str, str]], same: list[s
                                    F.concat(F.col(f"p.{path_col}"), F.array(_node("c", node))).alias(path_col)))
         if n == 0:
             break
+        if max_depth is not None and level >= max_depth:
+            base.unpersist()
+            raise ValueError(f"the hierarchy goes on below level {max_depth} ({n} rows)")
         parts.append(nxt)
         frontier = nxt
         level += 1

@@ -14,6 +14,8 @@ many tasks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,7 +122,7 @@ def call_argument_scan(df: DataFrame, id_col: str, text_col: str, func: str = "N
     # --- occurrences of the function name; each takes the next '(' after it.
     # Piece i (>= 1) of split(text, name) follows the i-th occurrence, which
     # starts at 1 + (length of pieces before) + len(name) * (i - 1).
-    parts = _positions(base, "_id", F.split("_u", f), "_p0", "_part", chunk).filter(F.col("_i") > 0)
+    parts = _positions(base, "_id", F.split("_u", re.escape(f)), "_p0", "_part", chunk).filter(F.col("_i") > 0)
     calls = parts.select("_id", F.col("_i").cast("bigint").alias("call_no"),
                          (F.col("_p0") + F.lit(len(f)) * (F.col("_i") - 1)).alias("_name_pos"))
     opens = tok.filter(F.col("_ch") == "(").select("_id", F.col("_pos").alias("_ev"), F.col("_pos").alias("_open"))

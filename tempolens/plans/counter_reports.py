@@ -21,7 +21,7 @@ INST = ["dbid", "instance_number"]
 
 
 def system_events_total(fact: DataFrame, snaps: DataFrame, names: DataFrame, start, end,
-                        exclude_idle: bool = True, chunk=None) -> DataFrame:
+                        exclude_idle: bool = True, chunk="auto") -> DataFrame:
     """Waits, timeouts and wait seconds per event in a time range."""
     bounds = snapshot_bounds(snaps, start, end)
     d = delta_in_range(fact, bounds, INST + ["event_id"], "snap_id",

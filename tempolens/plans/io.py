@@ -36,8 +36,11 @@ def io_measures(interval_secs: Column | None = None) -> dict[str, Column]:
 
 
 def io_deltas(data: DataFrame, temp: DataFrame | None, keys: list[str], counters=IO_COUNTERS,
-              reset: str = "drop") -> DataFrame:
-    """Data-file and temp-file counters unioned, turned into deltas, first snapshot dropped."""
+              reset: str = "keep") -> DataFrame:
+    """Data-file and temp-file counters unioned, turned into deltas, first snapshot dropped.
+
+    Deltas after a restart stay as they are (negative) unless ``reset`` says otherwise.
+    """
     f = data if temp is None else data.unionByName(temp)
     d = counter_delta(f, INST + keys, "snap_id", list(counters), reset=reset)
     return drop_first_snapshot(d, INST, "snap_id")

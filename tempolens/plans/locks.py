@@ -17,7 +17,7 @@ EDGE = dict(session="session_id", blocker="blocking_session", sample="sample_id"
 
 
 def blocking_walk(edges: DataFrame, start=None, session: str = "session_id", blocker: str = "blocking_session",
-                  sample: str = "sample_id", root_cols=None, max_depth: int = 100) -> DataFrame:
+                  sample: str = "sample_id", root_cols=None, max_depth: int | None = None) -> DataFrame:
     """Walk down from blockers to everyone waiting on them (A27 on wait-for edges)."""
     return hierarchy_walk(edges, connect=[(session, blocker)], same=[sample], start=start,
                           node=[session], root_cols=root_cols or [sample, blocker], max_depth=max_depth)

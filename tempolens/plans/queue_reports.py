@@ -12,7 +12,9 @@ from ..streaming.operators import parse_usage_line
 
 # Counter codes of the queue statistics (name -> code).
 ASPECT_CODES = {"incoming": 4532, "first_try_success": 6216, "retry_success": 6217, "final_error": 6218,
-                "retry": 6281, "retry_wait": 6282, "expired": 7251}
+                "divide_and_conquer": 6279, "retry_tx": 6280, "first_try": 6281, "retries": 6282, "first_try_error": 6283,
+                "retry_error": 6284, "elapsed_ms": 7251, "bulk_groups": 7862, "sla_warnings": 7402, "sla_alerts": 7403,
+                "compressions": 4160}
 
 
 def queue_overview(messages: DataFrame, counters: DataFrame, key: str = "id_messagetype",

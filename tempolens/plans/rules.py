@@ -112,18 +112,35 @@ def stat_measures() -> list[Column]:
 
 # ----------------------------------------------------------------------------------------------
 # Potential in DB structures
-@rule("R08", "Indexes not used in current or historic execution plans", 0, min_rows=100000)
-def r08_unused_indexes(t: Tables, min_rows: int):
-    idx = t.objects.filter((F.col("object_type") == "INDEX") & (F.col("num_rows") >= min_rows))
-    used = [p.select(F.col("object_owner").alias("owner"), "object_name") for p in (t.plan_lines, t.plan_lines_hist)]
-    return unused_anti(idx, ["owner", "object_name"], *used)
+# Schemas of the database system itself, and the mark of its own statistics statements.
+SYSTEM_OWNERS = ("SYS", "OUTLN", "SYSTEM", "WMSYS", "SYSMAN", "XDB")
+STATISTICS_MARK = "dbms_stats cursor_sharing_exact"
 
 
-@rule("R16", "Tables not used in current or historic execution plans", 0, min_rows=100000)
-def r16_unused_tables(t: Tables, min_rows: int):
-    tab = t.objects.filter((F.col("object_type") == "TABLE") & (F.col("num_rows") >= min_rows))
-    used = [p.select(F.col("object_owner").alias("owner"), "object_name") for p in (t.plan_lines, t.plan_lines_hist)]
-    return unused_anti(tab, ["owner", "object_name"], *used)
+def _used_objects(t: Tables, days: int) -> list[DataFrame]:
+    """Objects in plans of the cursor cache, and in plans of statements that ran in the last ``days``.
+
+    The statements that gather statistics are not a use.
+    """
+    own = ~F.col("sql_text").contains(STATISTICS_MARK)
+    names = [F.col("object_owner").alias("owner"), F.col("object_name")]
+    current = t.plan_lines.join(t.sqlarea.filter(own).select("sql_id"), "sql_id", "left_semi").select(*names)
+    ran = recent_sqlstat(t, days).select("sql_id", "plan_hash_value").distinct() \
+        .join(t.sqltext.filter(own).select("sql_id"), "sql_id", "left_semi")
+    return [current, t.plan_lines_hist.join(ran, ["sql_id", "plan_hash_value"], "left_semi").select(*names)]
+
+
+@rule("R08", "Indexes not used in current or historic execution plans", 0, days=8)
+def r08_unused_indexes(t: Tables, days: int):
+    idx = t.indexes.filter((F.col("uniqueness") != "UNIQUE") & ~F.col("owner").isin(*SYSTEM_OWNERS)) \
+        .withColumn("object_name", F.col("index_name"))
+    return unused_anti(idx, ["owner", "object_name"], *_used_objects(t, days)).drop("object_name")
+
+
+@rule("R16", "Tables not used in current or historic execution plans", 0, days=8)
+def r16_unused_tables(t: Tables, days: int):
+    tab = t.tables.filter(~F.col("owner").isin(*SYSTEM_OWNERS)).withColumn("object_name", F.col("table_name"))
+    return unused_anti(tab, ["owner", "object_name"], *_used_objects(t, days)).drop("object_name")
 
 
 @rule("R17", "Tables with inserts but no deletes (missing housekeeping)", 0, min_inserts=1)
@@ -141,30 +158,44 @@ def _plan_stats(t: Tables, days: int):
                                                               F.sum("rows_processed_delta").alias("rows_processed"))
 
 
+STMT = ["sql_id", "plan_hash_value"]
+
+
 @rule("R22", "Index full scans in execution plans", 1, days=8, operation="INDEX", options="FULL SCAN")
-def r22_index_full_scans(t: Tables, days: int, operation: str, options: str | None):
-    p = t.plan_lines.filter(F.col("operation") == operation)
-    if options is not None and "options" in p.columns:
-        p = p.filter(F.col("options") == options)
-    p = p.select("plan_hash_value", "object_owner", "object_name").distinct()
-    return _plan_stats(t, days).join(p, "plan_hash_value", "inner") \
+def r22_index_full_scans(t: Tables, days: int, operation: str, options: str):
+    p = t.plan_lines.filter((F.col("operation") == operation) & (F.col("options") == options)) \
+        .select(*STMT, "object_owner", "object_name").distinct()
+    return _plan_stats(t, days).join(p, STMT, "inner") \
         .join(t.objects.select(F.col("owner").alias("object_owner"), "object_name", "num_rows"),
               ["object_owner", "object_name"], "left")
 
 
-@rule("R23", "Full table scans by executions", 1, days=8, operation="TABLE ACCESS", min_executions=100)
-def r23_full_scans_by_executions(t: Tables, days: int, operation: str, min_executions: int):
-    p = t.plan_lines.filter(F.col("operation") == operation).select("plan_hash_value", "object_owner", "object_name").distinct()
+def _full_scans(t: Tables, operation: str, options: str) -> DataFrame:
+    """Objects that a statement's plan reads in full (any kind of full access), one row per plan and object."""
+    return t.plan_lines.filter((F.col("operation") == operation) & F.col("options").like(options) &
+                               (F.col("object_owner") != "SYS")).select(*STMT, "object_owner", "object_name").distinct()
+
+
+@rule("R23", "Full table scans by executions", 1, days=8, operation="TABLE ACCESS", options="%FULL", min_executions=100)
+def r23_full_scans_by_executions(t: Tables, days: int, operation: str, options: str, min_executions: int):
     s = _plan_stats(t, days).filter(F.col("executions") > min_executions)
-    return s.join(p, "plan_hash_value", "inner")
+    return s.join(_full_scans(t, operation, options), STMT, "inner")
 
 
-@rule("R24", "Full table scans by executions and table rows", 1, days=8, operation="TABLE ACCESS", min_executions=100)
-def r24_full_scans_by_rows(t: Tables, days: int, operation: str, min_executions: int):
-    base = r23_full_scans_by_executions(t, days, operation, min_executions)
-    o = t.objects.select(F.col("owner").alias("object_owner"), "object_name", "num_rows")
-    return base.join(o, ["object_owner", "object_name"], "inner") \
-        .withColumn("weight", F.col("executions") * F.col("num_rows"))
+@rule("R24", "Full table scans by executions and table rows", 1, days=8, operation="TABLE ACCESS", options="%FULL",
+      min_rows=100, min_executions=100)
+def r24_full_scans_by_rows(t: Tables, days: int, operation: str, options: str, min_rows: int, min_executions: int):
+    o = t.objects.filter(F.col("num_rows") > min_rows).groupBy(F.col("owner").alias("object_owner"), "object_name") \
+        .agg(F.min("num_rows").alias("num_rows"))
+    j = _plan_stats(t, days).join(_full_scans(t, operation, options), STMT, "inner").join(o, ["object_owner", "object_name"], "inner")
+    g = j.groupBy("dbid", "sql_id", "object_owner", "object_name").agg(
+        F.sum("executions").alias("executions"), F.sum("rows_processed").alias("rows_processed"), F.min("num_rows").alias("num_rows"))
+    g = g.filter((F.col("rows_processed") > 0) & (F.col("executions") > min_executions)) \
+        .join(t.sqltext.filter(~F.col("sql_text").contains("dbms_stats")).select("sql_id"), "sql_id", "left_semi")
+    per_exec = F.round(F.col("rows_processed") / F.col("executions"), 2)
+    # the smaller the part of the table that an execution returns, and the more executions, the lower the order value
+    return g.withColumn("rows_per_exec", per_exec) \
+        .withColumn("order_value", F.round(per_exec / F.col("num_rows") / F.col("executions"), 12))
 
 
 @rule("R40", "Statements with changing execution plans", 1, days=8)
@@ -212,9 +243,9 @@ def r26_excessive_buffer_access(t: Tables, days: int, max_rows: int):
 def r27_small_objects(t: Tables, days: int, min_executions: int, max_rows_object: int):
     s = recent_sqlstat(t, days).groupBy("dbid", "sql_id", "plan_hash_value", "instance_number").agg(*stat_measures()) \
         .filter(F.col("executions") > min_executions)
-    p = t.plan_lines.select("plan_hash_value", F.col("object_owner").alias("owner"), "object_name")
+    p = t.plan_lines.filter(F.col("object_owner") != "SYS").select(*STMT, F.col("object_owner").alias("owner"), "object_name")
     o = t.objects.filter(F.col("num_rows") < max_rows_object).select("owner", "object_name", "num_rows")
-    return s.join(p, "plan_hash_value", "inner").join(o, ["owner", "object_name"], "inner") \
+    return s.join(p, STMT, "inner").join(o, ["owner", "object_name"], "inner") \
         .withColumn("execs_per_row", F.round(per_unit("executions", "num_rows"), 6))
 
 
@@ -346,7 +377,7 @@ def r30_single_row_dml(t: Tables, days: int, min_executions: int):
 def r31_no_hits(t: Tables, days: int, min_executions: int):
     s = recent_sqlstat(t, days).groupBy("dbid", "sql_id", "instance_number").agg(*stat_measures())
     s = s.filter((F.col("rows_processed") == 0) & (F.col("executions") > min_executions))
-    txt = t.sqltext.filter(F.upper(F.ltrim("sql_text")).rlike("^(SELECT|UPDATE|DELETE)")).select("sql_id", "sql_text")
+    txt = t.sqltext.filter(F.upper("sql_text").rlike("^(UPDATE|DELETE|MERGE|SELECT|WITH)")).select("sql_id", "sql_text")
     return s.join(txt, "sql_id", "inner")
 
 
@@ -484,15 +515,19 @@ def r34_long_serial_cur(t: Tables, min_secs_per_exec: float):
     return a.filter(per_exec > min_secs_per_exec * 1e6).withColumn("elapsed_per_exec_secs", F.round(per_exec / 1e6, 2))
 
 
-@rule("R35", "Long-running statements without parallel query (history)", 1, days=8, min_secs_per_exec=10.0)
+@rule("R35", "Long-running statements without parallel query (history)", 1, days=8, min_secs_per_exec=20.0)
 def r35_long_serial_hist(t: Tables, days: int, min_secs_per_exec: float):
-    px = t.sql_plan.groupBy("sql_id", "plan_hash_value").agg(
-        F.sum(F.when(_parallel(F.col("other_tag")), 1).otherwise(0)).alias("_px"))
-    s = recent_sqlstat(t, days).groupBy("sql_id", "plan_hash_value").agg(
-        F.sum("executions_delta").alias("executions"), F.sum("elapsed_time_delta").alias("elapsed_time"))
+    """Statements per instance, over all their plans without a parallel line."""
+    serial = t.sql_plan.groupBy(*STMT).agg(F.sum(F.when(_parallel(F.col("other_tag")), 1).otherwise(0)).alias("_px")) \
+        .filter(F.col("_px") == 0).select(*STMT)
+    s = recent_sqlstat(t, days).join(serial, STMT, "left_semi").join(
+        t.snapshot.select("dbid", "instance_number", "snap_id", "begin_interval_time"), ["dbid", "instance_number", "snap_id"], "inner")
+    s = s.groupBy("dbid", "instance_number", "sql_id").agg(
+        F.sum("executions_delta").alias("executions"), F.sum("elapsed_time_delta").alias("elapsed_time"),
+        F.min("begin_interval_time").cast("timestamp_ntz").alias("first_occurrence"),
+        F.max("begin_interval_time").cast("timestamp_ntz").alias("last_occurrence"))
     per_exec = F.col("elapsed_time") / F.when(F.col("executions") == 0, 1).otherwise(F.col("executions"))
-    return s.join(px.filter(F.col("_px") == 0).drop("_px"), ["sql_id", "plan_hash_value"], "inner") \
-        .filter(per_exec > min_secs_per_exec * 1e6).withColumn("elapsed_per_exec_secs", F.round(per_exec / 1e6, 2))
+    return s.filter(per_exec > min_secs_per_exec * 1e6).withColumn("elapsed_per_exec_secs", F.round(per_exec / 1e6, 2))
 
 
 # Plan operations that are not counted as serial work inside a parallel plan.
@@ -556,37 +591,45 @@ def r44_is_null_full_scans(t: Tables, full_option: str):
                                               F.count(F.lit(1)).alias("wait_time_secs"))
 
 
-@rule("R48", "Suboptimal index access: exactly one index range/unique scan, no filter, few lines", 1,
-      index_operation="INDEX", max_lines=1000)
-def r48_suboptimal_index(t: Tables, index_operation: str, max_lines: int):
-    p = t.sql_plan.groupBy("sql_id", "plan_hash_value").agg(
+@rule("R48", "Suboptimal indexes: one index scan without a filter, yet many buffer gets per row", 1, index_operation="INDEX",
+      max_lines=5, min_executions=100, max_binds=5, executions_per_row=2, min_gets_per_row=5)
+def r48_suboptimal_index(t: Tables, index_operation: str, max_lines: int, min_executions: int, max_binds: int,
+                         executions_per_row: int, min_gets_per_row: int):
+    """Plans of fewer than ``max_lines`` lines with options (row limits and hash partitions aside)."""
+    lines = t.sql_plan.filter((F.col("operation") != "PARTITION HASH") & (F.col("options") != "STOPKEY"))
+    p = lines.groupBy(*STMT).agg(
         F.sum(F.when((F.col("operation") == index_operation) & F.col("options").isin("RANGE SCAN", "UNIQUE SCAN"), 1).otherwise(0)).alias("_idx"),
         F.sum(F.when(F.col("filter_predicates").isNotNull(), 1).otherwise(0)).alias("_flt"),
         F.sum(F.when((F.col("id") == 1) & F.col("options").isin("GROUP BY", "AGGREGATE"), 1).otherwise(0)).alias("_grp"),
         F.count(F.lit(1)).alias("plan_lines"))
     p = p.filter((F.col("_idx") == 1) & (F.col("_flt") == 0) & (F.col("_grp") == 0) & (F.col("plan_lines") < max_lines))
-    a = t.sqlarea.select("sql_id", "executions", "rows_processed", "sql_text")
-    return p.drop("_idx", "_flt", "_grp").join(a, "sql_id", "inner") \
-        .withColumn("rows_per_exec", F.round(F.try_divide(F.col("rows_processed"), F.col("executions")), 2))
+    a = t.sqlarea.filter((F.col("rows_processed") > 0) & (F.col("executions") > min_executions) &
+                         (F.col("rows_processed") > F.col("executions") / executions_per_row) &
+                         (F.length("sql_text") - F.length(F.replace(F.col("sql_text"), F.lit(":"), F.lit(""))) < max_binds)) \
+        .withColumn("gets_per_row", F.round(F.col("buffer_gets") / F.col("rows_processed"))) \
+        .filter(F.col("gets_per_row") > min_gets_per_row)
+    return p.drop("_idx", "_flt", "_grp").join(
+        a.select(*STMT, "executions", "buffer_gets", "rows_processed", "gets_per_row", "sql_text"), STMT, "inner") \
+        .withColumn("rows_per_exec", F.round(F.col("rows_processed") / F.col("executions"), 2))
 
 
-def _is_write(text: Column) -> Column:
-    return F.upper(F.ltrim(text)).rlike("^(INSERT|UPDATE|DELETE|MERGE)")
+# Command types of INSERT, UPDATE and DELETE.
+WRITE_COMMANDS = (2, 6, 7)
 
 
-@rule("R63", "Write statements by executions (cursor cache)", 5, min_executions=100)
-def r63_write_statements_cur(t: Tables, min_executions: int):
-    a = t.sqlarea.filter(_is_write(F.col("sql_text")) & (F.col("executions") > min_executions))
-    return a.withColumn("rows_per_exec", F.round(F.try_divide(F.col("rows_processed"), F.col("executions")), 2))
+@rule("R63", "Write statements by executions (cursor cache)", 5, min_rows=100000)
+def r63_write_statements_cur(t: Tables, min_rows: int):
+    a = t.sqlarea.filter(F.col("command_type").isin(*WRITE_COMMANDS) & (F.col("executions") > 0) & (F.col("rows_processed") > min_rows))
+    return a.withColumn("rows_per_exec", F.round(F.col("rows_processed") / F.col("executions"), 2))
 
 
-@rule("R64", "Write statements by executions (history)", 5, days=8, min_executions=100)
-def r64_write_statements_hist(t: Tables, days: int, min_executions: int):
-    txt = t.sqltext.filter(F.col("command_type").isin(2, 6, 7, 189)).select("sql_id", "sql_text")
-    s = recent_sqlstat(t, days).join(txt, "sql_id", "inner").groupBy("sql_id", "instance_number").agg(
+@rule("R64", "Write statements by executions (history)", 5, days=8, min_rows=100000)
+def r64_write_statements_hist(t: Tables, days: int, min_rows: int):
+    txt = t.sqltext.filter(F.col("command_type").isin(*WRITE_COMMANDS)).select("sql_id")
+    s = recent_sqlstat(t, days).join(txt, "sql_id", "left_semi").groupBy("dbid", "instance_number", "sql_id").agg(
         F.sum("executions_delta").alias("executions"), F.sum("rows_processed_delta").alias("rows_processed"))
-    return s.filter(F.col("executions") > min_executions) \
-        .withColumn("rows_per_exec", F.round(F.try_divide(F.col("rows_processed"), F.col("executions")), 2))
+    return s.filter((F.col("executions") > 0) & (F.col("rows_processed") > min_rows)) \
+        .withColumn("rows_per_exec", F.round(F.col("rows_processed") / F.col("executions"), 2))
 
 
 # ----------------------------------------------------------------------------------------------
@@ -799,7 +842,8 @@ def r37_parallel_with_serial_parts_hist(t: Tables, days: int):
 def _cartesian_walk(plan: DataFrame, marker: str) -> DataFrame:
     """Lines below each cartesian join, descending through lines without an object, keeping the first lines with one."""
     from ..operators.hierarchy import hierarchy_walk
-    walk = hierarchy_walk(plan, connect=[("id", "parent_id")], same=["sql_id", "plan_hash_value"],
+    marked = plan.filter(F.col("options") == marker).select(*STMT).distinct()
+    walk = hierarchy_walk(plan.join(marked, STMT, "left_semi"), connect=[("id", "parent_id")], same=["sql_id", "plan_hash_value"],
                           start=F.col("options") == marker, node=["id"], expand_if=F.col("object_name").isNull())
     return walk.filter(F.col("object_name").isNotNull())
 

@@ -34,20 +34,20 @@ def lock_list(locks: DataFrame, sessions: DataFrame, objects: DataFrame, skip_ty
 
 
 def holder_waiter(locks: DataFrame, handle=("inst_id", "lock_type", "id1", "id2")) -> DataFrame:
-    """Waiters on a lock handle with the holders of that handle.
+    """Pairs of a lock's holder and a session that waits for it, on the same handle.
 
-    Holders are aggregated per handle first (holder as value or '< n >',
-    count, strongest mode), then joined to each waiting lock: one row per
-    waiter, never a holder x waiter cross product.
+    A holder has a mode other than none and null and requests none or null; a
+    waiter the other way round.  An equi-join on the handle: the output is one
+    row for each pair, as asked, and no other pair is formed.
     """
     h = list(handle)
-    holders = locks.filter(F.col("lmode") > 0).groupBy(*h).agg(
-        single_or_count("sid", null_counts=False).alias("holder_sid"), F.count(F.lit(1)).alias("holders"),
-        F.max("lmode").alias("holder_mode"))
-    waiters = locks.filter(F.col("request") > 0).select(*h, F.col("sid").alias("waiter_sid"), "request", "ctime")
-    out = waiters.join(holders, h, "inner")
-    return out.withColumn("holder_mode_name", code_label("holder_mode", LOCK_MODES)) \
-              .withColumn("request_mode_name", code_label("request", LOCK_MODES))
+    idle = (0, 1)
+    holders = locks.filter(~F.col("lmode").isin(*idle) & F.col("request").isin(*idle)) \
+        .select(*h, F.col("sid").alias("holder_sid"), F.col("lmode").alias("holder_mode"))
+    waiters = locks.filter(F.col("lmode").isin(*idle) & ~F.col("request").isin(*idle)) \
+        .select(*h, F.col("sid").alias("waiter_sid"), "request", "ctime")
+    return waiters.join(holders, h, "inner").withColumn("holder_mode_name", code_label("holder_mode", LOCK_MODES)) \
+                  .withColumn("request_mode_name", code_label("request", LOCK_MODES))
 
 
 def lock_history_slices(history: DataFrame, minute_col: str, width: int, by=("instance_number",)) -> DataFrame:

@@ -69,9 +69,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     Read from the session (``spark.checkpoint.dir`` / the context's
-    checkpoint dir).  Only when nothing is configured (tests, notebooks) a
-    folder below the warehouse directory is set, which on a cluster is a
-    shared file system as well; never a machine-local temp folder.
+    checkpoint dir).  Only a local session without either gets a folder below
+    its warehouse directory; on a cluster the setting is required, because a
+    path that is not shared would lose what executors write.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -79,6 +79,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         wh = spark.conf.get("spark.sql.warehouse.dir", None) or os.path.abspath("spark-warehouse")
         conf_dir = wh.rstrip("/") + "/_tempolens_checkpoints"
     sc.setCheckpointDir(conf_dir)

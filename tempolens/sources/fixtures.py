@@ -28,7 +28,7 @@ FIXTURE_SQL: dict[str, str] = {
     "fx_seg_size": "SELECT date_trunc('month', o_orderdate) AS gather_date, o_orderpriority AS owner, concat('seg', o_custkey % 9) AS segment_name, o_orderstatus AS segment_type, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS size_units FROM orders GROUP BY 1, 2, 3, 4",
     "fx_audit": "SELECT ts AS audit_time, concat('host', user_id % 6) AS userhost, concat('os', user_id % 4) AS os_username, concat('u', user_id) AS username, event_type AS action_name FROM events",
     "fx_message": "SELECT o_orderkey AS id, o_custkey % 8 AS id_messagetype, o_orderdate AS creation_time, CASE WHEN o_orderstatus = 'F' THEN 'Y' ELSE 'N' END AS erroneous, CASE WHEN o_custkey % 3 = 0 THEN NULL ELSE o_custkey % 3 END AS id_bulkgroup, CAST(substr(o_orderpriority, 1, 1) AS INT) AS run_count FROM orders",
-    "fx_aspect": "SELECT CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS minute, l_suppkey % 8 AS sub_key, CASE l_linenumber WHEN 1 THEN 4532 WHEN 2 THEN 6216 WHEN 3 THEN 6217 WHEN 4 THEN 6218 WHEN 5 THEN 6281 WHEN 6 THEN 6282 ELSE 7251 END AS code, CAST(floor(l_quantity) AS BIGINT) AS counter FROM lineitem",
+    "fx_aspect": "SELECT CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS minute, l_suppkey % 8 AS sub_key, CASE l_linenumber WHEN 1 THEN 4532 WHEN 2 THEN 6216 WHEN 3 THEN 6217 WHEN 4 THEN 6218 WHEN 5 THEN CASE l_suppkey % 3 WHEN 0 THEN 6281 WHEN 1 THEN 6279 ELSE 6280 END WHEN 6 THEN CASE l_suppkey % 4 WHEN 0 THEN 6282 WHEN 1 THEN 6283 WHEN 2 THEN 6284 ELSE 7862 END ELSE CASE l_suppkey % 4 WHEN 0 THEN 7251 WHEN 1 THEN 7402 WHEN 2 THEN 7403 ELSE 4160 END END AS code, CAST(floor(l_quantity) AS BIGINT) AS counter FROM lineitem",
     "fx_constraint": "SELECT * FROM (VALUES ('nation','region'),('customer','nation'),('supplier','nation'),('orders','customer'),('lineitem','orders'),('lineitem','part'),('lineitem','supplier')) AS t(child_table, parent_table)",
     "fx_usage_log": "SELECT concat('10.0.0.', user_id % 30, ' db', user_id % 3, ' ', year(ts), '/', month(ts), ' ', event_type, ' a', event_id % 11, ' ', event_id) AS line FROM events",
 }
@@ -97,6 +97,15 @@ FIXTURE_SQL.update({
     "fx_open_cursor": "SELECT instance_number AS inst_id, session_id AS sid, sql_id, concat('SELECT /* ', sql_id, ' */ 1') AS sql_text FROM fx_ash WHERE event IN ('click', 'view')",
     "fx_shared_cursor": "SELECT instance_number AS inst_id, sql_id, CASE WHEN disk_reads_delta = 0 THEN 'Y' ELSE 'N' END AS bind_mismatch, CASE WHEN module = 'F' THEN 'Y' ELSE 'N' END AS optimizer_mismatch, CASE WHEN parsing_schema_name = 'A' THEN 'Y' ELSE 'N' END AS auth_check_mismatch FROM fx_sqlstat",
     "fx_audit_opts": "SELECT DISTINCT CASE event_type WHEN 'view' THEN 'VIEW' WHEN 'signup' THEN 'USER' WHEN 'purchase' THEN 'TABLE' WHEN 'click' THEN 'SELECT TABLE' ELSE 'CREATE SESSION' END AS audit_option, CASE WHEN event_type = 'click' THEN 'NOT SET' ELSE 'BY ACCESS' END AS success, 'BY ACCESS' AS failure FROM events",
+    # one short plan per (statement, plan) with the operations and options of real plans, drawn from the parts
+    "fx_stmt_base": "SELECT concat('s', CAST(p_partkey % 50 AS STRING)) AS sql_id, CAST(floor(p_partkey / 50) % 7 + 1 AS INT) AS plan_hash_value, max(p_size) AS s, min(substr(p_brand, 1, 7)) AS object_owner, min(split_part(p_name, ' ', 1)) AS object_name, min(p_name) AS n, CAST(count(*) AS BIGINT) AS parts FROM part GROUP BY 1, 2",
+    "fx_stmt_plan": "SELECT sql_id, plan_hash_value, CAST(0 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent_id, 'SELECT STATEMENT' AS operation, CAST(NULL AS STRING) AS options, CAST(NULL AS STRING) AS object_owner, CAST(NULL AS STRING) AS object_name, CAST(NULL AS STRING) AS other_tag, CAST(NULL AS STRING) AS filter_predicates FROM fx_stmt_base UNION ALL SELECT sql_id, plan_hash_value, 1, 0, CASE WHEN plan_hash_value = 3 THEN 'INDEX' ELSE 'TABLE ACCESS' END, CASE plan_hash_value WHEN 1 THEN 'FULL' WHEN 2 THEN 'STORAGE FULL' WHEN 3 THEN 'FULL SCAN' ELSE 'BY INDEX ROWID' END, CASE WHEN s % 10 = 0 THEN 'SYS' ELSE object_owner END, object_name, CASE WHEN CAST(substr(sql_id, 2) AS INT) % 3 = 0 THEN NULL WHEN plan_hash_value = 2 THEN 'PARALLEL_TO_SERIAL' WHEN plan_hash_value = 4 THEN 'PARALLEL_FROM_SERIAL' END, CASE WHEN plan_hash_value = 6 THEN n END FROM fx_stmt_base UNION ALL SELECT sql_id, plan_hash_value, 2, 1, CASE WHEN plan_hash_value = 4 THEN 'TABLE ACCESS' ELSE 'INDEX' END, CASE WHEN plan_hash_value = 4 THEN 'FULL' WHEN s % 2 = 0 THEN 'RANGE SCAN' ELSE 'UNIQUE SCAN' END, object_owner, object_name, CAST(NULL AS STRING), CAST(NULL AS STRING) FROM fx_stmt_base WHERE plan_hash_value >= 4 UNION ALL SELECT sql_id, plan_hash_value, 3, 0, 'COUNT', 'STOPKEY', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING) FROM fx_stmt_base WHERE plan_hash_value = 7",
+    # the cursor cache per plan, with buffer gets and command types; statistics where every fifth statement finds nothing
+    "fx_sqlarea_plan": "SELECT s.sql_id, s.plan_hash_value, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(buffer_gets_delta) AS BIGINT) AS buffer_gets, CAST(sum(executions_delta * (plan_hash_value + 1)) AS BIGINT) AS rows_processed, min(t.command_type) AS command_type, min(t.sql_text) AS sql_text FROM fx_sqlstat s JOIN fx_sqltext t ON t.sql_id = s.sql_id GROUP BY 1, 2",
+    "fx_sqlstat_hits": "SELECT dbid, instance_number, snap_id, sql_id, plan_hash_value, parsing_schema_name, module, executions_delta, elapsed_time_delta, buffer_gets_delta, disk_reads_delta, CASE WHEN CAST(substr(sql_id, 2) AS INT) % 5 = 0 THEN CAST(0 AS BIGINT) ELSE rows_processed_delta END AS rows_processed_delta FROM fx_sqlstat",
+    # plan lines that name the catalog's indexes and tables: open shipments are the cursor cache, finished ones the history
+    "fx_index_use": "SELECT DISTINCT concat('s', CAST(l_partkey % 50 AS STRING)) AS sql_id, l_linenumber AS plan_hash_value, l_linestatus AS origin, p_brand AS object_owner, concat('I', CAST(l_partkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS object_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' OR l_linestatus = 'O'",
+    "fx_table_use": "SELECT DISTINCT concat('s', CAST(l_partkey % 50 AS STRING)) AS sql_id, l_linenumber AS plan_hash_value, l_linestatus AS origin, p_brand AS object_owner, concat('T', CAST(l_partkey AS STRING)) AS object_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount > 0.08",
     "fx_functions": "SELECT DISTINCT concat('GET_', p_type) AS name, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'YES' ELSE 'NO' END AS parallel_enabled FROM part",
     "fx_tab_mod": "SELECT concat('o', CAST(l_suppkey % 3 AS STRING)) AS owner, concat('t', CAST(l_orderkey AS STRING)) AS table_name, CAST(floor(l_quantity) AS BIGINT) AS inserts, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS deletes FROM lineitem",
     "fx_plan_object": "SELECT substr(p_brand, 1, 7) AS owner, split_part(p_name, ' ', 1) AS object_name, max(CASE WHEN p_size % 3 = 0 THEN 'INDEX' ELSE 'TABLE' END) AS object_type, CAST(sum(floor(p_retailprice)) AS BIGINT) AS num_rows FROM part GROUP BY 1, 2",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import nvl_text, seconds_between
 from ..operators.counters import _reset_filter, counter_delta
+from .runner import folder_exists
 
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -52,16 +53,13 @@ def stream_counter_delta(stream: DataFrame, keys: list[str], order: str, counter
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*keys, order, *counters).withColumn("_carry", F.lit(False))
-        if batch_id > 0:
-            try:
-                st = spark.read.parquet(state_path).filter(F.col("v") < batch_id)
-                last_v = st.agg(F.max("v")).first()[0]
-            except Exception:  # noqa: BLE001  (no state written yet)
-                last_v = None
-            if last_v is not None:
-                carry = st.filter(F.col("v") == last_v).select(*keys, order, *counters) \
-                          .withColumn("_carry", F.lit(True))
-                rows = rows.unionByName(carry)
+        # every batch writes its state before the next one starts; only the first batch has none
+        if batch_id > 0 and folder_exists(spark, f"{state_path}/v={batch_id - 1}"):
+            carry = spark.read.parquet(f"{state_path}/v={batch_id - 1}").select(*keys, order, *counters) \
+                         .withColumn("_carry", F.lit(True))
+            rows = rows.unionByName(carry)
+        elif batch_id > 0:
+            raise FileNotFoundError(f"the state of batch {batch_id - 1} is missing below {state_path}")
         d = counter_delta(rows, keys, order, counters, reset="keep")
         out = _reset_filter(d.filter(~F.col("_carry")).drop("_carry"), counters[0], reset)
         out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
@@ -98,15 +96,34 @@ def stream_long_transactions(samples: DataFrame, key: str = "xid", ts: str = "sa
     """Activity of a transaction grouped until it is idle for ``gap`` (S04, from R70).
 
     Append mode: a transaction is emitted once the watermark passes its end.
+    When the input is over, ``end_marker`` rows push the watermark past all of it.
     """
     s = _event_time(samples.filter(F.col(key).isNotNull()), ts).withWatermark(ts, watermark)
     g = s.groupBy(F.session_window(ts, gap).alias("sw"), key).agg(
-        F.count(F.lit(1)).alias("samples"), F.min(ts).alias("first_sample"), F.max(ts).alias("last_sample"))
+        F.count(F.lit(1)).alias("samples"), F.min(ts).alias("first_sample"), F.max(ts).alias("last_sample"),
+        F.max(F.col(key) == END_OF_INPUT).alias("marker"))
+    # tested on the aggregate: a filter on the key would be pushed below the watermark, which must see the marker
+    g = g.filter(~F.col("marker"))
     return g.select(key, F.col("sw.start").cast("timestamp_ntz").alias("session_start"),
                     F.col("sw.end").cast("timestamp_ntz").alias("session_end"), "samples",
                     F.round(seconds_between("first_sample", "last_sample"), 3).alias("duration_secs"))
 
 
+END_OF_INPUT = "(end of input)"
+
+
+def end_marker(samples: DataFrame, key: str = "xid", ts: str = "sample_time", days: int = 2) -> DataFrame:
+    """One row, ``days`` after the newest sample, that moves a session stream's watermark past all sessions.
+
+    The watermark of one micro-batch closes sessions in the next, so a finite
+    input ends with two markers, one later than the other, in chunks of their
+    own; their key is left out of the result.
+    """
+    row = samples.agg((F.max(ts) + F.expr(f"INTERVAL {days} DAYS")).cast(samples.schema[ts].dataType).alias(ts))
+    return row.where(F.col(ts).isNotNull()).select(*[F.lit(END_OF_INPUT).alias(c) if c == key else F.col(ts) if c == ts
+                                                    else F.lit(None).cast(samples.schema[c].dataType).alias(c) for c in samples.columns])
+
+
 def stream_sla_breaches(messages: DataFrame, limits: DataFrame, as_of, key: str = "id_messagetype",
                         created: str = "creation_time", warning: str = "warning_secs",
                         alert: str = "alert_secs") -> DataFrame:

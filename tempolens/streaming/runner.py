@@ -20,30 +20,43 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tempolens_streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage_files(df: DataFrame, path: str, order_col: str | None = None, chunks: int = 4, fmt: str = "parquet") -> None:
-    """Write ``df`` as a file source that arrives in ``chunks`` steps.
+def stage_files(df: DataFrame, path: str, order_col: str | None = None, chunks: int = 4, fmt: str = "parquet") -> list[str]:
+    """Write ``df`` once, as ``chunks`` folders of consecutive ranges of ``order_col``; returns the folders in order.
 
-    With ``order_col`` the rows are cut into consecutive ranges of that
-    column, written one after the other, so a file-source stream with
-    ``maxFilesPerTrigger`` sees them in event-time order.  Every row is
-    written exactly once.
+    The source is read once for the range bounds (one small aggregate) and once
+    for the partitioned write, by as many tasks as it has partitions.  Every row
+    is written exactly once; rows without an order value are in the first
+    folder.  ``deliver`` then moves one folder after the other into a stream's
+    source folder.
     """
-    if order_col is None or chunks <= 1:
-        getattr(df.coalesce(1).write.mode("append"), fmt)(path)
-        return
-    # range boundaries from quantiles of the order column (one small aggregate)
-    bounds = df.select(F.percentile_approx(F.unix_micros(F.col(order_col).cast("timestamp")),
-                                           [i / chunks for i in range(1, chunks)], 1000)).first()[0]
-    cut = F.unix_micros(F.col(order_col).cast("timestamp"))
-    lo = None
-    for b in list(bounds) + [None]:
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (cut > F.lit(lo))
-        if b is not None:
-            cond = cond & (cut <= F.lit(b))
-        getattr(df.filter(cond).coalesce(1).write.mode("append"), fmt)(path)
-        lo = b
+    part = F.lit(0)
+    if order_col is not None and chunks > 1:
+        at = F.unix_micros(F.col(order_col).cast("timestamp"))
+        bounds = df.select(F.percentile_approx(at, [i / chunks for i in range(1, chunks)], 1000)).first()[0]
+        for k, b in enumerate(bounds or [], 1):
+            part = F.when(at > F.lit(b), k).otherwise(part)
+    getattr(df.withColumn("_chunk", part).write.partitionBy("_chunk"), fmt)(path)
+    return [f"{path}/_chunk={k}" for k in range(chunks if order_col is not None else 1)]
+
+
+def deliver(spark: SparkSession, folder: str, source: str) -> int:
+    """Move the files of a staged folder into a stream's source folder (renames only); returns their number."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path(source))
+    if not fs.exists(path(folder)):
+        return 0  # a range without rows
+    files = [f.getPath() for f in fs.listStatus(path(folder)) if not f.getPath().getName().startswith(("_", "."))]
+    chunk = folder.rstrip("/").rsplit("/", 1)[-1].replace("_chunk=", "chunk")  # one task's files have one name in all folders
+    for f in files:
+        if not fs.rename(f, path(f"{source}/{chunk}-{f.getName()}")):
+            raise OSError(f"{f} could not be moved to {source}")
+    return len(files)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
 def run_available_now(stream: DataFrame, out_path: str, cp_path: str, mode: str = "append",

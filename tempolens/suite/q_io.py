@@ -24,7 +24,7 @@ def _delta_sql(keys: str) -> str:
                     for c in io.IO_COUNTERS)
     return f"""u AS (SELECT * FROM fx_file_io WHERE file_type = 'DATA' UNION ALL SELECT * FROM fx_file_io WHERE file_type = 'TEMP'),
 d0 AS (SELECT dbid, instance_number, snap_id, file_id, file_name, ts_name, file_type, function_name, {lag} FROM u),
-d AS (SELECT * FROM d0 WHERE phyrds >= 0 AND snap_id <> (SELECT min(snap_id) FROM d0 m WHERE m.dbid = d0.dbid AND m.instance_number = d0.instance_number))"""
+d AS (SELECT * FROM d0 WHERE snap_id <> (SELECT min(snap_id) FROM d0 m WHERE m.dbid = d0.dbid AND m.instance_number = d0.instance_number))"""
 
 
 MEASURES_SQL = """round(CASE WHEN phyrds = 0 THEN NULL ELSE readtim * 10 / phyrds END, 4) AS ms_per_read,
@@ -147,7 +147,7 @@ def c16(spark, sf):
 
 
 @query("c22_sampled_system_events", """
-WITH b AS (SELECT event_id, sum(total_waits) AS tw, sum(time_waited_micro) AS tm FROM fx_sysevent WHERE snap_id = 12 AND event_id <> 7 GROUP BY 1),
+WITH b AS (SELECT event_id, sum(total_waits) AS tw, sum(time_waited_micro) AS tm FROM fx_sysevent WHERE snap_id = 12 GROUP BY 1),
 a AS (SELECT event_id, sum(total_waits) AS tw, sum(time_waited_micro) AS tm FROM fx_sysevent WHERE snap_id = 13 GROUP BY 1)
 SELECT coalesce(b.event_id, a.event_id) AS event_id, CAST(coalesce(a.tw, 0) - coalesce(b.tw, 0) AS BIGINT) AS total_waits_delta,
   CAST(coalesce(a.tm, 0) - coalesce(b.tm, 0) AS BIGINT) AS time_waited_micro_delta, CAST(coalesce(a.tw, 0) AS BIGINT) AS total_waits_total,
@@ -160,7 +160,7 @@ def c22(spark, sf):
     def sample(snap):
         return s.filter(F.col("snap_id") == snap).groupBy("event_id").agg(
             F.sum("total_waits").alias("total_waits"), F.sum("time_waited_micro").alias("time_waited_micro"))
-    return CR.sampled_events(sample(12).filter(F.col("event_id") != 7), sample(13))
+    return CR.sampled_events(sample(12), sample(13))
 
 
 @query("c23_sampled_segment_statistics", """

@@ -57,14 +57,13 @@ def a23(spark, sf):
 
 
 @query("a35_unused_anti", """
-SELECT object_id, owner, object_name FROM fx_object o WHERE NOT EXISTS (
-  SELECT 1 FROM fx_plan p WHERE p.object_owner = o.owner AND p.object_name = o.object_name AND (p.operation LIKE '%PROMO%' OR p.operation LIKE '%SMALL%'))""")
+SELECT owner, index_name, table_name FROM fx_cat_index o WHERE NOT EXISTS (
+  SELECT 1 FROM fx_index_use u WHERE u.object_owner = o.owner AND u.object_name = o.index_name)""")
 def a35(spark, sf):
-    p = _fx(spark, sf, "fx_plan").select(F.col("object_owner").alias("owner"), "object_name", "operation")
-    u1 = p.filter(F.col("operation").like("%PROMO%"))
-    u2 = p.filter(F.col("operation").like("%SMALL%"))
-    o = _fx(spark, sf, "fx_object").select("object_id", "owner", "object_name")
-    return L.unused_anti(o, ["owner", "object_name"], u1, u2)
+    # open and finished uses are the two sources; together they are the whole table
+    u = _fx(spark, sf, "fx_index_use").select(F.col("object_owner").alias("owner"), F.col("object_name").alias("index_name"), "origin")
+    o = _fx(spark, sf, "fx_cat_index").select("owner", "index_name", "table_name")
+    return L.unused_anti(o, ["owner", "index_name"], u.filter(F.col("origin") == "O"), u.filter(F.col("origin") == "F"))
 
 
 @query("a36_enrich_lookup", """

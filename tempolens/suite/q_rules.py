@@ -26,24 +26,32 @@ def recent(days=400, src="fx_sqlstat"):
     return RECENT.format(days=days, src=src)
 
 
-def _unused_sql(kind):
-    return f"""SELECT * FROM fx_object o WHERE object_type = '{kind}' AND num_rows >= 950 AND NOT EXISTS (
-  SELECT 1 FROM fx_plan p WHERE p.object_owner = o.owner AND p.object_name = o.object_name AND p.operation IN ('PROMO', 'SMALL'))"""
+def _unused_sql(table, name, use, where=""):
+    return f"""
+WITH {recent(30)},
+used AS (SELECT object_owner, object_name FROM {use} u WHERE origin = 'O' AND EXISTS (
+           SELECT 1 FROM fx_sqlarea a WHERE a.sql_id = u.sql_id AND NOT contains(a.sql_text, 'dbms_stats cursor_sharing_exact'))
+         UNION SELECT object_owner, object_name FROM {use} u WHERE origin = 'F'
+           AND EXISTS (SELECT 1 FROM recent r WHERE r.sql_id = u.sql_id AND r.plan_hash_value = u.plan_hash_value)
+           AND EXISTS (SELECT 1 FROM fx_sqltext t WHERE t.sql_id = u.sql_id AND NOT contains(t.sql_text, 'dbms_stats cursor_sharing_exact')))
+SELECT * FROM {table} c WHERE owner NOT IN ('SYS', 'OUTLN', 'SYSTEM', 'WMSYS', 'SYSMAN', 'XDB') {where} AND NOT EXISTS (
+  SELECT 1 FROM used WHERE used.object_owner = c.owner AND used.object_name = c.{name})"""
 
 
-def _plans(spark, sf):
-    p = _fx(spark, sf, "fx_plan")
-    return dict(plan_lines=p.filter(F.col("operation") == "PROMO"), plan_lines_hist=p.filter(F.col("operation") == "SMALL"))
+def _use(spark, sf, use):
+    u = _fx(spark, sf, use)
+    return dict(plan_lines=u.filter(F.col("origin") == "O"), plan_lines_hist=u.filter(F.col("origin") == "F"),
+                **_t(spark, sf, sqlarea="fx_sqlarea", sqltext="fx_sqltext", sqlstat="fx_sqlstat", snapshot="fx_snapshot"))
 
 
-@query("r08_unused_indexes", _unused_sql("INDEX"))
+@query("r08_unused_indexes", _unused_sql("fx_cat_index", "index_name", "fx_index_use", "AND uniqueness <> 'UNIQUE'"))
 def r08(spark, sf):
-    return apply_rule("R08", {**_t(spark, sf, objects="fx_object"), **_plans(spark, sf)}, min_rows=950)
+    return apply_rule("R08", {**_t(spark, sf, indexes="fx_cat_index"), **_use(spark, sf, "fx_index_use")}, days=30)
 
 
-@query("r16_unused_tables", _unused_sql("TABLE"))
+@query("r16_unused_tables", _unused_sql("fx_cat_table", "table_name", "fx_table_use"))
 def r16(spark, sf):
-    return apply_rule("R16", {**_t(spark, sf, objects="fx_object"), **_plans(spark, sf)}, min_rows=950)
+    return apply_rule("R16", {**_t(spark, sf, tables="fx_cat_table"), **_use(spark, sf, "fx_table_use")}, days=30)
 
 
 @query("r17_missing_housekeeping", """
@@ -59,36 +67,41 @@ PLAN_STATS = """ps AS (SELECT dbid, sql_id, plan_hash_value, CAST(sum(executions
 
 @query("r22_index_full_scans", f"""
 WITH {recent()}, {PLAN_STATS},
-p AS (SELECT DISTINCT plan_hash_value, object_owner, object_name FROM fx_plan_multi WHERE operation = 'MEDIUM')
-SELECT ps.plan_hash_value, ps.dbid, ps.sql_id, ps.executions, ps.rows_processed, p.object_owner, p.object_name, o.num_rows
-FROM ps JOIN p ON p.plan_hash_value = ps.plan_hash_value
+p AS (SELECT DISTINCT sql_id, plan_hash_value, object_owner, object_name FROM fx_stmt_plan WHERE operation = 'INDEX' AND options = 'FULL SCAN')
+SELECT ps.*, p.object_owner, p.object_name, o.num_rows
+FROM ps JOIN p ON p.sql_id = ps.sql_id AND p.plan_hash_value = ps.plan_hash_value
 LEFT JOIN fx_plan_object o ON o.owner = p.object_owner AND o.object_name = p.object_name""")
 def r22(spark, sf):
-    out = apply_rule("R22", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", plan_lines="fx_plan_multi",
-                               objects="fx_plan_object"), days=400, operation="MEDIUM", options=None)
+    out = apply_rule("R22", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", plan_lines="fx_stmt_plan",
+                               objects="fx_plan_object"), days=400)
     return out.select("plan_hash_value", "dbid", "sql_id", "executions", "rows_processed", "object_owner", "object_name", "num_rows")
 
 
-R23_SQL = f"""{recent()}, {PLAN_STATS},
-p AS (SELECT DISTINCT plan_hash_value, object_owner, object_name FROM fx_plan_multi WHERE operation = 'PROMO'),
-r23 AS (SELECT ps.*, p.object_owner, p.object_name FROM ps JOIN p ON p.plan_hash_value = ps.plan_hash_value WHERE ps.executions > 100)"""
+FULL_SQL = f"""{recent()}, {PLAN_STATS},
+p AS (SELECT DISTINCT sql_id, plan_hash_value, object_owner, object_name FROM fx_stmt_plan
+      WHERE operation = 'TABLE ACCESS' AND options LIKE '%FULL' AND object_owner <> 'SYS')"""
 
 
-@query("r23_full_scans_by_executions", f"WITH {R23_SQL} SELECT * FROM r23")
+@query("r23_full_scans_by_executions", f"""WITH {FULL_SQL}
+SELECT ps.*, p.object_owner, p.object_name FROM ps JOIN p ON p.sql_id = ps.sql_id AND p.plan_hash_value = ps.plan_hash_value
+WHERE ps.executions > 100""")
 def r23(spark, sf):
-    out = apply_rule("R23", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", plan_lines="fx_plan_multi"),
-                     days=400, operation="PROMO")
+    out = apply_rule("R23", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", plan_lines="fx_stmt_plan"), days=400)
     return out.select("dbid", "sql_id", "plan_hash_value", "executions", "rows_processed", "object_owner", "object_name")
 
 
-@query("r24_full_scans_by_rows", f"""WITH {R23_SQL}
-SELECT r23.*, o.num_rows, r23.executions * o.num_rows AS weight FROM r23
-JOIN fx_plan_object o ON o.owner = r23.object_owner AND o.object_name = r23.object_name""")
+@query("r24_full_scans_by_rows", f"""WITH {FULL_SQL},
+g AS (SELECT ps.dbid, ps.sql_id, p.object_owner, p.object_name, CAST(sum(ps.executions) AS BIGINT) AS executions,
+        CAST(sum(ps.rows_processed) AS BIGINT) AS rows_processed, min(o.num_rows) AS num_rows
+      FROM ps JOIN p ON p.sql_id = ps.sql_id AND p.plan_hash_value = ps.plan_hash_value
+      JOIN fx_plan_object o ON o.owner = p.object_owner AND o.object_name = p.object_name AND o.num_rows > 1000 GROUP BY 1, 2, 3, 4)
+SELECT *, round(rows_processed / executions, 2) AS rows_per_exec,
+  round(round(rows_processed / executions, 2) / num_rows / executions, 12) AS order_value FROM g
+WHERE rows_processed > 0 AND executions > 100
+  AND sql_id IN (SELECT sql_id FROM fx_sqltext WHERE NOT contains(sql_text, 'dbms_stats'))""")
 def r24(spark, sf):
-    out = apply_rule("R24", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", plan_lines="fx_plan_multi",
-                               objects="fx_plan_object"), days=400, operation="PROMO")
-    return out.select("dbid", "sql_id", "plan_hash_value", "executions", "rows_processed", "object_owner", "object_name",
-                      "num_rows", "weight")
+    return apply_rule("R24", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", plan_lines="fx_stmt_plan",
+                                objects="fx_plan_object", sqltext="fx_sqltext"), days=400, min_rows=1000)
 
 
 @query("r26_excessive_buffer_access", f"""
@@ -112,10 +125,10 @@ g AS (SELECT dbid, sql_id, plan_hash_value, instance_number, CAST(sum(executions
       GROUP BY 1, 2, 3, 4 HAVING sum(executions_delta) > 100)
 SELECT g.sql_id, g.plan_hash_value, g.instance_number, g.executions, o.owner, o.object_name, o.num_rows,
   round(g.executions / CASE WHEN o.num_rows = 0 THEN 1 ELSE o.num_rows END, 6) AS execs_per_row
-FROM g JOIN fx_plan_multi p ON p.plan_hash_value = g.plan_hash_value
+FROM g JOIN fx_stmt_plan p ON p.sql_id = g.sql_id AND p.plan_hash_value = g.plan_hash_value AND p.object_owner <> 'SYS'
 JOIN fx_plan_object o ON o.owner = p.object_owner AND o.object_name = p.object_name WHERE o.num_rows < 100000""")
 def r27(spark, sf):
-    out = apply_rule("R27", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", plan_lines="fx_plan_multi",
+    out = apply_rule("R27", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", plan_lines="fx_stmt_plan",
                                objects="fx_plan_object"), days=400)
     return out.select("sql_id", "plan_hash_value", "instance_number", "executions", "owner", "object_name", "num_rows",
                       "execs_per_row")
@@ -156,14 +169,14 @@ def r30(spark, sf):
 
 
 @query("r31_statements_without_hits", f"""
-WITH {recent(40)},
+WITH {recent(40, 'fx_sqlstat_hits')},
 g AS (SELECT dbid, sql_id, instance_number, max(buffer_gets_delta) AS max_buffer_gets, CAST(sum(executions_delta) AS BIGINT) AS executions,
    round(sum(elapsed_time_delta) / 1e6, 4) AS elapsed_secs, CAST(sum(disk_reads_delta) AS BIGINT) AS disk_reads,
    CAST(sum(buffer_gets_delta) AS BIGINT) AS buffer_gets, CAST(sum(rows_processed_delta) AS BIGINT) AS rows_processed FROM recent GROUP BY 1, 2, 3)
 SELECT g.*, t.sql_text FROM g JOIN fx_sqltext t ON t.sql_id = g.sql_id
-WHERE rows_processed = 0 AND executions > 100 AND regexp_matches(upper(ltrim(t.sql_text)), '^(SELECT|UPDATE|DELETE)')""")
+WHERE rows_processed = 0 AND executions > 5 AND regexp_matches(upper(t.sql_text), '^(UPDATE|DELETE|MERGE|SELECT|WITH)')""")
 def r31(spark, sf):
-    return apply_rule("R31", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", sqltext="fx_sqltext"), days=40)
+    return apply_rule("R31", _t(spark, sf, sqlstat="fx_sqlstat_hits", snapshot="fx_snapshot", sqltext="fx_sqltext"), days=40, min_executions=5)
 
 
 @query("r32_update_extra_filter_cur", """
@@ -434,22 +447,24 @@ def r73(spark, sf):
 
 
 @query("r34_long_serial_statements_cur", """
-WITH serial AS (SELECT sql_id FROM fx_sql_plan GROUP BY 1 HAVING sum(CASE WHEN coalesce(other_tag LIKE 'PARALLEL%', false) THEN 1 ELSE 0 END) = 0)
+WITH serial AS (SELECT sql_id FROM fx_stmt_plan GROUP BY 1 HAVING sum(CASE WHEN coalesce(other_tag LIKE 'PARALLEL%', false) THEN 1 ELSE 0 END) = 0)
 SELECT a.*, round(elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END / 1e6, 2) AS elapsed_per_exec_secs
 FROM fx_sqlarea a JOIN serial s ON s.sql_id = a.sql_id WHERE elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END > 0.001 * 1e6""")
 def r34(spark, sf):
-    return apply_rule("R34", _t(spark, sf, sql_plan="fx_sql_plan", sqlarea="fx_sqlarea"), min_secs_per_exec=0.001)
+    return apply_rule("R34", _t(spark, sf, sql_plan="fx_stmt_plan", sqlarea="fx_sqlarea"), min_secs_per_exec=0.001)
 
 
 @query("r35_long_serial_statements_hist", f"""
 WITH {recent()},
-px AS (SELECT sql_id, plan_hash_value FROM fx_sql_plan GROUP BY 1, 2 HAVING sum(CASE WHEN coalesce(other_tag LIKE 'PARALLEL%', false) THEN 1 ELSE 0 END) = 0),
-s AS (SELECT sql_id, plan_hash_value, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(elapsed_time_delta) AS BIGINT) AS elapsed_time FROM recent GROUP BY 1, 2)
+px AS (SELECT sql_id, plan_hash_value FROM fx_stmt_plan GROUP BY 1, 2 HAVING sum(CASE WHEN coalesce(other_tag LIKE 'PARALLEL%', false) THEN 1 ELSE 0 END) = 0),
+s AS (SELECT r.dbid, r.instance_number, r.sql_id, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(elapsed_time_delta) AS BIGINT) AS elapsed_time,
+        CAST(min(ss.begin_interval_time) AS TIMESTAMP) AS first_occurrence, CAST(max(ss.begin_interval_time) AS TIMESTAMP) AS last_occurrence
+      FROM recent r JOIN px ON px.sql_id = r.sql_id AND px.plan_hash_value = r.plan_hash_value
+      JOIN fx_snapshot ss ON ss.dbid = r.dbid AND ss.instance_number = r.instance_number AND ss.snap_id = r.snap_id GROUP BY 1, 2, 3)
 SELECT s.*, round(elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END / 1e6, 2) AS elapsed_per_exec_secs
-FROM s JOIN px ON px.sql_id = s.sql_id AND px.plan_hash_value = s.plan_hash_value
-WHERE elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END > 0.001 * 1e6""")
+FROM s WHERE elapsed_time / CASE WHEN executions = 0 THEN 1 ELSE executions END > 0.001 * 1e6""")
 def r35(spark, sf):
-    return apply_rule("R35", _t(spark, sf, sql_plan="fx_sql_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot"),
+    return apply_rule("R35", _t(spark, sf, sql_plan="fx_stmt_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot"),
                       days=400, min_secs_per_exec=0.001)
 
 
@@ -467,21 +482,21 @@ def r36(spark, sf):
 
 @query("r39_parallel_from_serial_subtree", f"""
 WITH {recent()},
-pf AS (SELECT sql_id, max(plan_hash_value) AS plan_hash_value FROM fx_sql_plan WHERE other_tag = 'PARALLEL_FROM_SERIAL' GROUP BY 1),
-pfs AS (SELECT pf.sql_id, pf.plan_hash_value, max(p.id) AS pfs_id FROM pf JOIN fx_sql_plan p ON p.sql_id = pf.sql_id AND p.plan_hash_value = pf.plan_hash_value
+pf AS (SELECT sql_id, max(plan_hash_value) AS plan_hash_value FROM fx_stmt_plan WHERE other_tag = 'PARALLEL_FROM_SERIAL' GROUP BY 1),
+pfs AS (SELECT pf.sql_id, pf.plan_hash_value, max(p.id) AS pfs_id FROM pf JOIN fx_stmt_plan p ON p.sql_id = pf.sql_id AND p.plan_hash_value = pf.plan_hash_value
         AND p.other_tag = 'PARALLEL_FROM_SERIAL' GROUP BY 1, 2),
 j AS (SELECT pfs.sql_id, pfs.plan_hash_value,
         CASE WHEN coalesce(c1.options LIKE '%FULL%', false) THEN c1.operation ELSE c2.operation END AS operation,
         CASE WHEN coalesce(c1.options LIKE '%FULL%', false) THEN c1.object_owner ELSE c2.object_owner END AS object_owner,
         CASE WHEN coalesce(c1.options LIKE '%FULL%', false) THEN c1.object_name ELSE c2.object_name END AS object_name
-      FROM pfs LEFT JOIN fx_sql_plan c1 ON c1.sql_id = pfs.sql_id AND c1.plan_hash_value = pfs.plan_hash_value AND c1.parent_id = pfs.pfs_id
-      LEFT JOIN fx_sql_plan c2 ON c2.sql_id = c1.sql_id AND c2.plan_hash_value = c1.plan_hash_value AND c2.parent_id = c1.id
+      FROM pfs LEFT JOIN fx_stmt_plan c1 ON c1.sql_id = pfs.sql_id AND c1.plan_hash_value = pfs.plan_hash_value AND c1.parent_id = pfs.pfs_id
+      LEFT JOIN fx_stmt_plan c2 ON c2.sql_id = c1.sql_id AND c2.plan_hash_value = c1.plan_hash_value AND c2.parent_id = c1.id
       WHERE coalesce(c1.options LIKE '%FULL%', false) OR coalesce(c2.options LIKE '%FULL%', false)),
 g AS (SELECT sql_id, plan_hash_value, min(operation) AS operation, min(object_owner) AS object_owner, min(object_name) AS object_name FROM j GROUP BY 1, 2),
 s AS (SELECT sql_id, plan_hash_value, round(sum(elapsed_time_delta) / 1e6, 6) AS elapsed_secs, CAST(sum(executions_delta) AS BIGINT) AS executions FROM recent GROUP BY 1, 2)
 SELECT g.*, s.elapsed_secs, s.executions FROM g JOIN s ON s.sql_id = g.sql_id AND s.plan_hash_value = g.plan_hash_value""")
 def r39(spark, sf):
-    return apply_rule("R39", _t(spark, sf, sql_plan="fx_sql_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot"), days=400)
+    return apply_rule("R39", _t(spark, sf, sql_plan="fx_stmt_plan", sqlstat="fx_sqlstat", snapshot="fx_snapshot"), days=400)
 
 
 @query("r43_implicit_conversion", """
@@ -502,32 +517,33 @@ def r44(spark, sf):
 
 @query("r48_suboptimal_index_access", """
 WITH p AS (SELECT sql_id, plan_hash_value, count(*) AS plan_lines,
-    sum(CASE WHEN operation = 'SMALL' AND options IN ('RANGE SCAN', 'UNIQUE SCAN') THEN 1 ELSE 0 END) AS i,
+    sum(CASE WHEN operation = 'INDEX' AND options IN ('RANGE SCAN', 'UNIQUE SCAN') THEN 1 ELSE 0 END) AS i,
     sum(CASE WHEN filter_predicates IS NOT NULL THEN 1 ELSE 0 END) AS f,
     sum(CASE WHEN id = 1 AND options IN ('GROUP BY', 'AGGREGATE') THEN 1 ELSE 0 END) AS g
-  FROM fx_sql_plan GROUP BY 1, 2)
-SELECT p.sql_id, p.plan_hash_value, p.plan_lines, a.executions, a.rows_processed, a.sql_text,
-  round(CASE WHEN a.executions = 0 THEN NULL ELSE a.rows_processed / a.executions END, 2) AS rows_per_exec
-FROM p JOIN fx_sqlarea a ON a.sql_id = p.sql_id WHERE i = 1 AND f = 0 AND g = 0 AND plan_lines < 100000""")
+  FROM fx_stmt_plan WHERE operation <> 'PARTITION HASH' AND options <> 'STOPKEY' GROUP BY 1, 2)
+SELECT p.sql_id, p.plan_hash_value, p.plan_lines, a.executions, a.buffer_gets, a.rows_processed, round(a.buffer_gets / a.rows_processed) AS gets_per_row,
+  a.sql_text, round(a.rows_processed / a.executions, 2) AS rows_per_exec
+FROM p JOIN fx_sqlarea_plan a ON a.sql_id = p.sql_id AND a.plan_hash_value = p.plan_hash_value
+WHERE i = 1 AND f = 0 AND g = 0 AND plan_lines < 5 AND a.rows_processed > 0 AND a.executions > 100 AND a.rows_processed > a.executions / 2
+  AND length(a.sql_text) - length(replace(a.sql_text, ':', '')) < 5 AND round(a.buffer_gets / a.rows_processed) > 5""")
 def r48(spark, sf):
-    return apply_rule("R48", _t(spark, sf, sql_plan="fx_sql_plan", sqlarea="fx_sqlarea"), index_operation="SMALL",
-                      max_lines=100000)
+    return apply_rule("R48", _t(spark, sf, sql_plan="fx_stmt_plan", sqlarea="fx_sqlarea_plan"))
 
 
 @query("r63_write_statements_cur", """
-SELECT *, round(CASE WHEN executions = 0 THEN NULL ELSE rows_processed / executions END, 2) AS rows_per_exec FROM fx_sqlarea
-WHERE regexp_matches(upper(ltrim(sql_text)), '^(INSERT|UPDATE|DELETE|MERGE)') AND executions > 100""")
+SELECT *, round(rows_processed / executions, 2) AS rows_per_exec FROM fx_sqlarea_plan
+WHERE command_type IN (2, 6, 7) AND executions > 0 AND rows_processed > 2000""")
 def r63(spark, sf):
-    return apply_rule("R63", _t(spark, sf, sqlarea="fx_sqlarea"))
+    return apply_rule("R63", _t(spark, sf, sqlarea="fx_sqlarea_plan"), min_rows=2000)
 
 
 @query("r64_write_statements_hist", f"""
 WITH {recent()},
-g AS (SELECT s.sql_id, s.instance_number, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(rows_processed_delta) AS BIGINT) AS rows_processed
-      FROM recent s JOIN fx_sqltext t ON t.sql_id = s.sql_id AND t.command_type IN (2, 6, 7, 189) GROUP BY 1, 2)
-SELECT *, round(CASE WHEN executions = 0 THEN NULL ELSE rows_processed / executions END, 2) AS rows_per_exec FROM g WHERE executions > 100""")
+g AS (SELECT dbid, instance_number, sql_id, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(rows_processed_delta) AS BIGINT) AS rows_processed
+      FROM recent WHERE sql_id IN (SELECT sql_id FROM fx_sqltext WHERE command_type IN (2, 6, 7)) GROUP BY 1, 2, 3)
+SELECT *, round(rows_processed / executions, 2) AS rows_per_exec FROM g WHERE executions > 0 AND rows_processed > 50""")
 def r64(spark, sf):
-    return apply_rule("R64", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", sqltext="fx_sqltext"), days=400)
+    return apply_rule("R64", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", sqltext="fx_sqltext"), days=400, min_rows=50)
 
 
 @query("r37_parallel_with_serial_parts_hist", f"""

@@ -32,13 +32,10 @@ def e01(spark, sf):
 
 
 @query("e03_holder_waiter_pairs", f"""
-WITH h AS (SELECT inst_id, lock_type, id1, id2,
-    CASE WHEN count(DISTINCT CAST(sid AS VARCHAR)) = 1 THEN CAST(min(sid) AS VARCHAR) ELSE '< ' || count(DISTINCT CAST(sid AS VARCHAR)) || ' >' END AS holder_sid,
-    count(*) AS holders, max(lmode) AS holder_mode FROM fx_lock WHERE lmode > 0 GROUP BY 1, 2, 3, 4)
-SELECT w.inst_id, w.lock_type, w.id1, w.id2, w.sid AS waiter_sid, w.request, w.ctime, h.holder_sid, h.holders, h.holder_mode,
-  {_modes_sql('h.holder_mode')} AS holder_mode_name, {_modes_sql('w.request')} AS request_mode_name
-FROM fx_lock w JOIN h ON h.inst_id = w.inst_id AND h.lock_type = w.lock_type AND h.id1 = w.id1 AND h.id2 = w.id2
-WHERE w.request > 0""")
+SELECT w.inst_id, w.lock_type, w.id1, w.id2, w.sid AS waiter_sid, w.request, w.ctime, h.sid AS holder_sid, h.lmode AS holder_mode,
+  {_modes_sql('h.lmode')} AS holder_mode_name, {_modes_sql('w.request')} AS request_mode_name
+FROM fx_lock w JOIN fx_lock h ON h.inst_id = w.inst_id AND h.lock_type = w.lock_type AND h.id1 = w.id1 AND h.id2 = w.id2
+WHERE h.lmode NOT IN (0, 1) AND h.request IN (0, 1) AND w.lmode IN (0, 1) AND w.request NOT IN (0, 1)""")
 def e03(spark, sf):
     return SS.holder_waiter(_fx(spark, sf, "fx_lock"))
 

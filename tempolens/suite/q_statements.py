@@ -155,7 +155,7 @@ def d09(spark, sf):
 
 @query("d11_best_source", """
 WITH h AS (SELECT sql_id, sum(CASE WHEN parsing_schema_name = 'R' THEN 1 ELSE 0 END) AS hits_h, min(parsing_schema_name) AS schema_h,
-             count(DISTINCT parsing_schema_name) AS schemas_h FROM fx_sqlstat WHERE snap_id <= 24 AND module = 'O' GROUP BY 1),
+             count(DISTINCT parsing_schema_name) AS schemas_h FROM fx_sqlstat WHERE snap_id <= 24 GROUP BY 1),
 c AS (SELECT sql_id, sum(CASE WHEN parsing_schema_name = 'R' THEN 1 ELSE 0 END) AS hits_c, min(parsing_schema_name) AS schema_c,
              count(DISTINCT parsing_schema_name) AS schemas_c FROM fx_sqlstat WHERE snap_id > 24 GROUP BY 1),
 j AS (SELECT coalesce(h.sql_id, c.sql_id) AS sql_id, h.*, c.* EXCLUDE (sql_id) FROM h FULL OUTER JOIN c ON c.sql_id = h.sql_id)
@@ -166,7 +166,7 @@ SELECT sql_id,
 FROM j""")
 def d11(spark, sf):
     s = _fx(spark, sf, "fx_sqlstat")
-    return ST.best_source(s.filter((F.col("snap_id") <= 24) & (F.col("module") == "O")), s.filter(F.col("snap_id") > 24), "R")
+    return ST.best_source(s.filter(F.col("snap_id") <= 24), s.filter(F.col("snap_id") > 24), "R")
 
 
 @query("d10_two_period_comparison", """

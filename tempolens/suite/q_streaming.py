@@ -1,12 +1,12 @@
 """Streaming queries.
 
-Each callable stages its input, derived from the test tables, as a file
-source that arrives in event-time order (below the shared checkpoint
-folder), runs the streaming query with ``availableNow`` to completion and
-returns the sink read back as a DataFrame.  S01, S02 and S05 must equal
-the batch SQL; S03 uses approximate distinct counts, which are exact at the
-bindings' cardinalities; S04 (sessions are emitted only once the watermark
-has passed them) is checked by tests instead.
+Each callable stages its input, derived from the test tables, in ranges of
+event time (one partitioned write below the shared checkpoint folder), lets
+the ranges arrive one after the other, runs the streaming query with
+``availableNow`` after each and returns the sink read back as a DataFrame.
+All must equal the batch SQL; S03 uses approximate distinct counts, which are
+exact at the bindings' cardinalities, and S04 closes its last sessions by an
+end marker.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import fixture
-from ..streaming import (latest_versions, run_available_now, scratch_dir, stage_files, stream_counter_delta,
+from ..streaming import (deliver, end_marker, latest_versions, run_available_now, scratch_dir, stage_files, stream_counter_delta,
                          stream_load_timeline, stream_long_transactions, stream_sla_breaches, stream_usage_counts)
 from .registry import query
 
@@ -23,12 +23,21 @@ def _fx(spark, sf, name):
     return fixture(spark, sf, name)
 
 
-def _stream(spark, src_df, path, order_col=None, chunks=4, fmt="parquet"):
-    stage_files(src_df, path, order_col, chunks, fmt)
-    r = spark.readStream.option("maxFilesPerTrigger", 1)
+def _stream(spark, src_df, path, fmt="parquet"):
+    """The stream of a source folder that ``_run`` fills."""
     if fmt == "text":
-        return r.text(path)
-    return r.schema(src_df.schema).parquet(path)
+        return spark.readStream.text(path)
+    return spark.readStream.schema(src_df.schema).parquet(path)
+
+
+def _run(spark, src_df, folder, run, order_col=None, chunks=4, fmt="parquet", last=()):
+    """Stage ``src_df`` below ``folder`` and run the query after each chunk that arrives (one micro-batch each)."""
+    parts = stage_files(src_df, folder + "/staged", order_col, chunks, fmt)
+    for k, df in enumerate(last):
+        parts += stage_files(df, f"{folder}/last{k}", fmt=fmt)
+    for part in parts:
+        if deliver(spark, part, folder + "/src"):
+            run()
 
 
 @query("s01_stream_load_timeline", """
@@ -37,8 +46,9 @@ SELECT date_trunc('hour', sample_time) AS start_sample, coalesce(CAST(event AS V
 def s01(spark, sf):
     d = scratch_dir(spark, "s01")
     src = _fx(spark, sf, "fx_ash").select("sample_time", "event", F.lit(10).alias("sample_cycle"))
-    cells = stream_load_timeline(_stream(spark, src, d + "/src", "sample_time"), "event", 3600, watermark="31 days")
-    run_available_now(cells, d + "/out", d + "/cp", "update")
+    deliver(spark, d + "/none", d + "/src")
+    cells = stream_load_timeline(_stream(spark, src, d + "/src"), "event", 3600, watermark="31 days")
+    _run(spark, src, d, lambda: run_available_now(cells, d + "/out", d + "/cp", "update"), "sample_time")
     return latest_versions(spark, d + "/out", ["start_sample", "criteria"])
 
 
@@ -49,9 +59,10 @@ SELECT series_id, snap_id, counter_value FROM (
 def s02(spark, sf):
     d = scratch_dir(spark, "s02")
     src = _fx(spark, sf, "fx_counter").select("series_id", "snap_id", "snap_time", "counter_value")
-    q = stream_counter_delta(_stream(spark, src, d + "/src", "snap_time"), ["series_id"], "snap_id",
-                             ["counter_value"], d + "/out", d + "/state", d + "/cp", reset="drop")
-    q.awaitTermination()
+    deliver(spark, d + "/none", d + "/src")
+    stream = _stream(spark, src, d + "/src")
+    _run(spark, src, d, lambda: stream_counter_delta(stream, ["series_id"], "snap_id", ["counter_value"], d + "/out",
+                                                     d + "/state", d + "/cp", reset="drop").awaitTermination(), "snap_time")
     return spark.read.parquet(d + "/out").select("series_id", "snap_id", "counter_value")
 
 
@@ -63,18 +74,25 @@ SELECT split_part(line, ' ', 3) AS month, count(*) AS requests, count(DISTINCT s
 def s03(spark, sf):
     d = scratch_dir(spark, "s03")
     src = _fx(spark, sf, "fx_usage_log").select("line")
-    counts = stream_usage_counts(_stream(spark, src, d + "/src", None, 1, "text"))
-    run_available_now(counts, d + "/out", d + "/cp", "complete")
+    deliver(spark, d + "/none", d + "/src")
+    counts = stream_usage_counts(_stream(spark, src, d + "/src", "text"))
+    _run(spark, src, d, lambda: run_available_now(counts, d + "/out", d + "/cp", "complete"), fmt="text")
     return spark.read.parquet(d + "/out")
 
 
-@query("s04_stream_long_transactions")
+@query("s04_stream_long_transactions", """
+WITH a AS (SELECT xid, sample_time, lag(sample_time) OVER (PARTITION BY xid ORDER BY sample_time) AS p FROM fx_ash WHERE xid IS NOT NULL),
+b AS (SELECT xid, sample_time, sum(CASE WHEN p IS NULL OR sample_time > p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END)
+        OVER (PARTITION BY xid ORDER BY sample_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM a)
+SELECT xid, CAST(min(sample_time) AS TIMESTAMP) AS session_start, CAST(max(sample_time) + INTERVAL 30 MINUTE AS TIMESTAMP) AS session_end,
+  count(*) AS samples, round((epoch_us(max(sample_time)) - epoch_us(min(sample_time))) / 1000000.0, 3) AS duration_secs
+FROM b GROUP BY xid, n""")
 def s04(spark, sf):
     d = scratch_dir(spark, "s04")
     src = _fx(spark, sf, "fx_ash").select("xid", "sample_time")
-    tx = stream_long_transactions(_stream(spark, src, d + "/src", "sample_time"), "xid", "sample_time",
-                                  gap="30 minutes", watermark="1 hour")
-    run_available_now(tx, d + "/out", d + "/cp", "append")
+    deliver(spark, d + "/none", d + "/src")
+    tx = stream_long_transactions(_stream(spark, src, d + "/src"), "xid", "sample_time", gap="30 minutes", watermark="1 hour")
+    _run(spark, src, d, lambda: run_available_now(tx, d + "/out", d + "/cp", "append"), "sample_time", last=[end_marker(src, days=2), end_marker(src, days=3)])
     return spark.read.parquet(d + "/out")
 
 
@@ -97,9 +115,10 @@ def s05(spark, sf):
         "id_messagetype",
         (F.lit(86400 * 30) * (1 + F.pmod("id_messagetype", F.lit(3)))).cast("bigint").alias("warning_secs"),
         (F.lit(86400 * 60) * (1 + F.pmod("id_messagetype", F.lit(3)))).cast("bigint").alias("alert_secs"))
-    open_msgs = _stream(spark, m, d + "/src", "creation_time").filter(F.col("erroneous") == "N")
+    deliver(spark, d + "/none", d + "/src")
+    open_msgs = _stream(spark, m, d + "/src").filter(F.col("erroneous") == "N")
     breaches = stream_sla_breaches(open_msgs, limits, SLA_AS_OF)
-    run_available_now(breaches, d + "/out", d + "/cp", "append")
+    _run(spark, m, d, lambda: run_available_now(breaches, d + "/out", d + "/cp", "append"), "creation_time")
     return spark.read.parquet(d + "/out").select("id", "id_messagetype", "creation_time", "erroneous", "id_bulkgroup",
                                                  "run_count", "warning_secs", "alert_secs", "age_secs", "level")
 
@@ -111,9 +130,9 @@ SELECT series_id, snap_id, counter_value FROM (
 def s02_state(spark, sf):
     from ..streaming import stream_counter_delta_stateful
     d = scratch_dir(spark, "s02k")
-    src = _fx(spark, sf, "fx_counter").select("series_id", "snap_id", "counter_value")
-    deltas = stream_counter_delta_stateful(_stream(spark, src.join(_fx(spark, sf, "fx_counter").select("series_id", "snap_id", "snap_time"),
-                                                                   ["series_id", "snap_id"]), d + "/src", "snap_time"),
-                                           ["series_id"], "snap_id", ["counter_value"], reset="drop")
-    run_available_now(deltas.select("series_id", "snap_id", "counter_value"), d + "/out", d + "/cp", "append")
+    src = _fx(spark, sf, "fx_counter").select("series_id", "snap_id", "snap_time", "counter_value")
+    deliver(spark, d + "/none", d + "/src")
+    deltas = stream_counter_delta_stateful(_stream(spark, src, d + "/src"), ["series_id"], "snap_id", ["counter_value"], reset="drop")
+    _run(spark, src, d, lambda: run_available_now(deltas.select("series_id", "snap_id", "counter_value"), d + "/out", d + "/cp", "append"),
+         "snap_time")
     return spark.read.parquet(d + "/out")

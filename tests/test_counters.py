@@ -1,5 +1,6 @@
 """Counter deltas on hand-made series: resets, ties, chunked = single window."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tempolens.operators.counters import counter_delta, drop_first_snapshot, first_last_delta
@@ -41,3 +42,27 @@ def test_drop_first_snapshot_and_first_last(spark):
     assert drop_first_snapshot(df, ["k"], "snap").count() == 5
     fl = {r.k: r.c for r in first_last_delta(df, ["k"], "snap", ["c"]).collect()}
     assert fl == {1: -2, 2: 4, 3: 0}
+
+
+def test_null_keys_and_null_orders_keep_their_deltas_in_chunks(spark):
+    rows = [(k, s, s * 7 % 1000 + s * 10) for k in (1, None) for s in range(0, 5000, 100)] + [(None, None, 3), (1, None, 2)]
+    df = spark.createDataFrame(rows, "k int, snap int, c long")
+    a = counter_delta(df, ["k"], "snap", ["c"], reset="keep", chunk="auto")
+    b = counter_delta(df, ["k"], "snap", ["c"], reset="keep", chunk=None)
+    assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_the_chunked_form_reads_its_facts_once(spark, tmp_path):
+    spark.createDataFrame([(1, s, s) for s in range(3000)], "k int, snap int, c long").write.parquet(str(tmp_path / "f"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        d = counter_delta(spark.read.parquet(str(tmp_path / "f")), ["k"], "snap", ["c"], reset="keep")
+        plan = d._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_an_order_without_chunks_is_an_error(spark):
+    with pytest.raises(ValueError):
+        counter_delta(spark.createDataFrame([(1, "a", 1)], "k int, snap string, c long"), ["k"], "snap", ["c"])

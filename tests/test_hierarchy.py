@@ -1,5 +1,6 @@
 """Walk semantics: NOCYCLE stops before a node on the path, roots, depth, post-order."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tempolens.operators.hierarchy import (deepest_occurrence, hierarchy_walk, post_order_number, root_only,
@@ -50,7 +51,17 @@ def test_walk_max_depth_and_parent_condition(spark):
                                   "plan int, id int, parent_id int, mark string")
     start = F.col("parent_id").isNull()
     assert hierarchy_walk(lines, [("id", "parent_id")], ["plan"], start=start, node=["id"]).count() == 5
-    assert hierarchy_walk(lines, [("id", "parent_id")], ["plan"], start=start, node=["id"], max_depth=2).count() == 2
+    with pytest.raises(ValueError):  # rows below the limit are an error, not left out
+        hierarchy_walk(lines, [("id", "parent_id")], ["plan"], start=start, node=["id"], max_depth=2)
     # descend only through rows without a mark: stops below node 3 (3 is reached, its children are not)
     w = hierarchy_walk(lines, [("id", "parent_id")], ["plan"], start=start, node=["id"], expand_if=F.col("mark").isNull())
     assert sorted(r.id for r in w.collect()) == [1, 2, 3]
+
+
+def test_a_depth_limit_never_shortens_a_walk(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(12)], "id long, parent long")
+    walk = hierarchy_walk(chain, connect=[("id", "parent")], start=F.col("parent").isNull(), node=["id"])
+    assert walk.count() == 12
+    with pytest.raises(ValueError):
+        hierarchy_walk(chain, connect=[("id", "parent")], start=F.col("parent").isNull(), node=["id"], max_depth=5)
+    assert hierarchy_walk(chain, connect=[("id", "parent")], start=F.col("parent").isNull(), node=["id"], max_depth=12).count() == 12
