@@ -112,6 +112,34 @@ FIXTURE_SQL.update({
     "fx_pk_column": "SELECT lower(p_type) AS table_name, min(split_part(p_name, ' ', 1)) AS column_name FROM part GROUP BY 1",
 })
 
+# cumulative IO counters per (instance, file, function, file type, snapshot), restart every 24 snapshots
+_IO_SUMS = {
+    "phyrds": "count(*)", "phyblkrd": "sum(floor(l_quantity))", "readtim": "sum(floor(l_extendedprice / 100))",
+    "phywrts": "sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END)", "phyblkwrt": "sum(CASE WHEN l_linestatus = 'O' THEN floor(l_quantity) ELSE 0 END)",
+    "writetim": "sum(round(l_tax * 100))", "singleblkrds": "sum(CASE WHEN l_quantity < 25 THEN 1 ELSE 0 END)",
+    "singleblkrdtim": "sum(CASE WHEN l_quantity < 25 THEN floor(l_extendedprice / 100) ELSE 0 END)",
+    "small_read_megabytes": "sum(CASE WHEN l_linenumber = 1 THEN floor(l_quantity) ELSE 0 END)",
+    "small_write_megabytes": "sum(CASE WHEN l_linenumber = 2 THEN floor(l_quantity) ELSE 0 END)",
+    "large_read_megabytes": "sum(CASE WHEN l_linenumber = 3 THEN floor(l_quantity) * 8 ELSE 0 END)",
+    "large_write_megabytes": "sum(CASE WHEN l_linenumber > 3 THEN floor(l_quantity) * 8 ELSE 0 END)",
+    "small_read_reqs": "sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END)", "small_write_reqs": "sum(CASE WHEN l_linenumber = 2 THEN 1 ELSE 0 END)",
+    "large_read_reqs": "sum(CASE WHEN l_linenumber = 3 THEN 1 ELSE 0 END)", "large_write_reqs": "sum(CASE WHEN l_linenumber > 3 THEN 1 ELSE 0 END)",
+    "number_of_waits": "sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)", "wait_time": "sum(CASE WHEN l_returnflag = 'R' THEN floor(l_extendedprice) ELSE 0 END)",
+    "small_read_servicetime": "sum(CASE WHEN l_linenumber = 1 THEN floor(l_extendedprice) ELSE 0 END)",
+    "small_write_servicetime": "sum(CASE WHEN l_linenumber = 2 THEN floor(l_extendedprice) ELSE 0 END)",
+    "large_read_servicetime": "sum(CASE WHEN l_linenumber = 3 THEN floor(l_extendedprice) ELSE 0 END)",
+    "large_write_servicetime": "sum(CASE WHEN l_linenumber > 3 THEN floor(l_extendedprice) ELSE 0 END)",
+    "small_sync_read_reqs": "sum(CASE WHEN l_linenumber = 1 AND l_tax > 0.04 THEN 1 ELSE 0 END)",
+    "small_sync_read_latency": "sum(CASE WHEN l_linenumber = 1 AND l_tax > 0.04 THEN floor(l_extendedprice) ELSE 0 END)",
+    "retries_on_error": "sum(CASE WHEN l_discount = 0 THEN 1 ELSE 0 END)",
+}
+_IO_KEYS = "instance_number, file_id, function_name, filetype_name"
+FIXTURE_SQL["fx_io"] = (
+    f"SELECT 1 AS dbid, snap_id, {_IO_KEYS}, concat('/u01/f', CAST(file_id AS STRING), '.dbf') AS file_name, concat('TS', CAST(file_id % 3 AS STRING)) AS ts_name, "
+    + ", ".join(f"CAST(sum({c}) OVER (PARTITION BY {_IO_KEYS}, floor(snap_id / 24) ORDER BY snap_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS {c}" for c in _IO_SUMS)
+    + " FROM (SELECT CAST(l_suppkey % 2 + 1 AS INT) AS instance_number, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS snap_id, CAST(l_partkey % 6 AS INT) AS file_id, CASE l_returnflag WHEN 'A' THEN 'Buffer Cache Reads' WHEN 'N' THEN 'Direct Reads' ELSE 'LGWR' END AS function_name, CASE WHEN l_partkey % 6 >= 5 THEN 'Temp File' ELSE 'Data File' END AS filetype_name, "
+    + ", ".join(f"CAST({v} AS BIGINT) AS {c}" for c, v in _IO_SUMS.items()) + " FROM lineitem GROUP BY 1, 2, 3, 4, 5) t")
+
 _DEPENDS = {name: [d for d in FIXTURE_SQL if d != name and re.search(rf"\b{d}\b", sql)]
             for name, sql in FIXTURE_SQL.items()}
 

@@ -79,6 +79,79 @@ def c12t(spark, sf):
                           "phyrds", 5)
 
 
+IO_KEYS = ["file_id", "function_name", "filetype_name"]
+#: The measures in SQL, over summed counters and the period's seconds (sample_secs).
+RATES = {f"{z}_mb_per_sec": (f"{z}_megabytes", "sample_secs") for z in io.SIZES} | {f"{z}_reqs_per_sec": (f"{z}_reqs", "sample_secs") for z in io.SIZES}
+IO_SQL = {
+    "file": {"ms_per_read": ("readtim * 10", "phyrds"), "blocks_per_read": ("phyblkrd", "phyrds"), "ms_per_write": ("writetim * 10", "phywrts"),
+             "blocks_per_write": ("phyblkwrt", "phywrts"), "ms_per_single_read": ("singleblkrdtim * 10", "singleblkrds"),
+             "blocks_per_multi_read": ("phyblkrd - singleblkrds", "phyrds - singleblkrds"), "io_per_sec": ("phyrds + phywrts", "sample_secs"),
+             "reads_per_sec": ("phyrds", "sample_secs"), "writes_per_sec": ("phywrts", "sample_secs")},
+    "function": RATES | {"waits_per_sec": ("number_of_waits", "sample_secs"), "waiting_sessions": ("wait_time / 1000.0", "sample_secs")},
+    "filetype": RATES | {"small_sync_read_reqs_per_sec": ("small_sync_read_reqs", "sample_secs")}
+    | {f"{z}_load": (f"{z}_servicetime / 1000.0", "sample_secs") for z in io.SIZES}
+    | {f"{z}_latency_ms": (f"{z}_servicetime", f"{z}_reqs") for z in io.SIZES}
+    | {"small_sync_read_latency_ms": ("small_sync_read_latency", "small_sync_read_reqs")},
+}
+
+
+def _ratio(up, down):
+    return f"CASE WHEN {down} = 0 THEN NULL ELSE CAST({up} AS DOUBLE) / ({down}) END"
+
+
+def _io_sql(source, by, secs, extra=""):
+    """Deltas with times (j) and their sums per ``by`` (g)."""
+    counters = io.IO_SOURCES[source][0]
+    lag = ", ".join(f"{c} - lag({c}, 1, {c}) OVER (PARTITION BY dbid, instance_number, {', '.join(IO_KEYS)} ORDER BY snap_id) AS {c}" for c in counters)
+    return f"""WITH d0 AS (SELECT dbid, instance_number, snap_id, {', '.join(IO_KEYS)}, file_name, ts_name, {lag} FROM fx_io),
+j AS (SELECT d0.*, CAST(s.begin_interval_time AS TIMESTAMP) AS b, CAST(s.end_interval_time AS TIMESTAMP) AS e FROM d0
+      JOIN fx_snapshot s ON s.dbid = d0.dbid AND s.instance_number = d0.instance_number AND s.snap_id = d0.snap_id
+      WHERE d0.snap_id <> (SELECT min(snap_id) FROM fx_io m WHERE m.dbid = d0.dbid AND m.instance_number = d0.instance_number)),
+g AS (SELECT {by}, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in counters)}, {extra}
+        {secs} AS sample_secs FROM j GROUP BY {by.split(' AS ')[0]})"""
+
+
+PERIOD = "(epoch_us(max(e)) - epoch_us(min(b))) / 1000000.0"
+SAMPLE = "(epoch_us(min(e)) - epoch_us(min(b))) / 1000000.0"
+MINUTE = "date_trunc('minute', b + INTERVAL 30 SECOND)"
+
+
+def _measures_sql(source):
+    return ", ".join(f"round({_ratio(u, d)}, 4) AS {k}" for k, (u, d) in IO_SQL[source].items())
+
+
+def _io(spark, sf, source):
+    return io.io_deltas(_fx(spark, sf, "fx_io"), None, IO_KEYS, io.IO_SOURCES[source][0]), _fx(spark, sf, "fx_snapshot")
+
+
+def _register_io():
+    for cid, source, by, measure in (("c12", "file", "file_name", "io_per_sec"), ("c13", "function", "function_name", "waiting_sessions"),
+                                     ("c14", "filetype", "filetype_name", "large_read_latency_ms")):
+        up, down = IO_SQL[source][measure]
+
+        @query(f"{cid}_io_report_by_{by}", _io_sql(source, by, PERIOD, "count(DISTINCT snap_id) AS samples,")
+               + f" SELECT *, {_measures_sql(source)} FROM g")
+        def report(spark, sf, source=source, by=by):
+            return io.io_report(*_io(spark, sf, source), source, by)
+
+        @query(f"{cid}_io_report_samples", _io_sql(source, f"{MINUTE} AS rounded_begin", SAMPLE) + f" SELECT *, {_measures_sql(source)} FROM g")
+        def samples(spark, sf, source=source):
+            return io.io_report_samples(*_io(spark, sf, source), source)
+
+        cells = _io_sql(source, f"{MINUTE}, {by}", SAMPLE).replace(f"g AS (SELECT {MINUTE}, {by},", f"g AS (SELECT {MINUTE} AS rounded_time, {by} AS curve,")
+
+        @query(f"{cid}_io_report_timeline_{measure}", cells + f""",
+c AS (SELECT rounded_time, curve, coalesce(round({_ratio(up, down)}, 6), 0) AS value FROM g),
+top AS (SELECT curve FROM c GROUP BY 1 ORDER BY round(sum(value), 6) DESC, curve LIMIT 3)
+SELECT t.rounded_time, top.curve, round(coalesce(c.value, 0), 6) AS value FROM (SELECT DISTINCT rounded_time FROM c) t CROSS JOIN top
+LEFT JOIN c ON c.rounded_time = t.rounded_time AND c.curve = top.curve""")
+        def timeline(spark, sf, source=source, by=by, measure=measure):
+            return io.io_report_timeline(*_io(spark, sf, source), source, by, measure, 3)
+
+
+_register_io()
+
+
 @query("c06_metric_summary_hourly", """
 SELECT date_trunc('hour', ts) AS period, event_type AS metric_name, round(avg(CAST(round(value * 100) AS BIGINT)), 4) AS avg_value,
   min(CAST(round(value * 100) AS BIGINT)) AS min_value, max(CAST(round(value * 100) AS BIGINT)) AS max_value, count(*) AS samples
