@@ -76,17 +76,25 @@ def resolve_by_range(points: DataFrame, ranges: DataFrame, eq: list[str], point:
     """Point-in-interval lookup: ``start <= point <= start + length - 1`` with equal ``eq`` keys.
 
     A plain range join would compare every point with every interval of
-    the key.  Intervals are expanded to the fixed-width buckets they cover
-    and joined on (eq keys, bucket): an equi join Spark can hash-partition,
-    followed by the exact range test.  Each point lands in one bucket, so
-    no pair is produced twice.
+    the key.  Intervals are put into buckets and joined on (eq keys, level,
+    bucket): an equi join Spark can hash-partition, followed by the exact range
+    test.  Bucket widths grow by 8 from level to level, and an interval goes to
+    the first level whose buckets are as wide as itself, so it covers two of
+    them at most, however long it is.  A point looks into one bucket of every
+    level that has intervals (a small scalar subquery), so no pair is produced
+    twice.
     """
-    b = F.lit(bucket)
-    r = ranges.withColumn("_end", F.col(start) + F.col(length) - 1) \
-        .withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / b), F.floor(F.col("_end") / b))))
-    p = points.withColumn("_bucket", F.floor(F.col(point) / b))
-    cond = [p[k] == r[k] for k in eq] + [p["_bucket"] == r["_bucket"],
-                                          p[point] >= r[start], p[point] <= r["_end"]]
+    def width(level):
+        return F.lit(bucket) * F.pow(F.lit(8.0), level)
+
+    level = F.greatest(F.lit(0), F.ceil(F.log(F.col(length) / F.lit(float(bucket))) / F.log(F.lit(8.0)) - 1e-9)).cast("int")
+    r = ranges.filter(F.col(length) > 0).withColumn("_end", F.col(start) + F.col(length) - 1).withColumn("_level", level)
+    levels = r.select(F.collect_set("_level")).scalar()
+    r = r.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / width(F.col("_level"))), F.floor(F.col("_end") / width(F.col("_level"))))))
+    p = points.withColumn("_level", F.explode(levels)).withColumn("_bucket", F.floor(F.col(point) / width(F.col("_level"))))
+    p, r = p.alias("_p"), r.alias("_r")
+    cond = [F.col(f"_p.{k}") == F.col(f"_r.{k}") for k in (*eq, "_level", "_bucket")] + [
+        F.col(f"_p.{point}") >= F.col(f"_r.{start}"), F.col(f"_p.{point}") <= F.col("_r._end")]
     out = p.join(r, cond, "inner")
-    keep = [p[c] for c in points.columns] + [r[c] for c in ranges.columns if c not in eq and c not in points.columns]
+    keep = [F.col(f"_p.{c}") for c in points.columns] + [F.col(f"_r.{c}") for c in ranges.columns if c not in eq and c not in points.columns]
     return out.select(*keep)

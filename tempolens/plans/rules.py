@@ -299,8 +299,10 @@ def r52_memory_history(t: Tables, days: int, instance: int):
 
 @rule("R47", "Hot blocks on small objects", 2, min_accesses=1, max_rows_object=100000, bucket=1024)
 def r47_hot_blocks_small_objects(t: Tables, min_accesses: int, max_rows_object: int, bucket: int):
-    r = resolve_by_range(t.block_access, t.extents, ["file_id"], "block_no", "block_id", "blocks", bucket)
-    g = r.groupBy("object_id").agg(F.count(F.lit(1)).alias("accesses"), F.count_distinct("block_no").alias("blocks_hit"))
+    # counted per block first: a hot block is one row of the range join
+    hits = t.block_access.groupBy("file_id", "block_no").agg(F.count(F.lit(1)).alias("n"))
+    r = resolve_by_range(hits, t.extents, ["file_id"], "block_no", "block_id", "blocks", bucket)
+    g = r.groupBy("object_id").agg(F.sum("n").alias("accesses"), F.count_distinct("block_no").alias("blocks_hit"))
     o = t.objects.filter(F.col("num_rows") < max_rows_object).select("object_id", "owner", "object_name", "num_rows")
     return g.filter(F.col("accesses") >= min_accesses).join(o, "object_id", "inner") \
         .withColumn("accesses_per_block", F.round(F.col("accesses") / F.col("blocks_hit"), 4))

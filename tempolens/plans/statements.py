@@ -214,13 +214,17 @@ def memory_components(comps: DataFrame, pool: str = "pool", name: str = "name",
         F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("components"))
 
 
-def cached_blocks(blocks: DataFrame, obj: str = "object_id", status: str = "status") -> DataFrame:
-    """Cached blocks per object split by status, with the share of the whole cache."""
-    total = blocks.select(F.count(F.lit(1))).scalar()
-    g = blocks.groupBy(obj).agg(F.count(F.lit(1)).alias("blocks"),
-                                F.sum(F.when(F.col(status) == "xcur", 1).otherwise(0)).alias("blocks_xcur"),
-                                F.sum(F.when(F.col(status) == "cr", 1).otherwise(0)).alias("blocks_cr"),
-                                F.sum(F.when(F.col(status) == "free", 1).otherwise(0)).alias("blocks_free"))
+def cached_blocks(blocks: DataFrame, obj: str = "object_id", status: str = "status", weight: str | None = None) -> DataFrame:
+    """Cached blocks per object split by status, with the share of the whole cache.
+
+    weight: column with the number of blocks a row stands for (pre-aggregated input).
+    """
+    n = F.col(weight) if weight else F.lit(1)
+    g = blocks.groupBy(obj).agg(F.sum(n).alias("blocks"),
+                                F.sum(F.when(F.col(status) == "xcur", n).otherwise(0)).alias("blocks_xcur"),
+                                F.sum(F.when(F.col(status) == "cr", n).otherwise(0)).alias("blocks_cr"),
+                                F.sum(F.when(F.col(status) == "free", n).otherwise(0)).alias("blocks_free"))
+    total = g.select(F.sum("blocks")).scalar()
     return g.withColumn("pct_of_cache", F.round(F.try_divide(F.col("blocks") * F.lit(100.0), total), 4))
 
 

@@ -260,3 +260,9 @@ STAT_CLASSES = {1: "User", 2: "Redo", 4: "Enqueue", 8: "Cache", 16: "OS", 32: "R
 def c24(spark, sf):
     st = _fx(spark, sf, "fx_sysstat").filter(F.col("snap_id") == 20)
     return CR.session_statistics(st, _fx(spark, sf, "fx_stat_name"), STAT_CLASSES)
+
+
+@query("c15_io_measures_by_instance", _io_sql("filetype", "instance_number", PERIOD) + f" SELECT *, {_measures_sql('filetype')} FROM g")
+def c15(spark, sf):
+    deltas, snaps = _io(spark, sf, "filetype")
+    return io.io_report(deltas, snaps, "filetype", "instance_number").drop("samples")

@@ -607,3 +607,12 @@ WHERE w.object_name IS NOT NULL GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9 HAVING round(
 def r46(spark, sf):
     return apply_rule("R46", {"sql_plan": _cart_plan(spark, sf), "sqlstat": _fx(spark, sf, "fx_sqlstat"),
                               "snapshot": _fx(spark, sf, "fx_snapshot")}, days=400)
+
+
+@query("a58_rule_with_row_filter", f"""
+WITH {recent(src='fx_sqlstat_ext')},
+g AS (SELECT sql_id, instance_number, parsing_schema_name, CAST(sum(executions_delta) AS BIGINT) AS executions,
+   CAST(sum(parse_calls_delta) AS BIGINT) AS parses FROM recent GROUP BY 1, 2, 3)
+SELECT *, round(executions / CASE WHEN parses = 0 THEN 1 ELSE parses END, 2) AS execs_per_parse FROM g WHERE instance_number = 2""")
+def a58(spark, sf):
+    return apply_rule("R56", _t(spark, sf, sqlstat="fx_sqlstat_ext", snapshot="fx_snapshot"), F.col("instance_number") == 2, days=400)

@@ -218,11 +218,13 @@ SELECT object_id, count(*) AS blocks, CAST(sum(CASE WHEN status = 'xcur' THEN 1
 FROM b GROUP BY 1""")
 def d15(spark, sf):
     from ..operators.lookup import resolve_by_range
-    r = resolve_by_range(_fx(spark, sf, "fx_block_access"), _fx(spark, sf, "fx_extent"), ["file_id"],
-                         "block_no", "block_id", "blocks", bucket=64)
     st = F.pmod("sample_id", F.lit(3))
-    b = r.select("object_id", F.when(st == 0, "xcur").when(st == 1, "cr").otherwise("free").alias("status"))
-    out = ST.cached_blocks(b)
+    a = _fx(spark, sf, "fx_block_access").select(
+        "file_id", "block_no", F.when(st == 0, "xcur").when(st == 1, "cr").otherwise("free").alias("status"))
+    # counted per block and status before the range join
+    a = a.groupBy("file_id", "block_no", "status").agg(F.count(F.lit(1)).alias("n"))
+    r = resolve_by_range(a, _fx(spark, sf, "fx_extent"), ["file_id"], "block_no", "block_id", "blocks", bucket=64)
+    out = ST.cached_blocks(r.select("object_id", "status", "n"), weight="n")
     return out.withColumn("blocks_xcur", F.col("blocks_xcur").cast("bigint")) \
               .withColumn("blocks_cr", F.col("blocks_cr").cast("bigint")).withColumn("blocks_free", F.col("blocks_free").cast("bigint"))
 

@@ -106,3 +106,16 @@ def test_rule_registry():
         pass
     else:
         raise AssertionError("unknown parameter accepted")
+
+
+def test_range_lookup_with_ranges_of_all_lengths(spark):
+    import random
+    rnd = random.Random(4)
+    ranges = [(f, rnd.randrange(0, 5000), rnd.choice([1, 3, 16, 17, 130, 1100, 9000]), i) for i, f in enumerate([1, 2] * 40)]
+    points = [(rnd.choice([1, 2]), rnd.randrange(0, 15000), i) for i in range(300)]
+    r = spark.createDataFrame(ranges + [(1, 5, 0, 900), (1, 5, -3, 901)], "file_id int, start long, len long, rid int")
+    p = spark.createDataFrame(points, "file_id int, block long, pid int")
+    out = resolve_by_range(p, r, ["file_id"], "block", "start", "len", bucket=16)
+    want = sorted((i, k) for f, b, i in points for g, s, n, k in ranges if f == g and s <= b <= s + n - 1)
+    assert sorted((x.pid, x.rid) for x in out.collect()) == want and want
+    assert resolve_by_range(p, r.filter("false"), ["file_id"], "block", "start", "len").count() == 0
