@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
@@ -74,6 +81,24 @@ def text_key(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols], *[F.col(c).isNull() for c in cols])
 
 
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task under ``name``.
+
+    Workers serve one operator after another; the caches of others are let go,
+    so their memory doesn't add up.
+    """
+    if name not in _KEPT:
+        _KEPT.clear()
+        gc.collect()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def utf8(arr: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column, None for null."""
     kind = pa.large_binary() if pa.types.is_large_string(arr.type) else pa.binary()

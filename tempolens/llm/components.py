@@ -24,9 +24,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _state(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+        # large star: the larger end of each edge goes to the least neighbour of the smaller end
+        large = e.join(least, "v").select("u", F.col("m").alias("v"))
         root = large.groupBy("u").agg(F.min("v").alias("m"))
+        # small star: all smaller neighbours of a node go to its least one, and so does the node
         small = (large.join(root, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
                  .unionByName(root.select("u", F.col("m").alias("v"))).distinct())
         new = materialize(small, "edges")

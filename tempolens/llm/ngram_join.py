@@ -2,14 +2,17 @@
 
 All n-grams have one global order: by 64-bit hash, the very frequent ones last.
 The order is cut into fragments.  The first part of each set in that order finds
-the candidate pairs; the sizes of the sets' segments in the fragments bound each
-pair's overlap and drop most of them; for the others every fragment counts its
-partial overlaps on its own, and the sum per pair decides.
-
-Only connected groups are wanted, so pairs are looked for in two steps: first
-between each list of sets that share an n-gram and one member of it, then between
-sets that are not connected yet.  A group of near copies so takes about as many
-pairs as it has members.
+the candidate pairs; the parities of the sets' segment sizes in many thin fragments
+bound each pair's overlap and drop most of them; for the others every fragment
+counts its partial overlaps on its own, and the sum per pair decides.
+
+Only connected groups are wanted, so no step forms all pairs of a list of sets
+that share an n-gram.  Each list is compared with one member; then, where it is
+not connected, with its best connected member, the centre.  A set that links to a
+centre has its other partners at twice the allowed distance from the centre at
+most (the Jaccard distance is a metric), so these few are compared with each other
+in tiles, by partial overlaps per fragment, and only links leave the task.  Sets of
+a list that link to no centre are left; their pairs are bounded by parities.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_null_safe, materialize, text_key, utf8
+from ._common import join_null_safe, kept, materialize, text_key, utf8
 from .components import connected_components
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Fragments of the order for the bound on overlaps, and for counting them.
-SEGMENTS, FRAGMENTS = 64, 8
+#: Fragments of the order for counting overlaps.
+FRAGMENTS = 8
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -40,6 +43,16 @@ class Jaccard:
     n: int = 5
     percent: int = 80
 
+    def __post_init__(self) -> None:
+        if not 50 < self.percent <= 100:
+            raise ValueError("the similarity must be over 50 and at most 100 per cent")
+
+    def of_neighbours(self) -> Jaccard:
+        """What two sets have in common at least that are both similar to a third."""
+        if self.percent <= 75:
+            raise ValueError("the similarity must be over 75 per cent")
+        return Jaccard(self.n, 2 * self.percent - 100)
+
     def prefix(self, size: np.ndarray) -> np.ndarray:
         """So many n-grams, first in the order, share one with every similar set."""
         return size - (size * self.percent + 99) // 100 + 1
@@ -51,21 +64,18 @@ class Jaccard:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_HASHES = _WordHashes()
-
-
 def gram_set(data: bytes | None, n: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-grams; the whole sequence is one when it has fewer words."""
     words = data.translate(_LOWER).split() if data else []
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("words", _WordHashes).__getitem__, words), np.uint64, len(words))
     k = min(n, len(h))
     g = h[:len(h) - k + 1] + np.uint64(k)
     for i in range(1, k):
@@ -79,8 +89,15 @@ def set_key(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes(), len(grams)) - (1 << 63)
 
 
-def segment_sizes(grams: np.ndarray) -> np.ndarray:
-    return np.bincount((grams >> np.uint64(58)).astype(np.int64), minlength=SEGMENTS).astype(np.int32)
+def parities(grams: np.ndarray) -> np.ndarray:
+    """One bit for each of 64, 128, ... fragments (at least twice as many as n-grams): its segment's size is odd.
+
+    Fragments are named by the low bits of the hashes, so the first half of the
+    bits XOR the second is what half as many fragments give.
+    """
+    n = max(64, 1 << (len(grams) - 1).bit_length() + 1)
+    odd = np.bincount((grams & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _long(grams: np.ndarray) -> pa.Array:
@@ -88,7 +105,7 @@ def _long(grams: np.ndarray) -> pa.Array:
 
 
 def describe(docs: DataFrame, how: Jaccard, hot_share: float) -> DataFrame:
-    """One row per document (id, rk, size, key, segs), and rows (gram, n) of n-grams frequent in a stretch of documents.
+    """One row per document (id, rk, size, key, bits), and rows (gram, n) of n-grams frequent in a stretch of documents.
 
     An n-gram found in more than ``hot_share`` of all documents is that frequent
     in one stretch at least, so none is missed.  Equal sets count once in a stretch.
@@ -106,9 +123,9 @@ def describe(docs: DataFrame, how: Jaccard, hot_share: float) -> DataFrame:
             k = int(often.sum())
             return pa.RecordBatch.from_arrays(
                 [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.nulls(k, pa.int64()),
-                 pa.nulls(k, pa.list_(pa.int32())), _long(got[often])], names)
+                 pa.nulls(k, pa.list_(pa.int64())), _long(got[often])], names)
 
-        names = ["id", "rk", "size", "key", "segs", "gram"]
+        names = ["id", "rk", "size", "key", "bits", "gram"]
         id_type = None
         for b in batches:
             id_type = b.column("id").type
@@ -116,19 +133,19 @@ def describe(docs: DataFrame, how: Jaccard, hot_share: float) -> DataFrame:
             keys = [set_key(g) for g in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("rk"), pa.array([len(g) for g in sets], pa.int64()), pa.array(keys, pa.int64()),
-                 pa.array([segment_sizes(g) for g in sets], pa.list_(pa.int32())), pa.nulls(len(sets), pa.int64())], names)
+                 pa.array([parities(g) for g in sets], pa.list_(pa.int64())), pa.nulls(len(sets), pa.int64())], names)
             for key, g in zip(keys, sets):
                 if key not in seen:
                     seen[key] = g
                     held += len(g)
-                    if held > 4_000_000:
+                    if held > 2_000_000:
                         yield hot(id_type)
                         seen.clear()
                         held = 0
         if seen:
             yield hot(id_type)
 
-    return src.mapInArrow(run, f"id {kind}, rk long, size long, key long, segs array<int>, gram long")
+    return src.mapInArrow(run, f"id {kind}, rk long, size long, key long, bits array<long>, gram long")
 
 
 def shared_prefixes(docs: DataFrame, how: Jaccard, hot: Broadcast[np.ndarray], buckets: int) -> DataFrame:
@@ -172,8 +189,8 @@ def shared_prefixes(docs: DataFrame, how: Jaccard, hot: Broadcast[np.ndarray], b
         k = np.frombuffer(b"".join(t.column("keys").to_pylist()), np.int64)
         frequent = np.isin(g, order)
         part = np.where(frequent, k % parts, 0)
-        # three orders, chosen by the n-gram: a poor pivot of one list is none in others
-        mixed = (k.view(np.uint64) ^ (g % np.uint64(3) * _B)) * _A
+        # two orders, chosen by the n-gram: a poor pivot of one list is none in others
+        mixed = (k.view(np.uint64) ^ (g % np.uint64(2) * _B)) * _A
         by = np.lexsort((k, mixed, part, g))
         g, k, part, frequent = g[by], k[by], part[by], frequent[by]
         fresh = np.ones(len(g), bool)
@@ -190,29 +207,51 @@ def shared_prefixes(docs: DataFrame, how: Jaccard, hot: Broadcast[np.ndarray], b
             .groupBy("bucket").applyInArrow(lists, "gram long, key long, pivot long"))
 
 
-def bound(a: Column, b: Column) -> Column:
-    """The largest overlap that the segment sizes allow."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+def xor(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+
+def halved(x: Column) -> Column:
+    """The parities of half as many fragments, one word at least."""
+    h = (F.size(x) / 2).cast("int")
+    return F.when(F.size(x) > 1, xor(F.slice(x, 1, h), F.slice(x, h + 1, h))).otherwise(x)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Number of fragments whose segment sizes differ in parity: so many n-grams at least are in one set only.
+
+    Sets of similar sizes have equally many fragments, or one has twice as many.
+    """
+    fewer = F.least(F.size(a), F.size(b))
+    fit = lambda x: F.when(F.size(x) > fewer, halved(x)).otherwise(x)
+    return F.aggregate(xor(fit(a), fit(b)), F.lit(0), lambda s, x: s + F.bit_count(x))
 
 
 def may_link(pairs: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
-    """The distinct pairs (x, y) that the segment sizes don't rule out, with their set sizes."""
-    s = sets.select("key", "size", "segs")
-    x = s.select(F.col("key").alias("x"), F.col("size").alias("size_x"), F.col("segs").alias("segs_x"))
-    y = s.select(F.col("key").alias("y"), F.col("size").alias("size_y"), F.col("segs").alias("segs_y"))
-    return (pairs.distinct().join(x, "x").join(y, "y")
-            .where(how.enough(F.least("size_x", "size_y"), F.col("size_x"), F.col("size_y")))
-            .where(how.enough(bound(F.col("segs_x"), F.col("segs_y")), F.col("size_x"), F.col("size_y")))
+    """The distinct pairs (x, y) that sizes and then parities don't rule out, with their set sizes."""
+    def side(k: str, *cols: str) -> DataFrame:
+        return sets.select(F.col("key").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in cols])
+
+    sizes = F.col("size_x"), F.col("size_y")
+    near = (pairs.distinct().join(side("x", "size"), "x").join(side("y", "size"), "y")
+            .where(how.enough(F.least(*sizes), *sizes)))
+    most = (sizes[0] + sizes[1] - differing(F.col("bits_x"), F.col("bits_y"))) / 2
+    return (near.join(side("x", "bits"), "x").join(side("y", "bits"), "y").where(how.enough(most, *sizes))
             .select("x", "y", "size_x", "size_y"))
 
 
-def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
-    """The pairs that link: each fragment counts partial overlaps, and their sum per pair is the overlap."""
-    wanted = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
-    rows = wanted.join(sets, "key").select("key", F.col("id").alias("w_id"), F.col("rk").alias("w_rk"))
-    texts = docs.join(rows, docs["id"].eqNullSafe(rows["w_id"]) & (docs["rk"] == rows["w_rk"])).select("key", "text")
+#: Rows of (key, id, rk) that a join may broadcast, about 20 MB; more of them are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
 
-    def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def segments(keys: DataFrame, docs: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
+    """The segments of the sets named by the column ``key``, from their texts: (key, f, seg), written."""
+    rows = materialize(keys.distinct().join(sets, "key").select("key", F.col("id").alias("w_id"), F.col("rk").alias("w_rk")), "wanted")
+    if rows.count() <= BROADCAST_KEYS:
+        rows = F.broadcast(rows)
+    texts = docs.join(rows, docs["id"].eqNullSafe(F.col("w_id")) & (docs["rk"] == F.col("w_rk"))).select("key", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
         for b in batches:
             for at in range(0, b.num_rows, 500):
@@ -229,57 +268,127 @@ def verify(pairs: DataFrame, docs: DataFrame, sets: DataFrame, how: Jaccard) ->
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key, pa.int64()), pa.array(frag, pa.int32()), pa.array(seg, pa.list_(pa.int64()))], ["key", "f", "seg"])
 
-    segs = materialize(texts.mapInArrow(fragments, "key long, f int, seg array<long>").dropDuplicates(["key", "f"]), "segments")
+    # rows equal in id and text give equal segments
+    return materialize(texts.mapInArrow(cut, "key long, f int, seg array<long>").dropDuplicates(["key", "f"]), "segments")
+
+
+def overlaps(pairs: DataFrame, docs: DataFrame, sets: DataFrame, how: Jaccard) -> DataFrame:
+    """The similar ones of the pairs, with their overlap ``o``: each fragment counts partial overlaps, and
+    their sum per pair is the overlap."""
+    keys = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key")))
+    segs = segments(keys, docs, sets, how)
     x = segs.select(F.col("key").alias("x"), "f", F.col("seg").alias("seg_x"))
     y = segs.select(F.col("key").alias("y"), "f", F.col("seg").alias("seg_y"))
     partial = (pairs.join(x, "x").join(y, ["y", "f"])
                .select("x", "y", "size_x", "size_y", F.size(F.array_intersect("seg_x", "seg_y")).alias("o")))
     return (partial.groupBy("x", "y", "size_x", "size_y").agg(F.sum("o").alias("o"))
-            .where(how.enough(F.col("o"), F.col("size_x"), F.col("size_y"))).select("x", "y"))
+            .where(how.enough(F.col("o"), F.col("size_x"), F.col("size_y"))))
+
+
+def blocks_of(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """``rows`` (group, key, comp) of the groups with several components, dealt into tiles (i, j) of two blocks; b is a row's own."""
+    several = (rows.groupBy(group).agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+               .where("lo <> hi").select(F.col(group).alias("g"), F.ceil(F.col("m") / block).cast("int").alias("blocks")))
+    n = F.col("blocks")
+    return (rows.join(several, F.col(group) == F.col("g"))
+            .withColumn("b", F.pmod(F.xxhash64("key"), n).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+            .select(group, "key", "comp", "b", F.least("b", "other").alias("i"), F.greatest("b", "other").alias("j")))
+
+
+def link_groups(rows: DataFrame, docs: DataFrame, sets: DataFrame, how: Jaccard, block: int = 512) -> DataFrame:
+    """Links (u, v) between sets of one group (centre, key, comp) that are in different components.
 
+    A task has the sets of one tile, adds up the partial overlaps of all its pairs
+    fragment by fragment, and returns links that join components, not pairs.
+    """
+    tiles = materialize(blocks_of(rows, "centre", block), "tiles")
+    segs = segments(tiles.select("key"), docs, sets, how).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("f", "seg"))).alias("s"))
+    whole = segs.select("key", F.flatten("s.seg").alias("grams"))  # the order of hashes as unsigned numbers
 
-def unconnected(lists: DataFrame, sets: DataFrame, comps: DataFrame, how: Jaccard, block: int = 2048) -> DataFrame:
-    """Pairs (x, y) of sets of one list and of different components that the segment sizes don't rule out.
+    def tile(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        key, comp, side = (t.column(c).to_numpy() for c in ("key", "comp", "b"))
+        lists = t.column("grams").combine_chunks()
+        flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy()
+        at = at - at[0]
+        size = np.diff(at)
+        row = np.repeat(np.arange(len(key)), size)
+        order = np.argsort(flat, kind="stable")
+        g, r = flat[order], row[order]
+        new = np.ones(len(g), bool)
+        new[1:] = g[1:] != g[:-1]
+        col = np.cumsum(new) - 1
+        shared = np.bincount(col)[col] > 1
+        col, r = np.unique(col[shared], return_inverse=True)[1], r[shared]
+        total = np.zeros((len(key), len(key)), np.float32)
+        width = 2048  # columns of a fragment
+        for c in range(0, int(col.max(initial=-1)) + 1, width):
+            a, e = np.searchsorted(col, [c, c + width])
+            x = np.zeros((len(key), width), np.float32)
+            x[r[a:e], col[a:e] - c] = 1
+            total += x @ x.T
+        ok = how.enough(total.astype(np.int64), size[:, None], size[None, :]) & (comp[:, None] != comp[None, :])
+        if (side != side[0]).any():
+            ok &= side[:, None] != side[None, :]
+        i, j = np.nonzero(np.triu(ok, 1))
+        # one link for each two components is enough
+        pair = np.unique(np.stack([np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])]), axis=1, return_index=True)[1]
+        return pa.table({"u": key[i[pair]], "v": key[j[pair]]})
+
+    return (tiles.join(whole, "key").groupBy("centre", "i", "j").applyInArrow(tile, "u long, v long"))
+
+
+def unconnected(rows: DataFrame, sets: DataFrame, how: Jaccard, block: int = 2048) -> DataFrame:
+    """Pairs (x, y) of sets of one list (gram, key, comp) and of different components that sizes and parities don't rule out.
 
     A list of more than ``block`` sets is dealt into tiles of two blocks.
     """
-    rows = (lists.select("gram", "key").join(comps, F.col("key") == F.col("node"), "left")
-            .select("gram", "key", F.coalesce("component", "key").alias("comp")))
-    several = (rows.groupBy("gram").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-               .where("m > 2 and lo <> hi").select(F.col("gram").alias("g"), F.ceil(F.col("m") / block).cast("int").alias("blocks")))
-    n = F.col("blocks")
-    tiled = (rows.join(several, F.col("gram") == F.col("g"))
-             .withColumn("b", F.pmod(F.xxhash64("key"), n).cast("int"))
-             .withColumn("o", F.explode(F.sequence(F.lit(0), n - 1)))
-             .select("gram", "key", "comp", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    thin = halved(halved(F.col("bits")))  # they travel with each row, so fewer do
+    tiled = (blocks_of(rows, "gram", block)
              .withColumn("tile", F.xxhash64("gram", "i", "j"))
-             .join(sets.select("key", "size", "segs"), "key")
+             .join(sets.select("key", "size", thin.alias("bits")), "key")
              .withColumn("task", F.pmod("tile", F.lit(4096))))
 
     def pairs(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         tile, key, comp, size, side = (t.column(c).to_numpy() for c in ("tile", "key", "comp", "size", "b"))
-        segs = t.column("segs").combine_chunks().flatten().to_numpy().reshape(-1, SEGMENTS)
+        packed = t.column("bits").combine_chunks()
+        flat, at = packed.flatten().to_numpy().view(np.uint64), packed.offsets.to_numpy()
+        at = at - at[0]
         by = np.lexsort((size, tile))
-        tile, key, comp, size, side, segs = tile[by], key[by], comp[by], size[by], side[by], segs[by]
+        tile, key, comp, size, side = tile[by], key[by], comp[by], size[by], side[by]
+        width, at = np.diff(at)[by], at[by]
         ends = np.flatnonzero(np.diff(tile, append=tile[-1] ^ 1)) + 1
         out_x, out_y = [], []
         for a, e in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist()):
             top = np.searchsorted(size[a:e], size[a:e] * 100 // how.percent, side="right") + a  # sizes that can be similar
             alike = (side[a:e] == side[a]).all()  # one block with itself
+            # rows of equal width are neighbours; `half` is the next width's rows with half the fragments
+            whole, half, starts = {}, {}, {}
+            for w in np.unique(width[a:e]).tolist():
+                rows = np.flatnonzero(width[a:e] == w) + a
+                whole[w], starts[w] = np.stack([flat[at[k]:at[k] + w] for k in rows.tolist()]), rows[0]
+                half[w] = whole[w][:, :w // 2] ^ whole[w][:, w // 2:] if w > 1 else None
             for i in range(a, e - 1):
                 j = np.arange(i + 1, top[i - a])
                 j = j[(comp[j] != comp[i]) & ((side[j] != side[i]) | alike)]
                 if len(j):
-                    most = np.minimum(segs[j], segs[i]).sum(axis=1)
-                    j = j[how.enough(most, size[j], size[i])]
+                    w = int(width[i])
+                    same = j[width[j] == w]
+                    wide = j[width[j] == 2 * w]
+                    own = whole[w][i - starts[w]]
+                    odd = [np.bitwise_count(m ^ own).sum(axis=1, dtype=np.int64) for m in (
+                        whole[w][same - starts[w]], *([half[2 * w][wide - starts[2 * w]]] if len(wide) else []))]
+                    j = np.concatenate([same, wide])
+                    j = j[how.enough((size[j] + size[i] - np.concatenate(odd)) / 2, size[j], size[i])]
                     out_x.append(np.minimum(key[j], key[i]))
                     out_y.append(np.maximum(key[j], key[i]))
         x, y = (np.concatenate([*o, np.empty(0, np.int64)]) for o in (out_x, out_y))
         both = np.unique(np.stack([x, y]), axis=1)
         return pa.table({"x": both[0], "y": both[1]})
 
-    return tiled.select("task", "tile", "key", "comp", "size", "b", "segs").groupBy("task").applyInArrow(pairs, "x long, y long")
+    return tiled.select("task", "tile", "key", "comp", "size", "b", "bits").groupBy("task").applyInArrow(pairs, "x long, y long")
 
 
 def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
@@ -291,7 +400,7 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
     documents link when their sets' Jaccard similarity is ``percent`` per cent or
     more; ``component_id`` is the smallest id reachable by links.
 
-    Equal sets are one node, named by a 64-bit key.  ``max_hot`` bounds the
+    ``percent`` is over 75.  Equal sets are one node, named by a 64-bit key.  ``max_hot`` bounds the
     frequent n-grams sent to the tasks (the most frequent ones); they only order
     the n-grams, so which ones they are changes no result.
 
@@ -312,22 +421,54 @@ def similar_documents(docs: DataFrame, n: int = 5, percent: int = 80, id_col: st
 
     # equal sets: one node, and any of its rows for the text
     sets = materialize(rows.where("size > 0").groupBy("key").agg(
-        F.min("id").alias("least"), F.min(F.struct("rk", "id")).alias("one"), F.any_value("size").alias("size"), F.any_value("segs").alias("segs"))
-        .select("key", "least", "one.id", "one.rk", "size", "segs"), "classes")
+        F.min("id").alias("least"), F.min(F.struct("rk", "id")).alias("one"), F.any_value("size").alias("size"), F.any_value("bits").alias("bits"))
+        .select("key", "least", "one.id", "one.rk", "size", "bits"), "classes")
     total = sets.agg(F.sum("size")).first()[0] or 0
     buckets = int(total * (100 - percent) // 100 // bucket_grams) + 8
     lists = materialize(shared_prefixes(src.select("text"), how, hot, buckets), "lists")
 
-    star = lists.where("key <> pivot").select(F.least("key", "pivot").alias("x"), F.greatest("key", "pivot").alias("y"))
-    first = materialize(may_link(star, sets, how), "pairs")
-    links = materialize(verify(first, src, sets, how), "links")
-    comps = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-    other = unconnected(lists, sets, comps, how).join(first.select("x", "y"), ["x", "y"], "left_anti")
-    second = materialize(may_link(other, sets, how), "pairs")
-    more = verify(second, src, sets, how)
+    def pairs(a: str, b: str) -> list[Column]:
+        return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
+
+    def ends(links: DataFrame) -> DataFrame:
+        return links.select(F.col("x").alias("u"), F.col("y").alias("v"))
+
+    def with_comp(rows: DataFrame, comps: DataFrame) -> DataFrame:
+        return rows.join(comps, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
+
+    close = how.of_neighbours()
+    linked = how.enough(F.col("o"), F.col("size_x"), F.col("size_y"))
+    # each list with one of its sets
+    first = materialize(may_link(lists.where("key <> pivot").select(*pairs("key", "pivot")), sets, close), "pairs")
+    near = materialize(overlaps(first, src, sets, close), "near")
+    links = ends(near.where(linked))
+    comps = connected_components(links)
+    # the lists that are not connected, with their centre
+    degree = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("d_key")).agg(F.count(F.lit(1)).alias("d"))
+    open_lists = (with_comp(lists, comps).groupBy("gram").agg(
+        F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("pivot").alias("p"), F.max("pivot").alias("q"))
+        .where("lo <> hi and (m > 2 or p <> q)").select("gram"))
+    left = lists.select("gram", "key").join(open_lists, "gram", "left_semi").join(degree, F.col("key") == F.col("d_key"), "left")
+    centres = left.groupBy(F.col("gram").alias("c_gram")).agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "key"))["key"].alias("centre"))
+    left = materialize(left.join(centres, F.col("gram") == F.col("c_gram")).select("gram", "key", "centre"), "open")
+    second = materialize(may_link(left.where("key <> centre").select(*pairs("key", "centre")), sets, close)
+                         .join(first.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+    near = materialize(near.unionByName(overlaps(second, src, sets, close)), "near")
+    links = ends(near.where(linked))
+    comps = connected_components(links)
+    # around each centre, the sets that may link to a set that links to the centre
+    named = left.select("centre").distinct()
+    around = (near.select(F.col("x").alias("centre"), F.col("y").alias("key"), linked.alias("linked"))
+              .unionByName(near.select(F.col("y").alias("centre"), F.col("x").alias("key"), linked.alias("linked")))
+              .join(named, "centre", "left_semi"))
+    groups = around.select("centre", "key").unionByName(named.select("centre", F.col("centre").alias("key")))
+    more = materialize(link_groups(with_comp(groups, comps), src, sets, how), "links")
+    # the sets of a list that link to no centre
+    alone = left.where("key <> centre").join(around.where("linked").select("centre", "key"), ["centre", "key"], "left_anti").select("gram", "key")
+    third = materialize(may_link(unconnected(with_comp(alone, comps), sets, how), sets, how), "pairs")
+    edges = links.unionByName(more).unionByName(ends(overlaps(third, src, sets, how)))
 
     # nodes of one id are one node; components are named by the smallest id
-    edges = links.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v"))
     same = (rows.where("size > 0 and id is not null").groupBy("id").agg(F.min("key").alias("u"), F.max("key").alias("v"))
             .where("u <> v"))
     if same.limit(1).count():

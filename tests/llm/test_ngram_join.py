@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tempolens.llm import ngram_join as J
 from tempolens.llm.queries import op5_ngram_jaccard_join
@@ -85,8 +86,10 @@ def test_families_for_any_choice_of_frequent_grams(spark, hot_share, max_hot):
 
 def test_small_blocks(spark, monkeypatch):
     rows = family()
-    whole = J.unconnected
+    whole, groups = J.unconnected, J.link_groups
     monkeypatch.setattr(J, "unconnected", lambda *a: whole(*a, block=16))
+    monkeypatch.setattr(J, "link_groups", lambda *a: groups(*a, block=12))
+    monkeypatch.setattr(J, "BROADCAST_KEYS", 0)
     assert got(J.similar_documents(frame(spark, rows), 3, 80), *COLS) == brute(rows, 3, 80)
 
 
@@ -102,3 +105,36 @@ def test_one_of_each_group_stays(spark):
     out = J.keep_one(docs)
     assert out.columns == docs.columns
     assert got(out, "doc_id", "text") == sorted([rows[1], rows[2], rows[3], rows[4], rows[5], rows[6]], key=repr)
+
+
+def test_parities_bound_the_overlap(spark):
+    import numpy as np
+    rnd = np.random.default_rng(3)
+    rows, want = [], []
+    for i in range(300):
+        n = int(rnd.integers(1, 400))
+        a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
+        keep = rnd.random(len(a)) < rnd.choice([0.0, 0.7, 0.95, 1.0])
+        b = np.unique(np.concatenate([a[keep], rnd.integers(0, 1 << 63, max(1, int(len(a) * rnd.choice([0.0, 0.1, 0.4])))).astype(np.uint64)]))
+        rows.append((i, J.parities(a).tolist(), J.parities(b).tolist()))
+        want.append(len(np.setxor1d(a, b)))
+        assert max(65, 4 * len(a)) > len(rows[-1][1]) * 64 >= 2 * len(a)
+    out = {r.i: r.d for r in spark.createDataFrame(rows, "i int, a array<long>, b array<long>")
+           .where("size(a) <= 2 * size(b) and size(b) <= 2 * size(a)").select("i", J.differing(F.col("a"), F.col("b")).alias("d")).collect()}
+    assert out and all(d <= want[i] and (want[i] - d) % 2 == 0 for i, d in out.items())
+    assert any(out[i] for i in out)
+
+
+def test_long_and_short_texts_of_one_passage(spark):
+    """Sizes over several widths of the parities."""
+    import random
+    rnd = random.Random(11)
+    words = [f"u{i}" for i in range(60)]
+    rows = []
+    for i in range(70):
+        base = [f"b{i % 7}_{k}" for k in range(40 + 60 * (i % 7))]
+        for _ in range(rnd.choice([0, 1, 3, 6, 9])):
+            base[rnd.randrange(len(base))] = rnd.choice(words)
+        rows.append((i, " ".join(base[:len(base) - rnd.choice([0, 0, 5])] + words[:20])))
+    out = J.similar_documents(frame(spark, rows), 4, 85, hot_share=2.0)
+    assert got(out, *COLS) == brute(rows)
