@@ -281,20 +281,29 @@ def r56_parse_ratio(t: Tables, days: int):
     return s.withColumn("execs_per_parse", F.round(per_unit("executions", "parses"), 2))
 
 
-@rule("R52", "Memory statistics history with delta of the over-allocation counter", 2, days=400, instance=1)
+# Names of the PGA counters, in bytes and as counts, and their columns.
+PGA_BYTES = {"aggregate PGA target parameter": "aggregate_target_mb", "aggregate PGA auto target": "auto_target_mb",
+             "global memory bound": "global_memory_bound_mb", "total PGA inuse": "inuse_mb", "total PGA allocated": "allocated_mb",
+             "total freeable PGA memory": "freeable_mb", "PGA memory freed back to OS": "freed_back_mb",
+             "total PGA used for auto workareas": "used_auto_mb", "total PGA used for manual workareas": "used_manual_mb"}
+PGA_COUNTS = {"process count": "process_count", "max processes count": "max_processes_count",
+              "over allocation count": "over_allocation_count", "cache hit percentage": "cache_hit_pct"}
+
+
+@rule("R52", "Memory statistics history with delta of the over-allocation counter", 2, days=8, instance=1)
 def r52_memory_history(t: Tables, days: int, instance: int):
-    names = {r: r for r in ("user commits", "user rollbacks", "physical reads", "redo size", "parse count (total)")}
-    s = t.sysstat.filter(F.col("instance_number") == instance).join(t.stat_name, "stat_id", "inner")
-    cols = [F.max(F.when(F.col("stat_name") == n, F.col("value")).otherwise(0)).alias(n.replace(" ", "_").replace("(", "").replace(")", ""))
-            for n in names]
-    g = s.groupBy("dbid", "instance_number", "snap_id").agg(*cols)
-    prev = g.select("dbid", "instance_number", (F.col("snap_id") + 1).alias("snap_id"),
-                    F.col("physical_reads").alias("_prev"))
+    """The PGA counters of each snapshot (MB where they are bytes), over-allocations since the snapshot before."""
+    last = t.snapshot.select(F.max("begin_interval_time").cast("timestamp_ntz")).scalar()
+    s = t.pgastat.filter(F.col("instance_number") == instance)
+    value = {n: F.max(F.when(F.col("name") == n, F.col("value")).otherwise(0)) for n in (*PGA_BYTES, *PGA_COUNTS)}
+    g = s.groupBy("dbid", "instance_number", "snap_id").agg(
+        *[F.round(value[n] / 1048576.0).alias(c) for n, c in PGA_BYTES.items()], *[value[n].alias(c) for n, c in PGA_COUNTS.items()])
+    prev = s.filter(F.col("name") == "over allocation count").select(
+        "dbid", "instance_number", (F.col("snap_id") + 1).alias("snap_id"), F.col("value").alias("_prev"))
     g = g.join(prev, ["dbid", "instance_number", "snap_id"], "left") \
-         .withColumn("physical_reads_delta", F.col("physical_reads") - F.col("_prev")).drop("_prev")
-    return g.join(t.snapshot.select("dbid", "instance_number", "snap_id",
-                                    F.col("begin_interval_time").cast("timestamp_ntz").alias("begin_interval_time")),
-                  ["dbid", "instance_number", "snap_id"], "inner")
+         .withColumn("over_allocation_count", F.col("over_allocation_count") - F.col("_prev")).drop("_prev")
+    snaps = t.snapshot.select("dbid", "instance_number", "snap_id", F.col("begin_interval_time").cast("timestamp_ntz").alias("begin_interval_time"))
+    return g.join(snaps.filter(F.col("begin_interval_time") > last - F.make_dt_interval(F.lit(days))), ["dbid", "instance_number", "snap_id"], "inner")
 
 
 @rule("R47", "Hot blocks on small objects", 2, min_accesses=1, max_rows_object=100000, bucket=1024)
@@ -327,9 +336,13 @@ def r59_open_cursor_per_sql(t: Tables):
 
 @rule("R60", "Statements opened several times within one session", 3)
 def r60_open_cursor_per_session(t: Tables):
-    return t.open_cursor.groupBy("inst_id", "sid", "sql_id").agg(
+    """With the session that holds them and the number of child cursors; statements of SYS aside."""
+    cu = t.open_cursor.groupBy("inst_id", "sid", "sql_id").agg(
         F.count(F.lit(1)).alias("open_cursors"), F.count_distinct("sql_id").alias("statements"),
         F.min("sql_text").alias("sql_text")).filter(F.col("open_cursors") > F.col("statements"))
+    sq = t.cursors.groupBy("inst_id", "sql_id").agg(F.count(F.lit(1)).alias("children"), F.min("parsing_schema_name").alias("parsing_schema_name"))
+    return cu.join(t.sessions.select("inst_id", "sid", "username", "module"), ["inst_id", "sid"], "inner") \
+        .join(sq.filter(F.col("parsing_schema_name") != "SYS"), ["inst_id", "sql_id"], "inner")
 
 
 @rule("R62", "Many child cursors per statement, counted per reason", 3, min_children=1)
@@ -642,10 +655,13 @@ def r64_write_statements_hist(t: Tables, days: int, min_rows: int):
 MB = 1048576.0
 
 
-@rule("R01", "Indexes with PCTFREE below a threshold", 0, max_pct_free=10, min_rows=100000)
-def r01_index_pctfree(t: Tables, max_pct_free: int, min_rows: int):
-    i = t.indexes.filter((F.col("pct_free") < max_pct_free) & (F.col("num_rows") > min_rows))
-    return i.select("owner", "table_name", "index_name", F.lit(None).cast("string").alias("partition_name"), "pct_free", "num_rows")
+@rule("R01", "Indexes and index partitions with PCTFREE below a threshold", 0, max_pct_free=10, max_pct_free_partition=10, min_rows=100000)
+def r01_index_pctfree(t: Tables, max_pct_free: int, max_pct_free_partition: int, min_rows: int):
+    cols = ["owner", "table_name", "index_name", "partition_name", "pct_free", "num_rows"]
+    i = t.indexes.filter(F.col("pct_free") < max_pct_free).withColumn("partition_name", F.lit(None).cast("string"))
+    p = t.ind_partitions.filter(F.col("pct_free") < max_pct_free_partition).withColumnRenamed("index_owner", "owner") \
+        .join(t.indexes.select("owner", "index_name", "table_name"), ["owner", "index_name"], "left")
+    return i.select(*cols).unionByName(p.select(*cols)).filter((F.col("num_rows") > min_rows) & ~F.col("owner").isin("SYS", "SYSTEM", "SYSMAN"))
 
 
 def _index_mb() -> Column:

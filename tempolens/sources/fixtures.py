@@ -74,6 +74,10 @@ FIXTURE_SQL.update({
     # index usage monitoring flags and function-based index expressions of the catalog binding
     "fx_cat_index_usage": "SELECT owner, index_name, table_name, CASE WHEN ln % 2 = 0 THEN 65536 ELSE 0 END AS index_flags, CASE WHEN ln % 3 = 1 THEN 1 ELSE 0 END AS usage_flags FROM fx_cat_index",
     "fx_cat_ind_expression": "SELECT owner AS index_owner, index_name, table_name, CASE WHEN ln = 5 THEN concat('UPPER(\"C', CAST(ln AS STRING), '\")') WHEN ln = 6 THEN concat('NVL(\"C1\",', CAST(ln AS STRING), ')') ELSE concat('TRUNC(\"C2\",''DD'')') END AS column_expression FROM fx_cat_index WHERE index_type = 'NORMAL'",
+    # partitions of the partitioned indexes; PGA counters per (instance, snapshot), drawn from the orders of a month
+    "fx_cat_ind_partition": "SELECT i.owner AS index_owner, i.index_name, concat('P', CAST(x.l_linestatus AS STRING)) AS partition_name, CASE WHEN x.l_linestatus = 'O' THEN 5 ELSE 10 END AS pct_free, CAST(x.n * 1000 AS BIGINT) AS num_rows FROM fx_cat_index i JOIN (SELECT l_partkey, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2) x ON concat('T', CAST(x.l_partkey AS STRING)) = i.table_name WHERE i.partitioned = 'YES'",
+    "fx_pgastat": "SELECT 1 AS dbid, o.instance_number, o.snap_id, n.name, CASE WHEN n.k > 9 THEN o.orders + n.k * o.snap_id ELSE o.total * n.k END AS value FROM (SELECT CAST(o_custkey % 2 + 1 AS INT) AS instance_number, CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INT) AS snap_id, CAST(count(*) AS BIGINT) AS orders, CAST(sum(round(o_totalprice)) AS BIGINT) AS total FROM orders GROUP BY 1, 2) o CROSS JOIN (SELECT * FROM (VALUES (1, 'aggregate PGA target parameter'), (2, 'aggregate PGA auto target'), (3, 'global memory bound'), (4, 'total PGA inuse'), (5, 'total PGA allocated'), (6, 'total freeable PGA memory'), (7, 'PGA memory freed back to OS'), (8, 'total PGA used for auto workareas'), (9, 'total PGA used for manual workareas'), (10, 'process count'), (11, 'max processes count'), (12, 'over allocation count'), (13, 'cache hit percentage')) AS t(k, name)) n",
+    "fx_cursor": "SELECT instance_number AS inst_id, sql_id, plan_hash_value, min(CASE WHEN parsing_schema_name = 'R' THEN 'SYS' ELSE parsing_schema_name END) AS parsing_schema_name FROM fx_sqlstat GROUP BY 1, 2, 3",
     # partitioned indexes with their partitioning and key columns
     "fx_cat_part_index": "SELECT owner, index_name, CASE WHEN length(index_name) % 2 = 0 THEN 'HASH' ELSE 'RANGE' END AS partitioning_type, CAST(ln * 4 AS BIGINT) AS partition_count, 'LOCAL' AS locality, 'C0' AS part_column, 1 AS column_position FROM fx_cat_index WHERE partitioned = 'YES'",
     # segment statistics deltas per (object, instance, snapshot) and objects named like the plan lines

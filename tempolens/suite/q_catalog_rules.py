@@ -14,10 +14,12 @@ def _cat(spark, sf):
 
 
 @query("r01_index_pctfree", """
-SELECT owner, table_name, index_name, CAST(NULL AS VARCHAR) AS partition_name, pct_free, num_rows FROM fx_cat_index
-WHERE pct_free < 10 AND num_rows > 1000""")
+SELECT * FROM (SELECT owner, table_name, index_name, CAST(NULL AS VARCHAR) AS partition_name, pct_free, num_rows FROM fx_cat_index WHERE pct_free < 10
+UNION ALL SELECT p.index_owner, i.table_name, p.index_name, p.partition_name, p.pct_free, p.num_rows FROM fx_cat_ind_partition p
+  LEFT JOIN fx_cat_index i ON i.owner = p.index_owner AND i.index_name = p.index_name WHERE p.pct_free < 8)
+WHERE num_rows > 1000 AND owner NOT IN ('SYS', 'SYSTEM', 'SYSMAN')""")
 def r01(spark, sf):
-    return apply_rule("R01", _cat(spark, sf), min_rows=1000)
+    return apply_rule("R01", {**_cat(spark, sf), "ind_partitions": fixture(spark, sf, "fx_cat_ind_partition")}, min_rows=1000, max_pct_free_partition=8)
 
 
 @query("r02_index_compression", """

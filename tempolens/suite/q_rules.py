@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans.rules import AUDIT_OPTIONS, apply_rule
+from ..plans.rules import AUDIT_OPTIONS, PGA_BYTES, PGA_COUNTS, apply_rule
 from ..sources import fixture
 from .registry import query
 
@@ -289,22 +289,18 @@ def r72(spark, sf):
         .select("sql_id", "table_name", "sql_text", "column_name")
 
 
-MEM_NAMES = ["user commits", "user rollbacks", "physical reads", "redo size", "parse count (total)"]
+PGA_SQL = ", ".join([f"round(max(CASE WHEN name = '{n}' THEN value ELSE 0 END) / 1048576.0) AS {c}" for n, c in PGA_BYTES.items()]
+                    + [f"max(CASE WHEN name = '{n}' THEN value ELSE 0 END) AS {c}" for n, c in PGA_COUNTS.items()])
 
 
-def _mem_col(n):
-    return n.replace(" ", "_").replace("(", "").replace(")", "")
-
-
-@query("r52_memory_statistics_history", """
-WITH g AS (SELECT st.dbid, st.instance_number, st.snap_id, """ + ", ".join(
-    f"max(CASE WHEN n.stat_name = '{n}' THEN st.value ELSE 0 END) AS {_mem_col(n)}" for n in MEM_NAMES) + """
-  FROM fx_sysstat st JOIN fx_stat_name n ON n.stat_id = st.stat_id WHERE st.instance_number = 1 GROUP BY 1, 2, 3)
-SELECT g.*, g.physical_reads - p.physical_reads AS physical_reads_delta, CAST(ss.begin_interval_time AS TIMESTAMP) AS begin_interval_time
-FROM g LEFT JOIN g p ON p.dbid = g.dbid AND p.instance_number = g.instance_number AND p.snap_id + 1 = g.snap_id
-JOIN fx_snapshot ss ON ss.dbid = g.dbid AND ss.instance_number = g.instance_number AND ss.snap_id = g.snap_id""")
+@query("r52_memory_statistics_history", f"""
+WITH g AS (SELECT dbid, instance_number, snap_id, {PGA_SQL} FROM fx_pgastat WHERE instance_number = 1 GROUP BY 1, 2, 3)
+SELECT g.* REPLACE (g.over_allocation_count - p.value AS over_allocation_count), CAST(ss.begin_interval_time AS TIMESTAMP) AS begin_interval_time
+FROM g LEFT JOIN fx_pgastat p ON p.dbid = g.dbid AND p.instance_number = g.instance_number AND p.snap_id + 1 = g.snap_id AND p.name = 'over allocation count'
+JOIN fx_snapshot ss ON ss.dbid = g.dbid AND ss.instance_number = g.instance_number AND ss.snap_id = g.snap_id
+WHERE ss.begin_interval_time > (SELECT max(begin_interval_time) FROM fx_snapshot) - INTERVAL 1000 DAY""")
 def r52(spark, sf):
-    return apply_rule("R52", _t(spark, sf, sysstat="fx_sysstat", stat_name="fx_stat_name", snapshot="fx_snapshot"))
+    return apply_rule("R52", _t(spark, sf, pgastat="fx_pgastat", snapshot="fx_snapshot"), days=1000)
 
 
 @query("r55_active_sessions_per_sample", """
@@ -339,10 +335,13 @@ def r59(spark, sf):
 
 
 @query("r60_open_cursors_per_session", """
-SELECT inst_id, sid, sql_id, count(*) AS open_cursors, count(DISTINCT sql_id) AS statements, min(sql_text) AS sql_text
-FROM fx_open_cursor GROUP BY 1, 2, 3 HAVING count(*) > count(DISTINCT sql_id)""")
+WITH cu AS (SELECT inst_id, sid, sql_id, count(*) AS open_cursors, count(DISTINCT sql_id) AS statements, min(sql_text) AS sql_text
+  FROM fx_open_cursor GROUP BY 1, 2, 3 HAVING count(*) > count(DISTINCT sql_id)),
+sq AS (SELECT inst_id, sql_id, count(*) AS children, min(parsing_schema_name) AS parsing_schema_name FROM fx_cursor GROUP BY 1, 2)
+SELECT cu.*, s.username, s.module, sq.children, sq.parsing_schema_name FROM cu JOIN fx_session s ON s.inst_id = cu.inst_id AND s.sid = cu.sid
+JOIN sq ON sq.inst_id = cu.inst_id AND sq.sql_id = cu.sql_id WHERE sq.parsing_schema_name <> 'SYS'""")
 def r60(spark, sf):
-    return apply_rule("R60", _t(spark, sf, open_cursor="fx_open_cursor"))
+    return apply_rule("R60", _t(spark, sf, open_cursor="fx_open_cursor", sessions="fx_session", cursors="fx_cursor"))
 
 
 @query("r62_child_cursor_reasons", """
