@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 # Element names of the HTML standard and usual words in class names and ids.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -262,7 +264,7 @@ def low_nodes(pages: DataFrame, low: float = 0.6, min_pages: int = 5, min_share:
     ``min_pages`` pages and ``min_share`` of the host's pages count, so a host has
     at most 1 / min_share times as many as one of its pages has on average.
     """
-    t = style_tree(pages)
+    t = materialize(style_tree(pages), "style-tree")
     total = t.where("path = 0").select("host", F.col("m").alias("pages"))
     m = F.log("m")
     presentation = (m - F.col("style") / F.col("m")) / m
@@ -284,7 +286,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), _HOST, 1), F.lit("")))
     kept = [c for c in pages.columns if c.lower() != "text"]
     src = pages.select(F.struct(*kept).alias("page"), host.alias("host"), F.col(html_col).alias("html"))
-    sites = low_nodes(src, low, **options)
+    # written, so its size is known: a small table is broadcast and the pages are not shuffled by host
+    sites = materialize(low_nodes(src, low, **options), "low-nodes")
 
     @F.arrow_udf("string")
     def text(html: pa.Array, nodes: pa.Array) -> pa.Array:
