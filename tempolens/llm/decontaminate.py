@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-from ._common import utf8
+from ._common import kept, utf8
 
 #: Lower-cases A-Z and turns every byte that is no word character into a space.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -145,11 +145,23 @@ def build(rows: Iterable[Row], window: int) -> SuffixAutomaton:
     return sam
 
 
-def _scanner(sent: Broadcast[SuffixAutomaton]) -> Callable[..., Column]:
-    @F.arrow_udf("n_words long, hits array<struct<a:int,b:int>>, items array<string>")
+def without(data: bytes, ranges: list[tuple[int, int]]) -> bytes:
+    """A text without the given word ranges, each cut from its first to its last word."""
+    at = [(m.start(), m.end()) for m in _WORD.finditer(data)]
+    parts, end = [], 0
+    for a, b in ranges:
+        parts.append(data[end:at[a][0]])
+        end = at[b - 1][1]
+    parts.append(data[end:])
+    return b"".join(parts)
+
+
+def _scanner(sent: Broadcast[SuffixAutomaton], clean: bool) -> Callable[..., Column]:
+    @F.arrow_udf("n_words long, hits array<struct<a:int,b:int>>, items array<string>, clean string")
     def scan(text: pa.Array, before: pa.Array) -> pa.Array:
+        kept("benchmark", dict)
         sam = sent.value
-        n_words, hits, names = [], [], []
+        n_words, hits, names, cleaned = [], [], [], []
         for data, old in zip(utf8(text), before.to_pylist()):
             seq = words(data) if data else []
             found, got = sam.scan(seq)
@@ -159,16 +171,18 @@ def _scanner(sent: Broadcast[SuffixAutomaton]) -> Callable[..., Column]:
             n_words.append(len(seq))
             hits.append([{"a": a, "b": b} for a, b in found])
             names.append(sorted(got))
+            cleaned.append(without(data, found) if clean and found else None)
         return pa.StructArray.from_arrays(
             [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))),
-             pa.array(names, pa.list_(pa.string()))], ["n_words", "hits", "items"])
+             pa.array(names, pa.list_(pa.string())), pa.array(cleaned, pa.binary()).cast(pa.string())], ["n_words", "hits", "items", "clean"])
 
     return scan.asNondeterministic()
 
 
 def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = 10,
-                   shard_chars: int = 2_000_000) -> DataFrame:
-    """``docs`` plus ``scan``: struct of n_words, hits (word ranges) and items (ids as strings, sorted).
+                   shard_chars: int = 2_000_000, clean: bool = False) -> DataFrame:
+    """``docs`` plus ``scan``: struct of n_words, hits (word ranges), items (ids as strings, sorted) and clean
+    (with ``clean``: the text without the hits, cut from a range's first to its last word; null without hits).
 
     A window is ``window`` consecutive words of an item; an item of fewer words,
     but not none, is one window.  Every document word inside an occurrence is
@@ -185,12 +199,12 @@ def scan_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").alias("t"))
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n_shards = -(-int(total) // shard_chars) or 1
-    out = docs.withColumn("scan", F.lit(None).cast("struct<n_words:long,hits:array<struct<a:int,b:int>>,items:array<string>>"))
+    out = docs.withColumn("scan", F.lit(None).cast("struct<n_words:long,hits:array<struct<a:int,b:int>>,items:array<string>,clean:string>"))
     for s in range(n_shards):
         part = items.where(F.pmod(F.xxhash64("item", "t"), F.lit(n_shards)) == s).collect()
         sent = sc.broadcast(build(part, window))
         # not repeated by the optimizer where a filter reads it
-        out = out.withColumn("scan", _scanner(sent)(F.col(text_col), F.col("scan")))
+        out = out.withColumn("scan", _scanner(sent, clean and s == n_shards - 1)(F.col(text_col), F.col("scan")))
     return out
 
 
@@ -204,30 +218,6 @@ def merge(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Cut the hit word ranges of ``scan`` out of the texts (from a range's first to its last word)."""
-
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, hits: pa.Array) -> pa.Array:
-        out = []
-        for data, ranges in zip(utf8(text), hits.to_pylist()):
-            if data is None or not ranges:
-                out.append(None)
-                continue
-            at = [(m.start(), m.end()) for m in _WORD.finditer(data)]
-            parts, end = [], 0
-            for r in ranges:
-                parts.append(data[end:at[r["a"]][0]])
-                end = at[r["b"] - 1][1]
-            parts.append(data[end:])
-            out.append(b"".join(parts))
-        return pa.array(out, pa.binary()).cast(pa.string())
-
-    hit = F.size("scan.hits") > 0
-    return docs.withColumn(text_col, F.coalesce(
-        cut(F.when(hit, F.col(text_col)), F.when(hit, F.col("scan.hits"))), F.col(text_col)))
-
-
 def n_hit() -> Column:
     return F.aggregate("scan.hits", F.lit(0).cast("long"), lambda n, r: n + r["b"] - r["a"])
 
@@ -237,6 +227,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """``docs`` without benchmark spans: matched ranges are cut out, and texts of which more than
     ``max_coverage`` of the words are hit are dropped.  Clean rows stay as they are."""
     rows = docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("text"))
-    scanned = scan_benchmark(rows, benchmark, "text", window)
+    scanned = scan_benchmark(rows, benchmark, "text", window, clean=True)
     kept = scanned.where((F.size("scan.hits") == 0) | (n_hit() <= max_coverage * F.col("scan.n_words")))
-    return remove_spans(kept, "text").select(*[F.col("text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
+    return kept.select(*[F.coalesce("scan.clean", "text").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])

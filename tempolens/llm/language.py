@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -18,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import kept
+
 #: A word: letters of any script.
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -54,29 +57,36 @@ def count_tables(sample: DataFrame, max_n: int, top_words: int, top_grams: int)
         tally: dict[str, Counter[str]] = {}
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, w, c) for lang, t in tally.items() for w, c in t.items()]
+            sizes = [len(t) for t in tally.values()]
+            langs = pa.array(list(tally), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes), pa.int32()))
+            out = pa.RecordBatch.from_arrays(
+                [langs, pa.array([w for t in tally.values() for w in t], pa.string()),
+                 pa.array([c for t in tally.values() for c in t.values()], pa.int64())], ["lang", "token", "c"])
             tally.clear()
-            return pa.RecordBatch.from_pylist([{"lang": a, "token": w, "c": c} for a, w, c in rows], schema=schema)
+            return out
 
-        schema = pa.schema([("lang", pa.string()), ("token", pa.string()), ("c", pa.int64())])
+        kept("language counts", dict)
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 tally.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-                if sum(map(len, tally.values())) > 500_000:
+                if sum(map(len, tally.values())) > 150_000:
                     yield flush()
         yield flush()
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("token", pa.string()), ("c", pa.int64())])
+        kept("language counts", dict)
         for b in batches:
-            for at in range(0, b.num_rows, 20_000):
-                s = b.slice(at, 20_000)
+            for at in range(0, b.num_rows, 4000):
+                s = b.slice(at, 4000)
                 t: Counter[tuple[str, int, str]] = Counter()
                 for lang, w, c in zip(*(s.column(k).to_pylist() for k in ("lang", "token", "c"))):
                     for n in range(1, max_n + 1):
                         for g in grams(w, n):
                             t[lang, n, g] += c
-                yield pa.RecordBatch.from_pylist([{"lang": a, "n": n, "token": g, "c": c} for (a, n, g), c in t.items()], schema=schema)
+                lang, length, token = zip(*t)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(lang, pa.string()), pa.array(length, pa.int32()), pa.array(token, pa.string()), pa.array(list(t.values()), pa.int64())],
+                    ["lang", "n", "token", "c"])
 
     counted = (sample.mapInArrow(count_words, "lang string, token string, c long")
                .groupBy("lang", "token").agg(F.sum("c").alias("c")))
@@ -126,7 +136,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 class _Scores(dict):
     """Word -> row of ``rows``, filled as words appear and emptied when full."""
 
-    def __init__(self, model: LanguageModel, limit: int = 200_000):
+    def __init__(self, model: LanguageModel, limit: int = 120_000):
         super().__init__()
         self.model, self.limit = model, limit
         self.rows = np.zeros((limit, len(model.langs)), np.float32)
@@ -147,14 +157,12 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     language by name.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    state: dict[str, _Scores] = {}
+    name = f"languages {uuid.uuid4().hex}"
 
     @F.arrow_udf("lang_pred string, score double")
     def run(text: pa.Array) -> pa.Array:
         m = sent.value
-        table = state.get("t")
-        if table is None:
-            table = state["t"] = _Scores(m)
+        table = kept(name, lambda: _Scores(m))
         names, scores = [], []
         for t in text.to_pylist():
             seq = LETTERS.findall(t.lower()) if t else []

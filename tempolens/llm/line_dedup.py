@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import join_null_safe, materialize, text_key, utf8
+from ._common import join_null_safe, kept, materialize, text_key, utf8
 
 SPACE = b" \t\n\x0b\x0c\r"
 
@@ -29,6 +29,7 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     id_type = src.schema["id"].dataType.simpleString()
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("lines", dict)
         for b in batches:
             row, pos, h = [], [], []
             for i, data in enumerate(utf8(b.column("text"))):
@@ -74,6 +75,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.arrow_udf("string")
     def without(text: pa.Array, pos: pa.Array) -> pa.Array:
+        kept("lines", dict)
         out = []
         for data, gone in zip(utf8(text), pos.to_pylist()):
             if data is None or gone is None:
@@ -83,13 +85,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             out.append(b"\n".join([x for p, x in enumerate(data.split(b"\n")) if p not in gone]))
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    src = docs.select(*kept, F.col(id_col).alias("__ld_id"), text_key(id_col, text_col).alias("__ld_rk"))
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    src = docs.select(*columns, F.col(id_col).alias("__ld_id"), text_key(id_col, text_col).alias("__ld_rk"))
     text = F.col(text_col)
     joined = join_null_safe(src, drops, ["__ld_id", "__ld_rk"], "left")
     hit = F.col("__ld_pos").isNotNull()
     n_lines = F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))), F.lit(0)).cast("long") + 1
     return joined.select(
         *[F.coalesce(without(F.when(hit, text), F.col("__ld_pos")), text).alias(c) if c == text_col else F.col(c)
-          for c in kept],
+          for c in columns],
         n_lines.alias("n_lines"), F.when(hit, F.size("__ld_pos")).otherwise(0).cast("long").alias("n_dropped"))

@@ -14,13 +14,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
+from ._common import kept
+
 #: Unicode White_Space, which the tokenizers' patterns mean by ``\\s``.
 _SPACE = "\t-\r \x85\xa0  -     　"
 _WITH_SPACE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _NO_SPACE = re.compile(f"[^{_SPACE}]+")
 #: Chunks that a worker remembers, by tokenizer file.
 MAX_CHUNKS = 800_000
-_ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
@@ -80,6 +81,4 @@ class _Both(dict):
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return kept(f"tokens {path}", lambda: Encoder(path))
