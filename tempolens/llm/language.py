@@ -164,7 +164,8 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
         m = sent.value
         table = kept(name, lambda: _Scores(m))
         names, scores = [], []
-        for t in text.to_pylist():
+        # few texts as Python strings at a time
+        for t in (t for at in range(0, len(text), 500) for t in text.slice(at, 500).to_pylist()):
             seq = LETTERS.findall(t.lower()) if t else []
             if not seq or not m.langs:
                 names.append("und")
