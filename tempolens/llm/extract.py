@@ -39,6 +39,10 @@ CLOSES = {
 }
 NO_CONTENT = frozenset("""head nav footer aside form dialog menu search button select option textarea script style title noscript
 template iframe object embed svg canvas video audio""".split())
+#: Elements that hold no text of a page even where nothing else is left.
+CONTROLS = NO_CONTENT - frozenset("aside dialog footer form".split())
+#: Elements that class names do not make less important.
+WHOLE = frozenset("html body main article".split())
 NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie
 cookies disqus footer hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup
 promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe
@@ -63,6 +67,8 @@ class Tree:
     named: list[bool] = field(default_factory=list)
     style: list[list[str]] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    name: list[str] = field(default_factory=list)
+    gone: list[bool] = field(default_factory=list)  # hidden
 
 
 def _label(name: str, attrs: str) -> tuple[str, set[str], bool]:
@@ -154,6 +160,8 @@ def parse(page: str) -> Tree:
         prior = 1.0
         if gone or name in NO_CONTENT or name == "header" and not inside:
             prior = 0.0
+        elif name in WHOLE:
+            pass
         elif words & NOISE_WORDS or "header" in words and not inside:
             prior = 0.5
         if up >= 0:
@@ -166,18 +174,56 @@ def parse(page: str) -> Tree:
         t.prior.append(prior)
         t.inside.append(inside)
         t.named.append(" " in label)
+        t.name.append(name)
+        t.gone.append(gone)
         t.style.append([])
         stack.append((name, len(t.path) - 1, True))
     flush()
+    _spare_content(t)
     return t
 
 
+def _spare_content(t: Tree, clear: float = 0.1) -> None:
+    """Take the prior from elements around the page's content: ``has-sidebar`` names a wrapper, not a sidebar.
+
+    Those are html, body and main and what is around one; what is around an
+    article, unless a longer one has no prior above it (comments and teasers are
+    articles too); and layout elements with most of the page's text, unless
+    article and main elements without a prior hold ``clear`` as much.
+    """
+    if all(p == 1.0 for p in t.prior):
+        return
+    size = [0] * len(t.path)
+    for k, s in t.blocks:
+        if k >= 0:
+            size[k] += len(s)
+    free: list[bool] = []
+    for k, p in enumerate(t.prior):
+        free.append(p == 1.0 and (t.parent[k] < 0 or free[t.parent[k]]))
+    open_text = sum(n for k, n in enumerate(size) if free[k] and t.inside[k])
+    longest, whole = [0] * len(t.path), [x in WHOLE and x != "article" for x in t.name]
+    for k in range(len(t.path) - 1, -1, -1):  # children come after their parent
+        if t.name[k] == "article":
+            longest[k] = max(longest[k], size[k])
+        if (up := t.parent[k]) >= 0:
+            size[up] += size[k]
+            longest[up] = max(longest[up], longest[k])
+            whole[up] = whole[up] or whole[k]
+    best = max((n for k, n in enumerate(size) if free[k] and t.name[k] == "article"), default=0)
+    total = sum(len(s) for _, s in t.blocks)
+    for k in range(len(t.path)):
+        layout = not t.gone[k] and (t.name[k] == "form" or t.name[k] not in NO_CONTENT)
+        if whole[k] or longest[k] and longest[k] >= best or layout and 2 * size[k] > total and open_text < clear * size[k]:
+            t.prior[k] = 1.0
+
+
 def main_text(tree: Tree, importance: dict[int, float], low: float = 0.6, low_inside: float = 0.2) -> str:
     """The blocks of which no branch above is of low importance, joined by a space.
 
     In an article or main element only named elements can be low, and by a
     stricter limit.  When the site's importance would leave nothing, the priors
-    alone decide.
+    alone decide; when they leave nothing either, the branch with the most text
+    stays that is not in a control.
     """
     def keep(imp: dict[int, float]) -> list[bool]:
         ok: list[bool] = []
@@ -194,9 +240,18 @@ def main_text(tree: Tree, importance: dict[int, float], low: float = 0.6, low_in
     for imp in (importance, {}):
         ok = keep(imp)
         out = [s for k, s in tree.blocks if k < 0 or ok[k]]
-        if out or not importance:
+        if out:
             return " ".join(out)
-    return ""
+    # texts by the nearest element with a prior
+    near: list[int] = []
+    branches: dict[int, list[str]] = {}
+    for k, up in enumerate(tree.parent):
+        control = tree.name[k] in CONTROLS and tree.prior[k] < low
+        near.append(-1 if control or up >= 0 and near[up] < 0 else k if tree.prior[k] < low or up < 0 else near[up])
+    for k, s in tree.blocks:
+        if near[k] >= 0:
+            branches.setdefault(near[k], []).append(s)
+    return " ".join(max(branches.values(), key=lambda b: sum(map(len, b)), default=[]))
 
 
 def branch_hashes(t: Tree) -> list[int]:

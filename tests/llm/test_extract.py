@@ -89,3 +89,21 @@ def test_any_text_is_parsed(page):
     t = X.parse(page)
     assert all(p < k for k, p in enumerate(t.parent)) and all(s and s == " ".join(s.split()) for _, s in t.blocks)
     X.main_text(t, {})
+
+
+TEXT = "the text of the page, which is longer than what stands around it"
+WRAPPED = [
+    (f"<body class='has-sidebar'><p>{TEXT}</p></body>", TEXT),
+    (f"<div id='content-sidebar-wrap'><article>{TEXT}</article><div class=sidebar>s</div></div>", TEXT),
+    (f"<main class='with-sidebar'>{TEXT}</main><footer>f</footer>", TEXT),
+    (f"<article class='post comments-open'>{TEXT}</article><div class='comments'><article class='comment'>c</article></div>", TEXT),
+    (f"<form id='aspnetForm'><div id='page'><div class='menu'>m</div><p>{TEXT}</p></div></form>", TEXT),
+    (f"<form><main><p>short</p></main></form><nav>{TEXT}</nav>", "short"),
+    (f"<main>{TEXT}</main><div class='comments'>{TEXT * 3}</div>", TEXT),
+    (f"<div class='share'>ab</div><aside>{TEXT}</aside><div class='related'>abc</div><nav>{TEXT * 2}</nav>", TEXT),
+    (f"<div style='display:none'><p>{TEXT}</p></div><div class='popup'>p</div>", TEXT),
+]
+
+
+def test_names_of_wrappers_do_not_cut_the_page():
+    assert [X.main_text(X.parse(h), {}) for h, _ in WRAPPED] == [t for _, t in WRAPPED]
