@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,6 +36,9 @@ CLOSES = {
     "tbody": (("thead", "tbody", "tr", "td", "th"), ("table",)), "tfoot": (("thead", "tbody", "tr", "td", "th"), ("table",)),
     "body": (("head",), ("html",)),
 }
+#: Parts of running text, lists and tables.
+TEXT_LEVEL = frozenset("""blockquote caption center dd details dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup legend li ol p pre summary
+table tbody td tfoot th thead tr ul""".split())
 NO_CONTENT = frozenset("""head nav footer aside form dialog menu search button select option textarea script style title noscript
 template iframe object embed svg canvas video audio""".split())
 #: Elements that hold no text of a page even where nothing else is left.
@@ -220,21 +222,38 @@ def _spare_content(t: Tree, clear: float = 0.1) -> None:
 def main_text(tree: Tree, importance: dict[int, float], low: float = 0.6, low_inside: float = 0.2) -> str:
     """The blocks of which no branch above is of low importance, joined by a space.
 
+    A single heading, paragraph, list item or cell of low importance stays where
+    the branch around it is kept as text: headings and values repeat in content.
     In an article or main element only named elements can be low, and by a
     stricter limit.  When the site's importance would leave nothing, the priors
     alone decide; when they leave nothing either, the branch with the most text
     stays that is not in a control.
     """
+    children: list[list[int]] = [[] for _ in tree.path]
+    own = {k for k, _ in tree.blocks}
+    for k, up in enumerate(tree.parent):
+        if up >= 0:
+            children[up].append(k)
+
     def keep(imp: dict[int, float]) -> list[bool]:
-        ok: list[bool] = []
+        fine, cut = [], []  # by prior and importance; by prior alone
         for k, p in enumerate(tree.path):
             v = imp.get(p, 1.0)
+            cut.append(tree.prior[k] < low)
             if tree.inside[k]:
-                fine = v >= low_inside or not tree.named[k]
-                fine = fine and tree.prior[k] >= low
+                fine.append(not cut[k] and (v >= low_inside or not tree.named[k]))
             else:
-                fine = v * tree.prior[k] >= low
-            ok.append(fine and (tree.parent[k] < 0 or ok[tree.parent[k]]))
+                fine.append(v * tree.prior[k] >= low)
+        ok: list[bool] = []
+        content: list[bool] = []  # kept, and its parts are text: a list or table, or with text of its own that varies
+        for k, up in enumerate(tree.parent):
+            part = up >= 0 and content[up] and tree.name[k] in TEXT_LEVEL
+            # a list or table below a container is a branch, its rows and a heading are single blocks
+            single = part and (not children[k] or tree.name[up] in TEXT_LEVEL)
+            ok.append((fine[k] or single and not cut[k]) and (up < 0 or ok[up]))
+            text = tree.name[k] in TEXT_LEVEL or tree.inside[k] or tree.name[k] not in ("html", "body") and (
+                k in own or any(fine[c] and (tree.name[c] in TEXT_LEVEL or tree.name[k] == "section") for c in children[k]))
+            content.append(ok[k] and text)
         return ok
 
     for imp in (importance, {}):
@@ -269,57 +288,95 @@ def branch_hashes(t: Tree) -> list[int]:
     return out
 
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """The merged trees: (host, path, m, style, styles, texts, repeats) of every node; path 0 counts the host's pages.
+def copy_key(t: Tree) -> int:
+    """Hash of the page's content, shared by its copies under other addresses.
 
-    m: pages that have the node; styles and style: number of its presentations,
-    and sum of n ln n over them; texts and repeats: number of distinct texts of
-    its branch, and sum of ln n over them.  Pages are counted up in the tasks
-    before the shuffle.
+    Made of the blocks at least half as long as the longest one, without those
+    under a prior: dates, counters and links beside the text differ in copies.
     """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally: Counter[tuple[str, int, int, int]] = Counter()
+    ok: list[bool] = []
+    for p, up in zip(t.prior, t.parent):
+        ok.append(p == 1.0 and (up < 0 or ok[up]))
+    blocks = [s for k, s in t.blocks if k < 0 or ok[k]]
+    least = max(map(len, blocks), default=0) / 2
+    return xxhash.xxh3_64_intdigest("\n".join(s for s in blocks if len(s) >= least).encode()) - (1 << 63)
+
+
+PAGE = "host string, copy long, shape long, nodes array<struct<path: long, kind: int, feature: long>>"
 
-        def rows() -> pa.RecordBatch:
-            cols = list(zip(*tally)) or [()] * 4
-            return pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
-                 pa.array(cols[3], pa.int64()), pa.array(list(tally.values()), pa.int64())], ["host", "path", "kind", "feature", "n"])
 
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """One row for each page: host, copy (:func:`copy_key`), shape (:func:`shape`) and its nodes, each (path, kind, feature) once.
+
+    Kind 0 is the node itself (path 0 the page), 1 its presentation, 2 the text of its branch.
+    """
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.int64(), pa.int32(), pa.int64()]
         for b in batches:
-            for host, page in zip(b.column("host").to_pylist(), b.column("html").to_pylist()):
-                t = parse(page or "")
-                once = {(host, 0, 0, 0)}
-                for p, style, text in zip(t.path, t.style, branch_hashes(t)):
-                    once.add((host, p, 0, 0))
-                    once.add((host, p, 1, xxhash.xxh3_64_intdigest(" > ".join(style).encode()) - (1 << 63)))
-                    if text:
-                        once.add((host, p, 2, text - (1 << 63)))
-                tally.update(once)
-                if len(tally) > 200_000:
-                    yield rows()
-                    tally.clear()
-        yield rows()
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                copies, shapes, ends, rows = [], [], [0], []
+                for page in part.column("html").to_pylist():
+                    t = parse(page or "")
+                    once = {(0, 0, 0)}
+                    for p, style, text in zip(t.path, t.style, branch_hashes(t)):
+                        once.add((p, 0, 0))
+                        once.add((p, 1, xxhash.xxh3_64_intdigest(" > ".join(style).encode()) - (1 << 63)))
+                        if text:
+                            once.add((p, 2, text - (1 << 63)))
+                    rows += sorted(once)
+                    ends.append(len(rows))
+                    copies.append(copy_key(t))
+                    shapes.append(shape(t))
+                flat = pa.StructArray.from_arrays([pa.array(c, x) for c, x in zip(list(zip(*rows)) or [()] * 3, types)], ["path", "kind", "feature"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("host"), pa.array(copies, pa.int64()), pa.array(shapes, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["host", "copy", "shape", "nodes"])
+
+    return pages.select("host", "html").mapInArrow(cut, PAGE)
+
+
+def shape(t: Tree) -> int:
+    """Hash of the page's set of paths."""
+    return xxhash.xxh3_64_intdigest(",".join(map(str, sorted(set(t.path)))).encode()) - (1 << 63)
+
+
+def distinct_pages(nodes: DataFrame) -> DataFrame:
+    """One of the pages of each host and copy key (the least by its nodes)."""
+    return nodes.groupBy("host", "copy").agg(F.min("nodes").alias("nodes"))
+
+
+def style_tree(nodes: DataFrame) -> DataFrame:
+    """The merged trees: (host, path, m, style, styles, texts, repeats) of every node; path 0 counts the host's pages.
 
+    m: pages that have the node; styles and style: number of its presentations,
+    and sum of n ln n over them; texts and repeats: number of distinct texts of
+    its branch, and sum of ln n over them.
+    """
     n, kind = F.col("n"), F.col("kind")
-    return (pages.select("host", "html").mapInArrow(count, "host string, path long, kind int, feature long, n long")
-            .groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    return (nodes.select("host", F.explode("nodes").alias("node"))
+            .groupBy("host", "node.path", "node.kind", "node.feature").agg(F.count(F.lit(1)).alias("n"))
             .groupBy("host", "path").agg(
                 F.sum(F.when(kind == 0, n)).alias("m"),
                 F.count(F.when(kind == 1, n)).alias("styles"), F.coalesce(F.sum(F.when(kind == 1, n * F.log(n))), F.lit(0.0)).alias("style"),
                 F.count(F.when(kind == 2, n)).alias("texts"), F.coalesce(F.sum(F.when(kind == 2, F.log(n))), F.lit(0.0)).alias("repeats")))
 
 
-def low_nodes(pages: DataFrame, low: float = 0.6, min_pages: int = 5, min_share: float = 0.01, gamma: float = 0.9) -> DataFrame:
-    """(host, nodes): the paths of low importance of each host with their importance, as a map.
+def low_nodes(pages: DataFrame, low: float = 0.6, **options) -> DataFrame:
+    """(host, nodes): the paths of low importance of each host with their importance, as a map, every page counted."""
+    return (low_rows(page_nodes(pages), low, **options)
+            .groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("nodes")))
+
+
+def low_rows(nodes: DataFrame, low: float = 0.6, min_pages: int = 5, min_share: float = 0.01, gamma: float = 0.9) -> DataFrame:
+    """(host, path, importance): the nodes of low importance.
 
     Importance of a node: (1 - gamma^s) presentation + gamma^s content, with s its
     number of presentations.  Presentation is their entropy, content 1 less the
     mean of ln n over the branch's texts, both divided by ln m.  Only nodes in
-    ``min_pages`` pages and ``min_share`` of the host's pages count, so a host has
-    at most 1 / min_share times as many as one of its pages has on average.
+    ``min_pages`` pages and ``min_share`` of the host's pages count.
     """
-    t = materialize(style_tree(pages), "style-tree")
+    t = materialize(style_tree(nodes), "style-tree")
     total = t.where("path = 0").select("host", F.col("m").alias("pages"))
     m = F.log("m")
     presentation = (m - F.col("style") / F.col("m")) / m
@@ -327,22 +384,23 @@ def low_nodes(pages: DataFrame, low: float = 0.6, min_pages: int = 5, min_share:
     weight = F.pow(F.lit(gamma), F.col("styles"))
     return (t.where((F.col("path") != 0) & (F.col("m") >= min_pages)).join(total, "host").where(F.col("m") >= min_share * F.col("pages"))
             .select("host", "path", ((1 - weight) * presentation + weight * content).alias("importance"))
-            .where(F.col("importance") < low)
-            .groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("nodes")))
+            .where(F.col("importance") < low))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url", low: float = 0.6, **options) -> DataFrame:
     """``pages`` plus ``text``, the main text of each page (a column of that name is replaced).
 
     Defined cases: a null or empty page has an empty text; pages without a url
-    are one host; equal pages count as pages; an empty table gives no rows.
-    ``options`` go to :func:`low_nodes`.
+    are one host; pages with one content (:func:`copy_key`) count once; an empty
+    table gives no rows.  ``options`` go to :func:`low_rows`.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), _HOST, 1), F.lit("")))
     kept = [c for c in pages.columns if c.lower() != "text"]
     src = pages.select(F.struct(*kept).alias("page"), host.alias("host"), F.col(html_col).alias("html"))
+    nodes = materialize(page_nodes(src), "page-nodes")
     # written, so its size is known: a small table is broadcast and the pages are not shuffled by host
-    sites = materialize(low_nodes(src, low, **options), "low-nodes")
+    sites = materialize(low_rows(distinct_pages(nodes), low, **options)
+                        .groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("nodes")), "low-nodes")
 
     @F.arrow_udf("string")
     def text(html: pa.Array, nodes: pa.Array) -> pa.Array:

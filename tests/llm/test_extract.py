@@ -107,3 +107,22 @@ WRAPPED = [
 
 def test_names_of_wrappers_do_not_cut_the_page():
     assert [X.main_text(X.parse(h), {}) for h, _ in WRAPPED] == [t for _, t in WRAPPED]
+
+
+def test_copies_count_once_and_single_blocks_stay(spark):
+    def page(i):
+        return (f"<body><div class='top'>the same line stands here</div><div class='story'><p>This is the long body of article {i % 5}, found under four addresses</p>"
+                f"</div><div class='count'>seen {i * 37} times</div></body>")
+    rows = [(i, f"http://copies.example/{i}", page(i)) for i in range(20)]
+    rows += [(100 + i, f"http://method.example/{i}",
+              f"<body><div class='top'>the same line stands here</div><div class='text'><h2>{'Method' if i % 2 else 'Introduction'}</h2><p>Paragraph {i} says what was found in trial {i * 31}</p>"
+              f"<table><tr><td>yes</td><td>no</td></tr><tr><td>trial</td><td>{i * 31}</td></tr></table></div></body>") for i in range(40)]
+    rows += [(200 + i, f"http://post.example/{i}", f"<article class='post'><h2 class='section'>Method</h2><p>The long body of article {i % 5}, found under many addresses</p>"
+              f"</article><div class='count'>seen {i * 37} times</div>") for i in range(100)]
+    out = {r.page_id: r.text for r in X.extract_text(frame(spark, rows, SCHEMA)).collect()}
+    for i in range(20):
+        assert f"This is the long body of article {i % 5}, found under four addresses" in out[i]
+    for i in range(40):
+        assert out[100 + i] == f"{'Method' if i % 2 else 'Introduction'} Paragraph {i} says what was found in trial {i * 31} yes no trial {i * 31}"
+    for i in range(100):
+        assert f"Method The long body of article {i % 5}, found under many addresses" in out[200 + i]
