@@ -51,6 +51,9 @@ promo promotion recommended related replies reply respond search share sharing s
 subscription toolbar widget widgets""".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
+#: Parts of the pages of one host and shape in the join with their low nodes.
+SALT = 8
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>|<[!?/][^>]*>""", re.S)
 _ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _LETTERS = re.compile(r"[a-z]+")
@@ -368,21 +371,20 @@ def low_nodes(pages: DataFrame, low: float = 0.6, **options) -> DataFrame:
             .groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("nodes")))
 
 
-def low_rows(nodes: DataFrame, low: float = 0.6, min_pages: int = 5, min_share: float = 0.01, gamma: float = 0.9) -> DataFrame:
+def low_rows(nodes: DataFrame, low: float = 0.6, min_pages: int = 5, gamma: float = 0.9) -> DataFrame:
     """(host, path, importance): the nodes of low importance.
 
     Importance of a node: (1 - gamma^s) presentation + gamma^s content, with s its
     number of presentations.  Presentation is their entropy, content 1 less the
     mean of ln n over the branch's texts, both divided by ln m.  Only nodes in
-    ``min_pages`` pages and ``min_share`` of the host's pages count.
+    ``min_pages`` pages count.
     """
     t = materialize(style_tree(nodes), "style-tree")
-    total = t.where("path = 0").select("host", F.col("m").alias("pages"))
     m = F.log("m")
     presentation = (m - F.col("style") / F.col("m")) / m
     content = F.when(F.col("texts") > 0, 1 - F.col("repeats") / F.col("texts") / m).otherwise(0.0)
     weight = F.pow(F.lit(gamma), F.col("styles"))
-    return (t.where((F.col("path") != 0) & (F.col("m") >= min_pages)).join(total, "host").where(F.col("m") >= min_share * F.col("pages"))
+    return (t.where((F.col("path") != 0) & (F.col("m") >= min_pages))
             .select("host", "path", ((1 - weight) * presentation + weight * content).alias("importance"))
             .where(F.col("importance") < low))
 
@@ -398,12 +400,23 @@ def extract_text(pages: DataFrame, html_col: str = "html", url_col: str = "url",
     kept = [c for c in pages.columns if c.lower() != "text"]
     src = pages.select(F.struct(*kept).alias("page"), host.alias("host"), F.col(html_col).alias("html"))
     nodes = materialize(page_nodes(src), "page-nodes")
-    # written, so its size is known: a small table is broadcast and the pages are not shuffled by host
-    sites = materialize(low_rows(distinct_pages(nodes), low, **options)
-                        .groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("nodes")), "low-nodes")
+    rows = materialize(low_rows(distinct_pages(nodes), low, **options), "low-nodes")
+    # what is low in a page depends on its host and paths only, so each set of paths of a host is looked up once
+    paths = (nodes.select("host", "shape", F.explode("nodes").alias("node")).where("node.kind = 0 and node.path <> 0")
+             .select("host", "shape", "node.path").distinct())
+    found = paths.join(rows, ["host", "path"]).groupBy(F.col("host").alias("l_host"), F.col("shape").alias("l_shape")).agg(
+        F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("nodes"))
+    # written, so its size is known: a small table is broadcast and the pages are not shuffled; dealt out in SALT parts otherwise
+    found = materialize(found, "low-shapes").withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+    @F.arrow_udf("long")
+    def shape_of(html: pa.Array) -> pa.Array:
+        return pa.array([shape(parse(h or "")) for h in html.to_pylist()], pa.int64())
 
     @F.arrow_udf("string")
     def text(html: pa.Array, nodes: pa.Array) -> pa.Array:
         return pa.array([main_text(parse(h), dict(n or ()), low) if h else "" for h, n in zip(html.to_pylist(), nodes.to_pylist())], pa.string())
 
-    return src.join(sites, "host", "left").select("page.*", text(F.col("html"), F.col("nodes")).alias("text"))
+    keyed = src.withColumns({"shape": shape_of(F.col("html")), "salt": F.pmod(F.xxhash64("html"), F.lit(SALT)).cast("int")})
+    same = (F.col("host") == F.col("l_host")) & (F.col("shape") == F.col("l_shape")) & (F.col("salt") == F.col("l_salt"))
+    return keyed.join(found, same, "left").select("page.*", text(F.col("html"), F.col("nodes")).alias("text"))

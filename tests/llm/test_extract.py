@@ -126,3 +126,10 @@ def test_copies_count_once_and_single_blocks_stay(spark):
         assert out[100 + i] == f"{'Method' if i % 2 else 'Introduction'} Paragraph {i} says what was found in trial {i * 31} yes no trial {i * 31}"
     for i in range(100):
         assert f"Method The long body of article {i % 5}, found under many addresses" in out[200 + i]
+
+
+def test_a_rare_notice_of_a_large_host_goes(spark):
+    notice = "<div class='y'>the same line on some pages</div>"
+    rows = [(i, "http://large.example/", f"<body>{notice if i < 6 else ''}<div class='x'><p>story {i} and its end {i * 31}</p></div></body>") for i in range(700)]
+    out = {r.page_id: r.text for r in X.extract_text(frame(spark, rows, SCHEMA)).collect()}
+    assert out == {i: f"story {i} and its end {i * 31}" for i in range(700)}
