@@ -23,6 +23,7 @@ from ._common import kept
 
 #: A word: letters of any script.
 LETTERS = re.compile(r"[^\W\d_]+")
+GRACE = 20
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -38,6 +39,7 @@ class LanguageModel:
     max_n: int
     words: dict[str, np.ndarray] = field(default_factory=dict)
     grams: dict[str, np.ndarray] = field(default_factory=dict)
+    base: dict[int, np.ndarray] = field(default_factory=dict)  # by length the log frequency of what a language has not
 
     def score(self, word: str) -> np.ndarray:
         known = self.words.get(word)
@@ -49,6 +51,19 @@ class LanguageModel:
                 return np.sum(found, axis=0) / n  # each letter is seen by n n-grams
         return np.zeros(len(self.langs), np.float32)
 
+    def known(self, word: str) -> np.ndarray:
+        """By language 1 for a word it has, else the share of the word's longest n-grams that it has."""
+        v = self.words.get(word)
+        has = np.zeros(len(self.langs), np.float32) if v is None else (v > self.unseen(0)).astype(np.float32)
+        if has.all():
+            return has
+        pieces = grams(word, self.max_n)
+        found = [v > self.unseen(self.max_n) for g in pieces if (v := self.grams.get(g)) is not None]
+        return np.maximum(has, np.sum(found, axis=0, dtype=np.float32) / len(pieces)) if found else has
+
+    def unseen(self, n: int) -> np.ndarray:
+        return self.base.get(n, np.float32(0))
+
 
 def count_tables(sample: DataFrame, max_n: int, top_words: int, top_grams: int) -> DataFrame:
     """(lang, n, token, count): the most frequent words (n = 0) and n-grams of each language."""
@@ -127,6 +142,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     for n, tokens in kinds.items():
         table = model.words if n == 0 else model.grams
         base = [math.log(0.5 / (total[g, n] + 1)) for g in langs]
+        model.base[n] = np.array(base, np.float32)
         for tok, by in tokens.items():
             v = np.array([math.log((by[g] + 0.5) / (total[g, n] + 1)) if g in by else base[i] for i, g in enumerate(langs)], np.float32)
             table[tok] = v
@@ -136,14 +152,17 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 class _Scores(dict):
     """Word -> row of ``rows``, filled as words appear and emptied when full."""
 
-    def __init__(self, model: LanguageModel, limit: int = 120_000):
+    def __init__(self, model: LanguageModel, limit: int = 120_000, known: bool = False):
         super().__init__()
         self.model, self.limit = model, limit
         self.rows = np.zeros((limit, len(model.langs)), np.float32)
+        self.known = np.zeros((limit, len(model.langs)), np.float32) if known else None
 
     def __missing__(self, word: str) -> int:
         i = len(self)
         self.rows[i] = self.model.score(word)
+        if self.known is not None:
+            self.known[i] = self.model.known(word) * len(word)
         self[word] = i
         return i
 
@@ -156,35 +175,48 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     0; so is every text when the model knows no language.  Ties go to the first
     language by name.
     """
+    return _predict(docs, model, text_col, False).drop("__known")
+
+
+def _predict(docs: DataFrame, model: LanguageModel, text_col: str, with_known: bool) -> DataFrame:
+    """:func:`predict` plus ``__known``: the share of the letters in words or n-grams that the best language
+    has (null unless asked for).  ``GRACE`` letters more count as known, so that a short text with a name in it stays."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     name = f"languages {uuid.uuid4().hex}"
 
-    @F.arrow_udf("lang_pred string, score double")
+    @F.arrow_udf("lang_pred string, score double, known double")
     def run(text: pa.Array) -> pa.Array:
         m = sent.value
-        table = kept(name, lambda: _Scores(m))
-        names, scores = [], []
+        table = kept(name, lambda: _Scores(m, known=with_known))
+        names, scores, shares = [], [], []
         # few texts as Python strings at a time
         for t in (t for at in range(0, len(text), 500) for t in text.slice(at, 500).to_pylist()):
             seq = LETTERS.findall(t.lower()) if t else []
             if not seq or not m.langs:
                 names.append("und")
                 scores.append(0.0)
+                shares.append(None)
                 continue
             total = np.zeros(len(m.langs), np.float64)
+            known = np.zeros(len(m.langs), np.float64)
             for at in range(0, len(seq), 50_000):
                 part = seq[at:at + 50_000]
                 if len(table) + len(part) > table.limit:
                     table.clear()
-                total += table.rows[np.fromiter(map(table.__getitem__, part), np.int32, len(part))].sum(axis=0, dtype=np.float64)
+                at_rows = np.fromiter(map(table.__getitem__, part), np.int32, len(part))
+                total += table.rows[at_rows].sum(axis=0, dtype=np.float64)
+                if with_known:
+                    known += table.known[at_rows].sum(axis=0, dtype=np.float64)
             best = int(total.argmax())
             names.append(m.langs[best])
             scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
-        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+            shares.append(float((known[best] + GRACE) / (sum(map(len, seq)) + GRACE)) if with_known else None)
+        return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())],
+                                          ["lang_pred", "score", "known"])
 
     keep = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     return (docs.select(*keep, run.asNondeterministic()(F.col(text_col)).alias("__lang"))
-            .select(*keep, F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score")))
+            .select(*keep, F.col("__lang.lang_pred").alias("lang_pred"), F.col("__lang.score").alias("score"), F.col("__lang.known").alias("__known")))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -197,8 +229,35 @@ def fit_on_documents(docs: DataFrame, **options) -> LanguageModel:
     return train(docs.where(F.col("doc_id").isNotNull() & ~held_out()), **options)
 
 
-def identify(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised with at least ``min_score``, unchanged."""
+def known_floors(docs: DataFrame, model: LanguageModel, docs_per_lang: int = 1000, least: int = 20, share: float = 0.002, slack: float = 0.7) -> dict[str, float]:
+    """For each language the least share of known letters (see :func:`identify`) of its texts.
+
+    ``slack`` times the ``share`` quantile of about ``docs_per_lang`` labelled rows
+    that are held out, so that clean texts stay.  A language with fewer than
+    ``least`` of them has no floor.
+    """
+    src = docs.where(held_out() & F.col("lang").isin(model.langs) & (F.length("text") > 0)).select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
+    sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return {}
+    rate = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(min(1.0, docs_per_lang / n)))])
+    draw = F.pmod(F.xxhash64("lang", "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    found = _predict(src.where(draw < rate[F.col("lang")]).select("lang", "text"), model, "text", True).where("lang = lang_pred")
+    rows = found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__known", share, 10_000).alias("q")).collect()
+    return {r["lang"]: slack * r["q"] for r in rows if r["n"] >= least}
+
+
+def identify(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, floors: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, unchanged.
+
+    Their language has a score of at least ``min_score`` among those learned and,
+    as that says nothing of a text in none of them, at least its floor
+    (:func:`known_floors`) of the text's letters is in words or n-grams it has.
+    """
     src = docs.withColumn("__text", F.col("text"))
-    found = predict(src.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), "__text"), model, "__text")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("doc.*")
+    found = _predict(src.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), "__text"), model, "__text", bool(floors))
+    fine = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
+    if floors:
+        least = F.create_map(*[F.lit(x) for g, v in floors.items() for x in (g, float(v))])
+        fine &= F.col("__known") >= F.coalesce(least[F.col("lang_pred")], F.lit(0.0))
+    return found.where(fine).select("doc.*")

@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import corpus_pipeline
 from tempolens.llm import language
 from tempolens.llm.queries import op7_language_id
 
@@ -48,3 +50,19 @@ def test_identify_keeps_rows_as_they_are(spark):
     model = language.train(frame(spark, [(i, "alpha beta", "p") for i in range(4)] + [(i, "gamma delta", "q") for i in range(4)], "doc_id long, text string, lang string"))
     out = language.identify(docs, model)
     assert out.columns == docs.columns and got(out, *docs.columns) == [rows[0], rows[3]]
+
+
+def test_texts_in_no_language_learned_go(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    draw = random.Random(7)
+    other = [
+        "Il governo ha annunciato ieri che la nuova legge entrerà in vigore dal prossimo anno, nonostante le proteste dei cittadini che chiedono maggiori garanzie",
+        "De regering heeft gisteren aangekondigd dat de nieuwe wet volgend jaar van kracht wordt, ondanks de protesten van burgers die meer zekerheid willen",
+        " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(60)),
+    ]
+    more = frame(spark, [(-1 - i, t, None) for i, t in enumerate(other)], "doc_id long, text string, lang string")
+    left = corpus_pipeline.identify_language(spark, docs.unionByName(more), sf).select("doc_id")
+    assert left.where("doc_id < 0").count() == 0
+    gone = docs.join(left, "doc_id", "left_anti").collect()
+    assert not [r.doc_id for r in gone if any(c.isalpha() for c in r.text or "")]
