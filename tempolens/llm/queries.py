@@ -12,12 +12,15 @@ from . import chat as _chat
 from . import decontaminate as _decon
 from . import embeddings as _embeddings
 from . import extract as _extract
+from . import hard_negatives as _hard
 from . import language as _lang
 from . import line_dedup as _lines
 from . import ngram_join as _ngrams
 from . import packing as _pack
 from . import secrets as _secrets
+from . import spelling as _spelling
 from . import token_files as _files
+from . import toxicity as _toxic
 from ._common import new_path, ship
 
 
@@ -105,11 +108,30 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = _toxic.fit_on_documents(docs, _read(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return _toxic.score_texts(docs, model).select(
+        "doc_id", _toxic.held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    words = _spelling.count_words(docs, least_chars=5, least_n=3, typo_every=97)
+    return _spelling.spelling_variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return _hard.hard_negatives(moved, F.col("vec_id") % 100 == 0, scale=256, positives=5, negatives=10, low=30, high=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_embedding_near_dedup, op2_benchmark_decontamination, op3_secret_scan, op4_html_extraction,
         op5_ngram_jaccard_join, op6_packing, op7_language_id, op8_chat_formatting,
-        op9_line_dedup, op10_token_files,
+        op9_line_dedup, op10_token_files, op11_toxicity, op12_spelling_variants, op13_hard_negatives,
     )}
 
 
