@@ -146,7 +146,7 @@ def train(toxic: DataFrame, unlabelled: DataFrame, prior: float, bags: int = 4,
     million = 1_000_003
     drawn = unlabelled.withColumn("h", F.xxhash64("id", "text")).where(
         F.pmod("h", F.lit(million)) < F.lit(max(1, int(million * min(1.0, bags * unlabelled_per_bag / n_mixed)))))
-    drawn = drawn.select(F.pmod(F.shiftright("h", 32), F.lit(bags)).cast("int").alias("bag"), F.lit(0).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    drawn = drawn.dropDuplicates(["id", "text"]).select(F.pmod(F.shiftright("h", 32), F.lit(bags)).cast("int").alias("bag"), F.lit(0).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     marked = toxic.withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(bags - 1)))).where(
         F.pmod(F.xxhash64("bag", "id", "text"), F.lit(million)) < F.lit(max(1, int(million * min(1.0, toxic_per_bag / n_toxic)))))
     both = drawn.unionByName(marked.select("bag", F.lit(1).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
@@ -179,16 +179,16 @@ def fit_on_documents(docs: DataFrame, labels: DataFrame, **options: int) -> Toxi
     Toxic are those that ``labels`` (doc_id, toxic) marks 1 (in any of its rows);
     unlabelled are all of them, whatever their label; the prior is the share of
     toxic ids among the labelled ids not held out.  Rows with a null id or label
-    teach nothing.
+    teach nothing, and repeated rows of the sample teach once.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count(F.lit(1)), F.sum((F.col("toxic") == 1).cast("long"))).first()
     src = docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("doc_id").cast("string").alias("id"), "text")
-    toxic = src.join(known.where("toxic = 1").select("doc_id"), "doc_id", "left_semi").where(F.length("text") > 0)
-    # of many toxic rows a few times those that the bags hold are written
+    # of many toxic ids a few times those that the bags hold, so the list that goes to the texts is bounded
     share = min(1.0, 4 * options.get("bags", 4) * options.get("toxic_per_bag", 1000) / max(n_toxic or 0, 1))
-    some = toxic.where(F.pmod(F.xxhash64("text", "id"), F.lit(1_000_003)) < F.lit(max(1, int(1_000_003 * share)))).select("id", "text")
-    return train(materialize(some, "toxic"), src.select("id", "text"), (n_toxic or 0) / n if n else 0.0, **options)
+    some = known.where((F.col("toxic") == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.lit(max(1, int(1_000_003 * share))))).select("doc_id")
+    toxic = src.join(F.broadcast(some), "doc_id", "left_semi").where(F.length("text") > 0).select("id", "text").distinct()
+    return train(materialize(toxic, "toxic"), src.select("id", "text"), (n_toxic or 0) / n if n else 0.0, **options)
 
 
 def score_of(text: str | None, model: ToxicityModel) -> float:
