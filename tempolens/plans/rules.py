@@ -24,7 +24,8 @@ clock.  Table roles and the columns they need:
   sysstat / stat_name   cumulative statistics and their names
   audit_opts    audit_option, success, failure
   dml_texts     sql_id, table_name, sql_text;  index_columns / pk_columns  table_name, column_name
-  nvl_texts     sql_id, sql_text;  functions  name, parallel_enabled
+  nvl_texts     sql_id, sql_text;  hist_texts  dbid, sql_id, sql_text
+  procedures    owner, object_name, procedure_name, object_type, parallel
   tab_modifications  owner, table_name, inserts, deletes
   block_access / extents   see A39
 """
@@ -502,12 +503,39 @@ def r69_missing_audit(t: Tables):
 
 # ----------------------------------------------------------------------------------------------
 # PL/SQL usage
-@rule("R38", "Functions without PARALLEL_ENABLE used in statement texts", 6)
-def r38_functions_not_parallel(t: Tables):
-    """Identifiers of each text are matched with the function catalog by an equi join (no text x function pairs)."""
-    words = t.nvl_texts.select("sql_id", F.explode(F.array_distinct(F.split(F.upper("sql_text"), "[^A-Z0-9_$#]+"))).alias("name"))
-    fn = t.functions.filter(F.col("parallel_enabled") == "NO").select(F.upper("name").alias("name"))
-    return words.join(fn, "name", "inner").select("sql_id", F.col("name").alias("function_name"))
+_NAMES = (r"(?<=[^A-Z_])[A-Z_]+(?=[^A-Z_])", r"(?<=[^A-Z_])[A-Z_][A-Z0-9_$#]*(?=[^A-Z_])")
+_PAIRS = (r"(?<=[^A-Z_])(?=([A-Z_]+[.][A-Z_]+)[^A-Z_])", r"(?<=[^A-Z_])(?=([A-Z_][A-Z0-9_$#]*[.][A-Z_][A-Z0-9_$#]*)[^A-Z_])")
+
+
+def _phrases(texts: DataFrame, text: str, cols: list[str]) -> DataFrame:
+    """(cols, phrase): every word of the texts, and every two words joined by a dot, once a text.
+
+    A character that is neither letter nor underscore must stand on both sides, as
+    in the reference's test; words are taken as runs of letters, and as names with
+    digits, $ and #.
+    """
+    up = F.upper(text)
+    found = [F.regexp_extract_all(up, F.lit(p), F.lit(0)) for p in _NAMES] + [F.regexp_extract_all(up, F.lit(p), F.lit(1)) for p in _PAIRS]
+    return texts.select(*cols, F.explode(F.array_distinct(F.concat(*found))).alias("phrase"))
+
+
+@rule("R38", "Functions without PARALLEL_ENABLE used in parallel statements", 6, days=8, skip_owners=("SYS", "WMSYS", "PERFSTAT"))
+def r38_functions_not_parallel(t: Tables, days: int, skip_owners: tuple[str, ...]):
+    """Functions and package functions that serialize a parallel statement of the cursor cache or the recent history.
+
+    Names are a dictionary of phrases (a function, or package.function) that the
+    words and dotted word pairs of the texts are equi-joined with.  Only texts that
+    name PARALLEL count, and no PL/SQL blocks or EXPLAINs.
+    """
+    fn = t.procedures.filter(F.col("object_type").isin("FUNCTION", "PACKAGE") & (F.col("parallel") == "NO") & ~F.col("owner").isin(*skip_owners)
+                             & ((F.col("object_type") != "PACKAGE") | F.col("procedure_name").isNotNull()))
+    fn = fn.withColumn("phrase", F.when(F.col("object_type") == "PACKAGE", F.upper(F.concat("object_name", F.lit("."), "procedure_name"))).otherwise(F.upper("object_name")))
+    cur = t.sqlarea.select("sql_id", "sql_text", F.round(F.col("elapsed_time") / 1e6, 6).alias("elapsed_secs"), F.lit("SGA").alias("source"))
+    hist = (recent_sqlstat(t, days).groupBy("dbid", "sql_id").agg(F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"))
+            .join(t.hist_texts.select("dbid", "sql_id", "sql_text"), ["dbid", "sql_id"]).select("sql_id", "sql_text", "elapsed_secs", F.lit("History").alias("source")))
+    texts = cur.unionByName(hist).filter(F.upper("sql_text").contains("PARALLEL") & ~F.upper("sql_text").rlike(r"^\s*(BEGIN|DECLARE|EXPLAIN)"))
+    return _phrases(texts, "sql_text", ["sql_id", "elapsed_secs", "source"]).join(fn, "phrase").select(
+        "source", "sql_id", "owner", "object_name", "procedure_name", "object_type", "elapsed_secs")
 
 
 @rule("R73", "NVL with a function call as second argument", 6, function="NVL")
@@ -859,11 +887,10 @@ def r37_parallel_with_serial_parts_hist(t: Tables, days: int):
 
 def _cartesian_walk(plan: DataFrame, marker: str) -> DataFrame:
     """Lines below each cartesian join, descending through lines without an object, keeping the first lines with one."""
-    from ..operators.hierarchy import hierarchy_walk
+    from ..operators.trees import marked_above
     marked = plan.filter(F.col("options") == marker).select(*STMT).distinct()
-    walk = hierarchy_walk(plan.join(marked, STMT, "left_semi"), connect=[("id", "parent_id")], same=["sql_id", "plan_hash_value"],
-                          start=F.col("options") == marker, node=["id"], expand_if=F.col("object_name").isNull())
-    return walk.filter(F.col("object_name").isNotNull())
+    return marked_above(plan.join(marked, STMT, "left_semi"), ["sql_id", "plan_hash_value"], F.col("options") == marker,
+                        F.col("object_name").isNull()).filter(F.col("object_name").isNotNull())
 
 
 @rule("R45", "Cartesian joins and the objects they combine (cursor cache)", 1, marker="CARTESIAN", min_elapsed_secs=100.0)

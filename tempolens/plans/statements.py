@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import contains_ci, first_value_by, flags_to_list, hit_ratio, last_value_by, per_unit, trunc_time
 from ..operators.grouping import period_compare, top_sort
 from ..operators.history import range_join_snaps, snapshot_borders
-from ..operators.hierarchy import hierarchy_walk, positional_compare, post_order_number, root_only, variant_compare
+from ..operators.hierarchy import positional_compare, variant_compare
+from ..operators.trees import tree_numbers
 
 INST = ["dbid", "instance_number"]
 
@@ -107,6 +108,62 @@ def statement_summary(sqlstat: DataFrame, keys=("dbid", "sql_id")) -> DataFrame:
             .withColumn("elapsed_per_exec", F.round(per_unit("elapsed_time", "executions"), 6))
 
 
+WAIT_SPLIT = {"clwait_delta": "cluster_wait_secs", "apwait_delta": "application_wait_secs", "ccwait_delta": "concurrency_wait_secs",
+              "iowait_delta": "user_io_wait_secs", "plsexec_time_delta": "plsql_exec_secs"}
+
+
+def statement_detail(sqlstat: DataFrame, snaps: DataFrame, min_snap: int, max_snap: int, unknown: str = "[UNKNOWN]") -> DataFrame:
+    """Full history summary of every (dbid, instance, statement, schema) of a snapshot range.
+
+    Last plan, environment, module and action are those of the last snapshot; plan
+    hash 0 is no plan; a null schema is ``unknown``, like in the filter of the
+    detail page.  Ratios divide by 1 where the divisor is 0.
+    """
+    s = sqlstat.where(F.col("snap_id").between(min_snap, max_snap)).withColumn("parsing_schema_name", F.coalesce("parsing_schema_name", F.lit(unknown)))
+    j = s.join(snaps.select(*INST, "snap_id", "begin_interval_time", "end_interval_time"), INST + ["snap_id"])
+    execs, gets, disk = F.sum("executions_delta"), F.sum("buffer_gets_delta"), F.sum("disk_reads_delta")
+    plan = F.col("plan_hash_value")
+    return j.groupBy(*INST, "sql_id", "parsing_schema_name").agg(
+        last_value_by("plan_hash_value", "snap_id").alias("last_plan_hash_value"),
+        F.count_distinct(F.when(plan != 0, plan)).alias("plan_hash_values"),
+        last_value_by("optimizer_env_hash_value", "snap_id").alias("last_optimizer_env"),
+        F.count_distinct("optimizer_env_hash_value").alias("optimizer_envs"),
+        *[F.sum(f"{c}_delta").alias(c) for c in ("executions", "fetches", "parse_calls", "sorts", "loads", "disk_reads", "buffer_gets", "rows_processed")],
+        ((gets - disk) * 100 / F.greatest(gets, F.lit(1))).alias("hit_ratio"),
+        F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"),
+        per_unit(F.sum("elapsed_time_delta") / 1e6, execs).alias("elapsed_secs_per_exec"),
+        F.round(F.sum("cpu_time_delta") / 1e6, 6).alias("cpu_secs"),
+        per_unit(disk, execs).alias("disk_reads_per_exec"), per_unit(execs, disk).alias("execs_per_disk"),
+        per_unit(gets, execs).alias("buffer_gets_per_exec"),
+        per_unit(gets, F.sum("rows_processed_delta")).alias("buffer_gets_per_row"),
+        *[F.round(F.sum(c) / 1e6, 6).alias(a) for c, a in WAIT_SPLIT.items()],
+        F.min("begin_interval_time").cast("timestamp_ntz").alias("first_occurrence"), F.max("end_interval_time").cast("timestamp_ntz").alias("last_occurrence"),
+        last_value_by("module", "snap_id").alias("last_module"), last_value_by("action", "snap_id").alias("last_action"))
+
+
+def statement_detail_current(cursors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The cursor that best meets each wanted (inst_id, sql_id, object_status, parsing_schema_name).
+
+    Filters relax in turn: first the status goes, then the schema too, and
+    ``suppressed`` names what was left out.  All ranks are tried in one pass: each
+    candidate carries the rank it meets, and a statement keeps the least (rank,
+    child) as a struct minimum, so nothing is looked up again.  A null wish is no
+    filter.  Statements without any cursor give no row.
+    """
+    wish = wanted.select("inst_id", "sql_id", F.col("object_status").alias("_status"), F.col("parsing_schema_name").alias("_schema"))
+    status = F.col("_status").isNull() | F.coalesce(F.col("object_status") == F.col("_status"), F.lit(False))
+    schema = F.col("_schema").isNull() | F.coalesce(F.col("parsing_schema_name") == F.col("_schema"), F.lit(False))
+    rank = F.when(status & schema, 0).when(schema, 1).otherwise(2)
+    rest = [c for c in cursors.columns if c not in ("inst_id", "sql_id", "child_number")]
+    best = (cursors.join(wish, ["inst_id", "sql_id"]).groupBy("inst_id", "sql_id", "_status", "_schema").agg(
+        F.min(F.struct(rank.alias("rank"), "child_number", *rest)).alias("b"), F.count_distinct("child_number").alias("child_count")))
+    said = F.when(F.col("b.rank") == 1, F.lit("object_status")).when(
+        F.col("b.rank") == 2, F.when(F.col("_status").isNull(), F.lit("parsing_schema_name")).otherwise(F.lit("object_status, parsing_schema_name")))
+    gets, disk = F.col("b.buffer_gets"), F.col("b.disk_reads")
+    return best.select("inst_id", "sql_id", "child_count", F.col("b.rank").alias("match_rank"), said.alias("suppressed"), "b.child_number",
+                       *[F.col(f"b.{c}") for c in rest], ((gets - disk) * 100 / F.greatest(gets, F.lit(1))).alias("hit_ratio"))
+
+
 def statement_per_period(sqlstat: DataFrame, snaps: DataFrame, unit: str | None = "DD") -> DataFrame:
     """Statement statistics per snapshot (unit None) or per truncated day/month."""
     j = sqlstat.join(snaps.select(*INST, "snap_id", "begin_interval_time"), INST + ["snap_id"], "inner")
@@ -120,12 +177,10 @@ def plan_lines_marked(lines: DataFrame, plan: str = "plan_hash_value", strict=No
                       compare=None) -> DataFrame:
     """Plan lines of all variants with execution order and difference marks.
 
-    A27 walk from the root lines -> A31 post-order, A32 strict/loose
-    counts, A33 positional difference.
+    A31 levels and post-order by doubling, A32 strict/loose counts, A33
+    positional difference.
     """
-    roots = root_only(lines, ["parent_id"], ["id"], [plan])
-    walk = hierarchy_walk(lines, connect=[("id", "parent_id")], same=[plan], start=roots, node=["id"])
-    ordered = post_order_number(walk, [plan]).drop("path")
+    ordered = tree_numbers(lines, [plan]).drop("subtree_lines")
     counted = variant_compare(ordered, strict, loose)
     return positional_compare(counted, plan, "id", compare or strict)
 
@@ -142,26 +197,72 @@ def time_per_plan_line(samples: DataFrame, plan: DataFrame, keys=("plan_hash_val
     return plan.join(t, k, "left")
 
 
-def statements_using_object(sqlstat: DataFrame, lines: DataFrame, owner_col: str, name_col: str,
-                            owner=None, name=None) -> DataFrame:
-    """Statements whose plans touch an object, with their totals."""
-    cond = F.lit(True)
-    if owner is not None:
-        cond = cond & (F.col(owner_col) == owner)
-    if name is not None:
-        cond = cond & (F.col(name_col) == name)
-    plans = lines.filter(cond).select("plan_hash_value").distinct()
-    s = sqlstat.join(plans, "plan_hash_value", "left_semi")
-    return s.groupBy("sql_id", "plan_hash_value").agg(F.sum("executions_delta").alias("executions"),
-                                                      F.sum("elapsed_time_delta").alias("elapsed_time"))
-
-
-def statements_with_object_in_last_plan(sqlstat: DataFrame, lines: DataFrame, name_col: str, name) -> DataFrame:
-    """Statements whose *last* plan (by snapshot) touches an object."""
-    last = sqlstat.groupBy("sql_id").agg(last_value_by("plan_hash_value", "snap_id").alias("plan_hash_value"),
-                                         F.sum("executions_delta").alias("executions"))
-    plans = lines.filter(F.col(name_col) == name).select("plan_hash_value").distinct()
-    return last.join(plans, "plan_hash_value", "left_semi")
+PLAN = ["dbid", "sql_id", "plan_hash_value"]
+
+
+def _object_lines(lines: DataFrame, name: str, owner: str | None, like: bool = True) -> DataFrame:
+    """Plan lines on an object; names are compared in upper case, the name as a pattern."""
+    hit = F.col("object_name").like(name.upper()) if like else F.col("object_name") == name.upper()
+    return lines.where(hit if owner is None else hit & (F.col("object_owner") == owner.upper()))
+
+
+def statements_using_object(lines: DataFrame, sqlstat: DataFrame, snaps: DataFrame, texts: DataFrame, start, end,
+                            name: str, owner: str | None = None, instance: int | None = None) -> DataFrame:
+    """Statements of the history whose plans touch an object, within bracketing snapshots.
+
+    Lines meet statistics by database, statement and plan, so a statement that only
+    shares a plan hash with another one is not reported.  The lines of an object are
+    few and go first; a plan with the object in several lines of one kind counts its
+    statistics once for each, as the lines are listed.
+    """
+    borders = snapshot_borders(snaps, start, end).select(*INST, "start_snap_id", "end_snap_id")
+    inside = snaps.join(borders, INST).where(F.col("snap_id").between(F.col("start_snap_id"), F.col("end_snap_id")))
+    inside = inside.select(*INST, "snap_id", "begin_interval_time", "end_interval_time")
+    hit = _object_lines(lines, name, owner).select(*PLAN, "operation", "options", "other_tag")
+    s = sqlstat if instance is None else sqlstat.where(F.col("instance_number") == instance)
+    j = s.join(hit, PLAN).join(inside, INST + ["snap_id"])
+    execs = F.sum("executions_delta")
+    out = j.groupBy("dbid", "sql_id", "instance_number", "parsing_schema_name", "operation", "options", "other_tag").agg(
+        F.min("begin_interval_time").cast("timestamp_ntz").alias("first_occurrence"), F.max("end_interval_time").cast("timestamp_ntz").alias("last_occurrence"),
+        *[F.sum(f"{c}_delta").alias(c) for c in ("executions", "fetches", "disk_reads", "buffer_gets", "rows_processed", "parse_calls")],
+        F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"), F.round(F.sum("cpu_time_delta") / 1e6, 6).alias("cpu_secs"),
+        per_unit(F.sum("elapsed_time_delta") / 1e6, execs).alias("elapsed_secs_per_exec"),
+        *[per_unit(F.sum(f"{c}_delta"), execs).alias(f"{c}_per_exec") for c in ("disk_reads", "buffer_gets", "rows_processed")],
+        F.min("snap_id").alias("min_snap_id"), F.max("snap_id").alias("max_snap_id"))
+    return out.join(texts.select("dbid", "sql_id", F.substring("sql_text", 1, 100).alias("sql_text")), ["dbid", "sql_id"], "left")
+
+
+def statements_using_object_current(lines: DataFrame, cursors: DataFrame, name: str, owner: str | None = None, instance: int | None = None) -> DataFrame:
+    """Cursors whose plans touch an object, one row for each line (D08, current)."""
+    key = ["inst_id", "sql_id", "plan_hash_value", "child_number"]
+    hit = _object_lines(lines if instance is None else lines.where(F.col("inst_id") == instance), name, owner)
+    j = cursors.join(hit.select(*key, F.col("id").alias("line_id"), "operation", "options"), key)
+    return j.select(*key, "line_id", "operation", "options", "parsing_schema_name", "executions", "fetches", "rows_processed", "disk_reads", "buffer_gets",
+                    F.round(F.col("elapsed_time") / 1e6, 6).alias("elapsed_secs"),
+                    per_unit(F.col("elapsed_time") / 1e6, "executions").alias("elapsed_secs_per_exec"),
+                    *[per_unit(c, "executions").alias(f"{c}_per_exec") for c in ("disk_reads", "buffer_gets", "rows_processed")])
+
+
+def statements_with_object_in_last_plan(sqlstat: DataFrame, snaps: DataFrame, lines: DataFrame, texts: DataFrame, instance: int, start, end,
+                                        owner: str, name: str) -> DataFrame:
+    """Statements of an instance and time range whose *last* plan there touches an object.
+
+    The last plan is taken for each database, statement, instance and schema, and
+    must itself be the plan of this statement that has a line on the object.
+    """
+    begin = F.col("begin_interval_time")
+    inside = snaps.where((F.col("instance_number") == instance) & (begin > F.lit(start).cast("timestamp_ntz")) & (begin < F.lit(end).cast("timestamp_ntz")))
+    s = sqlstat.join(inside.select(*INST, "snap_id"), INST + ["snap_id"], "left_semi")
+    execs = F.sum("executions_delta")
+    last = s.groupBy("dbid", "sql_id", "instance_number", "parsing_schema_name").agg(
+        last_value_by("plan_hash_value", "snap_id").alias("plan_hash_value"),
+        *[F.sum(f"{c}_delta").alias(c) for c in ("executions", "disk_reads", "buffer_gets", "rows_processed")],
+        F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"), F.round(F.sum("cpu_time_delta") / 1e6, 6).alias("cpu_secs"),
+        per_unit(F.sum("elapsed_time_delta") / 1e6, execs).alias("elapsed_secs_per_exec"),
+        F.min("snap_id").alias("min_snap_id"), F.max("snap_id").alias("max_snap_id"))
+    out = last.join(_object_lines(lines, name, owner, like=False).select(*PLAN), PLAN)
+    return out.join(texts.select("dbid", "sql_id", F.substring("sql_text", 1, 100).alias("sql_text")), ["dbid", "sql_id"], "left") \
+        .withColumnRenamed("plan_hash_value", "last_plan_hash_value")
 
 
 def two_period_comparison(sqlstat: DataFrame, texts: DataFrame, first, second, min_pct: float) -> DataFrame:

@@ -102,6 +102,60 @@ def index_column_lists(ind_columns: DataFrame, by: list[str], col: str = "column
     return g.select(*by, F.array_join(F.transform("_l", lambda s: s["_c"]), sep).alias("column_list"), "columns")
 
 
+def references(constraints: DataFrame, columns: DataFrame, tables: DataFrame, table: str, owner: str, incoming: bool = False) -> DataFrame:
+    """Foreign keys of a table, or (``incoming``) those of other tables that point at it, with their columns side by side.
+
+    Composite keys: both constraints' columns are sorted structs of (position,
+    name), aligned by position with a zip, so the pairs hold for any number of
+    columns; a column without a partner shows an empty side.  Only the constraints
+    of the asked table are joined, the lists come from one grouped pass.
+    """
+    mine = (F.col("owner") == owner) & (F.col("table_name") == table)
+    fk = constraints.where(F.col("constraint_type") == "R").select("owner", "table_name", "constraint_name", "r_owner", "r_constraint_name")
+    target = constraints.select(F.col("owner").alias("r_owner"), F.col("constraint_name").alias("r_constraint_name"), F.col("table_name").alias("r_table_name"))
+    if incoming:
+        j = fk.join(target.where((F.col("r_owner") == owner) & (F.col("r_table_name") == table)), ["r_owner", "r_constraint_name"])
+    else:
+        j = fk.where(mine).join(target, ["r_owner", "r_constraint_name"])
+    used = j.select("owner", "constraint_name").unionByName(j.select(F.col("r_owner").alias("owner"), F.col("r_constraint_name").alias("constraint_name"))).distinct()
+    lists = columns.join(used, ["owner", "constraint_name"], "left_semi").groupBy("owner", "constraint_name").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "column_name"))), lambda x: x["column_name"]).alias("list"))
+    left = lists.select("owner", "constraint_name", F.col("list").alias("_from"))
+    right = lists.select(F.col("owner").alias("r_owner"), F.col("constraint_name").alias("r_constraint_name"), F.col("list").alias("_to"))
+    rows = tables.select(F.col("owner").alias("_o"), F.col("table_name").alias("_t"), "num_rows")
+    side = ("owner", "table_name") if incoming else ("r_owner", "r_table_name")
+    pair = F.zip_with("_from", "_to", lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.lit(" = "), F.coalesce(b, F.lit(""))))
+    return (j.join(left, ["owner", "constraint_name"], "left").join(right, ["r_owner", "r_constraint_name"], "left")
+            .join(rows, (F.col(side[0]) == F.col("_o")) & (F.col(side[1]) == F.col("_t")))
+            .select("owner", "table_name", "constraint_name", "r_owner", "r_table_name", "r_constraint_name", "num_rows",
+                    F.array_join("_from", ", ").alias("columns"), F.array_join("_to", ", ").alias("r_columns"), F.array_join(pair, ", ").alias("pairs")))
+
+
+def table_indexes(indexes: DataFrame, ind_columns: DataFrame, expressions: DataFrame, partitions: DataFrame, usage: DataFrame, table: str, owner: str) -> DataFrame:
+    """Indexes of a table with their columns or expressions in order, partition roll-up and usage flags.
+
+    Of a partitioned index pct_free shows the one value of its partitions, else
+    null, and the partition names '< n >' or the one there is.
+    """
+    ix = indexes.where((F.col("table_owner") == owner) & (F.col("table_name") == table))
+    keys = ix.select(F.col("owner").alias("index_owner"), "index_name")
+    exprs = expressions.select("index_owner", "index_name", F.lit(1).alias("column_position"), "column_expression")
+    cols = (ind_columns.join(keys, ["index_owner", "index_name"], "left_semi").join(exprs, ["index_owner", "index_name", "column_position"], "left")
+            .groupBy("index_owner", "index_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(
+                "column_position", F.coalesce("column_expression", "column_name").alias("c")))), lambda x: x["c"]), ", ").alias("column_names")))
+    parts = partitions.join(keys, ["index_owner", "index_name"], "left_semi").groupBy("index_owner", "index_name").agg(
+        F.count(F.lit(1)).alias("partitions"), F.when(F.min("pct_free") == F.max("pct_free"), F.min("pct_free")).alias("partition_pct_free"),
+        F.when(F.min("partition_name") == F.max("partition_name"), F.min("partition_name")).otherwise(F.lit("N/A")).alias("partition_name"),
+        F.sum("num_rows").alias("partition_rows"))
+    use = usage.select(F.col("owner").alias("index_owner"), "index_name",
+                       F.when(F.col("index_flags").bitwiseAND(65536) == 0, "NO").otherwise("YES").alias("monitoring"),
+                       F.when(F.col("usage_flags").bitwiseAND(1) == 0, "NO").otherwise("YES").alias("used"))
+    on = ["index_owner", "index_name"]
+    return (ix.withColumnRenamed("owner", "index_owner").join(cols, on, "left").join(parts, on, "left").join(use, on, "left")
+            .select(*on, "uniqueness", "num_rows", "distinct_keys", "partitioned", "column_names", "partitions", "partition_pct_free", "partition_name",
+                    "partition_rows", "monitoring", "used"))
+
+
 def audit_list(audit: DataFrame, filters: dict[str, object], time_col: str = "audit_time",
                start=None, end=None) -> DataFrame:
     """Audit records with optional filters: substring (case-insensitive) per column and a time range."""

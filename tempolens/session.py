@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every session of this library relies on.  AQE re-plans joins
 # (broadcast when the build side turns out small, split skewed partitions)
@@ -85,3 +86,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = wh.rstrip("/") + "/_tempolens_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` computed once, as a table in the shared folder: its lineage ends there, and counts come from its files."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(df: DataFrame) -> None:
+    """Remove the files of a table that :func:`written` made."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = hadoop.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

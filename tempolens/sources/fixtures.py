@@ -116,6 +116,39 @@ FIXTURE_SQL.update({
     "fx_pk_column": "SELECT lower(p_type) AS table_name, min(split_part(p_name, ' ', 1)) AS column_name FROM part GROUP BY 1",
 })
 
+# statement history that grows with the parts: every part is a statement with up to four plans in two databases,
+# statements share their plan hashes, and the objects of the plan lines are shared by some statements
+_DELTAS = {
+    "executions": "CAST(floor(l_quantity) AS BIGINT) % 9", "fetches": "CAST(floor(l_quantity) AS BIGINT) * 3", "parse_calls": "CAST(floor(l_quantity) AS BIGINT) % 4",
+    "sorts": "l_suppkey % 3", "loads": "l_suppkey % 2", "elapsed_time": "CAST(floor(l_extendedprice * 100) AS BIGINT)", "cpu_time": "CAST(floor(l_extendedprice * 60) AS BIGINT)",
+    "buffer_gets": "CAST(floor(l_extendedprice) AS BIGINT)", "disk_reads": "CAST(round(l_discount * 100) AS BIGINT)", "rows_processed": "CAST(round(l_tax * 100) AS BIGINT)",
+    "clwait": "CAST(floor(l_extendedprice * 2) AS BIGINT)", "apwait": "CAST(floor(l_extendedprice * 3) AS BIGINT)", "ccwait": "CAST(floor(l_extendedprice * 4) AS BIGINT)",
+    "iowait": "CAST(floor(l_extendedprice * 5) AS BIGINT)", "plsexec_time": "CAST(floor(l_extendedprice * 6) AS BIGINT)",
+}
+_MONTH = "CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT)"
+FIXTURE_SQL.update({
+    "fx_hist_stat": f"SELECT CASE WHEN l_suppkey % 10 = 0 THEN 2 ELSE 1 END AS dbid, CAST(l_suppkey % 2 + 1 AS INT) AS instance_number, {_MONTH} AS snap_id, concat('s', CAST(l_partkey AS STRING)) AS sql_id, CAST(l_linenumber % 5 AS BIGINT) AS plan_hash_value, l_orderkey % 3 AS optimizer_env_hash_value, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS parsing_schema_name, l_linestatus AS module, concat('act', CAST(l_suppkey % 4 AS STRING)) AS action, "
+                    + ", ".join(f"{e} AS {c}_delta" for c, e in _DELTAS.items()) + " FROM lineitem",
+    "fx_hist_snapshot": f"SELECT DISTINCT CASE WHEN l_suppkey % 10 = 0 THEN 2 ELSE 1 END AS dbid, CAST(l_suppkey % 2 + 1 AS INT) AS instance_number, {_MONTH} AS snap_id, date_trunc('month', l_shipdate) AS begin_interval_time, date_trunc('month', l_shipdate) + INTERVAL 1 MONTH AS end_interval_time FROM lineitem",
+    "fx_hist_text": "SELECT d.dbid, concat('s', CAST(p_partkey AS STRING)) AS sql_id, concat('SELECT /* ', p_name, ' */ * FROM T', CAST(p_partkey % 97 AS STRING), ' WHERE kind = :', p_type) AS sql_text FROM part CROSS JOIN (VALUES (1), (2)) AS d(dbid)",
+    "fx_hist_plan": "SELECT s.dbid, s.sql_id, s.plan_hash_value, x.id, x.operation, CASE WHEN x.id = 1 AND s.plan_hash_value % 2 = 0 THEN 'FULL' WHEN x.id = 2 THEN 'RANGE SCAN' END AS options, CASE WHEN s.plan_hash_value = 3 THEN 'PARALLEL_TO_SERIAL' END AS other_tag, CASE WHEN x.id > 0 THEN upper(substr(p.p_brand, 1, 7)) END AS object_owner, CASE x.id WHEN 1 THEN concat('T', CAST((p.p_partkey + s.plan_hash_value) % 97 AS STRING)) WHEN 2 THEN concat('I', CAST(p.p_partkey % 89 AS STRING)) WHEN 3 THEN concat('T', CAST(p.p_partkey % 97 AS STRING)) END AS object_name FROM (SELECT DISTINCT dbid, sql_id, plan_hash_value FROM fx_hist_stat WHERE plan_hash_value > 0) s JOIN part p ON concat('s', CAST(p.p_partkey AS STRING)) = s.sql_id CROSS JOIN (VALUES (CAST(0 AS BIGINT), 'SELECT STATEMENT'), (1, 'TABLE ACCESS'), (2, 'INDEX'), (3, 'TABLE ACCESS')) AS x(id, operation) WHERE x.id < 3 OR s.plan_hash_value = 4",
+    "fx_cur_sql": "SELECT instance_number AS inst_id, sql_id, CAST(plan_hash_value AS INT) AS child_number, plan_hash_value, CASE WHEN max(snap_id) % 3 = 0 THEN 'INVALID_UNAUTH' ELSE 'VALID' END AS object_status, min(parsing_schema_name) AS parsing_schema_name, max(module) AS module, max(action) AS action, "
+                  + ", ".join(f"CAST(sum({c}_delta) AS BIGINT) AS {c}" for c in _DELTAS) + " FROM fx_hist_stat WHERE dbid = 1 GROUP BY 1, 2, 3, 4",
+    "fx_cur_plan": "SELECT c.inst_id, c.child_number, p.* FROM (SELECT DISTINCT inst_id, sql_id, child_number, plan_hash_value FROM fx_cur_sql) c JOIN fx_hist_plan p ON p.sql_id = c.sql_id AND p.plan_hash_value = c.plan_hash_value WHERE p.dbid = 1",
+    # functions and package functions, and statement texts that use them: parallel and serial ones, blocks and explains
+    "fx_procedure": "SELECT DISTINCT CASE WHEN p_size % 10 = 0 THEN 'SYS' ELSE 'APP' END AS owner, concat('GET_', upper(p_type)) AS object_name, CAST(NULL AS STRING) AS procedure_name, 'FUNCTION' AS object_type, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'YES' ELSE 'NO' END AS parallel FROM part UNION ALL SELECT DISTINCT 'APP', concat('PK_', upper(p_type)), concat('CALC_', upper(split_part(p_name, ' ', 1))), 'PACKAGE', CASE WHEN p_type = 'PROMO' THEN 'YES' ELSE 'NO' END FROM part",
+    "fx_par_text": "SELECT d.dbid, concat('s', CAST(p_partkey AS STRING)) AS sql_id, concat(CASE p_size % 5 WHEN 0 THEN 'SELECT /*+ PARALLEL(t,4) */ ' WHEN 1 THEN 'select /*+ parallel */ ' WHEN 2 THEN 'SELECT ' WHEN 3 THEN ' BEGIN /* parallel */ ' ELSE 'EXPLAIN PLAN FOR SELECT /*+ PARALLEL */ ' END, CASE WHEN floor(p_partkey / 5) % 2 = 0 THEN concat('Get_', p_type) ELSE concat('pk_', p_type, '.calc_', split_part(p_name, ' ', 1)) END, CASE WHEN p_partkey % 7 = 0 THEN 'x(a)' ELSE '(a)' END, ' FROM t') AS sql_text FROM part CROSS JOIN (VALUES (1), (2)) AS d(dbid)",
+    "fx_par_cursor": "SELECT c.inst_id, c.sql_id, t.sql_text, c.elapsed_time FROM (SELECT inst_id, sql_id, CAST(sum(elapsed_time) AS BIGINT) AS elapsed_time FROM fx_cur_sql GROUP BY 1, 2) c JOIN fx_par_text t ON t.sql_id = c.sql_id WHERE t.dbid = 1",
+    # activity samples of two instances, one row a session and hour, with blockers by (session, serial, instance)
+    "fx_ash_rac": "SELECT 1 AS dbid, CAST((month(ts) - 1) * 31 + day(ts) AS INT) AS snap_id, CAST(((month(ts) - 1) * 31 + day(ts)) * 24 + hour(ts) AS BIGINT) AS sample_id, date_trunc('hour', ts) AS sample_time, instance_number, session_id, session_id * 10 + instance_number AS session_serial, blocking_session, CASE WHEN blocking_session IS NOT NULL THEN blocking_session * 10 + blocking_session % 2 + 1 + CASE WHEN event_id % 17 = 0 THEN 5 ELSE 0 END END AS blocking_serial, CASE WHEN blocking_session IS NOT NULL THEN CAST(blocking_session % 2 + 1 AS INT) END AS blocking_inst_id, CASE WHEN blocking_session IS NULL THEN 'NO HOLDER' WHEN event_id % 5 = 0 THEN 'GLOBAL' WHEN event_id % 23 = 0 THEN 'UNKNOWN' ELSE 'VALID' END AS blocking_session_status, event_id % 6 AS current_file, event_id % 3 AS current_block, event_id % 2 AS current_row, CASE WHEN event_id % 4 = 0 THEN 'object #' ELSE 'id1' END AS p2text, event_id % 60 + 1 AS p2, event_id % 199 + 1 AS current_obj, CAST(floor(value * 100) AS BIGINT) AS wait_time, CAST(floor(value * 1000) AS BIGINT) AS time_waited, concat('s', CAST(user_id % 7 AS STRING)) AS sql_id, user_id % 31 AS user_id, CASE WHEN event_type <> 'view' THEN event_type END AS event, CASE WHEN event_type = 'view' THEN 'ON CPU' ELSE 'WAITING' END AS session_state, concat('m', CAST(event_id % 5 AS STRING)) AS module, CASE WHEN event_id % 3 = 0 THEN concat('a', CAST(event_id % 4 AS STRING)) END AS action, concat('p', CAST(user_id % 3 AS STRING)) AS program FROM (SELECT *, CAST(user_id % 2 + 1 AS INT) AS instance_number, user_id % 20 AS session_id, CASE WHEN event_id % 3 <> 0 AND user_id % 20 > 0 THEN CAST(floor((user_id % 20) / 2) AS BIGINT) WHEN event_id % 3 <> 0 AND day(ts) % 3 = 0 THEN CAST(19 AS BIGINT) END AS blocking_session, row_number() OVER (PARTITION BY date_trunc('hour', ts), user_id % 20 ORDER BY event_id) AS rn FROM events) t WHERE rn = 1",
+    "fx_ash_rac_live": "SELECT * FROM fx_ash_rac WHERE sample_time >= TIMESTAMP '2024-01-26 00:00:00' AND instance_number = 1",
+    "fx_ash_snapshot": "SELECT DISTINCT dbid, instance_number, snap_id, date_trunc('day', sample_time) AS begin_interval_time, date_trunc('day', sample_time) + INTERVAL 1 DAY AS end_interval_time FROM fx_ash_rac",
+    "fx_ash_object": "SELECT p_partkey AS object_id, p_brand AS owner, CASE WHEN p_size % 7 = 0 THEN concat('SYS_LOB', lpad(CAST(p_partkey % 50 + 1 AS STRING), 10, '0'), 'C00004$$') ELSE p_name END AS object_name, CASE WHEN p_size % 7 = 2 THEN concat('P', CAST(p_size AS STRING)) END AS subobject_name, CASE WHEN p_size % 3 = 0 THEN 'INDEX' ELSE 'TABLE' END AS object_type, p_partkey % 150 AS data_object_id FROM part",
+    "fx_db_user": "SELECT DISTINCT user_id % 31 AS user_id, concat('USER', CAST(user_id % 31 AS STRING)) AS username FROM events WHERE user_id % 31 <> 30",
+    # columns of composite primary and foreign keys
+    "fx_ref_column": "SELECT owner, constraint_name, table_name, CASE WHEN constraint_type = 'P' THEN 'C0' ELSE 'C2' END AS column_name, 1 AS position FROM fx_cat_constraint UNION ALL SELECT owner, constraint_name, table_name, CASE WHEN constraint_type = 'P' THEN 'C9' ELSE 'C1' END, 2 FROM fx_cat_constraint WHERE length(constraint_name) % 3 <> 0",
+})
+
 # cumulative IO counters per (instance, file, function, file type, snapshot), restart every 24 snapshots
 _IO_SUMS = {
     "phyrds": "count(*)", "phyblkrd": "sum(floor(l_quantity))", "readtim": "sum(floor(l_extendedprice / 100))",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy as HY
+from ..operators.trees import deepest_levels, tree_numbers
 from ..plans import locks
 from ..sources import fixture
 from .registry import query
@@ -62,8 +63,8 @@ def a28(spark, sf):
 WITH RECURSIVE {_walk('fx_wait_edge')}
 SELECT sample_id, session_id, max(lvl) AS level FROM walk GROUP BY 1, 2""")
 def a29(spark, sf):
-    w = locks.blocking_walk(_fx(spark, sf, "fx_wait_edge"))
-    return HY.deepest_occurrence(w, ["sample_id", "session_id"]).select("sample_id", "session_id", "level").distinct()
+    w = deepest_levels(_fx(spark, sf, "fx_wait_edge"), "blocking_session", "session_id", ["sample_id"])
+    return w.select("sample_id", "session_id", "level").distinct()
 
 
 @query("a30_e02_lock_tree_deepest", f"""
@@ -171,8 +172,7 @@ SELECT plan_hash_value, id, parent_id, lvl AS level,
   row_number() OVER (PARTITION BY plan_hash_value ORDER BY list_append(path, CAST({HY.SENTINEL} AS BIGINT))) AS exec_order
 FROM walk""")
 def a31(spark, sf):
-    w = plan_walk(spark, sf)
-    return HY.post_order_number(w, ["plan_hash_value"]).select("plan_hash_value", "id", "parent_id", "level", "exec_order")
+    return tree_numbers(_fx(spark, sf, "fx_plan"), ["plan_hash_value"]).select("plan_hash_value", "id", "parent_id", "level", "exec_order")
 
 
 def _norm_name_sql(c="object_name"):

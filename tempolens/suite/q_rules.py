@@ -199,14 +199,6 @@ def r33(spark, sf):
     return apply_rule("R33", _t(spark, sf, sqlstat="fx_sqlstat", snapshot="fx_snapshot", sqltext="fx_sqltext"), days=400)
 
 
-@query("r38_functions_not_parallel", """
-SELECT DISTINCT sql_id, name AS function_name FROM (
-  SELECT sql_id, unnest(string_split_regex(upper(sql_text), '[^A-Z0-9_$#]+')) AS name FROM fx_nvl_sql) w
-WHERE name IN (SELECT upper(name) FROM fx_functions WHERE parallel_enabled = 'NO')""")
-def r38(spark, sf):
-    return apply_rule("R38", _t(spark, sf, nvl_texts="fx_nvl_sql", functions="fx_functions"))
-
-
 @query("r40_changing_plans", f"""
 WITH {recent()},
 v AS (SELECT s.dbid, s.instance_number, s.sql_id, s.plan_hash_value,

@@ -135,24 +135,6 @@ def b10(spark, sf):
     return out.select("plan_hash_value", "id", "operation", "db_secs", "cpu_secs", "wait_secs", "samples", "num_rows")
 
 
-@query("d08_statements_using_object", """
-SELECT sql_id, plan_hash_value, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(elapsed_time_delta) AS BIGINT) AS elapsed_time
-FROM fx_sqlstat WHERE plan_hash_value IN (SELECT plan_hash_value FROM fx_plan_multi WHERE object_name = 'blue') GROUP BY 1, 2""")
-def d08(spark, sf):
-    return ST.statements_using_object(_fx(spark, sf, "fx_sqlstat"), _fx(spark, sf, "fx_plan_multi"),
-                                      "object_owner", "object_name", name="blue")
-
-
-@query("d09_object_in_last_plan", """
-WITH l AS (SELECT sql_id, max(snap_id) AS ls, CAST(sum(executions_delta) AS BIGINT) AS executions FROM fx_sqlstat GROUP BY 1),
-lp AS (SELECT s.sql_id, max(s.plan_hash_value) AS plan_hash_value FROM fx_sqlstat s JOIN l ON l.sql_id = s.sql_id AND s.snap_id = l.ls GROUP BY 1)
-SELECT lp.plan_hash_value, lp.sql_id, l.executions FROM lp JOIN l ON l.sql_id = lp.sql_id
-WHERE lp.plan_hash_value IN (SELECT plan_hash_value FROM fx_plan_multi WHERE object_name = 'red')""")
-def d09(spark, sf):
-    return ST.statements_with_object_in_last_plan(_fx(spark, sf, "fx_sqlstat"), _fx(spark, sf, "fx_plan_multi"),
-                                                  "object_name", "red")
-
-
 @query("d11_best_source", """
 WITH h AS (SELECT sql_id, sum(CASE WHEN parsing_schema_name = 'R' THEN 1 ELSE 0 END) AS hits_h, min(parsing_schema_name) AS schema_h,
              count(DISTINCT parsing_schema_name) AS schemas_h FROM fx_sqlstat WHERE snap_id <= 24 GROUP BY 1),
