@@ -50,7 +50,7 @@ def test_learns_from_positive_and_unlabelled_only(spark):
     only_toxic = [(i, t) for i, t in labels if t]
     toxic = frame(spark, [(str(i), t) for i, t in docs if (i, 1) in only_toxic], "id string, text string")
     model = T.train(toxic, frame(spark, [(str(i), t) for i, t in docs], "id string, text string"), prior)
-    asked = [(9001, "such a wobblehead you are"), (9002, "the sea and a song"), (9003, None), (9004, ""), (9005, "12 34"), (9006, "what a wobblehead " * 20_000)]
+    asked = [(9001, "such a wobblehead you are"), (9002, "the sea and a song"), (9003, None), (9004, ""), (9005, "12 34"), (9006, "what a wobblehead he is " * 20_000)]
     df = frame(spark, asked).selectExpr("*", "0.5 as score", "1 as feature")
     scores = {r.doc_id: r.score for r in T.score_texts(df, model).collect()}
     assert scores[9001] > 0.5 and scores[9006] > 0.5 and scores[9002] < 0.3 and scores[9003] == scores[9004] == scores[9005] < 0.7
