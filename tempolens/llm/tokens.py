@@ -20,8 +20,8 @@ from ._common import kept
 _SPACE = "\t-\r \x85\xa0  -     　"
 _WITH_SPACE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _NO_SPACE = re.compile(f"[^{_SPACE}]+")
-#: Chunks that a worker remembers, by tokenizer file.
-MAX_CHUNKS = 800_000
+#: Chunks of a generation; a worker remembers two, and what a generation does not meet again goes with it.
+MAX_CHUNKS = 600_000
 
 
 class Encoder:
@@ -39,6 +39,7 @@ class Encoder:
         # with a normalizer that folds white space the chunks are the words, else words with the space before them
         self.chunk = _NO_SPACE if kind.get("normalizer") else _WITH_SPACE
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str | None], group_chars: int = 2_000_000) -> Iterator[bytes]:
         """The packed ids of each text, in order; null is empty."""
@@ -53,30 +54,22 @@ class Encoder:
         yield from self._group(group)
 
     def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        known = self.known
-        missing = list({c for chunks in group for c in chunks if c not in known})
-        table = known
-        if missing:
-            new = {}
-            for at in range(0, len(missing), 20_000):
-                part = missing[at:at + 20_000]
-                for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                    new[c] = np.array(e.ids, self.dtype).tobytes()
-            if len(known) + len(new) <= MAX_CHUNKS:
-                known.update(new)
+        if len(self.known) > MAX_CHUNKS:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        missing = []
+        for c in set().union(*group).difference(known):
+            packed = before.get(c)
+            if packed is None:
+                missing.append(c)
             else:
-                table = _Both(known, new)
+                known[c] = packed
+        for at in range(0, len(missing), 20_000):
+            part = missing[at:at + 20_000]
+            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
+                known[c] = np.array(e.ids, self.dtype).tobytes()
         for chunks in group:
-            yield b"".join(map(table.__getitem__, chunks))
-
-
-class _Both(dict):
-    def __init__(self, known: dict[str, bytes], new: dict[str, bytes]):
-        super().__init__(new)
-        self.known = known
-
-    def __missing__(self, chunk: str) -> bytes:
-        return self.known[chunk]
+            yield b"".join(map(known.__getitem__, chunks))
 
 
 def encoder(path: str) -> Encoder:
