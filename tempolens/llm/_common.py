@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 T = TypeVar("T")
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each Spark context."""
+    """Send this package to the executors' Python workers, once for each Spark context; Arrow batches are cut by bytes as well as rows."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_BYTES).lower().rstrip("b") == str(2**63 - 1):  # no limit is set: texts may be long
+        spark.conf.set(_BATCH_BYTES, "8m")
     if not getattr(sc, "_tempolens_shipped", False):
         top = Path(__file__).resolve().parent.parent
         name = Path(tempfile.mkdtemp(prefix="tempolens-ship-")) / f"{top.name}.zip"

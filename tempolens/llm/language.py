@@ -82,10 +82,12 @@ def count_tables(sample: DataFrame, max_n: int, top_words: int, top_grams: int)
 
         kept("language counts", dict)
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
-                tally.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-                if sum(map(len, tally.values())) > 150_000:
-                    yield flush()
+            for at in range(0, b.num_rows, 500):
+                s = b.slice(at, 500)
+                for lang, text in zip(s.column("lang").to_pylist(), s.column("text").to_pylist()):
+                    tally.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+                    if sum(map(len, tally.values())) > 100_000:
+                        yield flush()
         yield flush()
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
