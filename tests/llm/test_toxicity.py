@@ -40,7 +40,7 @@ GOOD = ["a calm day", "the sea is wide", "we read a book", "rain on the hills",
 
 
 def corpus():
-    docs = [(i, f"{(BAD if i % 4 == 0 else GOOD)[i % (4 if i % 4 == 0 else 6)]} {i % 13}") for i in range(400)]
+    docs = [(i, f"{BAD[i // 4 % 4] if i % 4 == 0 else GOOD[i % 6]} {i % 13}") for i in range(400)]
     return docs, [(i, int(i % 4 == 0)) for i in range(400) if i % 3]
 
 
