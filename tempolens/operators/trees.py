@@ -76,7 +76,8 @@ def marked_above(lines: DataFrame, plan: list[str], marked: Column, passes: Colu
     first = _pointers(lines, keys, id_col, parent, [mark.alias("_mark")], passes)
     up = lines.select(*keys, F.col(id_col).alias("_jump"), mark.alias("_m2"))
     cur = written(first.join(up, [*keys, "_jump"], "left").select(
-        *keys, "_id", "_jump", "_mark", F.when(F.coalesce("_m2", F.lit(False)), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("_far")), "marks")
+        *keys, "_id", "_jump", "_mark", F.when(F.coalesce("_m2", F.lit(False)), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")).alias("_far"))
+        .where("_jump is not null or _mark"), "marks")  # other lines are reached by nothing
     n, span = cur.count(), 1
     while span <= n and not cur.where("_jump is not null").isEmpty():
         up = cur.select(*keys, F.col("_id").alias("_jump"), F.col("_jump").alias("_j2"), F.col("_far").alias("_f2"))
