@@ -54,18 +54,66 @@ def group_filter(filters: Mapping[str, object], registry: Registry) -> Column:
     return reduce(lambda a, b: a & b, preds, F.lit(True))
 
 
+def value_cells(df: DataFrame, by: Mapping[str, Column], dims: Mapping[str, Column], null_counts: bool = False,
+                null_text: str = " ") -> DataFrame:
+    """One row per group, dimension and distinct value: (by..., _dim, _value, _shown).
+
+    Every row becomes one narrow (dimension number, value) row per dimension, which
+    the map side combines before the shuffle, so what is shuffled are distinct
+    values, not rows.  NULL counts as ``null_text`` with null_counts, else not at
+    all; ``_shown`` is the value, NULL if only NULL stood for it.
+    """
+    parts = [F.struct(F.lit(i).alias("_dim"), c.cast("string").alias("_v")) for i, c in enumerate(dims.values())]
+    e = df.select(*[c.alias(f"_by_{n}") for n, c in by.items()], F.explode(F.array(*parts)).alias("_c"))
+    e = e.select(*[f"_by_{n}" for n in by], "_c._dim", "_c._v")
+    e = e.withColumn("_value", F.coalesce("_v", F.lit(null_text))) if null_counts else e.filter(F.col("_v").isNotNull()).withColumn("_value", F.col("_v"))
+    cells = e.groupBy(*[f"_by_{n}" for n in by], "_dim", "_value").agg(F.max(F.col("_v").isNotNull()).alias("_real"))
+    return cells.select(*[F.col(f"_by_{n}").alias(n) for n in by], "_dim", "_value", F.when(F.col("_real"), F.col("_value")).alias("_shown"))
+
+
+def _dims_per_group(df: DataFrame, by: Mapping[str, Column], dims: Mapping[str, Column], measures: Mapping[str, Column],
+                    show: Callable[[Column, Column], Column], null_counts: bool) -> DataFrame:
+    """Measures per group, and for every dimension show(number of distinct values, smallest value).
+
+    Measures and values are aggregated apart (two reads, neither widens the rows of
+    the other) and meet in one aggregate over the groups, so a NULL group needs no
+    null-safe join.
+    """
+    m = df.groupBy(*[c.alias(n) for n, c in by.items()]).agg(*[c.alias(f"_m_{n}") for n, c in measures.items()], F.lit(True).alias("_here"))
+    n = (value_cells(df, by, dims, null_counts).groupBy(*by, "_dim")
+         .agg(F.count(F.lit(1)).alias("_n"), F.min("_shown").alias("_min")))
+    both = m.unionByName(n, allowMissingColumns=True)
+    at = lambda i, c: F.max(F.when(F.col("_dim") == i, F.col(c)))
+    g = both.groupBy(*by).agg(
+        *[F.first(F.when(F.col("_here"), F.col(f"_m_{k}")), ignorenulls=True).alias(f"_m_{k}") for k in measures],
+        *[F.coalesce(at(i, "_n"), F.lit(0)).alias(f"_n_{i}") for i in range(len(dims))],
+        *[at(i, "_min").alias(f"_v_{i}") for i in range(len(dims))])
+    return g.select(*by, *[F.col(f"_m_{k}").alias(k) for k in measures],
+                    *[show(F.col(f"_n_{i}"), F.col(f"_v_{i}")).alias(d) for i, d in enumerate(dims)])
+
+
+def value_or_counts(df: DataFrame, by: Mapping[str, Column], dims: Mapping[str, Column], measures: Mapping[str, Column] | None = None,
+                    null_counts: bool = True) -> DataFrame:
+    """Groups with their measures and every dimension as its one value or '< n >', exactly and without an Expand."""
+    show = lambda n, v: F.when(n == 1, v).otherwise(F.concat(F.lit("< "), n.cast("string"), F.lit(" >")))
+    return _dims_per_group(df, by, dims, measures or {}, show, null_counts)
+
+
 def drilldown(df: DataFrame, registry: Registry, by: str, filters: Mapping[str, object] | None = None,
               measures: Mapping[str, Column] | None = None, others: list[str] | None = None,
               null_counts: bool = True, approx: bool = False) -> DataFrame:
     """Group by one dimension; every other dimension shown as value or '< n >' (A17).
 
-    approx=True shows the number of values as a HyperLogLog++ estimate, which
-    avoids the Expand that several exact distinct counts need.
+    Values are counted by ``value_or_counts``.  approx=True shows the number of
+    values as a HyperLogLog++ estimate in the same aggregate as the measures.
     """
     f = df.filter(group_filter(filters or {}, registry)) if filters else df
     dims = [d for d in (others if others is not None else registry)
             if d != by and not (callable(registry[d]) and not isinstance(registry[d], Column))]
-    aggs = [m.alias(n) for n, m in (measures or {"count_samples": F.count(F.lit(1))}).items()]
+    ms = measures or {"count_samples": F.count(F.lit(1))}
+    if dims and not approx:
+        return value_or_counts(f, {by: _expr(registry, by)}, {d: _expr(registry, d) for d in dims}, ms, null_counts)
+    aggs = [m.alias(n) for n, m in ms.items()]
     aggs += [single_or_count(_expr(registry, d), null_counts=null_counts, approx=approx).alias(d) for d in dims]
     return f.groupBy(_expr(registry, by).alias(by)).agg(*aggs)
 
@@ -229,14 +277,16 @@ def distinct_counts_by_group(df: DataFrame, by, cols: list[str], approx: bool =
                              rsd: float = 0.02) -> DataFrame:
     """Requests and number of distinct values of several fields per group.
 
-    Exact ``count_distinct`` on several columns plans as one Expand +
-    two-level aggregate (hot groups are pre-aggregated per value); with
-    ``approx`` HyperLogLog++ sketches merge map-side instead.
+    Distinct values are counted by ``value_cells`` (a hot group is split by its
+    values); with ``approx`` HyperLogLog++ sketches merge map-side instead.
     """
     by = [by] if isinstance(by, (str, Column)) else list(by)
-    fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("requests"),
-                               *[fn(F.col(c)).alias(f"distinct_{c}") for c in cols])
+    requests = F.count(F.lit(1)).alias("requests")
+    if approx or not all(isinstance(b, str) for b in by):
+        fn = (lambda c: F.approx_count_distinct(c, rsd)) if approx else F.count_distinct
+        return df.groupBy(*by).agg(requests, *[fn(F.col(c)).alias(f"distinct_{c}") for c in cols])
+    return _dims_per_group(df, {b: F.col(b) for b in by}, {f"distinct_{c}": F.col(c) for c in cols}, {"requests": F.count(F.lit(1))},
+                           lambda n, v: n, null_counts=False)
 
 
 def outlier_vs_average(per_period: DataFrame, key: str, period: str, value: str,

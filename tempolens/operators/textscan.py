@@ -3,13 +3,12 @@
 A49 finds, for every occurrence of a function name (NVL), the bracket
 that opens its argument list, the first top-level comma and the closing
 bracket, and reports each opening bracket inside the second argument (a
-nested call).  Texts are cut into bracket/comma tokens with ``split`` on a
-look-ahead pattern; positions and depths are running sums per text;
-bracket pairs are found per (text, depth) by counting opens, so no token is
-paired with every other token of its text.  With ``chunk`` set, the
-running sums work on fixed-size chunks of a text plus per-chunk offsets
-(``running_sum``, ``next_value``), so even one very long text is spread over
-many tasks.
+nested call).  Texts are cut into bracket/comma/name tokens with ``split`` on a
+look-ahead pattern, and one ``aggregate`` walks the tokens of a text with a stack
+of the calls that are open (no shuffle).  With ``chunk`` set, positions and depths
+are running sums on fixed-size chunks of a text plus per-chunk offsets
+(``running_sum``, ``next_value``) and bracket pairs are found per (text, depth)
+by counting opens, so even one very long text is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -94,6 +93,62 @@ def _positions(df: DataFrame, id_col: str, arr: Column, out_pos: str, out_item:
     return e.withColumn(out_pos, F.col("_before") + 1).drop("_before")
 
 
+_CALL = "struct<call_no:bigint,rel:bigint>"
+_FRAME = f"struct<level:int,calls:array<{_CALL}>,comma:bigint,first:int>"
+_DONE = f"struct<calls:array<{_CALL}>,close:bigint,first:int,last:int>"
+
+
+def _open_calls(text: Column, f: str) -> Column:
+    """Finished calls of ``f`` in a text, with all opens seen below a second argument.
+
+    The state holds the position, the depth, names that wait for their bracket, a
+    stack of open calls (their level, the first comma directly inside) and what is
+    finished.  ``opens`` gets an opening bracket only while some call on the stack
+    has its comma; a call's own ones are the slice from its comma to its close.
+    """
+    tok = F.split(text, f"(?=[(),])|(?={re.escape(f)})")
+    empty = lambda t: F.array().cast(f"array<{t}>")
+    start = F.struct(F.lit(1).cast("bigint").alias("pos"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("n"),
+                     empty(_CALL).alias("pending"), empty(_FRAME).alias("stack"), F.lit(0).alias("inside"),
+                     empty("bigint").alias("opens"), empty(_DONE).alias("done"))
+
+    def step(a: Column, x: Column) -> Column:
+        ch = F.substring(x, 1, 1)
+        name, opening, closing, comma = x.startswith(f), ch == "(", ch == ")", ch == ","
+        waiting, size = F.size(a["pending"]), F.size(a["stack"])
+        top, rest = F.try_element_at(a["stack"], F.lit(-1)), F.slice(a["stack"], F.lit(1), F.greatest(size - 1, F.lit(0)))
+        ends = closing & (size > 0) & (top["level"] == a["depth"] - 1)
+        splits = comma & (size > 0) & (top["level"] == a["depth"] - 1) & top["comma"].isNull()
+        call = F.struct((a["n"] + 1).alias("call_no"), (a["pos"] + len(f) - 1).alias("rel"))
+        pushed = F.struct(a["depth"].alias("level"), a["pending"].alias("calls"), F.lit(None).cast("bigint").alias("comma"), F.lit(0).alias("first"))
+        marked = F.struct(top["level"].alias("level"), top["calls"].alias("calls"), a["pos"].alias("comma"), F.size(a["opens"]).alias("first"))
+        out = F.struct(top["calls"].alias("calls"), a["pos"].alias("close"), top["first"].alias("first"), F.size(a["opens"]).alias("last"))
+        return F.struct(
+            (a["pos"] + F.length(x)).alias("pos"),
+            (a["depth"] + F.when(opening, 1).when(closing, -1).otherwise(0)).alias("depth"),
+            (a["n"] + F.when(name, 1).otherwise(0)).alias("n"),
+            F.when(name, F.concat(a["pending"], F.array(call))).when(opening, empty(_CALL)).otherwise(a["pending"]).alias("pending"),
+            F.when(opening & (waiting > 0), F.concat(a["stack"], F.array(pushed))).when(ends, rest)
+             .when(splits, F.concat(rest, F.array(marked))).otherwise(a["stack"]).alias("stack"),
+            (a["inside"] + F.when(splits, 1).when(ends & top["comma"].isNotNull(), -1).otherwise(0)).alias("inside"),
+            F.when(opening & (a["inside"] > 0), F.concat(a["opens"], F.array(a["pos"]))).otherwise(a["opens"]).alias("opens"),
+            F.when(ends & top["comma"].isNotNull(), F.concat(a["done"], F.array(out))).otherwise(a["done"]).alias("done"))
+
+    return F.aggregate(tok, start, step, lambda a: F.struct(a["opens"].alias("opens"), a["done"].alias("done")))
+
+
+def _scan_in_place(df: DataFrame, id_col: str, text_col: str, f: str) -> DataFrame:
+    """The bracket scan inside each row: no shuffle, no window."""
+    base = df.select(F.col(id_col).alias("_id"), F.upper(F.col(text_col)).alias("_u")).filter(F.col("_u").contains(f))
+    d = base.withColumn("_s", _open_calls(F.col("_u"), f)).select("_id", "_u", "_s.opens", F.explode("_s.done").alias("_d"))
+    d = d.filter(F.col("_d.last") > F.col("_d.first")) \
+        .select("_id", "_u", F.col("_d.close").alias("_close"), F.explode("_d.calls").alias("_call"),
+                F.slice("opens", F.col("_d.first") + 1, F.col("_d.last") - F.col("_d.first")).alias("_o"))
+    d = d.select("_id", "_u", "_close", "_call.call_no", "_call.rel", F.explode("_o").alias("_o"))
+    return d.select(F.col("_id").alias(id_col), "call_no", (F.col("_o") - F.col("rel")).alias("open_bracket_position"),
+                    F.substring(F.col("_u"), (F.col("rel") + 1).cast("int"), (F.col("_close") - F.col("rel")).cast("int")).alias("call_parameter"))
+
+
 def call_argument_scan(df: DataFrame, id_col: str, text_col: str, func: str = "NVL",
                        bucket: int = 256, chunk: int | None = None) -> DataFrame:
     """Opening brackets inside the second argument of every ``func(`` call.
@@ -101,9 +156,19 @@ def call_argument_scan(df: DataFrame, id_col: str, text_col: str, func: str = "N
     Output: id, call_no (n-th occurrence of ``func``), open_bracket_position
     (relative to the end of the name, as in the reference's rule),
     call_parameter (from after the name to the closing bracket).
-    ``chunk``: None runs the scans as one window per text (statement texts
-    are small); a size such as 65536 splits very long texts into chunks.
+    ``chunk``: None scans each text in its row (statement texts are small); a size
+    such as 65536 splits very long texts into chunks.  A name whose end can be its
+    own beginning (``AA``) is scanned in chunks of 65536, because the tokens of the
+    scan in place would overlap.
+
+    Defined cases: a null or empty text has no calls; a call without a comma or
+    a closing bracket gives no rows; a closing bracket without an opening one is
+    skipped; repeated rows are scanned each (with ``chunk`` ids must be unique).
     """
+    overlaps = any(func.upper()[:k] == func.upper()[-k:] for k in range(1, len(func)))
+    if chunk is None and not overlaps:
+        return _scan_in_place(df, id_col, text_col, func.upper())
+    chunk = chunk or 65536
     f = func.upper()
     base = df.select(F.col(id_col).alias("_id"), F.upper(F.col(text_col)).alias("_u"))
     # --- tokens '(' ')' ',' with position and depth
@@ -130,7 +195,7 @@ def call_argument_scan(df: DataFrame, id_col: str, text_col: str, func: str = "N
         .unionByName(opens, allowMissingColumns=True)
     # a call and the '(' right after its name share a position: the call sorts first
     stream = stream.withColumn("_evk", F.col("_ev") * 2 + F.when(F.col("call_no").isNull(), 1).otherwise(0))
-    stream = next_value(stream, ["_id"], "_evk", "_open", "_next_open", chunk=None if chunk is None else 2 * chunk)
+    stream = next_value(stream, ["_id"], "_evk", "_open", "_next_open", chunk=2 * chunk)
     calls = stream.filter(F.col("call_no").isNotNull()).select("_id", "call_no", "_name_pos", "_next_open")
     calls = calls.join(pairs.withColumnRenamed("_open", "_next_open"), ["_id", "_next_open"], "inner") \
         .filter(F.col("_comma").isNotNull() & (F.col("_comma") < F.col("_close")))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.grouping import drilldown
+from ..operators.grouping import drilldown, group_filter, value_or_counts
 from ..operators.hierarchy import hierarchy_walk, root_only, tree_rollup
 from ..operators.history import merge_live_history, snapshot_borders
 from ..operators.lookup import segment_base_id
@@ -85,6 +85,44 @@ def lock_drilldown(rows: DataFrame, registry: dict, by: str, filters: dict | Non
     return drilldown(rows, registry, by, filters, {"records": F.count(F.lit(1)), "wait_total": F.sum(wait)})
 
 
+def lock_history_keys(time: str = "snapshot_ts") -> dict:
+    """The 18 keys of the lock history (E07): 14 to group by and four that only filter (a time, its bounds, rows with a blocker)."""
+    name = F.concat(F.lower(F.coalesce("blocking_object_schema", F.lit(""))), F.lit("."), F.coalesce("blocking_object_name", F.lit("")))
+    ts = lambda v: F.lit(v).cast("timestamp_ntz")
+    return {
+        "snapshot": lambda v: F.col(time) == ts(v), "from": lambda v: F.col(time) >= ts(v), "to": lambda v: F.col(time) <= ts(v),
+        "hide_non_blocking": lambda v: F.coalesce(F.col("blocking_sid").cast("string"), F.lit("0")) != F.lit(str(v)),
+        "instance": F.col("instance_number"), "sid": F.col("sid"), "serialno": F.col("serialno"), "blocking_object": name, "sql_id": F.col("sql_id"),
+        "module": F.col("module"), "object_name": F.col("object_name"), "lock_type": F.col("lock_type"), "request": F.col("request"),
+        "lock_mode": F.col("lock_mode"), "blocking_rowid": F.col("blocking_rowid"), "blocking_instance": F.col("blocking_instance_number"),
+        "blocking_sid": F.col("blocking_sid"), "blocking_sql_id": F.col("blocking_sql_id")}
+
+
+def lock_history_grouping(rows: DataFrame, by: str, filters: dict | None = None, time: str = "snapshot_ts") -> DataFrame:
+    """Lock history by one key: first and last time, waiting seconds, samples and 17 attributes as their value or '< n >' (E07).
+
+    Nulls are not counted (an attribute without a value shows '< 0 >'); a null or
+    empty filter value asks for rows without a value.
+    """
+    keys = lock_history_keys(time)
+    shown = {k: c for k, c in keys.items() if isinstance(c, Column)}
+    more = {k: F.col(k) for k in ("sql_child_number", "blocking_serialno", "blocking_sql_child_number")}
+    return value_or_counts(rows.where(group_filter(filters or {}, keys)), {"group_value": shown[by]}, {**shown, **more},
+                           {"first_time": F.min(time), "last_time": F.max(time), "seconds_in_wait": F.sum("seconds_in_wait"), "samples": F.count(F.lit(1))},
+                           null_counts=False)
+
+
+def lock_history_records(rows: DataFrame, objects: DataFrame, filters: dict | None = None, time: str = "snapshot_ts") -> DataFrame:
+    """Single records of the lock history (E07); LOB and LOB index segments name the object they belong to."""
+    out = rows.where(group_filter(filters or {}, lock_history_keys(time))).withColumn("blocking_object_schema", F.lower("blocking_object_schema"))
+    names = objects.select(F.col("object_id").alias("_base"), F.col("object_name").alias("_name"))
+    for c in ("object_name", "blocking_object_name"):
+        out = out.withColumn("_base", segment_base_id(c)).join(names, "_base", "left")
+        lob = F.col(c).startswith("SYS_LOB") | F.col(c).startswith("SYS_IL")
+        out = out.withColumn(c, F.when(lob, F.concat(c, F.lit(" ("), F.coalesce("_name", F.lit("")), F.lit(")"))).otherwise(F.col(c))).drop("_base", "_name")
+    return out
+
+
 def table_closure(edges: DataFrame, start_table: str, child: str = "child_table", parent: str = "parent_table") -> DataFrame:
     """Tables depending (transitively) on ``start_table``, each at its deepest level."""
     e = edges.filter(F.col(child) != F.col(parent)).distinct()

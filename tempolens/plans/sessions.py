@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import code_label, contains_ci, minute_slice, single_or_count
-from ..operators.grouping import group_filter
+from ..functions import code_label, contains_ci, minute_slice
+from ..operators.grouping import group_filter, value_or_counts
 
 # Lock mode numbers and their names.
 LOCK_MODES = {0: "none", 1: "null (NULL)", 2: "row-S (SS)", 3: "row-X (SX)", 4: "share (S)",
@@ -52,10 +52,9 @@ def holder_waiter(locks: DataFrame, handle=("inst_id", "lock_type", "id1", "id2"
 
 def lock_history_slices(history: DataFrame, minute_col: str, width: int, by=("instance_number",)) -> DataFrame:
     """Lock history per time slice: records, wait and the blocker/statement as value or '< n >' (E04)."""
-    return history.groupBy(minute_slice(minute_col, width).alias("slice"), *by).agg(
-        F.count(F.lit(1)).alias("records"), F.sum("time_waited").alias("wait_total"),
-        single_or_count("blocking_session", null_counts=False).alias("blocking_session"),
-        single_or_count("sql_id", null_counts=False).alias("sql_id"))
+    return value_or_counts(history, {"slice": minute_slice(minute_col, width), **{b: F.col(b) for b in by}},
+                           {"blocking_session": F.col("blocking_session"), "sql_id": F.col("sql_id")},
+                           {"records": F.count(F.lit(1)), "wait_total": F.sum("time_waited")}, null_counts=False)
 
 
 def session_list(sessions: DataFrame, extras: list[tuple[DataFrame, list[str], dict]], search: str | None = None,

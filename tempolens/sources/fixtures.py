@@ -108,8 +108,13 @@ FIXTURE_SQL.update({
     "fx_sqlarea_plan": "SELECT s.sql_id, s.plan_hash_value, CAST(sum(executions_delta) AS BIGINT) AS executions, CAST(sum(buffer_gets_delta) AS BIGINT) AS buffer_gets, CAST(sum(executions_delta * (plan_hash_value + 1)) AS BIGINT) AS rows_processed, min(t.command_type) AS command_type, min(t.sql_text) AS sql_text FROM fx_sqlstat s JOIN fx_sqltext t ON t.sql_id = s.sql_id GROUP BY 1, 2",
     "fx_sqlstat_hits": "SELECT dbid, instance_number, snap_id, sql_id, plan_hash_value, parsing_schema_name, module, executions_delta, elapsed_time_delta, buffer_gets_delta, disk_reads_delta, CASE WHEN CAST(substr(sql_id, 2) AS INT) % 5 = 0 THEN CAST(0 AS BIGINT) ELSE rows_processed_delta END AS rows_processed_delta FROM fx_sqlstat",
     # plan lines that name the catalog's indexes and tables: open shipments are the cursor cache, finished ones the history
-    "fx_index_use": "SELECT DISTINCT concat('s', CAST(l_partkey % 50 AS STRING)) AS sql_id, l_linenumber AS plan_hash_value, l_linestatus AS origin, p_brand AS object_owner, concat('I', CAST(l_partkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS object_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' OR l_linestatus = 'O'",
-    "fx_table_use": "SELECT DISTINCT concat('s', CAST(l_partkey % 50 AS STRING)) AS sql_id, l_linenumber AS plan_hash_value, l_linestatus AS origin, p_brand AS object_owner, concat('T', CAST(l_partkey AS STRING)) AS object_name FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount > 0.08",
+    "fx_index_use": "SELECT DISTINCT concat('s', CAST(l_partkey % 50 AS STRING)) AS sql_id, l_linenumber AS plan_hash_value, l_linestatus AS origin, p_brand AS object_owner, concat('I', CAST(l_partkey AS STRING), '_', CAST(l_linenumber AS STRING)) AS object_name FROM lineitem JOIN part ON p_partkey = l_partkey",
+    "fx_table_use": "SELECT DISTINCT concat('s', CAST(l_partkey % 50 AS STRING)) AS sql_id, l_linenumber AS plan_hash_value, l_linestatus AS origin, p_brand AS object_owner, concat('T', CAST(l_partkey AS STRING)) AS object_name FROM lineitem JOIN part ON p_partkey = l_partkey",
+    # the catalog with older copies of indexes and tables that no plan names
+    "fx_cat_index_wide": "SELECT * FROM fx_cat_index UNION ALL SELECT owner, concat(index_name, '_OLD'), table_owner, table_name, ln, 'NONUNIQUE', num_rows, distinct_keys, pct_free, compression, leaf_blocks, partitioned, index_type, last_analyzed FROM fx_cat_index WHERE ln < 3",
+    "fx_cat_table_wide": "SELECT * FROM fx_cat_table UNION ALL SELECT owner, concat(table_name, '_OLD'), num_rows, blocks, avg_row_len, iot_type, partitioned, compression, last_analyzed, dropped FROM fx_cat_table WHERE iot_type IS NULL",
+    # lock history: who waits, on what, and what the blocker does; rows without a blocker hold their lock
+    "fx_lock_history": "SELECT sample_time AS snapshot_ts, instance_number, session_id AS sid, session_id % 3 + 1 AS serialno, sql_id, CAST(event_id % 2 AS INT) AS sql_child_number, module, CASE WHEN event_id % 11 = 0 THEN concat('SYS_LOB', lpad(CAST(event_id % 5000 + 1 AS STRING), 10, '0'), 'C00004$$') WHEN event_id % 13 = 0 THEN concat('SYS_IL', lpad(CAST(event_id % 50 + 1 AS STRING), 10, '0'), 'C00004$$') WHEN event <> 'view' THEN concat('T', CAST(event_id % 9 AS STRING)) END AS object_name, CASE WHEN event = 'error' THEN 'TX' WHEN event = 'purchase' THEN 'TM' ELSE 'UL' END AS lock_type, CAST(floor(time_waited / 1000) AS BIGINT) AS seconds_in_wait, CAST(event_id % 50 + 1 AS BIGINT) AS id1, CAST(sample_id % 4 AS BIGINT) AS id2, CASE WHEN blocking_session IS NULL THEN 0 ELSE 6 END AS request, CASE WHEN blocking_session IS NULL THEN 6 ELSE 0 END AS lock_mode, CASE WHEN blocking_session IS NOT NULL THEN concat('OWN', CAST(event_id % 2 AS STRING)) END AS blocking_object_schema, CASE WHEN blocking_session IS NOT NULL THEN CASE WHEN event_id % 7 = 0 THEN concat('SYS_LOB', lpad(CAST(event_id % 50 + 1 AS STRING), 10, '0'), 'C00007$$') ELSE concat('T', CAST(event_id % 4 AS STRING)) END END AS blocking_object_name, CASE WHEN event_id % 3 = 0 THEN concat('AAAR3s', CAST(event_id % 6 AS STRING)) END AS blocking_rowid, CASE WHEN blocking_session IS NOT NULL THEN CAST(blocking_session % 2 + 1 AS INT) END AS blocking_instance_number, blocking_session AS blocking_sid, blocking_session % 3 + 1 AS blocking_serialno, CASE WHEN blocking_session IS NOT NULL THEN concat('s', CAST(blocking_session % 7 AS STRING)) END AS blocking_sql_id, CAST(blocking_session % 2 AS INT) AS blocking_sql_child_number FROM fx_ash",
     "fx_functions": "SELECT DISTINCT concat('GET_', p_type) AS name, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'YES' ELSE 'NO' END AS parallel_enabled FROM part",
     "fx_tab_mod": "SELECT concat('o', CAST(l_suppkey % 3 AS STRING)) AS owner, concat('t', CAST(l_orderkey AS STRING)) AS table_name, CAST(floor(l_quantity) AS BIGINT) AS inserts, CASE WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 1 ELSE 0 END AS deletes FROM lineitem",
     "fx_plan_object": "SELECT substr(p_brand, 1, 7) AS owner, split_part(p_name, ' ', 1) AS object_name, max(CASE WHEN p_size % 3 = 0 THEN 'INDEX' ELSE 'TABLE' END) AS object_type, CAST(sum(floor(p_retailprice)) AS BIGINT) AS num_rows FROM part GROUP BY 1, 2",

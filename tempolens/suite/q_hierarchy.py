@@ -135,6 +135,44 @@ def e07(spark, sf):
     return locks.lock_drilldown(rows, _lock_registry(), "blocking_session", {"instance": 2}, wait="time_waited")
 
 
+_LOCK_NAME = "lower(coalesce(blocking_object_schema, '')) || '.' || coalesce(blocking_object_name, '')"
+LOCK_KEYS_SQL = {"instance": "instance_number", "sid": "sid", "serialno": "serialno", "blocking_object": _LOCK_NAME, "sql_id": "sql_id", "module": "module",
+                 "object_name": "object_name", "lock_type": "lock_type", "request": "request", "lock_mode": "lock_mode", "blocking_rowid": "blocking_rowid",
+                 "blocking_instance": "blocking_instance_number", "blocking_sid": "blocking_sid", "blocking_sql_id": "blocking_sql_id",
+                 "sql_child_number": "sql_child_number", "blocking_serialno": "blocking_serialno", "blocking_sql_child_number": "blocking_sql_child_number"}
+
+
+def _lock_group_sql(by: str, where: str) -> str:
+    cols = ",\n  ".join(f"CASE WHEN count(DISTINCT {e}) = 1 THEN CAST(min({e}) AS VARCHAR) ELSE '< ' || count(DISTINCT {e}) || ' >' END AS {k}"
+                        for k, e in LOCK_KEYS_SQL.items())
+    return f"""SELECT {LOCK_KEYS_SQL[by]} AS group_value, min(snapshot_ts) AS first_time, max(snapshot_ts) AS last_time,
+  CAST(sum(seconds_in_wait) AS BIGINT) AS seconds_in_wait, count(*) AS samples,
+  {cols}
+FROM fx_lock_history WHERE {where} GROUP BY ALL"""
+
+
+@query("e07_lock_history_by_object", _lock_group_sql("object_name", "coalesce(CAST(blocking_sid AS VARCHAR), '0') <> '0' AND snapshot_ts >= TIMESTAMP '2024-01-05' AND snapshot_ts <= TIMESTAMP '2024-01-25'"))
+def e07_object(spark, sf):
+    return locks.lock_history_grouping(_fx(spark, sf, "fx_lock_history"), "object_name", {"hide_non_blocking": 0, "from": "2024-01-05", "to": "2024-01-25"})
+
+
+@query("e07_lock_history_by_blocking_object", _lock_group_sql("blocking_object", "lock_type = 'TX' AND blocking_rowid IS NULL"))
+def e07_blocking_object(spark, sf):
+    return locks.lock_history_grouping(_fx(spark, sf, "fx_lock_history"), "blocking_object", {"lock_type": "TX", "blocking_rowid": ""})
+
+
+def _lob_sql(c: str) -> str:
+    return f"""CASE WHEN {c} LIKE 'SYS\\_LOB%' ESCAPE '\\' THEN {c} || ' (' || coalesce((SELECT o.object_name FROM fx_object o WHERE o.object_id = TRY_CAST(substr({c}, 8, 10) AS BIGINT)), '') || ')'
+    WHEN {c} LIKE 'SYS\\_IL%' ESCAPE '\\' THEN {c} || ' (' || coalesce((SELECT o.object_name FROM fx_object o WHERE o.object_id = TRY_CAST(substr({c}, 7, 10) AS BIGINT)), '') || ')' ELSE {c} END"""
+
+
+@query("e07_lock_history_records", f"""
+SELECT l.* REPLACE ({_lob_sql('l.object_name')} AS object_name, {_lob_sql('l.blocking_object_name')} AS blocking_object_name, lower(blocking_object_schema) AS blocking_object_schema)
+FROM fx_lock_history l WHERE blocking_instance_number = 2 AND request = 6""")
+def e07_records(spark, sf):
+    return locks.lock_history_records(_fx(spark, sf, "fx_lock_history"), _fx(spark, sf, "fx_object"), {"blocking_instance": 2, "request": 6})
+
+
 def _closure_sql(edges: str, start: str) -> str:
     return f"""
 WITH RECURSIVE e AS (SELECT DISTINCT * FROM {edges} WHERE child_table <> parent_table),

@@ -57,12 +57,12 @@ def a23(spark, sf):
 
 
 @query("a35_unused_anti", """
-SELECT owner, index_name, table_name FROM fx_cat_index o WHERE NOT EXISTS (
+SELECT owner, index_name, table_name FROM fx_cat_index_wide o WHERE NOT EXISTS (
   SELECT 1 FROM fx_index_use u WHERE u.object_owner = o.owner AND u.object_name = o.index_name)""")
 def a35(spark, sf):
     # open and finished uses are the two sources; together they are the whole table
     u = _fx(spark, sf, "fx_index_use").select(F.col("object_owner").alias("owner"), F.col("object_name").alias("index_name"), "origin")
-    o = _fx(spark, sf, "fx_cat_index").select("owner", "index_name", "table_name")
+    o = _fx(spark, sf, "fx_cat_index_wide").select("owner", "index_name", "table_name")
     return L.unused_anti(o, ["owner", "index_name"], u.filter(F.col("origin") == "O"), u.filter(F.col("origin") == "F"))
 
 

@@ -44,14 +44,14 @@ def _use(spark, sf, use):
                 **_t(spark, sf, sqlarea="fx_sqlarea", sqltext="fx_sqltext", sqlstat="fx_sqlstat", snapshot="fx_snapshot"))
 
 
-@query("r08_unused_indexes", _unused_sql("fx_cat_index", "index_name", "fx_index_use", "AND uniqueness <> 'UNIQUE'"))
+@query("r08_unused_indexes", _unused_sql("fx_cat_index_wide", "index_name", "fx_index_use", "AND uniqueness <> 'UNIQUE'"))
 def r08(spark, sf):
-    return apply_rule("R08", {**_t(spark, sf, indexes="fx_cat_index"), **_use(spark, sf, "fx_index_use")}, days=30)
+    return apply_rule("R08", {**_t(spark, sf, indexes="fx_cat_index_wide"), **_use(spark, sf, "fx_index_use")}, days=30)
 
 
-@query("r16_unused_tables", _unused_sql("fx_cat_table", "table_name", "fx_table_use"))
+@query("r16_unused_tables", _unused_sql("fx_cat_table_wide", "table_name", "fx_table_use"))
 def r16(spark, sf):
-    return apply_rule("R16", {**_t(spark, sf, tables="fx_cat_table"), **_use(spark, sf, "fx_table_use")}, days=30)
+    return apply_rule("R16", {**_t(spark, sf, tables="fx_cat_table_wide"), **_use(spark, sf, "fx_table_use")}, days=30)
 
 
 @query("r17_missing_housekeeping", """

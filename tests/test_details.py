@@ -73,3 +73,17 @@ def test_functions_in_parallel_texts_only(spark):
     none = {n: fixture(spark, SF01, v).where("false") for n, v in (("sqlstat", "fx_hist_stat"), ("hist_texts", "fx_par_text"))}
     got = {(r.sql_id, r.object_name, r.procedure_name) for r in apply_rule("R38", {"procedures": proc, "sqlarea": area, "snapshot": fixture(spark, SF01, "fx_hist_snapshot"), **none}).collect()}
     assert got == {("1", "F_X", None), ("1", "PK", "RUN"), ("5", "F9", None), ("9", "F_X", None)}
+
+
+def test_value_or_counts_needs_no_expand(spark):
+    """Nulls, blanks, an all-null group and a null group; the plan holds no Expand."""
+    from tempolens.operators.grouping import value_or_counts
+    df = spark.createDataFrame([("a", "x", None, 1), ("a", "y", None, 2), ("a", None, None, 3), (None, "z", " ", 4), (None, "z", None, 5)],
+                               "g string, p string, q string, m int")
+    by, dims, ms = {"g": F.col("g")}, {"p": F.col("p"), "q": F.col("q")}, {"m": F.sum("m")}
+    counted = value_or_counts(df, by, dims, ms, null_counts=True)
+    assert sorted(map(tuple, counted.collect()), key=str) == [("a", 6, "< 3 >", None), (None, 9, "z", " ")]
+    ignored = value_or_counts(df, by, dims, ms, null_counts=False)
+    assert sorted(map(tuple, ignored.collect()), key=str) == [("a", 6, "< 2 >", "< 0 >"), (None, 9, "z", " ")]
+    assert value_or_counts(df.limit(0), by, dims, ms).collect() == []
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
