@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bit_set, per_unit, pct, trunc_time
 from ..operators.counters import counter_delta, delta_in_range, first_last_delta
-from ..operators.history import snapshot_bounds
+from ..operators.history import merge_live_history, snapshot_bounds
 
 INST = ["dbid", "instance_number"]
 
@@ -65,18 +65,22 @@ def sysstat_deltas(fact: DataFrame, snaps: DataFrame, names: DataFrame, start, e
 
 
 def sysstat_wide(fact: DataFrame, snaps: DataFrame, names: DataFrame, start, end,
-                 unit: str = "DD", class_bit: int | None = None, stat_names: list[str] | None = None) -> DataFrame:
+                 unit: str = "DD", class_bit: int | None = None, stat_names: list[str] | None = None,
+                 max_columns: int = 2000) -> DataFrame:
     """System statistics as one column per statistic, per period.
 
     The pivot columns are ``stat_names`` or, when not given, read from the
     statistic-name dimension (a catalog of a few hundred names, filtered by
-    class), so no pass over the facts is needed to find them.
+    class), so no pass over the facts is needed to find them; more than
+    ``max_columns`` names are an error.
     """
     d = sysstat_deltas(fact, snaps, names, start, end, class_bit)
     d = d.join(snaps.select(*INST, "snap_id", "begin_interval_time"), INST + ["snap_id"], "inner")
     n = names if class_bit is None else names.filter(bit_set("class", class_bit))
     if stat_names is None:
-        stat_names = [r[0] for r in n.select("stat_name").distinct().orderBy("stat_name").collect()]
+        stat_names = [r[0] for r in n.select("stat_name").distinct().orderBy("stat_name").limit(max_columns + 1).collect()]
+        if len(stat_names) > max_columns:
+            raise ValueError(f"more than {max_columns} statistics: give stat_names")
     period = trunc_time("begin_interval_time", unit).alias("period")
     cols = [F.sum(F.when(F.col("stat_name") == s, F.col("value"))).alias(_safe_name(s)) for s in stat_names]
     return d.groupBy(period).agg(*cols)
@@ -165,6 +169,33 @@ def metric_summary(metrics: DataFrame, unit: str, ts: str = "begin_time", name:
         F.max(value).alias("max_value"), F.count(F.lit(1)).alias("samples"))
 
 
+def metric_history(hist: DataFrame, live: DataFrame, start, end, unit: str = "MI", summary: bool = False, instance: int | None = None,
+                   dbid: int = 1, group: int = 2) -> DataFrame:
+    """System metrics of a time range from the live buffer and the history older than it.
+
+    Detail rows hold ``value``; summary rows ``average``, ``min_val`` and ``max_val``,
+    of which the mean, the least and the greatest are taken.  Intervals that begin in the
+    range and end in it count; unit 'SS' keeps each begin.  History of an instance
+    without live rows is left out, as in the reference; nulls are ignored.
+    """
+    avg, low, high = ("average", "min_val", "max_val") if summary else ("value", "value", "value")
+    cols = ["instance_number", "begin_time", "end_time", "group_id", "metric_id", "metric_name", "metric_unit", *dict.fromkeys((avg, low, high))]
+    rows = merge_live_history(hist.filter(F.col("dbid") == dbid).select(*cols), live.select(*cols), ts="begin_time", how="inner")
+    at = lambda v: F.lit(v).cast("timestamp_ntz")
+    rows = rows.filter((F.col("group_id") == group) & (F.col("begin_time") >= at(start)) & (F.col("begin_time") < at(end)) & (F.col("end_time") <= at(end)))
+    if instance is not None:
+        rows = rows.filter(F.col("instance_number") == instance)
+    period = F.col("begin_time") if unit == "SS" else trunc_time("begin_time", unit)
+    return rows.groupBy(period.alias("period"), "metric_id", "metric_name", "metric_unit").agg(
+        F.avg(avg).alias("value"), F.min(low).alias("min_value"), F.max(high).alias("max_value"))
+
+
+def metric_wide(report: DataFrame, metrics: dict[int, str]) -> DataFrame:
+    """One row per period with a column per metric asked for ({metric_id: column}); 0 where a metric has no value."""
+    at = lambda i: F.max(F.when(F.col("metric_id") == i, F.col("value")))
+    return report.groupBy("period").agg(*[F.coalesce(at(i), F.lit(0.0)).alias(c) for i, c in metrics.items()])
+
+
 def mutex_sleeps(mutex: DataFrame, by: str) -> DataFrame:
     """Mutex sleeps by blocker or requester (chosen column) with sleeps per get."""
     return mutex.groupBy(by, "mutex_type").agg(F.sum("sleeps").alias("sleeps"), F.sum("gets").alias("gets"),

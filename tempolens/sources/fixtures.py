@@ -113,6 +113,9 @@ FIXTURE_SQL.update({
     # the catalog with older copies of indexes and tables that no plan names
     "fx_cat_index_wide": "SELECT * FROM fx_cat_index UNION ALL SELECT owner, concat(index_name, '_OLD'), table_owner, table_name, ln, 'NONUNIQUE', num_rows, distinct_keys, pct_free, compression, leaf_blocks, partitioned, index_type, last_analyzed FROM fx_cat_index WHERE ln < 3",
     "fx_cat_table_wide": "SELECT * FROM fx_cat_table UNION ALL SELECT owner, concat(table_name, '_OLD'), num_rows, blocks, avg_row_len, iot_type, partitioned, compression, last_analyzed, dropped FROM fx_cat_table WHERE iot_type IS NULL",
+    # system metrics in detail and as summaries; the live buffers start at different times per instance
+    "fx_sysmetric": "SELECT 1 AS dbid, instance_number, sample_time AS begin_time, sample_time + INTERVAL 1 MINUTE AS end_time, CAST(event_id % 3 + 1 AS INT) AS group_id, CAST(event_id % 5 AS INT) AS metric_id, concat('metric ', CAST(event_id % 5 AS STRING)) AS metric_name, CASE WHEN event_id % 5 < 2 THEN 'Bytes' ELSE 'Per Second' END AS metric_unit, time_waited AS value, CAST(time_waited / 2 AS DOUBLE) AS average, CAST(floor(time_waited / 4) AS BIGINT) AS min_val, time_waited * 2 AS max_val FROM fx_ash",
+    "fx_sysmetric_live": "SELECT * FROM fx_sysmetric WHERE begin_time >= CASE WHEN instance_number = 1 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE TIMESTAMP '2024-01-12 00:00:00' END",
     # lock history: who waits, on what, and what the blocker does; rows without a blocker hold their lock
     "fx_lock_history": "SELECT sample_time AS snapshot_ts, instance_number, session_id AS sid, session_id % 3 + 1 AS serialno, sql_id, CAST(event_id % 2 AS INT) AS sql_child_number, module, CASE WHEN event_id % 11 = 0 THEN concat('SYS_LOB', lpad(CAST(event_id % 5000 + 1 AS STRING), 10, '0'), 'C00004$$') WHEN event_id % 13 = 0 THEN concat('SYS_IL', lpad(CAST(event_id % 50 + 1 AS STRING), 10, '0'), 'C00004$$') WHEN event <> 'view' THEN concat('T', CAST(event_id % 9 AS STRING)) END AS object_name, CASE WHEN event = 'error' THEN 'TX' WHEN event = 'purchase' THEN 'TM' ELSE 'UL' END AS lock_type, CAST(floor(time_waited / 1000) AS BIGINT) AS seconds_in_wait, CAST(event_id % 50 + 1 AS BIGINT) AS id1, CAST(sample_id % 4 AS BIGINT) AS id2, CASE WHEN blocking_session IS NULL THEN 0 ELSE 6 END AS request, CASE WHEN blocking_session IS NULL THEN 6 ELSE 0 END AS lock_mode, CASE WHEN blocking_session IS NOT NULL THEN concat('OWN', CAST(event_id % 2 AS STRING)) END AS blocking_object_schema, CASE WHEN blocking_session IS NOT NULL THEN CASE WHEN event_id % 7 = 0 THEN concat('SYS_LOB', lpad(CAST(event_id % 50 + 1 AS STRING), 10, '0'), 'C00007$$') ELSE concat('T', CAST(event_id % 4 AS STRING)) END END AS blocking_object_name, CASE WHEN event_id % 3 = 0 THEN concat('AAAR3s', CAST(event_id % 6 AS STRING)) END AS blocking_rowid, CASE WHEN blocking_session IS NOT NULL THEN CAST(blocking_session % 2 + 1 AS INT) END AS blocking_instance_number, blocking_session AS blocking_sid, blocking_session % 3 + 1 AS blocking_serialno, CASE WHEN blocking_session IS NOT NULL THEN concat('s', CAST(blocking_session % 7 AS STRING)) END AS blocking_sql_id, CAST(blocking_session % 2 AS INT) AS blocking_sql_child_number FROM fx_ash",
     "fx_functions": "SELECT DISTINCT concat('GET_', p_type) AS name, CASE WHEN p_type IN ('PROMO', 'SMALL') THEN 'YES' ELSE 'NO' END AS parallel_enabled FROM part",

@@ -152,6 +152,34 @@ LEFT JOIN c ON c.rounded_time = t.rounded_time AND c.curve = top.curve""")
 _register_io()
 
 
+def _metric_sql(unit: str, avg: str, low: str, high: str, where: str = "") -> str:
+    c = f"instance_number, begin_time, end_time, group_id, metric_id, metric_name, metric_unit, {avg} AS a, {low} AS l, {high} AS h"
+    return f"""
+WITH m AS (SELECT instance_number, min(begin_time) AS t FROM fx_sysmetric_live GROUP BY 1),
+merged AS (SELECT {c} FROM fx_sysmetric JOIN m USING (instance_number) WHERE begin_time < m.t AND dbid = 1
+           UNION ALL SELECT {c} FROM fx_sysmetric_live),
+report AS (SELECT date_trunc('{unit}', begin_time) AS period, metric_id, metric_name, metric_unit, avg(a) AS value, min(l) AS min_value, max(h) AS max_value
+  FROM merged WHERE group_id = 2 AND begin_time >= TIMESTAMP '2024-01-05' AND begin_time < TIMESTAMP '2024-01-25' AND end_time <= TIMESTAMP '2024-01-25' {where}
+  GROUP BY 1, 2, 3, 4)"""
+
+
+def _metrics(spark, sf, **kw):
+    return CR.metric_history(_fx(spark, sf, "fx_sysmetric"), _fx(spark, sf, "fx_sysmetric_live"), "2024-01-05", "2024-01-25", **kw)
+
+
+@query("c06_metrics_live_and_history", _metric_sql("hour", "value", "value", "value")
+       + " SELECT period, metric_id, metric_name, metric_unit, round(value, 4) AS value, min_value, max_value FROM report")
+def c06_detail(spark, sf):
+    return _metrics(spark, sf, unit="HH24").withColumn("value", F.round("value", 4))
+
+
+@query("c06_metric_summaries_wide", _metric_sql("day", "average", "min_val", "max_val", "AND instance_number = 1") + """
+SELECT period, """ + ", ".join(f"round(coalesce(max(CASE WHEN metric_id = {i} THEN value END), 0), 4) AS m{i}" for i in range(5)) + " FROM report GROUP BY 1")
+def c06_wide(spark, sf):
+    w = CR.metric_wide(_metrics(spark, sf, unit="DD", summary=True, instance=1), {i: f"m{i}" for i in range(5)})
+    return w.select("period", *[F.round(f"m{i}", 4).alias(f"m{i}") for i in range(5)])
+
+
 @query("c06_metric_summary_hourly", """
 SELECT date_trunc('hour', ts) AS period, event_type AS metric_name, round(avg(CAST(round(value * 100) AS BIGINT)), 4) AS avg_value,
   min(CAST(round(value * 100) AS BIGINT)) AS min_value, max(CAST(round(value * 100) AS BIGINT)) AS max_value, count(*) AS samples
