@@ -49,6 +49,12 @@ NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising banne
 cookies disqus footer hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup
 promo promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe
 subscription toolbar widget widgets""".split())
+#: Words that beside a noise word do not change what a name says: ``comment-list``, unlike ``related-work``.
+PART_WORDS = frozenset("""area bar block body bottom box container content entry global group head inner item items left links list main
+outer page panel placeholder posts right row section site slot thread top unit wrap wrapper""".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+AUTHOR_WORDS = frozenset("author avatar byline commenter nick nickname poster reviewer user username vcard".split())
+DATE_WORDS = frozenset("ago date datetime posted published time timestamp".split())
 NOISE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 
 #: Parts of the pages of one host and shape in the join with their low nodes.
@@ -74,19 +80,30 @@ class Tree:
     blocks: list[tuple[int, str]] = field(default_factory=list)
     name: list[str] = field(default_factory=list)
     gone: list[bool] = field(default_factory=list)  # hidden
+    strict: list[bool] = field(default_factory=list)  # a class name or id says nothing but noise
+    marks: list[int] = field(default_factory=list)  # 1 an author, 2 a date in the branch
 
 
-def _label(name: str, attrs: str) -> tuple[str, set[str], bool]:
-    """Element with its class names and id (digits left out), the words in them, and whether it is hidden."""
+def _marks(name: str, words: set[str]) -> int:
+    return (1 if words & AUTHOR_WORDS else 0) | (2 if name == "time" or words & DATE_WORDS else 0)
+
+
+def _label(name: str, attrs: str) -> tuple[str, set[str], bool, bool]:
+    """Element with its class names and id (digits left out), the words in them, whether one of them is all noise, and whether it is hidden."""
     if not attrs or attrs.isspace():
-        return name, set(), False
+        return name, set(), False, False
     got = {k.lower(): _html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(attrs)}
     names = " ".join(got.get(k, "") for k in ("class", "id"))
-    words = set(_LETTERS.findall(_CAMEL.sub(" ", names).lower()))
+    parts = [set(_LETTERS.findall(_CAMEL.sub(" ", x).lower())) for x in names.split()]
+    words = set().union(*parts)
+    strict = any(x & NOISE_WORDS and x <= NOISE_WORDS | PART_WORDS for x in parts)
     if got.get("role", "").lower() in NOISE_ROLES:
         words.add("nav")
+        strict = True
+    if got.get("rel", "").lower() == "author" or got.get("itemprop", "").lower() == "author":
+        words.add("author")
     gone = "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
-    return " ".join([name, *sorted(set(re.sub(r"\d+", "", names).split()))]), words, gone
+    return " ".join([name, *sorted(set(re.sub(r"\d+", "", names).split()))]), words, strict, gone
 
 
 def parse(page: str) -> Tree:
@@ -156,18 +173,20 @@ def parse(page: str) -> Tree:
                 close("p", ("article", "aside", "button", "div", "section", "td", "th", "li", "table"))
             for other in CLOSES.get(name, ((), ()))[0]:
                 close(other, CLOSES[name][1])
-        label, words, gone = _label(name, m.group(3))
+        label, words, strict, gone = _label(name, m.group(3))
         up = node()
-        if name not in BLOCK and not (words & NOISE_WORDS or gone or name in NO_CONTENT):
+        if name not in BLOCK and not (gone or name in NO_CONTENT):  # part of running text, whatever its name
+            if up >= 0:
+                t.marks[up] |= _marks(name, words)
             stack.append((name, up, False))
             continue
         inside = name in ("article", "main") or up >= 0 and t.inside[up]
         prior = 1.0
         if gone or name in NO_CONTENT or name == "header" and not inside:
             prior = 0.0
-        elif name in WHOLE:
+        elif name in WHOLE or name in HEADINGS:
             pass
-        elif words & NOISE_WORDS or "header" in words and not inside:
+        elif strict or not inside and (words & NOISE_WORDS or "header" in words):
             prior = 0.5
         if up >= 0:
             if not t.style[up] or t.style[up][-1] != label:
@@ -181,20 +200,62 @@ def parse(page: str) -> Tree:
         t.named.append(" " in label)
         t.name.append(name)
         t.gone.append(gone)
+        t.strict.append(strict)
+        t.marks.append(_marks(name, words))
         t.style.append([])
         stack.append((name, len(t.path) - 1, True))
     flush()
     _spare_content(t)
+    _cut_replies(t)
     return t
 
 
+def _cut_replies(t: Tree) -> None:
+    """Take out reader comments by structure, whatever their names: elements of one path, one after another, each with an author and a date.
+
+    Comments stand beside or in an article; where each article of the page is
+    one of them (lists of posts, threads) they are its content and stay.  A
+    single article in an article with an author and a date is a comment too.
+    What stands around them goes along if it holds nothing but them, headings
+    and controls.
+    """
+    if not any(t.marks) or "article" not in t.name:
+        return
+    n = len(t.path)
+    marks, children = list(t.marks), [[] for _ in range(n)]
+    for k in range(n - 1, -1, -1):
+        if (up := t.parent[k]) >= 0:
+            marks[up] |= marks[k]
+            children[up].insert(0, k)
+    own = {k for k, _ in t.blocks}
+    above: list[bool] = []  # in an article
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, up in enumerate(t.parent):
+        above.append(up >= 0 and (above[up] or t.name[up] == "article"))
+        if up >= 0 and marks[k] == 3 and t.name[k] not in ("html", "body", "main", "header", "hgroup", "tr", "td", "p"):
+            alike.setdefault((up, t.path[k]), []).append(k)
+    replies = {k for ks in alike.values() for k in ks if len(ks) > 1 or t.name[k] == "article" and above[k]}
+    within: list[bool] = []
+    for k, up in enumerate(t.parent):
+        within.append(k in replies or up >= 0 and within[up])
+    if not any(t.name[k] == "article" and not within[k] for k in range(n)):
+        return
+    for k in replies:
+        t.prior[k] = 0.0
+    for k in {t.parent[k] for k in replies}:
+        rest = [c for c in children[k] if c not in replies]
+        if t.name[k] not in WHOLE and k not in own and all(t.name[c] in HEADINGS or t.name[c] in NO_CONTENT for c in rest):
+            t.prior[k] = 0.0
+
+
 def _spare_content(t: Tree, clear: float = 0.1) -> None:
     """Take the prior from elements around the page's content: ``has-sidebar`` names a wrapper, not a sidebar.
 
     Those are html, body and main and what is around one; what is around an
     article, unless a longer one has no prior above it (comments and teasers are
     articles too); and layout elements with most of the page's text, unless
-    article and main elements without a prior hold ``clear`` as much.
+    article and main elements without a prior hold ``clear`` as much.  An element
+    whose name is all noise keeps its prior while some article has none.
     """
     if all(p == 1.0 for p in t.prior):
         return
@@ -218,6 +279,8 @@ def _spare_content(t: Tree, clear: float = 0.1) -> None:
     total = sum(len(s) for _, s in t.blocks)
     for k in range(len(t.path)):
         layout = not t.gone[k] and (t.name[k] == "form" or t.name[k] not in NO_CONTENT)
+        if best and t.strict[k] and not whole[k]:
+            continue
         if whole[k] or longest[k] and longest[k] >= best or layout and 2 * size[k] > total and open_text < clear * size[k]:
             t.prior[k] = 1.0
 
@@ -228,7 +291,9 @@ def main_text(tree: Tree, importance: dict[int, float], low: float = 0.6, low_in
     A single heading, paragraph, list item or cell of low importance stays where
     the branch around it is kept as text: headings and values repeat in content.
     In an article or main element only named elements can be low, and by a
-    stricter limit.  When the site's importance would leave nothing, the priors
+    stricter limit; a prior by name comes there only from a name that is all
+    noise (``comment-list``, not ``related-work``), and never to headings and
+    parts of running text.  When the site's importance would leave nothing, the priors
     alone decide; when they leave nothing either, the branch with the most text
     stays that is not in a control.
     """

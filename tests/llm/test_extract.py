@@ -109,6 +109,28 @@ def test_names_of_wrappers_do_not_cut_the_page():
     assert [X.main_text(X.parse(h), {}) for h, _ in WRAPPED] == [t for _, t in WRAPPED]
 
 
+REPLY = "<div class='c'><span class='author'>Ann</span> <time>3 May</time><p>a reply by a reader</p></div>"
+INSIDE = [
+    ("<article><p>The <span class='share'>market share</span> rose.</p></article>", "The market share rose."),
+    ("<article><p>See the <a class='menu'>File menu</a>.</p></article>", "See the File menu."),
+    ("<article><h2 id='related-work'>Related work</h2><p>x</p></article>", "Related work x"),
+    ("<article><section id='social-effects'><p>of it</p></section></article>", "of it"),
+    ("<p>(<span class='ad'>one</span>)</p>", "(one)"),
+    ("<article><p>x</p><div class='ad-slot'>buy</div><div class='share'>s</div><ul class='related-posts'><li>r</ul></article>", "x"),
+    (f"<article>short</article><section class='comments'><article class='comment'>{TEXT}</article></section>", "short"),
+    (f"<article>{TEXT}</article><div id='reviews'><h3>Reviews</h3>{REPLY * 2}</div>", TEXT),
+    (f"<article>{TEXT}<div class='discussion'>{REPLY * 3}</div><p>end</p></article>", TEXT + " end"),
+    (f"<article>{TEXT}<article><a rel=author>Bo</a> <time>1 May</time> one reply</article></article>", TEXT),
+    ("<main>" + "<article><span class='author'>Ann</span> <time>3 May</time><p>a post</p></article>" * 2 + "</main>", "Ann 3 May a post Ann 3 May a post"),
+    (f"<main>{REPLY * 2}</main>", "Ann 3 May a reply by a reader Ann 3 May a reply by a reader"),
+    (f"<article><div class='byline'><span class=author>Ann</span> <time>3 May</time></div><p>{TEXT}</p></article>", f"Ann 3 May {TEXT}"),
+]
+
+
+def test_names_in_articles_and_comments_by_structure():
+    assert [X.main_text(X.parse(h), {}) for h, _ in INSIDE] == [t for _, t in INSIDE]
+
+
 def test_copies_count_once_and_single_blocks_stay(spark):
     def page(i):
         return (f"<body><div class='top'>the same line stands here</div><div class='story'><p>This is the long body of article {i % 5}, found under four addresses</p>"
