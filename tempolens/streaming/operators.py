@@ -3,7 +3,7 @@
 Each one keeps the batch operator's result on data that keeps arriving:
 
 S01 tumbling load per dimension    watermark + window() + groupBy, update mode
-S02 counter delta across batches   foreachBatch with a versioned last-value state table
+S02 counter delta across batches   foreachBatch with a log of last values; or transformWithState
 S03 usage log counts               text source, groupBy month, approx distinct users
 S04 long transactions              watermark + session_window(), append mode
 S05 SLA breaches                   stream-static join with the limit table + filter
@@ -11,12 +11,17 @@ S05 SLA breaches                   stream-static join with the limit table + fil
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import nvl_text, seconds_between
 from ..operators.counters import _reset_filter, counter_delta
-from .runner import folder_exists
+from .runner import folder_numbers, remove_folder
 
 
 def _event_time(df: DataFrame, ts: str) -> DataFrame:
@@ -40,38 +45,83 @@ def stream_load_timeline(samples: DataFrame, dim: str, bucket_seconds: int = 360
 
 
 def stream_counter_delta(stream: DataFrame, keys: list[str], order: str, counters: list[str], out_path: str,
-                         state_path: str, cp_path: str, reset: str = "drop"):
+                         state_path: str, cp_path: str, reset: str = "drop", compact_every: int = 16,
+                         ts: str | None = None, ttl: str | None = None):
     """Counter deltas of a stream of cumulative samples (S02, from A01).
 
-    Each micro-batch is unioned with the last row per series from the
-    previous state version, the batch operator computes the deltas, the
-    carried rows are dropped and the reset rule applied.  Output and the
-    new state are written under the batch id (overwrite), so a retried
-    batch reproduces the same files.  Assumes every series arrives in
-    order across batches.
+    Each micro-batch is unioned with the last rows of its own series from the
+    state log, the batch operator computes the deltas, the carried rows are
+    dropped and the reset rule applied.  A batch adds the last rows of the
+    series it holds to the log (``state_log``); every ``compact_every`` batches
+    the log becomes one table, without the series whose last row is older
+    than ``ttl`` (an interval such as "30 days", measured on column ``ts``
+    against the newest row); such a series starts anew if it comes back.
+    Output and log are written under the batch id (overwrite), so a retried
+    batch reproduces the same files.  Assumes every series arrives in order
+    across batches; a missing part of the log is an error.
     """
+    if ttl is not None and ts is None:
+        raise ValueError("ttl needs the column ts")
+    kept = list(dict.fromkeys([order, *counters, *([ts] if ts else [])]))
+
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*keys, order, *counters).withColumn("_carry", F.lit(False))
-        # every batch writes its state before the next one starts; only the first batch has none
-        if batch_id > 0 and folder_exists(spark, f"{state_path}/v={batch_id - 1}"):
-            carry = spark.read.parquet(f"{state_path}/v={batch_id - 1}").select(*keys, order, *counters) \
-                         .withColumn("_carry", F.lit(True))
-            rows = rows.unionByName(carry)
-        elif batch_id > 0:
-            raise FileNotFoundError(f"the state of batch {batch_id - 1} is missing below {state_path}")
-        d = counter_delta(rows, keys, order, counters, reset="keep")
-        out = _reset_filter(d.filter(~F.col("_carry")).drop("_carry"), counters[0], reset)
-        out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-        state = rows.groupBy(*keys).agg(F.max(F.struct(F.col(order), *[F.col(c) for c in counters])).alias("_l"))
-        state.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in [order, *counters]]) \
-             .write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+        rows = batch.select(*keys, *kept).withColumn("_carry", F.lit(False)).persist()
+        try:
+            own, before = rows, state_log(spark, state_path, batch_id, keys, kept)
+            if before is not None:
+                here = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).distinct()
+                same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+                own = rows.unionByName(before.join(here, same, "left_semi").withColumn("_carry", F.lit(True)))
+            d = counter_delta(own, keys, order, counters, reset="keep")
+            out = _reset_filter(d.filter(~F.col("_carry")).select(*keys, order, *counters), counters[0], reset)
+            out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+            _last_rows(rows, keys, kept).write.mode("overwrite").parquet(f"{state_path}/v={batch_id}")
+        finally:
+            rows.unpersist()
+        if (batch_id + 1) % compact_every == 0:
+            compact_log(spark, state_path, batch_id, keys, kept, ts, ttl)
 
     q = (stream.writeStream.option("checkpointLocation", cp_path).trigger(availableNow=True)
          .foreachBatch(process).start())
     return q
 
 
+def _last_rows(rows: DataFrame, keys: list[str], kept: list[str]) -> DataFrame:
+    """The row of the greatest first column of ``kept`` for each series."""
+    g = rows.groupBy(*keys).agg(F.max(F.struct(*kept)).alias("_l"))
+    return g.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in kept])
+
+
+def state_log(spark: SparkSession, path: str, batch_id: int, keys: list[str], kept: list[str]) -> DataFrame | None:
+    """The last row of every series before a batch: the newest whole table and the batches written after it."""
+    full = max((n for n in folder_numbers(spark, path, "full") if n < batch_id), default=-1)
+    parts = set(folder_numbers(spark, path, "v"))
+    missing = [n for n in range(full + 1, batch_id) if n not in parts]
+    if missing:
+        raise FileNotFoundError(f"the state of batch {missing[0]} is missing below {path}")
+    folders = [f"{path}/full={full}"] * (full >= 0) + [f"{path}/v={n}" for n in range(full + 1, batch_id)]
+    if not folders:
+        return None
+    rows = spark.read.parquet(*folders).select(*keys, *kept)
+    return rows if len(folders) == 1 else _last_rows(rows, keys, kept)
+
+
+def compact_log(spark: SparkSession, path: str, batch_id: int, keys: list[str], kept: list[str],
+                ts: str | None = None, ttl: str | None = None) -> None:
+    """Write the log up to a batch as one table; what is older than the previous table goes (a retry needs the rest)."""
+    rows = state_log(spark, path, batch_id + 1, keys, kept)
+    previous = max((n for n in folder_numbers(spark, path, "full") if n < batch_id), default=-1)
+    if ttl is not None:
+        newest = rows.agg(F.max(ts)).first()[0]
+        rows = rows.where(F.col(ts).isNull() | (F.col(ts) >= F.lit(newest) - F.expr(f"INTERVAL {ttl}")))
+    rows.write.mode("overwrite").parquet(f"{path}/full={batch_id}")
+    for kind, last in (("full", previous - 1), ("v", previous)):
+        for n in folder_numbers(spark, path, kind):
+            if n <= last:
+                remove_folder(spark, f"{path}/{kind}={n}")
+
+
 def parse_usage_line(line: Column | str) -> list[Column]:
     """Fields of a blank-separated usage log line: ip, database, month, controller, action, id."""
     parts = F.split(F.col(line) if isinstance(line, str) else line, " ")
@@ -139,41 +189,47 @@ def stream_sla_breaches(messages: DataFrame, limits: DataFrame, as_of, key: str
     return j.withColumn("level", level).filter(F.col("level").isNotNull())
 
 
+class _SeriesDelta(StatefulProcessor):
+    """The last row of a series in the state store; new rows become differences to the row before."""
+
+    def __init__(self, keys: list[str], order: str, counters: list[str], state_schema: StructType, ttl_ms: int | None):
+        self.order, self.counters, self.schema, self.ttl_ms = order, counters, state_schema, ttl_ms
+        self.row = Row(*keys, order, *counters)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", self.schema, self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues):
+        before = self.last.get() if self.last.exists() else None
+        now = sorted(([r[self.order], *[r[c] for c in self.counters]] for r in rows), key=lambda r: (r[0] is not None, r[0]))
+        old = before[1:] if before is not None else now[0][1:]
+        for r in now:
+            yield self.row(*key, r[0], *[None if v is None or o is None else v - o for v, o in zip(r[1:], old)])
+            old = r[1:]
+        self.last.update(tuple(now[-1]))
+
+    def close(self) -> None:
+        pass
+
+
 def stream_counter_delta_stateful(stream: DataFrame, keys: list[str], order: str, counters: list[str],
-                                  reset: str = "drop") -> DataFrame:
+                                  reset: str = "drop", ttl_hours: float | None = 24 * 31) -> DataFrame:
     """Counter deltas of a stream with the last value per series kept in the state store (S02, per-key state).
 
-    Streaming has no ``lag``; ``applyInPandasWithState`` keeps, per series,
-    the (order, counters) of the last row seen.  Each micro-batch hands the
-    function the new rows of one series (bounded by the micro-batch size);
-    they are sorted, differenced against the carried state and the state is
-    updated.  With a RocksDB state store this scales to many series; rows of
-    a series must arrive in order across batches.
+    Streaming has no ``lag``; ``transformWithState`` keeps, per series, the
+    (order, counters) of the last row seen.  A series without new rows for
+    ``ttl_hours`` of processing time (None: never) is removed from the store,
+    so ended series do not stay; one that comes back later starts anew.  Each
+    micro-batch hands over the new rows of one series, which arrive in order
+    across batches.  Null counters give null differences.  Run it with the
+    RocksDB state store (``run_available_now(..., state_store=ROCKSDB)``).
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    in_schema = stream.schema
-    out_schema = StructType([in_schema[k] for k in keys] + [in_schema[order]] +
-                            [StructField(c, LongType(), True) for c in counters])
-    state_schema = StructType([StructField("last_order", in_schema[order].dataType, True)] +
-                              [StructField(f"last_{c}", LongType(), True) for c in counters])
-
-    def step(key, batches, state):
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-        prev = state.get if state.exists else None
-        vals = {c: pdf[c].astype("Int64") for c in counters}
-        out = pdf[keys + [order]].copy()
-        for i, c in enumerate(counters):
-            shifted = vals[c].shift(1)
-            first = vals[c].iloc[0] if prev is None else prev[1 + i]
-            shifted.iloc[0] = first
-            out[c] = (vals[c] - shifted).astype("Int64")
-        last = pdf.iloc[-1]
-        state.update(tuple([last[order]] + [int(last[c]) if pd.notna(last[c]) else None for c in counters]))
-        yield out
-
-    res = stream.groupBy(*keys).applyInPandasWithState(step, out_schema, state_schema, "append",
-                                                        GroupStateTimeout.NoTimeout)
+    fields = {f.name: f.dataType for f in stream.schema}
+    out_schema = StructType([StructField(k, fields[k]) for k in keys] + [StructField(order, fields[order])] +
+                            [StructField(c, LongType()) for c in counters])
+    state_schema = StructType([StructField("last_order", fields[order])] + [StructField(f"last_{c}", LongType()) for c in counters])
+    ttl_ms = None if ttl_hours is None else int(ttl_hours * 3_600_000)
+    src = stream.select(*keys, order, *[F.col(c).cast("long").alias(c) for c in counters])
+    res = src.groupBy(*keys).transformWithState(_SeriesDelta(keys, order, counters, state_schema, ttl_ms), out_schema, "append",
+                                                "None" if ttl_ms is None else "ProcessingTime")
     return _reset_filter(res, counters[0], reset)

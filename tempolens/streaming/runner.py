@@ -54,21 +54,55 @@ def deliver(spark: SparkSession, folder: str, source: str) -> int:
     return len(files)
 
 
-def folder_exists(spark: SparkSession, folder: str) -> bool:
+def _hadoop(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def folder_numbers(spark: SparkSession, folder: str, kind: str) -> list[int]:
+    """The numbers n of the finished tables ``kind=n`` in a folder."""
+    path, fs = _hadoop(spark, folder)
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()]
+    numbers = [int(x.split("=", 1)[1]) for x in names if x.startswith(f"{kind}=")]
+    return sorted(n for n in numbers if fs.exists(_hadoop(spark, f"{folder}/{kind}={n}/_SUCCESS")[0]))
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path, fs = _hadoop(spark, folder)
+    fs.delete(path, True)
+
+
+#: State store for keyed state with a time to live.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_available_now(stream: DataFrame, out_path: str, cp_path: str, mode: str = "append",
-                      keys: list[str] | None = None) -> None:
+                      keys: list[str] | None = None, state_store: str | None = None) -> None:
     """Run a streaming DataFrame over everything available, then stop.
 
+    ``state_store`` names the state store of this query, which then has no batches
+    without rows (a time to live would ask for one after the other); the session's
+    settings are put back.
+
     append:   file sink (exactly-once through the sink's commit log).
     update:   foreachBatch writes each micro-batch's changed rows as version
               ``batch=<id>`` (overwrite, so a retried batch replaces itself);
               ``latest_versions`` reads the newest row per key.
     complete: foreachBatch overwrites the whole result each micro-batch.
     """
+    if state_store:
+        conf = stream.sparkSession.conf
+        own = {"spark.sql.streaming.stateStore.providerClass": state_store, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+        usual = {k: conf.get(k, None) for k in own}
+        for k, v in own.items():
+            conf.set(k, v)
+        try:
+            return run_available_now(stream, out_path, cp_path, mode, keys)
+        finally:
+            for k, v in usual.items():
+                conf.unset(k) if v is None else conf.set(k, v)
     w = stream.writeStream.option("checkpointLocation", cp_path).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out_path).start()

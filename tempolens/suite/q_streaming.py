@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources import fixture
-from ..streaming import (deliver, end_marker, latest_versions, run_available_now, scratch_dir, stage_files, stream_counter_delta,
+from ..streaming import (ROCKSDB, deliver, end_marker, latest_versions, run_available_now, scratch_dir, stage_files, stream_counter_delta,
+                         stream_counter_delta_stateful,
                          stream_load_timeline, stream_long_transactions, stream_sla_breaches, stream_usage_counts)
 from .registry import query
 
@@ -62,7 +63,7 @@ def s02(spark, sf):
     deliver(spark, d + "/none", d + "/src")
     stream = _stream(spark, src, d + "/src")
     _run(spark, src, d, lambda: stream_counter_delta(stream, ["series_id"], "snap_id", ["counter_value"], d + "/out",
-                                                     d + "/state", d + "/cp", reset="drop").awaitTermination(), "snap_time")
+                                                     d + "/state", d + "/cp", reset="drop", compact_every=2).awaitTermination(), "snap_time")
     return spark.read.parquet(d + "/out").select("series_id", "snap_id", "counter_value")
 
 
@@ -128,11 +129,10 @@ SELECT series_id, snap_id, counter_value FROM (
   SELECT series_id, snap_id, counter_value - lag(counter_value, 1, counter_value) OVER (PARTITION BY series_id ORDER BY snap_id) AS counter_value
   FROM fx_counter) t WHERE counter_value >= 0""")
 def s02_state(spark, sf):
-    from ..streaming import stream_counter_delta_stateful
     d = scratch_dir(spark, "s02k")
     src = _fx(spark, sf, "fx_counter").select("series_id", "snap_id", "snap_time", "counter_value")
     deliver(spark, d + "/none", d + "/src")
     deltas = stream_counter_delta_stateful(_stream(spark, src, d + "/src"), ["series_id"], "snap_id", ["counter_value"], reset="drop")
-    _run(spark, src, d, lambda: run_available_now(deltas.select("series_id", "snap_id", "counter_value"), d + "/out", d + "/cp", "append"),
-         "snap_time")
+    _run(spark, src, d, lambda: run_available_now(deltas.select("series_id", "snap_id", "counter_value"), d + "/out", d + "/cp", "append",
+                                                  state_store=ROCKSDB), "snap_time")
     return spark.read.parquet(d + "/out")

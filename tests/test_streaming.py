@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from tempolens.sources import fixture
-from tempolens.streaming import deliver, stage_files, stream_counter_delta
+from tempolens.streaming import ROCKSDB, deliver, run_available_now, stage_files, stream_counter_delta, stream_counter_delta_stateful
 from tempolens.streaming.operators import parse_usage_line
 
 from conftest import SF001
@@ -56,3 +56,39 @@ def test_a_missing_state_is_an_error(spark, tmp_path):
     src.write.mode("append").parquet(d + "/src")
     with pytest.raises(Exception, match="is missing"):
         run()
+
+
+def counters(spark, folder, batches, run):
+    """Hand the batches to the stream one by one; the deltas of all of them."""
+    schema = "series_id long, snap_id long, t timestamp, v long"
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(folder + "/src")
+        run(spark.readStream.schema(schema).parquet(folder + "/src"))
+    return sorted((r.series_id, r.snap_id, r.v) for r in spark.read.parquet(folder + "/out").collect())
+
+
+def test_state_log_is_compacted_and_forgets_ended_series(spark, tmp_path):
+    from datetime import datetime, timedelta
+    day = [datetime(2024, 1, 1) + timedelta(days=n) for n in range(9)]
+    # series 1 in every batch, 2 ends after the first, 3 pauses for two days, 4 comes back after its state has gone
+    batches = [[(1, n, day[n], 10 * n)] + [(2, 0, day[0], 5)] * (n == 0) + [(3, n, day[n], n * n)] * (n in (0, 3, 4))
+               + [(4, n, day[n], 7 + n)] * (n in (0, 7)) for n in range(8)]
+    d = str(tmp_path)
+    got = counters(spark, d, batches, lambda s: stream_counter_delta(s, ["series_id"], "snap_id", ["v"], d + "/out", d + "/state", d + "/cp",
+                                                                     compact_every=2, ts="t", ttl="3 days").awaitTermination())
+    want = [(1, n, 10 * (n > 0)) for n in range(8)] + [(2, 0, 0), (3, 0, 0), (3, 3, 9), (3, 4, 7), (4, 0, 0), (4, 7, 0)]
+    assert got == sorted(want)
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["full=5", "full=7", "v=6", "v=7"]
+    assert {r.series_id for r in spark.read.parquet(d + "/state/full=7").collect()} == {1, 3, 4}
+
+
+@pytest.mark.parametrize("ttl_hours, gone", [(None, False), (24.0, False), (1e-6, True)])
+def test_keyed_state_with_time_to_live(spark, tmp_path, ttl_hours, gone):
+    d = str(tmp_path)
+
+    def run(stream):
+        deltas = stream_counter_delta_stateful(stream, ["series_id"], "snap_id", ["v"], reset="keep", ttl_hours=ttl_hours)
+        run_available_now(deltas, d + "/out", d + "/cp", state_store=ROCKSDB)
+
+    got = counters(spark, d, [[(1, 2, None, 30), (1, 1, None, 10)], [(1, 3, None, 45), (2, 1, None, 8)], [(2, 2, None, 3)]], run)
+    assert got == [(1, 1, 0), (1, 2, 20), (1, 3, 0 if gone else 15), (2, 1, 0), (2, 2, 0 if gone else -5)]
