@@ -161,6 +161,34 @@ def interconnect_latency(deltas: DataFrame, blocks_stat: int, time_stat: int) ->
     return r.withColumn("ms_per_block", F.round(F.try_divide(F.col("receive_time") * 10.0, F.col("blocks")), 4))
 
 
+def latency_now(stats: DataFrame, time_name: str = "gc cr block receive time", blocks_name: str = "gc cr blocks received",
+                name: str = "stat_name") -> DataFrame:
+    """Average receive time of a block per instance from the current statistics (C16, current form).
+
+    Both statistics in one grouped pass; an instance that lacks one of them is
+    left out, no blocks count as one block.
+    """
+    def value(which: str):
+        return F.max(F.when(F.col(name) == which, F.col("value")))
+    g = stats.filter(F.col(name).isin(time_name, blocks_name)).groupBy("inst_id").agg(value(time_name).alias("t"), value(blocks_name).alias("b"))
+    b = F.when(F.col("b") == 0, F.lit(1)).otherwise(F.col("b"))
+    return g.where(F.col("t").isNotNull() & F.col("b").isNotNull()).select("inst_id", F.round(F.col("t") / b * 10, 6).alias("avg_receive_time_ms"))
+
+
+def latency_objects(segments: DataFrame, objects: DataFrame, dbid: int, instance: int, first_snap: int, last_snap: int,
+                    measures: list[str], received: str = "gc_cr_blocks_received_delta") -> DataFrame:
+    """Segment statistics between two snapshots of the objects that received blocks of other instances (C16, objects).
+
+    Sums per object id come before the join with the objects, so the join sees
+    one row for each object; objects of one name (owner, name, part) are one row.
+    """
+    here = (F.col("dbid") == dbid) & (F.col("instance_number") == instance) & F.col("snap_id").between(first_snap, last_snap)
+    per = segments.filter(here).groupBy("obj").agg(*[F.sum(m).alias(m) for m in measures])
+    names = objects.select(F.col("object_id").alias("obj"), "owner", "object_name", "subobject_name")
+    g = per.join(names, "obj").groupBy("owner", "object_name", "subobject_name").agg(*[F.sum(m).alias(m) for m in measures])
+    return g.where(F.col(received) > 0)
+
+
 def metric_summary(metrics: DataFrame, unit: str, ts: str = "begin_time", name: str = "metric_name",
                    value: str = "value") -> DataFrame:
     """Average, minimum and maximum of each metric per truncated period."""

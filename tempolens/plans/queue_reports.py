@@ -99,6 +99,41 @@ def work_groups(messages: DataFrame, as_of, by: str = "id_messagetype", group: s
                              F.round(F.max(age), 3).alias("max_age_secs"))
 
 
+def group_overview(groups: DataFrame, as_of, by: str = "id_messagetype") -> DataFrame:
+    """Work groups by type or domain: waiting and working, creation, priorities and greatest age.
+
+    A group without a process start waits.  As in the pages this rebuilds, the
+    least priority is the greatest number and the other way round.
+    """
+    age = seconds_between(F.col("creation_time"), F.lit(as_of).cast("timestamp_ntz"))
+    other = [F.min("id_domain").alias("id_domain")] if by != "id_domain" else []
+    return groups.groupBy(by).agg(
+        *other, F.count(F.lit(1)).alias("total"), F.count_if(F.col("process_start").isNull()).alias("waiting"),
+        F.count_if(F.col("process_start").isNotNull()).alias("working"), F.min("creation_time").alias("min_creation"),
+        F.max("creation_time").alias("max_creation"), F.max("priority").alias("min_prio"), F.min("priority").alias("max_prio"),
+        F.round(F.max(age), 3).alias("max_age_secs"))
+
+
+def running_groups(groups: DataFrame, messages: DataFrame, as_of, group: str = "id_bulkgroup") -> DataFrame:
+    """Groups in work with their number of messages, age and time in work (G08); a group without messages has 0.
+
+    Messages are counted per group before the join, so a group of many messages is combined map-side.
+    """
+    now = F.lit(as_of).cast("timestamp_ntz")
+    counts = messages.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("id")).agg(F.count(F.lit(1)).alias("messages"))
+    run = groups.where(F.col("process_start").isNotNull()).join(counts, "id", "left")
+    return run.select("id", "creation_time", "id_messagetype", "priority", F.coalesce("messages", F.lit(0)).alias("messages"),
+                      F.round(seconds_between(F.col("creation_time"), now), 3).alias("age_secs"), "process_start",
+                      F.round(seconds_between(F.col("process_start"), now), 3).alias("in_process_secs"))
+
+
+def external_queue(messages: DataFrame, types: DataFrame) -> DataFrame:
+    """Messages that wait for external services by type: first, last, number, and the type's name where it has one."""
+    g = messages.groupBy("id_messagetype").agg(F.min("creation_time").alias("min_ts"), F.max("creation_time").alias("max_ts"),
+                                               F.count(F.lit(1)).alias("messages"))
+    return g.join(types.select(F.col("id").alias("id_messagetype"), "name"), "id_messagetype", "left")
+
+
 def job_runs(runs: DataFrame, jobs: DataFrame, batch_date, exclude: list = ()) -> DataFrame:
     """Runs of one batch date with job names and runtime; total runtime without excluded jobs."""
     r = runs.filter(F.col("batch_date") == F.lit(batch_date).cast("timestamp_ntz")).join(jobs, "job_id", "left")

@@ -33,6 +33,49 @@ def lock_list(locks: DataFrame, sessions: DataFrame, objects: DataFrame, skip_ty
     return out.withColumn("lock_mode", code_label("lmode", LOCK_MODES)).withColumn("request_mode", code_label("request", LOCK_MODES))
 
 
+def lock_details(locks: DataFrame, sessions: DataFrame, processes: DataFrame, transactions: DataFrame, objects: DataFrame,
+                 instance: int | None = None, sid: int | None = None, skip_types=("AE", "PS")) -> DataFrame:
+    """Locks with session, process, transaction, blocking session, locked object and the object waited for.
+
+    User sessions that have a process; the rest is joined outer.  The object
+    waited for is named by the wait's second parameter where that is an object,
+    else by the session's row wait, and shown where the session waits and the
+    lock is requested.  ``instance`` and ``sid`` give the locks of one session,
+    ``skip_types=()`` all lock types.
+    """
+    for column, value in (("inst_id", instance), ("sid", sid)):
+        if value is not None:
+            locks = locks.filter(F.col(column) == value)
+    if skip_types:
+        locks = locks.filter(~F.col("lock_type").isin(*skip_types))
+    kept = ["inst_id", "sid", "lock_type", "id1", "id2", "lmode", "request", "ctime"]
+    where = F.concat_ws("", "machine", F.lit("("), "os_user", F.lit("):"), "process", F.lit(":"), "program")
+    row_wait = F.when(F.col("row_wait_obj") != -1, F.col("row_wait_obj"))
+    s = sessions.filter(F.col("session_type") == "USER").select(
+        "inst_id", "sid", "serial_no", "status", "username", "module", "sql_id", "process_addr", "transaction_addr", "lock_wait",
+        "seconds_in_wait", "blocking_instance", "blocking_session", where.alias("client"),
+        F.when(F.col("p2text") == "object #", F.col("p2")).otherwise(row_wait).alias("wait_object_id"))
+    p = processes.select("inst_id", F.col("addr").alias("process_addr"), "spid")
+    x = transactions.select("inst_id", F.col("addr").alias("transaction_addr"), "rollback_segment")
+    bs = sessions.select(F.col("inst_id").alias("blocking_instance"), F.col("sid").alias("blocking_session"), F.col("inst_id").alias("blocking_inst_id"),
+                         F.col("sid").alias("blocking_sid"), F.col("serial_no").alias("blocking_serial_no"))
+    lo = objects.select(F.col("object_id").alias("id1"), F.lower("owner").alias("locked_object_owner"),
+                        F.col("object_name").alias("locked_object_name"), F.col("object_type").alias("locked_object_type"))
+    o = objects.select(F.col("object_id").alias("wait_object_id"), F.concat("owner", F.lit("."), "object_name").alias("_waits_for"))
+    # one row per session first: the locks join it once
+    s = (s.join(p, ["inst_id", "process_addr"]).join(x, ["inst_id", "transaction_addr"], "left")
+         .join(bs, ["blocking_instance", "blocking_session"], "left").join(o, "wait_object_id", "left"))
+    out = locks.select(*kept).join(s, ["inst_id", "sid"]).join(lo, "id1", "left")
+    waits = F.col("lock_wait").isNotNull() & (F.col("request") != 0)
+    return out.select(
+        "inst_id", "sid", "serial_no", "status", "module", "sql_id", "locked_object_owner", "locked_object_name", "locked_object_type",
+        "rollback_segment", F.concat_ws(":", F.col("inst_id").cast("string"), "spid", "username").alias("inst_pid_user"), "client", "lock_type",
+        F.when(waits, F.col("_waits_for")).alias("waiting_for_object"), F.col("seconds_in_wait").alias("waiting_secs"),
+        F.col("ctime").alias("lock_held_secs"), F.concat_ws(":", F.col("id1").cast("string"), F.col("id2").cast("string")).alias("id1_id2"),
+        code_label("request", LOCK_MODES).alias("request"), code_label("lmode", LOCK_MODES).alias("lock_mode"),
+        "blocking_inst_id", "blocking_sid", "blocking_serial_no")
+
+
 def holder_waiter(locks: DataFrame, handle=("inst_id", "lock_type", "id1", "id2")) -> DataFrame:
     """Pairs of a lock's holder and a session that waits for it, on the same handle.
 

@@ -191,6 +191,49 @@ def cache_history_summary(cache: DataFrame, obj: list[str], snapshot: str, block
     return hist_level_stats(cache, obj, [snapshot], blocks)
 
 
+CACHE_BLOCKS = ("blocks_total", "blocks_dirty")
+
+
+def cache_history(cache: DataFrame, start, end, instance: int | None = None, partitions: bool = False, limit: int | None = None) -> DataFrame:
+    """Cached blocks of each object over the snapshots of a time range.
+
+    Blocks are summed per snapshot and object first (over its partitions, unless
+    they are ``partitions`` of their own), then averaged; dirty blocks beside.
+    ``limit`` keeps the objects with the most blocks (ties by instance and name).
+    """
+    rows = cache.where(F.col("snapshot_ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    if instance is not None:
+        rows = rows.where(F.col("instance") == instance)
+    if not partitions:
+        rows = rows.withColumn("partition_name", F.lit(None).cast("string"))
+    keys = ["instance", "owner", "name", "partition_name"]
+    per = rows.groupBy("snapshot_ts", *keys).agg(*[F.sum(c).alias(c) for c in CACHE_BLOCKS])
+    total, dirty = CACHE_BLOCKS
+    g = per.groupBy(*keys).agg(
+        F.round(F.avg(total), 6).alias("avg_blocks_total"), F.min(total).alias("min_blocks_total"), F.max(total).alias("max_blocks_total"),
+        F.sum(total).alias("sum_blocks_total"), F.round(F.avg(dirty), 6).alias("avg_blocks_dirty"), F.min(dirty).alias("min_blocks_dirty"),
+        F.max(dirty).alias("max_blocks_dirty"), F.count(F.lit(1)).alias("samples"))
+    return g if limit is None else g.orderBy(F.desc("sum_blocks_total"), *keys).limit(limit)
+
+
+def cache_history_detail(cache: DataFrame, start, end, owner: str, name: str, instance: int, partition: str | None = None) -> DataFrame:
+    """Cached blocks of one object (or one of its partitions) by snapshot."""
+    rows = cache.where(F.col("snapshot_ts").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+                       & (F.col("owner") == owner) & (F.col("name") == name) & (F.col("instance") == instance))
+    if partition is not None:
+        rows = rows.where(F.col("partition_name") == partition)
+    return rows.groupBy("snapshot_ts").agg(*[F.sum(c).alias(c) for c in CACHE_BLOCKS])
+
+
+def cache_snapshot(cache: DataFrame, snapshot, instance: int, partitions: bool = False) -> DataFrame:
+    """Cached blocks of all objects in one snapshot (a time or a scalar subquery) of one instance."""
+    at = snapshot if isinstance(snapshot, Column) else F.lit(snapshot).cast("timestamp_ntz")
+    rows = cache.where((F.col("snapshot_ts") == at) & (F.col("instance") == instance))
+    if not partitions:
+        rows = rows.withColumn("partition_name", F.lit(None).cast("string"))
+    return rows.groupBy("owner", "name", "partition_name").agg(*[F.sum(c).alias(c) for c in CACHE_BLOCKS])
+
+
 def cache_top_timeline(cache: DataFrame, snapshot: str, obj: str, blocks: str, k: int = 10) -> DataFrame:
     """Top-k objects by peak blocks, as a zero-filled time series (F12 timeline, A19 + A18)."""
     top = top_k_series_inner(cache, snapshot, [obj], blocks, k)

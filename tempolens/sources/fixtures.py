@@ -157,6 +157,32 @@ FIXTURE_SQL.update({
     "fx_ref_column": "SELECT owner, constraint_name, table_name, CASE WHEN constraint_type = 'P' THEN 'C0' ELSE 'C2' END AS column_name, 1 AS position FROM fx_cat_constraint UNION ALL SELECT owner, constraint_name, table_name, CASE WHEN constraint_type = 'P' THEN 'C9' ELSE 'C1' END, 2 FROM fx_cat_constraint WHERE length(constraint_name) % 3 <> 0",
 })
 
+# sessions with their process, transaction and wait; groups of messages; segment statistics with all measures
+FIXTURE_SQL.update({
+    "fx_session_full": "SELECT instance_number AS inst_id, session_id AS sid, session_id * 10 + instance_number AS serial_no, CASE WHEN session_id % 9 = 8 THEN 'BACKGROUND' ELSE 'USER' END AS session_type, CASE WHEN session_id % 4 = 0 THEN 'INACTIVE' ELSE 'ACTIVE' END AS status, concat('user', CAST(session_id % 5 AS STRING)) AS username, concat('os', CAST(session_id % 4 AS STRING)) AS os_user, concat('host', CAST(session_id % 3 AS STRING)) AS machine, CAST(session_id * 3 AS STRING) AS process, concat('program of ', min(module)) AS program, min(module) AS module, min(sql_id) AS sql_id, session_id * 7 + instance_number AS process_addr, CASE WHEN session_id % 2 = 1 THEN session_id * 11 + instance_number END AS transaction_addr, CASE WHEN session_id % 3 <> 0 THEN session_id END AS lock_wait, CASE WHEN session_id % 2 = 0 THEN 'object #' ELSE 'id2' END AS p2text, session_id % 60 + 1 AS p2, CASE WHEN session_id % 5 = 0 THEN CAST(-1 AS BIGINT) ELSE session_id % 40 + 1 END AS row_wait_obj, CAST(floor(max(time_waited) / 1000) AS BIGINT) AS seconds_in_wait, CASE WHEN session_id % 3 = 1 THEN CAST(instance_number % 2 + 1 AS INT) END AS blocking_instance, CASE WHEN session_id % 3 = 1 THEN CAST(floor(session_id / 2) AS BIGINT) END AS blocking_session FROM fx_ash GROUP BY instance_number, session_id",
+    "fx_process": "SELECT inst_id, process_addr AS addr, concat('pid', CAST(process_addr AS STRING)) AS spid FROM fx_session_full WHERE sid % 11 <> 10",
+    "fx_transaction": "SELECT inst_id, transaction_addr AS addr, sid % 6 AS rollback_segment FROM fx_session_full WHERE transaction_addr IS NOT NULL AND sid % 4 = 1",
+    "fx_msg_group": "SELECT o_custkey AS id, o_custkey % 8 AS id_messagetype, o_custkey % 25 AS id_domain, min(o_orderdate) AS creation_time, o_custkey % 10 AS priority, CASE WHEN o_custkey % 4 = 1 THEN max(o_orderdate) END AS process_start FROM orders GROUP BY o_custkey",
+    "fx_group_message": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 AND o_custkey % 13 <> 0 THEN o_custkey END AS id_bulkgroup, o_custkey % 9 AS id_messagetype, o_orderdate AS creation_time FROM orders",
+    "fx_cache_object": "SELECT l_shipdate AS snapshot_ts, CAST(l_suppkey % 2 + 1 AS INT) AS instance, concat('OWNER', CAST(l_partkey % 5 AS STRING)) AS owner, concat('TAB', CAST(l_partkey % 200 AS STRING)) AS name, CASE WHEN l_partkey % 3 = 0 THEN concat('P', CAST(l_linenumber AS STRING)) END AS partition_name, CAST(sum(floor(l_quantity)) AS BIGINT) AS blocks_total, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS blocks_dirty FROM lineitem GROUP BY 1, 2, 3, 4, 5",
+    "fx_msg_type": "SELECT DISTINCT o_custkey % 8 AS id, concat('type', CAST(o_custkey % 8 AS STRING)) AS name FROM orders",
+})
+SEGMENT_MEASURES = {
+    "logical_reads_delta": "count(*)", "buffer_busy_waits_delta": "sum(CASE WHEN l_linenumber = 7 THEN 1 ELSE 0 END)",
+    "db_block_changes_delta": "sum(l_linenumber)", "physical_reads_delta": "sum(floor(l_quantity))",
+    "physical_writes_delta": "sum(CASE WHEN l_linestatus = 'O' THEN floor(l_quantity) ELSE 0 END)",
+    "physical_reads_direct_delta": "sum(CASE WHEN l_linenumber = 2 THEN floor(l_quantity) ELSE 0 END)",
+    "physical_writes_direct_delta": "sum(CASE WHEN l_linenumber = 3 THEN floor(l_quantity) ELSE 0 END)",
+    "itl_waits_delta": "sum(CASE WHEN l_linenumber = 6 THEN 1 ELSE 0 END)", "row_lock_waits_delta": "sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END)",
+    "gc_buffer_busy_delta": "sum(CASE WHEN l_linenumber = 5 THEN 1 ELSE 0 END)",
+    "gc_cr_blocks_received_delta": "sum(CASE WHEN l_partkey % 3 <> 0 AND l_returnflag = 'A' THEN l_linenumber ELSE 0 END)",
+    "gc_cu_blocks_received_delta": "sum(CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END)",
+    "space_used_delta": "sum(floor(l_extendedprice / 10))", "space_allocated_delta": "sum(floor(l_extendedprice / 8))",
+    "table_scans_delta": "sum(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END)",
+}
+FIXTURE_SQL["fx_seg_stat_full"] = "SELECT 1 AS dbid, CAST(l_suppkey % 2 + 1 AS INT) AS instance_number, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) AS INT) AS snap_id, l_partkey AS obj, " + ", ".join(
+    f"CAST({x} AS BIGINT) AS {n}" for n, x in SEGMENT_MEASURES.items()) + " FROM lineitem GROUP BY 1, 2, 3, 4"
+
 # cumulative IO counters per (instance, file, function, file type, snapshot), restart every 24 snapshots
 _IO_SUMS = {
     "phyrds": "count(*)", "phyblkrd": "sum(floor(l_quantity))", "readtim": "sum(floor(l_extendedprice / 100))",
