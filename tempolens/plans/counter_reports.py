@@ -237,6 +237,31 @@ def mutex_timeline(mutex: DataFrame, unit: str = "MI", ts: str = "sleep_timestam
         F.sum("sleeps").alias("sleeps"), F.count(F.lit(1)).alias("samples"))
 
 
+def mutex_samples(mutex: DataFrame, start, end, instance: int | None = None, mutex_type: str | None = None,
+                  filters: dict[str, object] | None = None, ts: str = "sleep_timestamp") -> DataFrame:
+    """Single mutex sleeps of a time range (end exclusive), of one instance, type and any columns' values."""
+    at = lambda v: F.lit(v).cast("timestamp_ntz")
+    out = mutex.filter((F.col(ts) >= at(start)) & (F.col(ts) < at(end)))
+    for c, v in {"inst_id": instance, "mutex_type": mutex_type, **(filters or {})}.items():
+        if v is not None:
+            out = out.filter(F.col(c) == v)
+    return out
+
+
+def enqueue_per_snapshot(fact: DataFrame, snaps: DataFrame, dbid: int, instance: int, event_id: int, first_snap: int, last_snap: int,
+                         counters=("total_waits", "total_timeouts")) -> DataFrame:
+    """Enqueue requests of one type between one snapshot and the one before it.
+
+    The snapshot before the range is read too, so that the first one has a
+    difference; the first of all has zeros, a counter that was reset a negative one.
+    """
+    one = fact.filter((F.col("dbid") == dbid) & (F.col("instance_number") == instance) & (F.col("event_id") == event_id)
+                      & F.col("snap_id").between(first_snap - 1, last_snap))
+    one = one.join(snaps.select("dbid", "instance_number", "snap_id", "begin_interval_time"), ["dbid", "instance_number", "snap_id"])
+    d = counter_delta(one, ["dbid", "instance_number", "event_id"], "snap_id", list(counters), reset="keep")
+    return d.filter(F.col("snap_id") >= first_snap).select("begin_interval_time", "snap_id", *counters)
+
+
 def enqueue_totals(fact: DataFrame, names: DataFrame, key: str = "event_id",
                    counters=("total_waits", "total_timeouts")) -> DataFrame:
     """Enqueue requests between first and last snapshot per type, with names."""

@@ -129,6 +129,20 @@ def table_closure(edges: DataFrame, start_table: str, child: str = "child_table"
     return deepest_levels(e, parent, child, start=F.col(parent) == F.lit(start_table)).select(child, "level").distinct()
 
 
+def dependent_tables(edges: DataFrame, types: DataFrame, start_table: str, owner: str | None = None, table_type: str | None = None) -> DataFrame:
+    """Tables that depend on ``start_table``, with their type and documentation.
+
+    ``types`` holds (owner, table_name, table_type, documentation); tables without
+    an entry are left out.  ``owner`` and ``table_type`` ('M' for master data)
+    choose among the found tables; ways through others still count.
+    """
+    t = types.select(F.col("table_name").alias("child_table"), "owner", "table_type", "documentation")
+    for c, v in (("owner", owner), ("table_type", table_type)):
+        if v is not None:
+            t = t.filter(F.col(c) == v)
+    return table_closure(edges, start_table).join(t, "child_table")
+
+
 def _count_text(c) -> Column:
     """The value of a group if it has one, else '< n >' (nulls not counted).
 

@@ -145,6 +145,13 @@ def job_runs(runs: DataFrame, jobs: DataFrame, batch_date, exclude: list = ()) -
     return r.withColumn("total_runtime_secs", F.round(total / 1e6, 3))
 
 
+def job_history(runs: DataFrame, jobs: DataFrame, job_id: int, as_of, days: int = 300) -> DataFrame:
+    """Runs of one job that started within the ``days`` before ``as_of``, with its name and their runtime."""
+    since = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAYS")
+    r = runs.filter((F.col("job_id") == job_id) & (F.col("start_time") > since)).join(jobs, "job_id")
+    return r.withColumn("runtime_secs", F.round(seconds_between("start_time", "end_time"), 3))
+
+
 def daily_runtime(runs: DataFrame, night_from: int = 20, night_to: int = 6) -> DataFrame:
     """Runtime hours per batch date split into night window and day, job count and weekday."""
     micros = F.unix_micros(F.col("end_time").cast("timestamp")) - F.unix_micros(F.col("start_time").cast("timestamp"))
@@ -183,6 +190,12 @@ def usage_by_key(lines: DataFrame, by: str, filters: dict | None = None, line_co
     return p.groupBy(by).agg(F.count(F.lit(1)).alias("requests"))
 
 
+def usage_records(lines: DataFrame, filters: dict[str, str], line_col: str = "line") -> DataFrame:
+    """The fields of the single log lines in which all given fields have the given values."""
+    p = lines.select(*parse_usage_line(line_col))
+    return p.filter(group_filter(filters, {c: F.col(c) for c in p.columns})) if filters else p
+
+
 # Tag texts that name an application, web-service method or message type.
 LABEL_TAGS = ("Application = ", "ID_WSMethod = ", "ID_OFMsgType = ")
 

@@ -13,12 +13,13 @@ MB = 1048576.0
 
 
 def tablespace_usage(tablespaces: DataFrame, data_files: DataFrame, free: DataFrame, temp_files: DataFrame,
-                     sort_usage: DataFrame) -> DataFrame:
-    """Size, free and used MB per tablespace over permanent and temporary tablespaces.
+                     sort_usage: DataFrame, redo: DataFrame | None = None) -> DataFrame:
+    """Size, free and used MB per tablespace over permanent and temporary tablespaces, and redo logs.
 
     Permanent: data files minus free extents.  Temporary: temp files minus
     the blocks used by sort segments.  Autoextensible is shown through
-    A06 with 'Partial' when the files disagree.
+    A06 with 'Partial' when the files disagree.  Redo: one row per instance,
+    all members of its log groups, fully used.
     """
     f = data_files.groupBy("tablespace_name").agg(F.sum("bytes").alias("_bytes"),
                                                   single_or_count("autoextensible", else_="Partial").alias("autoextensible"))
@@ -39,6 +40,12 @@ def tablespace_usage(tablespaces: DataFrame, data_files: DataFrame, free: DataFr
     temp = t.select("tablespace_name", "contents", "block_size", F.round(total, 4).alias("mb_total"),
                     F.round(total - used, 4).alias("mb_free"), F.round(used, 4).alias("mb_used"), "autoextensible")
     out = perm.unionByName(temp)
+    if redo is not None:
+        size = F.round(F.sum(F.col("bytes") * F.col("members")) / MB, 4)
+        out = out.unionByName(redo.groupBy("inst_id").agg(F.min("block_size").alias("block_size"), size.alias("mb_total")).select(
+            F.concat(F.lit("Redo Inst="), F.col("inst_id").cast("string")).alias("tablespace_name"), F.lit("Redo-Logfile").alias("contents"),
+            F.col("block_size").cast(out.schema["block_size"].dataType), "mb_total", F.lit(0.0).alias("mb_free"), F.col("mb_total").alias("mb_used"),
+            F.lit(None).cast("string").alias("autoextensible")))
     return out.withColumn("pct_used", F.round(F.try_divide(F.col("mb_used") * 100.0, F.col("mb_total")), 4))
 
 

@@ -165,6 +165,9 @@ FIXTURE_SQL.update({
     "fx_msg_group": "SELECT o_custkey AS id, o_custkey % 8 AS id_messagetype, o_custkey % 25 AS id_domain, min(o_orderdate) AS creation_time, o_custkey % 10 AS priority, CASE WHEN o_custkey % 4 = 1 THEN max(o_orderdate) END AS process_start FROM orders GROUP BY o_custkey",
     "fx_group_message": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 AND o_custkey % 13 <> 0 THEN o_custkey END AS id_bulkgroup, o_custkey % 9 AS id_messagetype, o_orderdate AS creation_time FROM orders",
     "fx_cache_object": "SELECT l_shipdate AS snapshot_ts, CAST(l_suppkey % 2 + 1 AS INT) AS instance, concat('OWNER', CAST(l_partkey % 5 AS STRING)) AS owner, concat('TAB', CAST(l_partkey % 200 AS STRING)) AS name, CASE WHEN l_partkey % 3 = 0 THEN concat('P', CAST(l_linenumber AS STRING)) END AS partition_name, CAST(sum(floor(l_quantity)) AS BIGINT) AS blocks_total, CAST(sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS blocks_dirty FROM lineitem GROUP BY 1, 2, 3, 4, 5",
+    "fx_redo_log": "SELECT CAST(s_suppkey % 2 + 1 AS INT) AS inst_id, s_suppkey AS group_no, CAST(52428800 * (1 + s_nationkey % 3) AS BIGINT) AS bytes, CAST(1 + s_suppkey % 3 AS INT) AS members, CAST(512 AS INT) AS block_size FROM supplier",
+    "fx_table_type": "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'OWN' ELSE 'SYS' END AS owner, concat('T', CAST(p_partkey AS STRING)) AS table_name, CASE WHEN p_size % 2 = 0 THEN 'M' ELSE 'T' END AS table_type, p_name AS documentation FROM part WHERE p_partkey % 11 <> 10",
+    "fx_mutex_sleep": "SELECT CAST(user_id % 2 + 1 AS INT) AS inst_id, event_id AS mutex_identifier, ts AS sleep_timestamp, event_type AS mutex_type, event_id % 100 + 1 AS gets, CAST(round(value) AS BIGINT) AS sleeps, (user_id + event_id) % 20 AS requesting_session, user_id % 20 AS blocking_session, concat('loc', CAST(event_id % 8 AS STRING)) AS location FROM events",
     "fx_msg_type": "SELECT DISTINCT o_custkey % 8 AS id, concat('type', CAST(o_custkey % 8 AS STRING)) AS name FROM orders",
 })
 SEGMENT_MEASURES = {

@@ -1,16 +1,21 @@
-"""Locks with all their joins (E01), block receive latency by object and now (C16), cache history (F12), work groups and the external queue."""
+"""Locks with all their joins (E01), block receive latency by object and now (C16), cache history (F12), work groups and the external queue (G08),
+and further forms of C10, C11, F01, F13, G09 and G12."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..plans import counter_reports as CR
+from ..plans import locks as LK
 from ..plans import queue_reports as Q
 from ..plans import sessions as SS
 from ..plans import storage as SG
 from ..sources import fixture as _fx
 from ..sources.fixtures import SEGMENT_MEASURES
+from .q_hierarchy import _closure_sql
+from .q_queue import RUNS_SQL, USAGE_SQL, _jobs, _runs
 from .q_sessions import _modes_sql
+from .q_storage import TS_SQL, _ts_inputs
 from .registry import query
 
 AS_OF = "1998-08-03 00:00:00"
@@ -138,3 +143,53 @@ def f12_snapshot(spark, sf):
     cache = _fx(spark, sf, "fx_cache_object")
     first = cache.where("instance = 2").agg(F.min("snapshot_ts")).scalar()
     return SG.cache_snapshot(cache, first, 2, partitions=True)
+
+
+@query("c10_mutex_samples", """
+SELECT * FROM fx_mutex_sleep WHERE sleep_timestamp >= TIMESTAMP '2024-01-03 00:00:00' AND sleep_timestamp < TIMESTAMP '2024-01-20 12:00:00'
+AND inst_id = 1 AND mutex_type = 'click' AND blocking_session = 4""")
+def c10_samples(spark, sf):
+    return CR.mutex_samples(_fx(spark, sf, "fx_mutex_sleep"), "2024-01-03 00:00:00", "2024-01-20 12:00:00", 1, "click", {"blocking_session": 4})
+
+
+@query("c11_enqueue_per_snapshot", """
+SELECT begin_interval_time, snap_id, total_waits, total_timeouts FROM (
+  SELECT s.begin_interval_time, h.snap_id, h.total_waits - lag(h.total_waits, 1, h.total_waits) OVER (ORDER BY h.snap_id) AS total_waits,
+    h.total_timeouts - lag(h.total_timeouts, 1, h.total_timeouts) OVER (ORDER BY h.snap_id) AS total_timeouts
+  FROM fx_sysevent h JOIN fx_snapshot s ON s.dbid = h.dbid AND s.instance_number = h.instance_number AND s.snap_id = h.snap_id
+  WHERE h.dbid = 1 AND h.instance_number = 2 AND h.event_id = 3 AND h.snap_id + 1 >= 1 AND h.snap_id <= 40) t WHERE snap_id >= 1""")
+def c11_snapshots(spark, sf):
+    snaps = _fx(spark, sf, "fx_snapshot").withColumn("begin_interval_time", F.col("begin_interval_time").cast("timestamp_ntz"))
+    return CR.enqueue_per_snapshot(_fx(spark, sf, "fx_sysevent"), snaps, 1, 2, 3, 1, 40)
+
+
+@query("f01_tablespace_usage_with_redo", f"""
+WITH {TS_SQL}
+SELECT *, round(CASE WHEN mb_total = 0 THEN NULL ELSE mb_used * 100.0 / mb_total END, 4) AS pct_used FROM (
+  SELECT tablespace_name, contents, block_size, mb_total, mb_free, mb_used, autoextensible FROM u UNION ALL
+  SELECT 'Redo Inst=' || inst_id, 'Redo-Logfile', min(block_size), round(sum(bytes * members) / 1048576.0, 4), 0, round(sum(bytes * members) / 1048576.0, 4), NULL
+  FROM fx_redo_log GROUP BY inst_id) t""")
+def f01_redo(spark, sf):
+    return SG.tablespace_usage(*_ts_inputs(spark, sf), redo=_fx(spark, sf, "fx_redo_log"))
+
+
+@query("f13_master_data_tables", f"""
+SELECT c.child_table, c.level, t.owner, t.table_type, t.documentation FROM ({_closure_sql("fx_table_ref", "T1")}) c
+JOIN fx_table_type t ON t.table_name = c.child_table WHERE t.table_type = 'M' AND t.owner = 'OWN'""")
+def f13_master(spark, sf):
+    return LK.dependent_tables(_fx(spark, sf, "fx_table_ref"), _fx(spark, sf, "fx_table_type"), "T1", owner="OWN", table_type="M")
+
+
+@query("g09_history_of_a_job", f"""
+WITH {RUNS_SQL}
+SELECT runs.job_id, batch_date, start_time, end_time, status, job_name, round((epoch_us(end_time) - epoch_us(start_time)) / 1000000.0, 3) AS runtime_secs
+FROM runs JOIN jobs ON jobs.job_id = runs.job_id WHERE runs.job_id = 7 AND start_time > TIMESTAMP '1998-08-03 00:00:00' - INTERVAL 300 DAY""")
+def g09_history(spark, sf):
+    return Q.job_history(_runs(spark, sf), _jobs(spark, sf), 7, AS_OF)
+
+
+@query("g12_usage_records", f"""
+WITH {USAGE_SQL}
+SELECT * FROM p WHERE db = 'db1' AND action = 'a3'""")
+def g12_records(spark, sf):
+    return Q.usage_records(_fx(spark, sf, "fx_usage_log"), {"db": "db1", "action": "a3"})

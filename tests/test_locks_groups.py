@@ -3,6 +3,7 @@
 import datetime as dt
 
 from tempolens.plans import counter_reports as CR
+from tempolens.plans import locks as LK
 from tempolens.plans import queue_reports as Q
 from tempolens.plans import sessions as SS
 from tempolens.plans import storage as SG
@@ -68,3 +69,45 @@ def test_cache_history_sums_partitions_within_a_snapshot(spark):
     assert SG.cache_history(cache, T[0], T[1], partitions=True, limit=2).count() == 2
     assert [tuple(x) for x in SG.cache_history_detail(cache, T[0], T[5], "O", "A", 1, "P2").collect()] == [(T[0], 20, 0)]
     assert {tuple(x) for x in SG.cache_snapshot(cache, T[0], 1).collect()} == {("O", "A", None, 30, 1)}
+
+
+def test_mutex_samples_end_is_exclusive(spark):
+    rows = spark.createDataFrame([(T[0], 1, "a", 5), (T[1], 1, "a", 6), (T[2], 1, "a", 5), (T[1], 2, "a", 6), (T[1], 1, "b", 6)],
+                                 "sleep_timestamp timestamp_ntz, inst_id int, mutex_type string, blocking_session int")
+    assert CR.mutex_samples(rows, T[0], T[2]).count() == 4
+    assert CR.mutex_samples(rows, T[0], T[2], 1, "a", {"blocking_session": 6}).count() == 1
+
+
+def test_enqueue_per_snapshot_reads_the_snapshot_before(spark):
+    fact = spark.createDataFrame([(1, 1, n, e, 10 * n * n, n) for n in range(1, 6) for e in (3, 4)] + [(1, 2, 2, 3, 0, 0)],
+                                 "dbid int, instance_number int, snap_id int, event_id int, total_waits long, total_timeouts long")
+    snaps = spark.createDataFrame([(1, i, n, T[n]) for n in range(1, 6) for i in (1, 2)], "dbid int, instance_number int, snap_id int, begin_interval_time timestamp_ntz")
+    def got(a, b):
+        return sorted(tuple(r) for r in CR.enqueue_per_snapshot(fact, snaps, 1, 1, 3, a, b).collect())
+    assert got(3, 4) == [(T[3], 3, 50, 1), (T[4], 4, 70, 1)]
+    assert got(1, 2) == [(T[1], 1, 0, 0), (T[2], 2, 30, 1)]
+
+
+def test_dependent_tables_are_reached_through_other_types(spark):
+    edges = spark.createDataFrame([("B", "A"), ("C", "B"), ("A", "A"), ("D", "A"), ("E", "X")], "child_table string, parent_table string")
+    types = spark.createDataFrame([("O", "B", "T", "b"), ("O", "C", "M", "c"), ("P", "D", "M", "d"), ("O", "E", "M", "e")],
+                                  "owner string, table_name string, table_type string, documentation string")
+    got = lambda **k: {(r.child_table, r.level) for r in LK.dependent_tables(edges, types, "A", **k).collect()}
+    assert got() == {("B", 1), ("C", 2), ("D", 1)}
+    assert got(owner="O", table_type="M") == {("C", 2)}
+
+
+def test_history_of_a_job_and_usage_records(spark):
+    runs = spark.createDataFrame([(1, T[0], T[1]), (1, T[2], None), (2, T[0], T[1]), (1, dt.datetime(2023, 1, 1), T[0])], "job_id int, start_time timestamp_ntz, end_time timestamp_ntz")
+    jobs = spark.createDataFrame([(1, "one")], "job_id int, job_name string")
+    assert sorted((r.start_time, r.runtime_secs) for r in Q.job_history(runs, jobs, 1, T[5]).collect()) == [(T[0], 3600.0), (T[2], None)]
+    lines = spark.createDataFrame([("ip1 db1 2024/01 c a 7",), ("ip1 db2 2024/01 c a 8",), ("ip2 db1 2024/02 c b 9",)], "line string")
+    assert [r.request_id for r in Q.usage_records(lines, {"db": "db1", "action": "a"}).collect()] == ["7"]
+    assert Q.usage_records(lines, {}).count() == 3
+
+
+def test_redo_logs_count_all_members(spark):
+    none = spark.createDataFrame([], "tablespace_name string, bytes long, autoextensible string, used_blocks long, contents string, block_size int")
+    redo = spark.createDataFrame([(1, 1 << 20, 2, 512), (1, 1 << 20, 1, 512), (2, 2 << 20, 1, 512)], "inst_id int, bytes long, members int, block_size int")
+    out = SG.tablespace_usage(none.select("tablespace_name", "contents", "block_size"), none, none, none, none, redo=redo).collect()
+    assert {(r.tablespace_name, r.mb_total, r.mb_free, r.pct_used) for r in out} == {("Redo Inst=1", 3.0, 0.0, 100.0), ("Redo Inst=2", 2.0, 0.0, 100.0)}
