@@ -13,10 +13,12 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import kept
@@ -180,39 +182,52 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> Da
     return _predict(docs, model, text_col, False).drop("__known")
 
 
+def _sent(spark: SparkSession, model: LanguageModel) -> tuple[Broadcast, str]:
+    """The broadcast of a model and a name for its tables in the workers, made once: a worker holds each model it unpickles."""
+    app = spark.sparkContext.applicationId
+    found = model.__dict__.pop("_sent", None)  # not part of what is sent
+    if found is None or found[0] != app:
+        found = (app, spark.sparkContext.broadcast(model), f"languages {uuid.uuid4().hex}")
+    model.__dict__["_sent"] = found
+    return found[1:]
+
+
 def _predict(docs: DataFrame, model: LanguageModel, text_col: str, with_known: bool) -> DataFrame:
     """:func:`predict` plus ``__known``: the share of the letters in words or n-grams that the best language
     has (null unless asked for).  ``GRACE`` letters more count as known, so that a short text with a name in it stays."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    name = f"languages {uuid.uuid4().hex}"
+    sent, name = _sent(docs.sparkSession, model)
+    name += " known" * with_known
 
     @F.arrow_udf("lang_pred string, score double, known double")
     def run(text: pa.Array) -> pa.Array:
         m = sent.value
         table = kept(name, lambda: _Scores(m, known=with_known))
         names, scores, shares = [], [], []
-        # few texts as Python strings at a time
-        for t in (t for at in range(0, len(text), 500) for t in text.slice(at, 500).to_pylist()):
-            seq = LETTERS.findall(t.lower()) if t else []
-            if not seq or not m.langs:
+        for x in text:  # one text as a Python string at a time, and a part of its words
+            t = x.as_py()
+            words = map(re.Match.group, LETTERS.finditer(t.lower() if t else ""))
+            part = list(islice(words, 50_000))
+            if not part or not m.langs:
                 names.append("und")
                 scores.append(0.0)
                 shares.append(None)
                 continue
             total = np.zeros(len(m.langs), np.float64)
             known = np.zeros(len(m.langs), np.float64)
-            for at in range(0, len(seq), 50_000):
-                part = seq[at:at + 50_000]
+            letters = 0
+            while part:
                 if len(table) + len(part) > table.limit:
                     table.clear()
                 at_rows = np.fromiter(map(table.__getitem__, part), np.int32, len(part))
                 total += table.rows[at_rows].sum(axis=0, dtype=np.float64)
                 if with_known:
                     known += table.known[at_rows].sum(axis=0, dtype=np.float64)
+                letters += sum(map(len, part))
+                part = list(islice(words, 50_000))
             best = int(total.argmax())
             names.append(m.langs[best])
             scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            shares.append(float((known[best] + GRACE) / (sum(map(len, seq)) + GRACE)) if with_known else None)
+            shares.append(float((known[best] + GRACE) / (letters + GRACE)) if with_known else None)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())],
                                           ["lang_pred", "score", "known"])
 
