@@ -52,7 +52,9 @@ def running_sum(df: DataFrame, part: list[str], order: str, value: Column, out:
     Rows are cut into chunks of ``chunk`` consecutive order values; the sum
     runs inside (part, chunk) and each chunk adds the total of all earlier
     chunks, taken from a small window over one row per chunk.  A single very
-    long text therefore spreads over many tasks.  ``chunk=None`` uses one
+    long text therefore spreads over many tasks.  There are as many offsets as
+    chunks, so they are merged, not sent to every task (sizes taken from files
+    know nothing of exploded rows).  ``chunk=None`` uses one
     window per part (cheaper when every part is small).
     """
     frame = (Window.unboundedPreceding, 0) if inclusive else (Window.unboundedPreceding, -1)
@@ -66,7 +68,7 @@ def running_sum(df: DataFrame, part: list[str], order: str, value: Column, out:
     tot = d.groupBy(*part, c).agg(F.sum("__rs_v").alias("__rs_t"))
     wo = Window.partitionBy(*part).orderBy(c).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*part, c, F.coalesce(F.sum("__rs_t").over(wo), F.lit(0)).alias("__rs_off"))
-    return d.join(off, [*part, c], "inner") \
+    return d.join(off.hint("merge"), [*part, c], "inner") \
         .withColumn(out, F.col("__rs_local") + F.col("__rs_off")).drop(c, "__rs_v", "__rs_local", "__rs_off")
 
 
@@ -82,7 +84,7 @@ def next_value(df: DataFrame, part: list[str], order: str, value: str, out: str,
     firsts = d.groupBy(*part, c).agg(F.min(value).alias("__nv_min"))
     wn = Window.partitionBy(*part).orderBy(c).rowsBetween(1, Window.unboundedFollowing)
     nxt = firsts.select(*part, c, F.first("__nv_min", ignorenulls=True).over(wn).alias("__nv_next"))
-    return d.join(nxt, [*part, c], "inner") \
+    return d.join(nxt.hint("merge"), [*part, c], "inner") \
         .withColumn(out, F.coalesce("__nv_local", "__nv_next")).drop(c, "__nv_local", "__nv_next")
 
 
@@ -197,15 +199,15 @@ def call_argument_scan(df: DataFrame, id_col: str, text_col: str, func: str = "N
     stream = stream.withColumn("_evk", F.col("_ev") * 2 + F.when(F.col("call_no").isNull(), 1).otherwise(0))
     stream = next_value(stream, ["_id"], "_evk", "_open", "_next_open", chunk=2 * chunk)
     calls = stream.filter(F.col("call_no").isNotNull()).select("_id", "call_no", "_name_pos", "_next_open")
-    calls = calls.join(pairs.withColumnRenamed("_open", "_next_open"), ["_id", "_next_open"], "inner") \
+    calls = calls.join(pairs.withColumnRenamed("_open", "_next_open").hint("merge"), ["_id", "_next_open"], "inner") \
         .filter(F.col("_comma").isNotNull() & (F.col("_comma") < F.col("_close")))
     # --- opens inside (comma, close): bucketed range join on the same text
     b = F.lit(bucket)
     iv = calls.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_comma") / b), F.floor(F.col("_close") / b))))
     op = tok.filter(F.col("_ch") == "(").select("_id", F.col("_pos").alias("_o"), F.floor(F.col("_pos") / b).alias("_b"))
-    hit = iv.join(op, ["_id", "_b"], "inner").filter((F.col("_o") > F.col("_comma")) & (F.col("_o") < F.col("_close")))
+    hit = iv.join(op.hint("merge"), ["_id", "_b"], "inner").filter((F.col("_o") > F.col("_comma")) & (F.col("_o") < F.col("_close")))
     rel = F.col("_name_pos") + len(f) - 1
-    out = hit.join(base, "_id", "inner").select(
+    out = hit.join(base.hint("merge"), "_id", "inner").select(
         F.col("_id").alias(id_col), "call_no",
         (F.col("_o") - rel).cast("bigint").alias("open_bracket_position"),
         F.substring(F.col("_u"), (rel + 1).cast("int"), (F.col("_close") - rel).cast("int")).alias("call_parameter"))
