@@ -57,10 +57,11 @@ def range_join_snaps(fact: DataFrame, borders: DataFrame, by=("dbid", "instance_
                      lo_exclusive: bool = False) -> DataFrame:
     """Fact rows with ``lo <= snap <= hi`` of their instance.
 
-    Equi join on the instance key plus a range condition; the border table
-    has one row per instance so it broadcasts (AQE decides at run time).
+    Equi join on the instance key plus a range condition.  The border table has
+    one row per instance and is broadcast: dealt by the instance, the facts
+    would lie in as many tasks as there are instances.
     """
-    bd = borders.select(*by, F.col(lo).alias("_lo"), F.col(hi).alias("_hi"))
+    bd = F.broadcast(borders.select(*by, F.col(lo).alias("_lo"), F.col(hi).alias("_hi")))
     low = (F.col(snap) > F.col("_lo")) if lo_exclusive else (F.col(snap) >= F.col("_lo"))
     return (fact.join(bd, list(by), "inner")
             .filter(low & (F.col(snap) <= F.col("_hi")))

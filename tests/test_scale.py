@@ -1,5 +1,8 @@
 """Joins whose sides grow with the input are merged; those with one row per instance are broadcast."""
 
+from pyspark.sql import functions as F
+
+from tempolens.operators.history import range_join_snaps
 from tempolens.operators.textscan import call_argument_scan
 
 
@@ -14,3 +17,17 @@ def test_chunked_scan_broadcasts_nothing(spark, tmp_path):
     got = call_argument_scan(df, "id", "txt", chunk=4)
     assert "Broadcast" not in _plan(got)
     assert [(r.call_no, r.call_parameter) for r in got.collect()] == [(1, "(A, F(B))")]
+
+
+def test_range_join_does_not_deal_facts_by_instance(spark):
+    facts = spark.range(1000).select(F.lit(1).alias("dbid"), (F.col("id") % 2 + 1).cast("int").alias("instance_number"), F.col("id").alias("snap_id"))
+    borders = spark.range(2).select(F.lit(1).alias("dbid"), (F.col("id") + 1).cast("int").alias("instance_number"),
+                                    F.lit(10).alias("start_snap_id"), F.lit(19).alias("end_snap_id"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:  # as if the size of the borders were not known to be small
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = range_join_snaps(facts, borders)
+        assert "hashpartitioning" not in _plan(got)
+        assert sorted(r.snap_id for r in got.collect()) == list(range(10, 20))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
