@@ -44,6 +44,7 @@ from ..operators.grouping import change_detection, conditional_pivot, outlier_vs
 from ..operators.hierarchy import subtree_self_join
 from ..operators.lookup import resolve_by_range, unused_anti
 from ..operators.textscan import call_argument_scan, regex_column_use
+from ..session import written
 
 # The seven rule groups.
 GROUPS = ("Potential in DB-structures", "Detection of SQL with problematic execution plan",
@@ -888,7 +889,9 @@ def r37_parallel_with_serial_parts_hist(t: Tables, days: int):
 def _cartesian_walk(plan: DataFrame, marker: str) -> DataFrame:
     """Lines below each cartesian join, descending through lines without an object, keeping the first lines with one."""
     from ..operators.trees import marked_above
-    marked = plan.filter(F.col("options") == marker).select(*STMT).distinct()
+    # written, so that the joins below know their sizes: dealt by statement and plan, the lines would lie in a few tasks
+    plan = written(plan.select(*STMT, "id", "parent_id", "operation", "options", "object_owner", "object_name"), "plan")
+    marked = written(plan.filter(F.col("options") == marker).select(*STMT).distinct(), "marked")
     return marked_above(plan.join(marked, STMT, "left_semi"), ["sql_id", "plan_hash_value"], F.col("options") == marker,
                         F.col("object_name").isNull()).filter(F.col("object_name").isNotNull())
 
@@ -896,21 +899,23 @@ def _cartesian_walk(plan: DataFrame, marker: str) -> DataFrame:
 @rule("R45", "Cartesian joins and the objects they combine (cursor cache)", 1, marker="CARTESIAN", min_elapsed_secs=100.0)
 def r45_cartesian_cur(t: Tables, marker: str, min_elapsed_secs: float):
     w = _cartesian_walk(t.sql_plan, marker)
-    a = t.sqlarea.select("sql_id", "executions", F.round(F.col("elapsed_time") / 1e6, 6).alias("elapsed_secs"))
-    o = t.objects.select(F.col("owner").alias("object_owner"), "object_name", "num_rows")
-    out = w.join(a, "sql_id", "inner").filter(F.col("elapsed_secs") > min_elapsed_secs).join(o, ["object_owner", "object_name"], "left")
+    a = written(t.sqlarea.select("sql_id", "executions", F.round(F.col("elapsed_time") / 1e6, 6).alias("elapsed_secs"))
+                .filter(F.col("elapsed_secs") > min_elapsed_secs), "area")
+    o = written(t.objects.select(F.col("owner").alias("object_owner"), "object_name", "num_rows"), "objects")
+    out = w.join(a, "sql_id", "inner").join(o, ["object_owner", "object_name"], "left")
     return out.select("sql_id", "plan_hash_value", "operation", "options", "object_owner", "object_name", "num_rows",
                       "executions", "elapsed_secs", F.col("id").alias("line_id"), "parent_id", "level")
 
 
 @rule("R46", "Cartesian joins and the objects they combine (history)", 1, marker="CARTESIAN", days=8, min_elapsed_secs=100.0)
 def r46_cartesian_hist(t: Tables, marker: str, days: int, min_elapsed_secs: float):
-    w = _cartesian_walk(t.sql_plan, marker).select("sql_id", "plan_hash_value", "operation", "options", "object_owner",
-                                                   "object_name", F.col("id").alias("line_id"), "parent_id")
-    s = recent_sqlstat(t, days).select("instance_number", "sql_id", "plan_hash_value", "executions_delta", "elapsed_time_delta")
-    g = w.join(s, ["sql_id", "plan_hash_value"], "inner").groupBy(
-        "instance_number", "sql_id", "plan_hash_value", "operation", "options", "object_owner", "object_name", "line_id", "parent_id").agg(
-        F.sum("executions_delta").alias("executions"), F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"))
+    """Both sides are summed before they meet: the history per plan, the walk as its rows per line."""
+    line = ["sql_id", "plan_hash_value", "operation", "options", "object_owner", "object_name", "line_id", "parent_id"]
+    w = _cartesian_walk(t.sql_plan, marker).withColumnRenamed("id", "line_id").groupBy(*line).agg(F.count(F.lit(1)).alias("_n"))
+    s = written(recent_sqlstat(t, days).groupBy("instance_number", "sql_id", "plan_hash_value").agg(
+        F.sum("executions_delta").alias("_e"), F.sum("elapsed_time_delta").alias("_t")), "stat")
+    g = w.join(s, ["sql_id", "plan_hash_value"], "inner").select(
+        "instance_number", *line, (F.col("_n") * F.col("_e")).alias("executions"), F.round(F.col("_n") * F.col("_t") / 1e6, 6).alias("elapsed_secs"))
     return g.filter(F.col("elapsed_secs") > min_elapsed_secs)
 
 

@@ -31,3 +31,29 @@ def test_range_join_does_not_deal_facts_by_instance(spark):
         assert sorted(r.snap_id for r in got.collect()) == list(range(10, 20))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def _cartesian_plan(spark):
+    return spark.createDataFrame([
+        ("s", 1, 0, None, "SELECT", None, None, None), ("s", 1, 1, 0, "MERGE JOIN", "CARTESIAN", None, None),
+        ("s", 1, 2, 1, "MERGE JOIN", "CARTESIAN", None, None), ("s", 1, 3, 2, "TABLE ACCESS", "FULL", "o", "t"), ("s", 1, 4, 1, "SORT", None, "o", "u")],
+        "sql_id string, plan_hash_value int, id long, parent_id long, operation string, options string, object_owner string, object_name string")
+
+
+def test_marked_lines_are_merged(spark):
+    from tempolens.operators.trees import marked_above
+    got = marked_above(_cartesian_plan(spark), ["sql_id", "plan_hash_value"], F.col("options") == "CARTESIAN", F.col("object_name").isNull())
+    assert "Broadcast" not in _plan(got)
+    assert sorted((r.id, r.level) for r in got.collect()) == [(1, 1), (2, 1), (2, 2), (3, 2), (3, 3), (4, 2)]
+
+
+def test_cartesian_history_is_summed_before_the_join(spark):
+    """Lines and history rows of a plan do not meet one by one, and lines below two joins count twice."""
+    from tempolens.plans.rules import apply_rule
+    stat = spark.createDataFrame([(1, 1, 1, "s", 1, 2, 60_000_000), (1, 1, 1, "s", 1, 3, 50_000_000), (1, 2, 1, "s", 1, 1, 40_000_000)],
+                                 "dbid int, instance_number int, snap_id int, sql_id string, plan_hash_value int, executions_delta long, elapsed_time_delta long")
+    snaps = spark.sql("SELECT 1 AS dbid, CAST(id + 1 AS INT) AS instance_number, 1 AS snap_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS begin_interval_time FROM range(2)")
+    got = apply_rule("R46", {"sql_plan": _cartesian_plan(spark), "sqlstat": stat, "snapshot": snaps}, days=8)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")
+    assert sorted((r.instance_number, r.line_id, r.executions, r.elapsed_secs) for r in got.collect()) == [(1, 3, 10, 220.0), (1, 4, 5, 110.0)]
