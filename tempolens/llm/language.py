@@ -12,7 +12,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import islice
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import kept
+from ._common import kept, materialize
 
 #: A word: letters of any script.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -67,7 +67,19 @@ class LanguageModel:
         return self.base.get(n, np.float32(0))
 
 
-def count_tables(sample: DataFrame, max_n: int, top_words: int, top_grams: int) -> DataFrame:
+class Rows:
+    """Token -> row of one matrix: a few times smaller in each worker than an array for each token."""
+
+    def __init__(self, table: dict[str, np.ndarray]):
+        self.at = {t: i for i, t in enumerate(table)}
+        self.rows = np.array(list(table.values()), np.float32)
+
+    def get(self, token: str) -> np.ndarray | None:
+        i = self.at.get(token)
+        return None if i is None else self.rows[i]
+
+
+def count_tables(labelled: DataFrame, max_n: int, top_words: int, top_grams: int) -> DataFrame:
     """(lang, n, token, count): the most frequent words (n = 0) and n-grams of each language."""
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +119,7 @@ def count_tables(sample: DataFrame, max_n: int, top_words: int, top_grams: int)
                     [pa.array(lang, pa.string()), pa.array(length, pa.int32()), pa.array(token, pa.string()), pa.array(list(t.values()), pa.int64())],
                     ["lang", "n", "token", "c"])
 
-    counted = (sample.mapInArrow(count_words, "lang string, token string, c long")
+    counted = (labelled.mapInArrow(count_words, "lang string, token string, c long")
                .groupBy("lang", "token").agg(F.sum("c").alias("c")))
     top = Window.partitionBy("lang").orderBy(F.desc("c"), "token")
     words = counted.withColumn("r", F.row_number().over(top)).where(F.col("r") <= top_words).drop("r")
@@ -119,23 +131,19 @@ def count_tables(sample: DataFrame, max_n: int, top_words: int, top_grams: int)
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          docs_per_lang: int = 4000, top_words: int = 40_000, top_grams: int = 10_000, max_n: int = 4) -> LanguageModel:
-    """Fit on about ``docs_per_lang`` rows of each language, chosen by a hash of the row.
+          top_words: int = 40_000, top_grams: int = 10_000, max_n: int = 4) -> LanguageModel:
+    """Fit on every row.
 
-    The sample is the only bounded part (``docs_per_lang``); ``top_words`` words and
-    ``top_grams`` n-grams of each length bound the model that the driver gathers.
-    Rows with a null or empty text or a null language are not learned from.
+    ``top_words`` words and ``top_grams`` n-grams of each length bound the model
+    that the driver gathers.  Rows with a null or empty text or a null language
+    are not learned from.
     """
-    src = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")) \
+    src = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")) \
         .where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    langs = sorted(sizes)
+    langs = sorted(r["lang"] for r in src.select("lang").distinct().collect())
     if not langs:
         return LanguageModel([], max_n)
-    share = F.create_map(*[x for g in langs for x in (F.lit(g), F.lit(min(1.0, docs_per_lang / sizes[g])))])
-    draw = F.pmod(F.xxhash64("id", "lang"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = src.where(draw < share[F.col("lang")]).select("lang", "text")
-    rows = count_tables(sample, max_n, top_words, top_grams).toArrow().to_pylist()
+    rows = count_tables(src.select("lang", "text"), max_n, top_words, top_grams).toArrow().to_pylist()
 
     total: Counter[tuple[str, int]] = Counter()
     kinds: dict[int, dict[str, dict[str, int]]] = {}
@@ -187,7 +195,8 @@ def _sent(spark: SparkSession, model: LanguageModel) -> tuple[Broadcast, str]:
     app = spark.sparkContext.applicationId
     found = model.__dict__.pop("_sent", None)  # not part of what is sent
     if found is None or found[0] != app:
-        found = (app, spark.sparkContext.broadcast(model), f"languages {uuid.uuid4().hex}")
+        packed = replace(model, words=Rows(model.words), grams=Rows(model.grams))
+        found = (app, spark.sparkContext.broadcast(packed), f"languages {uuid.uuid4().hex}")
     model.__dict__["_sent"] = found
     return found[1:]
 
@@ -246,33 +255,30 @@ def fit_on_documents(docs: DataFrame, **options) -> LanguageModel:
     return train(docs.where(F.col("doc_id").isNotNull() & ~held_out()), **options)
 
 
-def known_floors(docs: DataFrame, model: LanguageModel, docs_per_lang: int = 1000, least: int = 20, share: float = 0.002, slack: float = 0.7) -> dict[str, float]:
+def known_floors(found: DataFrame, langs: list[str], least: int = 20, share: float = 0.002, slack: float = 0.7) -> dict[str, float]:
     """For each language the least share of known letters (see :func:`identify`) of its texts.
 
-    ``slack`` times the ``share`` quantile of about ``docs_per_lang`` labelled rows
-    that are held out, so that clean texts stay.  A language with fewer than
-    ``least`` of them has no floor.
+    ``found`` holds all documents with ``lang_pred`` and ``__known``.  ``slack``
+    times the ``share`` quantile of all labelled rows that are held out and
+    recognised, so that clean texts stay.  A language with fewer than ``least`` of
+    them has no floor.
     """
-    src = docs.where(held_out() & F.col("lang").isin(model.langs) & (F.length("text") > 0)).select(F.col("doc_id").cast("string").alias("id"), "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in src.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not sizes:
-        return {}
-    rate = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(min(1.0, docs_per_lang / n)))])
-    draw = F.pmod(F.xxhash64("lang", "id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    found = _predict(src.where(draw < rate[F.col("lang")]).select("lang", "text"), model, "text", True).where("lang = lang_pred")
-    rows = found.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__known", share, 10_000).alias("q")).collect()
+    rows = (found.where(held_out() & F.col("lang").isin(langs) & (F.col("lang") == F.col("lang_pred"))).groupBy("lang")
+            .agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__known", share, 10_000).alias("q")).collect())
     return {r["lang"]: slack * r["q"] for r in rows if r["n"] >= least}
 
 
-def identify(docs: DataFrame, model: LanguageModel, min_score: float = 0.5, floors: dict[str, float] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, min_score: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is recognised, unchanged.
 
     Their language has a score of at least ``min_score`` among those learned and,
     as that says nothing of a text in none of them, at least its floor
     (:func:`known_floors`) of the text's letters is in words or n-grams it has.
+    All texts are scored once, in a table that the floors and the rows come from.
     """
-    src = docs.withColumn("__text", F.col("text"))
-    found = _predict(src.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), "__text"), model, "__text", bool(floors))
+    src = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"))
+    found = materialize(_predict(src, model, "doc.text", True), "languages")
+    floors = known_floors(found.select("doc.doc_id", "doc.lang", "lang_pred", "__known"), model.langs)
     fine = (F.col("lang_pred") != "und") & (F.col("score") >= min_score)
     if floors:
         least = F.create_map(*[F.lit(x) for g, v in floors.items() for x in (g, float(v))])

@@ -66,3 +66,14 @@ def test_texts_in_no_language_learned_go(spark):
     assert left.where("doc_id < 0").count() == 0
     gone = docs.join(left, "doc_id", "left_anti").collect()
     assert not [r.doc_id for r in gone if any(c.isalpha() for c in r.text or "")]
+
+
+def test_all_labelled_rows_are_learned_from(spark):
+    """Every document's own word is in the model, and floors are quantiles of all rows held out."""
+    rows = [(i, "common " + "".join(chr(97 + int(d)) for d in str(i)), "p") for i in range(5000)]
+    model = language.train(frame(spark, rows, "doc_id long, text string, lang string"))
+    assert len(model.words) == 5001
+    found = spark.range(12_000).selectExpr("id AS doc_id", "'p' AS lang", "'p' AS lang_pred", "id / 12000 AS __known")
+    found = found.where(language.held_out())
+    n, known = found.count(), sorted(r[0] for r in found.select("__known").collect())
+    assert language.known_floors(found, ["p"]) == {"p": 0.7 * known[-(-n * 2 // 1000) - 1]}
