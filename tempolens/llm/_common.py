@@ -85,19 +85,26 @@ def text_key(*cols: str) -> Column:
 
 
 _KEPT: dict[str, object] = {}
+#: malloc.h of glibc
+_M_TRIM_THRESHOLD, _M_MMAP_THRESHOLD = -1, -3
 
 
 def kept(name: str, make: Callable[[], T]) -> T:
     """What a Python worker keeps from task to task under ``name``.
 
     Workers serve one operator after another; the caches of others are let go,
-    so their memory doesn't add up.
+    so their memory doesn't add up; blocks of a megabyte or more, Arrow's too,
+    go back to the system as they are freed.
     """
     if name not in _KEPT:
         _KEPT.clear()
         gc.collect()
         if sys.platform == "linux":
-            ctypes.CDLL(None).malloc_trim(0)
+            libc = ctypes.CDLL(None)
+            libc.mallopt(_M_MMAP_THRESHOLD, 1 << 20)
+            libc.mallopt(_M_TRIM_THRESHOLD, 1 << 20)
+            libc.malloc_trim(0)
+            pa.set_memory_pool(pa.system_memory_pool())
         _KEPT[name] = make()
     return _KEPT[name]
 

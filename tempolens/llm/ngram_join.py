@@ -64,7 +64,7 @@ class Jaccard:
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -104,31 +104,29 @@ def _long(grams: np.ndarray) -> pa.Array:
     return pa.array(grams.view(np.int64))
 
 
-def describe(docs: DataFrame, how: Jaccard, hot_share: float) -> DataFrame:
-    """One row per document (id, rk, size, key, bits), and rows (gram, n) of n-grams frequent in a stretch of documents.
+#: N-grams of a stretch of documents and rows taken at a time: they bound what a worker of :func:`describe` holds.
+STRETCH, ROWS = 500_000, 500
 
-    An n-gram found in more than ``hot_share`` of all documents is that frequent
-    in one stretch at least, so none is missed.  Equal sets count once in a stretch.
-    """
-    src = docs
-    kind = src.schema["id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        held = 0
-
-        def hot(id_type: pa.DataType) -> pa.RecordBatch:
-            got, n = np.unique(np.concatenate([*seen.values(), np.empty(0, np.uint64)]), return_counts=True)
-            often = n >= max(5, hot_share * len(seen))
-            k = int(often.sum())
-            return pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.nulls(k, pa.int64()),
-                 pa.nulls(k, pa.list_(pa.int64())), _long(got[often])], names)
-
-        names = ["id", "rk", "size", "key", "bits", "gram"]
-        id_type = None
-        for b in batches:
-            id_type = b.column("id").type
+
+def described_rows(batches: Iterator[pa.RecordBatch], how: Jaccard, hot_share: float) -> Iterator[pa.RecordBatch]:
+    """The rows of :func:`describe` for a stream of (id, rk, text); n-grams are counted a stretch at a time."""
+    names = ["id", "rk", "size", "key", "bits", "gram"]
+    seen: dict[int, np.ndarray] = {}
+    held = 0
+
+    def hot(id_type: pa.DataType) -> pa.RecordBatch:
+        got, n = np.unique(np.concatenate([*seen.values(), np.empty(0, np.uint64)]), return_counts=True)
+        often = n >= max(5, hot_share * len(seen))
+        k = int(often.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.array(n[often], pa.int64()), pa.nulls(k, pa.int64()),
+             pa.nulls(k, pa.list_(pa.int64())), _long(got[often])], names)
+
+    id_type = None
+    for whole in batches:
+        id_type = whole.column("id").type
+        for at in range(0, whole.num_rows, ROWS):
+            b = whole.slice(at, ROWS)
             sets = [gram_set(x, how.n) for x in utf8(b.column("text"))]
             keys = [set_key(g) for g in sets]
             yield pa.RecordBatch.from_arrays(
@@ -138,14 +136,23 @@ def describe(docs: DataFrame, how: Jaccard, hot_share: float) -> DataFrame:
                 if key not in seen:
                     seen[key] = g
                     held += len(g)
-                    if held > 2_000_000:
+                    if held > STRETCH:
                         yield hot(id_type)
                         seen.clear()
                         held = 0
-        if seen:
-            yield hot(id_type)
+    if seen:
+        yield hot(id_type)
+
+
+def describe(docs: DataFrame, how: Jaccard, hot_share: float) -> DataFrame:
+    """One row per document (id, rk, size, key, bits), and rows (gram, n) of n-grams frequent in a stretch of documents.
 
-    return src.mapInArrow(run, f"id {kind}, rk long, size long, key long, bits array<long>, gram long")
+    An n-gram found in more than ``hot_share`` of all documents is that frequent
+    in one stretch at least, so none is missed.  Equal sets count once in a stretch.
+    """
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.mapInArrow(lambda batches: described_rows(batches, how, hot_share),
+                           f"id {kind}, rk long, size long, key long, bits array<long>, gram long")
 
 
 def shared_prefixes(docs: DataFrame, how: Jaccard, hot: Broadcast[np.ndarray], buckets: int) -> DataFrame:

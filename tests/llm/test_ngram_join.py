@@ -138,3 +138,23 @@ def test_long_and_short_texts_of_one_passage(spark):
         rows.append((i, " ".join(base[:len(base) - rnd.choice([0, 0, 5])] + words[:20])))
     out = J.similar_documents(frame(spark, rows), 4, 85, hot_share=2.0)
     assert got(out, *COLS) == brute(rows)
+
+
+def test_a_worker_holds_a_short_stretch():
+    """Sets of one large batch and the n-grams being counted are not all held at once."""
+    import random
+    import tracemalloc
+
+    import pyarrow as pa
+    rnd = random.Random(1)
+    texts = [" ".join(f"w{rnd.randrange(5000)}" for _ in range(500)) for _ in range(3000)]
+    b = pa.RecordBatch.from_pydict({"id": range(3000), "rk": range(3000), "text": texts})
+    J.gram_set(b"fill", 5)
+    tracemalloc.start()
+    rows = 0
+    for out in J.described_rows(iter([b]), J.Jaccard(5, 80), 0.002):
+        rows += out.num_rows - out.column("key").null_count
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000
+    assert peak < 30_000_000
