@@ -42,6 +42,25 @@ def test_chunks_give_the_ids_of_the_text(texts):
             assert np.frombuffer(packed, enc.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abzA'sStTredvlm \n\t\r \x0b1<|>,.-é×ÉßÀÿ")), max_size=4))
+def test_plain_texts_give_the_ids_of_the_text(texts):
+    for t, enc in TOKS.values():
+        for text, packed in zip(texts, enc.encode(texts, group_chars=7)):
+            assert np.frombuffer(packed, enc.dtype).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_every_word_goes_to_the_model_once(name):
+    """Not once with each mark beside it, as chunks between white space would."""
+    enc, seen = Encoder(P.path(name)), []
+    tokenize = enc.words.tokenize
+    enc.words.tokenize = lambda w: seen.append(w) or tokenize(w)
+    text = " ".join(f"{a}word{b}" for a in "([{<" for b in ")]}>.,;!")
+    assert [x.tolist() for x in (np.frombuffer(p, enc.dtype) for p in enc.encode([text, text]))] == [ids_of(name, text, 0)[:-1]] * 2
+    assert len(seen) == len(set(seen)) < 20 and not enc.known
+
+
 def documents(spark, sf):
     return [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
 
