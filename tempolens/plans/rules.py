@@ -752,10 +752,12 @@ def r06_fk_without_index(t: Tables, min_rows_target: int):
 
 @rule("R09", "Indexes with few key values", 0, min_rows=100000, max_distinct_keys=10)
 def r09_few_keys(t: Tables, min_rows: int, max_distinct_keys: int):
-    i = t.indexes.filter((F.col("num_rows") > min_rows) & (F.col("distinct_keys") <= max_distinct_keys))
+    """The found indexes are written once; columns of other indexes are left out before they meet the table columns."""
+    i = written(t.indexes.filter((F.col("num_rows") > min_rows) & (F.col("distinct_keys") <= max_distinct_keys)), "r09-indexes")
     tb = t.tables.select(F.col("owner").alias("table_owner"), "table_name", F.col("num_rows").alias("rows_table"), "iot_type")
-    nn = t.ind_columns.join(t.tab_columns.select(F.col("owner").alias("table_owner"), "table_name", "column_name", "nullable"),
-                            ["table_owner", "table_name", "column_name"], "inner") \
+    nn = t.ind_columns.join(i.select(F.col("owner").alias("index_owner"), "index_name"), ["index_owner", "index_name"], "left_semi") \
+        .join(t.tab_columns.select(F.col("owner").alias("table_owner"), "table_name", "column_name", "nullable"),
+              ["table_owner", "table_name", "column_name"], "inner") \
         .groupBy(F.col("index_owner").alias("owner"), "index_name").agg(
             F.when(F.sum(F.when(F.col("nullable") == "N", 1).otherwise(0)) == F.count(F.lit(1)), F.lit("NOT NULL"))
             .otherwise(F.lit("NULLABLE")).alias("nullable"))

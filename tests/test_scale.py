@@ -57,3 +57,18 @@ def test_cartesian_history_is_summed_before_the_join(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")
     assert sorted((r.instance_number, r.line_id, r.executions, r.elapsed_secs) for r in got.collect()) == [(1, 3, 10, 220.0), (1, 4, 5, 110.0)]
+
+
+def test_few_keys_joins_columns_of_found_indexes_only(spark):
+    """Columns of indexes that are not in the result do not meet the table columns."""
+    from tempolens.plans.rules import apply_rule
+    tables = spark.createDataFrame([("o", "t", 900, None)], "owner string, table_name string, num_rows long, iot_type string")
+    indexes = spark.createDataFrame([("o", f"i{k}", "o", "t", 800, 2 if k < 2 else 500, 10) for k in range(6)],
+                                    "owner string, index_name string, table_owner string, table_name string, num_rows long, distinct_keys long, leaf_blocks long")
+    ind = spark.createDataFrame([("o", f"i{k}", "o", "t", "a" if k else "b", 1) for k in range(6)],
+                                "index_owner string, index_name string, table_owner string, table_name string, column_name string, column_position int")
+    cols = spark.createDataFrame([("o", "t", "a", "N"), ("o", "t", "b", "Y")], "owner string, table_name string, column_name string, nullable string")
+    got = apply_rule("R09", {"tables": tables, "indexes": indexes, "ind_columns": ind, "tab_columns": cols}, min_rows=200, max_distinct_keys=3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
+    assert sorted((r.index_name, r.rows_per_key, r.possible_nulls, r.nullable) for r in got.collect()) == [("i0", 400.0, 100, "NULLABLE"), ("i1", 400.0, 100, "NOT NULL")]
