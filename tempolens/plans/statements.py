@@ -112,22 +112,32 @@ WAIT_SPLIT = {"clwait_delta": "cluster_wait_secs", "apwait_delta": "application_
               "iowait_delta": "user_io_wait_secs", "plsexec_time_delta": "plsql_exec_secs"}
 
 
+def _distinct(col):
+    """Number of distinct non-null values, as the size of their set."""
+    return F.size(F.collect_set(col)).cast("long")
+
+
 def statement_detail(sqlstat: DataFrame, snaps: DataFrame, min_snap: int, max_snap: int, unknown: str = "[UNKNOWN]") -> DataFrame:
     """Full history summary of every (dbid, instance, statement, schema) of a snapshot range.
 
     Last plan, environment, module and action are those of the last snapshot; plan
     hash 0 is no plan; a null schema is ``unknown``, like in the filter of the
     detail page.  Ratios divide by 1 where the divisor is 0.
+
+    The snapshots have one row per instance and interval and are broadcast: dealt
+    by them, the facts would lie in as many tasks.  Plans and environments are few
+    per statement; their sets need no Expand of the rows.
     """
     s = sqlstat.where(F.col("snap_id").between(min_snap, max_snap)).withColumn("parsing_schema_name", F.coalesce("parsing_schema_name", F.lit(unknown)))
-    j = s.join(snaps.select(*INST, "snap_id", "begin_interval_time", "end_interval_time"), INST + ["snap_id"])
+    b = snaps.where(F.col("snap_id").between(min_snap, max_snap)).select(*INST, "snap_id", "begin_interval_time", "end_interval_time")
+    j = s.join(F.broadcast(b), INST + ["snap_id"])
     execs, gets, disk = F.sum("executions_delta"), F.sum("buffer_gets_delta"), F.sum("disk_reads_delta")
     plan = F.col("plan_hash_value")
     return j.groupBy(*INST, "sql_id", "parsing_schema_name").agg(
         last_value_by("plan_hash_value", "snap_id").alias("last_plan_hash_value"),
-        F.count_distinct(F.when(plan != 0, plan)).alias("plan_hash_values"),
+        _distinct(F.when(plan != 0, plan)).alias("plan_hash_values"),
         last_value_by("optimizer_env_hash_value", "snap_id").alias("last_optimizer_env"),
-        F.count_distinct("optimizer_env_hash_value").alias("optimizer_envs"),
+        _distinct("optimizer_env_hash_value").alias("optimizer_envs"),
         *[F.sum(f"{c}_delta").alias(c) for c in ("executions", "fetches", "parse_calls", "sorts", "loads", "disk_reads", "buffer_gets", "rows_processed")],
         ((gets - disk) * 100 / F.greatest(gets, F.lit(1))).alias("hit_ratio"),
         F.round(F.sum("elapsed_time_delta") / 1e6, 6).alias("elapsed_secs"),

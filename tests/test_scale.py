@@ -72,3 +72,22 @@ def test_few_keys_joins_columns_of_found_indexes_only(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
     assert sorted((r.index_name, r.rows_per_key, r.possible_nulls, r.nullable) for r in got.collect()) == [("i0", 400.0, 100, "NULLABLE"), ("i1", 400.0, 100, "NOT NULL")]
+
+
+def test_statement_detail_has_no_expand_and_is_not_dealt_by_snapshot(spark):
+    from tempolens.plans.statements import WAIT_SPLIT, statement_detail
+    deltas = [f"{c}_delta" for c in ("executions", "fetches", "parse_calls", "sorts", "loads", "disk_reads", "buffer_gets", "rows_processed", "elapsed_time", "cpu_time")]
+    stat = spark.createDataFrame([(1, 1, 6, "s", 3, 0, None), (1, 1, 7, "s", 4, 1, None), (1, 1, 7, "s", 0, 1, None), (1, 1, 9, "s", 5, 2, None)],
+                                 "dbid int, instance_number int, snap_id int, sql_id string, plan_hash_value long, optimizer_env_hash_value long, parsing_schema_name string")
+    stat = stat.select("*", *[F.lit(1).cast("long").alias(c) for c in {*deltas, *WAIT_SPLIT}], F.lit("m").alias("module"), F.lit("a").alias("action"))
+    snaps = spark.sql("SELECT 1 AS dbid, 1 AS instance_number, CAST(id AS INT) AS snap_id, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS begin_interval_time,"
+                      " TIMESTAMP_NTZ '2024-01-02 00:00:00' AS end_interval_time FROM range(5, 10)")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:  # as if the size of the snapshots were not known to be small
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = statement_detail(stat, snaps, 6, 8)
+        assert "Expand" not in _plan(got) and "SortMergeJoin" not in _plan(got)
+        assert [(r.plan_hash_values, r.optimizer_envs, r.last_plan_hash_value, r.executions, r.parsing_schema_name) for r in got.collect()] == [(2, 2, 4, 3, "[UNKNOWN]")]
+        assert dict(got.dtypes)["plan_hash_values"] == "bigint"
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
