@@ -1017,7 +1017,8 @@ def r12_low_selectivity_columns(t: Tables, selectivity_divisor: float, min_rows:
                                                        last_value_by("column_name", "num_distinct").alias("max_column"))
     i = t.indexes.filter(F.col("num_rows").isNotNull() & (F.col("num_rows") > 0) & (F.col("uniqueness") == "NONUNIQUE")) \
         .select(F.col("owner").alias("index_owner"), "index_name", "table_owner", "table_name", "num_rows")
-    p = t.sql_plan.select("sql_id", "plan_hash_value", "object_owner", "object_name")
+    # written, as in R45: dealt by plan, the lines would lie in a few tasks, and the joins below would leave them there
+    p = written(t.sql_plan.select("sql_id", "plan_hash_value", "object_owner", "object_name"), "plan").distinct()
     idx_lines = p.select("sql_id", "plan_hash_value", F.col("object_owner").alias("index_owner"), F.col("object_name").alias("index_name"))
     tab_lines = p.select("sql_id", "plan_hash_value", F.col("object_owner").alias("table_owner"), F.col("object_name").alias("table_name"))
     only = idx_lines.join(i.select("index_owner", "index_name", "table_owner", "table_name"), ["index_owner", "index_name"], "inner") \

@@ -91,3 +91,23 @@ def test_statement_detail_has_no_expand_and_is_not_dealt_by_snapshot(spark):
         assert dict(got.dtypes)["plan_hash_values"] == "bigint"
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_index_only_lines_are_dealt_by_object(spark):
+    """Plan lines that come dealt by their plan do not stay in as many tasks as there are plans."""
+    from tempolens.plans.rules import apply_rule
+    table = "owner string, table_name string, column_name string, num_distinct long"
+    cols = spark.createDataFrame([("o", "t", "a", 90), ("o", "t", "b", 2)], table)
+    ind = spark.createDataFrame([("o", i, "o", "t", c) for i in ("i", "j") for c in "ab"], "index_owner string, index_name string, table_owner string, table_name string, column_name string")
+    indexes = spark.createDataFrame([("o", i, "o", "t", 200, "NONUNIQUE") for i in ("i", "j")],
+                                    "owner string, index_name string, table_owner string, table_name string, num_rows long, uniqueness string")
+    lines = spark.createDataFrame([("s", 1, "o", "i"), ("s", 1, "o", "t"), ("s", 2, "o", "j"), ("s", 2, "o", "j"), ("s", 2, None, None)],
+                                  "sql_id string, plan_hash_value int, object_owner string, object_name string").repartition(2, "plan_hash_value")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = apply_rule("R12", {"tab_columns": cols, "ind_columns": ind, "indexes": indexes, "sql_plan": lines}, min_rows=100)
+        assert "hashpartitioning(plan_hash_value" not in _plan(got)
+        assert [(r.index_name, r.max_column, r.min_column) for r in got.collect()] == [("i", "a", "b")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
