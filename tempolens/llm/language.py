@@ -11,7 +11,7 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 from itertools import islice
 
@@ -68,16 +68,25 @@ class LanguageModel:
 
 
 class Rows:
-    """Token -> row of one matrix: a few times smaller in each worker than an array for each token."""
+    """Token -> row of one matrix: a few times smaller in each worker than an array for each token.  Row -1 is of zeros."""
 
-    def __init__(self, table: dict[str, np.ndarray]):
+    def __init__(self, table: dict[str, np.ndarray], width: int):
         self.at = {t: i for i, t in enumerate(table)}
-        self.rows = np.array(list(table.values()), np.float32)
+        self.rows = np.zeros((len(table) + 1, width), np.float32)
+        for i, v in enumerate(table.values()):
+            self.rows[i] = v
 
     def get(self, token: str) -> np.ndarray | None:
         i = self.at.get(token)
         return None if i is None else self.rows[i]
 
+    def places(self, groups: list[list[str]]) -> np.ndarray:
+        """The row of each token of each group, -1 for a token not there and after a group's last one."""
+        sizes = np.array([len(g) for g in groups], np.int32)
+        out = np.full((len(groups), sizes.max(initial=0)), -1, np.int32)
+        out[np.arange(out.shape[1]) < sizes[:, None]] = [self.at.get(t, -1) for g in groups for t in g]
+        return out
+
 
 def count_tables(labelled: DataFrame, max_n: int, top_words: int, top_grams: int) -> DataFrame:
     """(lang, n, token, count): the most frequent words (n = 0) and n-grams of each language."""
@@ -162,22 +171,98 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
 
 class _Scores(dict):
-    """Word -> row of ``rows``, filled as words appear and emptied when full."""
+    """Words beside the model's -> their places in ``rows``, filled as words appear and emptied when full.
+
+    The first places are those of the model's own words, which stay.  ``known``
+    holds :meth:`LanguageModel.known` times the letters of the word.
+    """
 
     def __init__(self, model: LanguageModel, limit: int = 120_000, known: bool = False):
         super().__init__()
-        self.model, self.limit = model, limit
-        self.rows = np.zeros((limit, len(model.langs)), np.float32)
-        self.known = np.zeros((limit, len(model.langs)), np.float32) if known else None
+        self.model, self.limit, self.own = model, limit, len(model.words.at)
+        self.rows = np.zeros((self.own + limit, len(model.langs)), np.float32)
+        self.rows[:self.own] = model.words.rows[:-1]
+        self.known = np.zeros_like(self.rows) if known else None
+        self.to_do = np.arange(self.own + 1) < self.own * known  # own words whose ``known`` is not there yet; -1 is none
+
+    def places(self, words: list[str]) -> np.ndarray:
+        """The place of each word; no more words than ``limit`` at a time."""
+        out = self.model.words.places([words])[0]
+        other = np.flatnonzero(out < 0)
+        unseen = [words[j] for j in other.tolist()]
+        if len(self) + len(unseen) > self.limit:
+            self.clear()
+        self._learn([w for w in dict.fromkeys(unseen) if w not in self])
+        if self.known is not None:
+            own, first = np.unique(out, return_index=True)
+            new = first[self.to_do[own]]
+            self._fill_known([words[j] for j in new.tolist()], out[new])
+            self.to_do[out[new]] = False
+        out[other] = np.fromiter(map(self.__getitem__, unseen), np.int32, len(unseen))
+        return out
 
     def __missing__(self, word: str) -> int:
-        i = len(self)
+        i = self.own + len(self)
         self.rows[i] = self.model.score(word)
         if self.known is not None:
             self.known[i] = self.model.known(word) * len(word)
         self[word] = i
         return i
 
+    def _learn(self, words: list[str], at_once: int = 2000, longest: int = 60) -> None:
+        """As :meth:`__missing__`, many words at a time: their n-grams are added by place, the first ones first.
+        A word of more than ``longest`` letters waits until it is looked up."""
+        words = [w for w in words if len(w) <= longest]
+        for start in range(0, len(words), at_once):
+            some = words[start:start + at_once]
+            to = self.own + np.arange(len(self), len(self) + len(some))
+            left = np.arange(len(some))
+            for n in range(self.model.max_n, 0, -1):
+                at = self.model.grams.places([grams(some[j], n) for j in left])
+                total = np.zeros((len(left), self.rows.shape[1]), np.float32)
+                for place in at.T:
+                    total += self.model.grams.rows[place]
+                self.rows[to[left]] = total / n
+                if n == self.model.max_n and self.known is not None:
+                    self.known[to] = self._share(some, at)
+                left = left[(at < 0).all(axis=1)]
+            self.update(zip(some, to.tolist()))
+
+    def _fill_known(self, words: list[str], to: np.ndarray, at_once: int = 2000) -> None:
+        """``known`` of the model's own words."""
+        for start in range(0, len(words), at_once):
+            some, at = words[start:start + at_once], to[start:start + at_once]
+            has = (self.rows[at] > self.model.unseen(0)) * np.array([len(w) for w in some], np.float32)[:, None]
+            part = np.flatnonzero((has == 0).any(axis=1))
+            pieces = self.model.grams.places([grams(some[j], self.model.max_n) for j in part])
+            has[part] = np.maximum(has[part], self._share([some[j] for j in part], pieces))
+            self.known[at] = has
+
+    def _share(self, words: list[str], at: np.ndarray) -> np.ndarray:
+        """By language the share of each word's longest n-grams that it has, times the letters."""
+        found = np.zeros((len(words), self.rows.shape[1]), np.float32)
+        for place in at.T:
+            found += (self.model.grams.rows[place] > self.model.unseen(self.model.max_n)) & (place >= 0)[:, None]
+        letters = np.array([len(w) for w in words], np.float32)[:, None]
+        pieces = np.array([len(grams(w, self.model.max_n)) for w in words], np.float32)[:, None]
+        return found / np.maximum(pieces, 1) * letters
+
+
+def _words(texts: pa.Array, most: int = 50_000, together: int = 20_000) -> Iterator[list[tuple[int, list[str]]]]:
+    """(text, its next words) in order, no more than ``most`` words of a text; those of short texts come together."""
+    out, held = [], 0
+    for i, x in enumerate(texts):  # one text as a Python string at a time, and a part of its words
+        t = x.as_py()
+        words = map(re.Match.group, LETTERS.finditer(t.lower() if t else ""))
+        while part := list(islice(words, most)):
+            out.append((i, part))
+            held += len(part)
+            if held >= together:
+                yield out
+                out, held = [], 0
+    if out:
+        yield out
+
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred`` and ``score`` (columns of these names are replaced).
@@ -195,7 +280,7 @@ def _sent(spark: SparkSession, model: LanguageModel) -> tuple[Broadcast, str]:
     app = spark.sparkContext.applicationId
     found = model.__dict__.pop("_sent", None)  # not part of what is sent
     if found is None or found[0] != app:
-        packed = replace(model, words=Rows(model.words), grams=Rows(model.grams))
+        packed = replace(model, words=Rows(model.words, len(model.langs)), grams=Rows(model.grams, len(model.langs)))
         found = (app, spark.sparkContext.broadcast(packed), f"languages {uuid.uuid4().hex}")
     model.__dict__["_sent"] = found
     return found[1:]
@@ -211,32 +296,28 @@ def _predict(docs: DataFrame, model: LanguageModel, text_col: str, with_known: b
     def run(text: pa.Array) -> pa.Array:
         m = sent.value
         table = kept(name, lambda: _Scores(m, known=with_known))
+        total = np.zeros((len(text), len(m.langs)), np.float64)
+        known = np.zeros((len(text), len(m.langs)), np.float64)
+        letters = [0] * len(text)
+        for group in _words(text) if m.langs else ():
+            at = table.places([w for _, part in group for w in part])
+            for i, part in group:
+                at_rows, at = np.split(at, [len(part)])
+                total[i] += table.rows[at_rows].sum(axis=0, dtype=np.float64)
+                if with_known:
+                    known[i] += table.known[at_rows].sum(axis=0, dtype=np.float64)
+                letters[i] += sum(map(len, part))
         names, scores, shares = [], [], []
-        for x in text:  # one text as a Python string at a time, and a part of its words
-            t = x.as_py()
-            words = map(re.Match.group, LETTERS.finditer(t.lower() if t else ""))
-            part = list(islice(words, 50_000))
-            if not part or not m.langs:
+        for by_lang, has, n in zip(total, known, letters):
+            if not n:
                 names.append("und")
                 scores.append(0.0)
                 shares.append(None)
                 continue
-            total = np.zeros(len(m.langs), np.float64)
-            known = np.zeros(len(m.langs), np.float64)
-            letters = 0
-            while part:
-                if len(table) + len(part) > table.limit:
-                    table.clear()
-                at_rows = np.fromiter(map(table.__getitem__, part), np.int32, len(part))
-                total += table.rows[at_rows].sum(axis=0, dtype=np.float64)
-                if with_known:
-                    known += table.known[at_rows].sum(axis=0, dtype=np.float64)
-                letters += sum(map(len, part))
-                part = list(islice(words, 50_000))
-            best = int(total.argmax())
+            best = int(by_lang.argmax())
             names.append(m.langs[best])
-            scores.append(float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum()))
-            shares.append(float((known[best] + GRACE) / (letters + GRACE)) if with_known else None)
+            scores.append(float(1.0 / np.exp(np.maximum(by_lang - by_lang[best], -700)).sum()))
+            shares.append(float((has[best] + GRACE) / (n + GRACE)) if with_known else None)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())],
                                           ["lang_pred", "score", "known"])
 

@@ -1,7 +1,10 @@
 import random
 import zlib
+from dataclasses import replace
 
 import corpus_pipeline
+import numpy as np
+import pyarrow as pa
 from tempolens.llm import language
 from tempolens.llm.queries import op7_language_id
 
@@ -44,6 +47,32 @@ def test_backoff_takes_the_longest_known_ngrams(spark):
     assert model.score("жжж").tolist() == [0, 0]
 
 
+def test_many_words_score_as_each_one_does(spark, monkeypatch):
+    rows = [(i, "alpha alpha beta gamma", "p") for i in range(8)] + [(i, "gamma delta delta", "q") for i in range(8, 16)]
+    packed = {}
+    for text in ("", "123"):  # the second model has a language and no word
+        model = language.train(frame(spark, [(r[0], text or r[1], r[2]) for r in rows], "doc_id long, text string, lang string"))
+        packed[text] = replace(model, words=language.Rows(model.words, 2), grams=language.Rows(model.grams, 2))
+    words = ["alpha", "gamma", "deltoid", "жжж", "a", "é", "alphabeta", "gamma", "ab" * 40, "delta" * 12]
+    for model in packed.values():
+        single = {w: (model.score(w).tolist(), (model.known(w) * len(w)).astype(np.float32).tolist()) for w in words}
+        for known in (False, True):
+            table = language._Scores(model, limit=len(words), known=known)
+            for some in (words, words[4:], words[::-1]):  # the table is full in between
+                for w, i in zip(some, table.places(some)):
+                    assert table.rows[i].tolist() == single[w][0]
+                    assert not known or table.known[i].tolist() == single[w][1]
+    one_by_one = []
+    monkeypatch.setattr(language.LanguageModel, "score", lambda self, w: one_by_one.append(w) or np.zeros(2, np.float32))
+    language._Scores(packed[""]).places(words)
+    assert one_by_one == ["ab" * 40]  # only what is too long to go with others
+
+
+def test_parts_of_texts(spark):
+    texts = pa.array(["a b", None, "c " * 7, "", "1", "d"])
+    assert [[(i, len(w)) for i, w in g] for g in language._words(texts, most=3, together=4)] == [[(0, 2), (2, 3)], [(2, 3), (2, 1)], [(5, 1)]]
+
+
 def test_identify_keeps_rows_as_they_are(spark):
     rows = [(1, "alpha beta", "p", 1), (2, "123 456", "p", 2), (3, None, "q", 3), (4, "gamma delta", None, 4)]
     docs = frame(spark, rows, "doc_id long, text string, lang string, score int")
