@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import register_tables
 
@@ -262,3 +263,15 @@ def with_fixtures(sql: str) -> str:
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
+
+
+def fixture_dealt(spark: SparkSession, sf_dir: str, name: str, table: str, keys: list[str]) -> DataFrame:
+    """The rows of the view ``name``, with the base table under it dealt by ``keys``.
+
+    If a view has these expressions as columns and groups by them (and others),
+    the one shuffle, of the table's few columns, serves that group, and joins and
+    groups by the ``keys`` alone that follow.
+    """
+    register_fixtures(spark, sf_dir)
+    spark.table(table).repartition(*[F.expr(k) for k in keys]).createOrReplaceTempView(f"{table}_dealt")
+    return spark.sql(re.sub(rf"\b{table}\b", f"{table}_dealt", with_fixtures(f"SELECT * FROM {name}")))

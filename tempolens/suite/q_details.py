@@ -9,6 +9,7 @@ from ..plans import statements as ST
 from ..plans import storage as SG
 from ..plans.rules import apply_rule
 from ..sources import fixture as _fx
+from ..sources.fixtures import fixture_dealt
 from .registry import query
 
 FROM, TO = "2024-01-03 00:00:00", "2024-01-29 12:00:00"
@@ -125,8 +126,8 @@ SELECT inst_id, sql_id, child_count, match_rank, CASE match_rank WHEN 1 THEN 'ob
   child_number, {', '.join(_CUR)}, 100 * (buffer_gets - disk_reads) / greatest(buffer_gets, 1) AS hit_ratio
 FROM r WHERE rn = 1""")
 def d03_current(spark, sf):
-    c = _fx(spark, sf, "fx_cur_sql")
-    wanted = c.select("inst_id", "sql_id").distinct().withColumn("object_status", F.lit("VALID")).withColumn("parsing_schema_name", F.lit("A"))
+    c = fixture_dealt(spark, sf, "fx_cur_sql", "lineitem", ["CAST(l_suppkey % 2 + 1 AS INT)", "concat('s', CAST(l_partkey AS STRING))"])
+    wanted = _fx(spark, sf, "fx_cur_sql").select("inst_id", "sql_id").distinct().withColumn("object_status", F.lit("VALID")).withColumn("parsing_schema_name", F.lit("A"))
     return ST.statement_detail_current(c, wanted)
 
 

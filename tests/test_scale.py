@@ -111,3 +111,23 @@ def test_index_only_lines_are_dealt_by_object(spark):
         assert [(r.index_name, r.max_column, r.min_column) for r in got.collect()] == [("i", "a", "b")]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_current_details_shuffle_the_facts_once(spark):
+    """Before, the grouped cursors were dealt a second time for the join with the wishes."""
+    from tempolens.plans.statements import statement_detail_current
+    from tempolens.sources import fixture
+    from tempolens.suite.q_details import d03_current
+    sf = "/root/testdata/sf0.001"
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = d03_current(spark, sf)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_COL") == 1 and plan.count("ENSURE_REQUIREMENTS") == 1  # the facts; the wishes
+        c = fixture(spark, sf, "fx_cur_sql")
+        wish = c.select("inst_id", "sql_id").distinct().selectExpr("*", "'VALID' AS object_status", "'A' AS parsing_schema_name")
+        want = statement_detail_current(c, wish)
+        assert got.schema == want.schema and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.count() > 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
